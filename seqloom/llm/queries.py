@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .neardup import op2_simhash
 from .secrets import op1_secret_scan
 from .urls import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_simhash": op2_simhash,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE = {"op10_url_filter": OP10_SQL}

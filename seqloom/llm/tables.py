@@ -43,3 +43,11 @@ def row_key(*cols: Column) -> Column:
     strings differ."""
     parts = [F.coalesce(F.concat(F.lit("1"), F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("0")) for c in cols]
     return F.md5(F.concat(*parts))
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most so many rows travel to Python at once: texts may be long, and ten thousand of
+    them, Spark's default, need not fit a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
