@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontaminate
 from .neardup import op2_simhash
 from .secrets import op1_secret_scan
 from .urls import OP10_SQL, op10_url_filter
@@ -9,6 +10,7 @@ from .urls import OP10_SQL, op10_url_filter
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
+    "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE = {"op10_url_filter": OP10_SQL}
