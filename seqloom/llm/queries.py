@@ -5,11 +5,13 @@ from __future__ import annotations
 from .decontaminate import op9_decontaminate
 from .neardup import op2_simhash
 from .secrets import op1_secret_scan
+from .tokenise import op6_sentencepiece
 from .urls import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
+    "op6_sentencepiece": op6_sentencepiece,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
