@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op9_decontaminate
 from .neardup import op2_simhash
+from .quality import op5_quality
 from .secrets import op1_secret_scan
 from .tokenise import op6_sentencepiece
 from .urls import OP10_SQL, op10_url_filter
@@ -11,6 +12,7 @@ from .urls import OP10_SQL, op10_url_filter
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
+    "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
