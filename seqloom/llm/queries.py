@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op9_decontaminate
 from .neardup import op2_simhash
+from .neighbours import op8_nearest
 from .quality import op5_quality
 from .secrets import op1_secret_scan
 from .tokenise import op6_sentencepiece
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_nearest": op8_nearest,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
