@@ -7,12 +7,14 @@ from .neardup import op2_simhash
 from .neighbours import op8_nearest
 from .quality import op5_quality
 from .secrets import op1_secret_scan
+from .substrings import op4_substrings
 from .tokenise import op6_sentencepiece
 from .urls import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
+    "op4_substrings": op4_substrings,
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_nearest": op8_nearest,
