@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chunks import op3_chunks
 from .decontaminate import op9_decontaminate
 from .neardup import op2_simhash
 from .neighbours import op8_nearest
@@ -14,6 +15,7 @@ from .urls import OP10_SQL, op10_url_filter
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
+    "op3_chunks": op3_chunks,
     "op4_substrings": op4_substrings,
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
