@@ -10,6 +10,7 @@ from .quality import op5_quality
 from .secrets import op1_secret_scan
 from .substrings import op4_substrings
 from .tokenise import op6_sentencepiece
+from .toxicity import op7_toxicity
 from .urls import OP10_SQL, op10_url_filter
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_substrings": op4_substrings,
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_toxicity": op7_toxicity,
     "op8_nearest": op8_nearest,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,

@@ -1,0 +1,71 @@
+import hashlib
+
+import numpy as np
+import sentencepiece
+from test_decontaminate import slow as slow_overlap
+from test_neardup import roots
+from test_neardup import slow as slow_fingerprint
+
+import corpus_pipeline
+from seqloom.llm.quality import score_documents
+from seqloom.llm.secrets import find_secrets
+from seqloom.llm.tokenise import default_model
+
+SF = "/root/testdata/sf0.01"
+
+
+def step(spark, k, docs):
+    return corpus_pipeline.STAGES[k][1](spark, docs, SF)
+
+
+def test_stages_against_brute_force(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "secrets", "tokenise"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    good = {r.doc_id for r in step(spark, 0, docs).collect()}
+    assert good == {r.id for r in score_documents(docs, labels).where("predicted = 1").collect()}
+    clean = [r.doc_id for r in labels.where("quality = 1").collect() if r.doc_id in rows]
+    assert np.mean([i in good for i in clean]) > 0.98
+
+    few = docs.where("doc_id < 400")
+    ids = np.array(sorted(r.doc_id for r in few.collect()))
+    code = np.array([slow_fingerprint(rows[i].text, 5) for i in ids], np.uint64)
+    edges = [(ids[i], ids[j]) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(code ^ code[i]) <= corpus_pipeline.DISTANCE) if i < j]
+    kept = step(spark, 1, few)
+    assert kept.columns == docs.columns
+    assert {r.doc_id: tuple(r) for r in kept.collect()} == {i: tuple(rows[i]) for i, r in roots(ids, edges).items() if i == r}
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = {w[0] for w in slow_overlap([(i, r.text) for i, r in rows.items()], items) if not w[5]}
+    assert {r.doc_id for r in step(spark, 2, docs).collect()} == want
+
+    masked = {r.doc_id: r for r in step(spark, 3, docs).collect()}
+    live = {r.id: r.live for r in find_secrets(docs, repo_cols=["lang"]).collect()}
+    assert masked.keys() == rows.keys()
+    for i, r in rows.items():
+        text, gone = r.text, 0
+        out, at = "", 0
+        for a, b in sorted(tuple(map(int, s.split(":")[1:])) for s in live[i].split(",") if s):
+            if a >= at:
+                out, gone = out + text[at:a] + "[SECRET]", gone + 1
+            at = max(at, b)
+        assert masked[i].text == out + text[at:] and masked[i].n_chars == len(masked[i].text) and (gone > 0) == bool(live[i])
+    assert any(live.values())
+
+    library = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    for r in step(spark, 4, few).collect():
+        ids = library.encode(rows[r.doc_id].text)
+        assert (r.n_tokens, r.decoded_sha256) == (len(ids), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+
+
+def test_run_and_edges(spark, sf):
+    out = corpus_pipeline.run(spark, sf)
+    assert 0 < out.count() < spark.read.parquet(f"{sf}/documents.parquet").count()
+    rows = [(None, "A null id.", "en", "s", 10), (None, "A null id.", "en", "s", 10), (7, None, None, None, None), (8, "", "en", "s", 0), (9, "Same text here and there, as is.", "en", "s", 3), (9, "Same text here and there, as is.", "en", "s", 3), (10, "Same text here and there, as is.", "en", "t", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == ["7", "9", "None", "None"]
+    for k in range(5):
+        assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), sf).count() == 0
+        assert corpus_pipeline.STAGES[k][1](spark, docs, sf).count() <= len(rows)
