@@ -1,8 +1,298 @@
+"""Operators on pixel tables: a row a pixel with its grid, ``y``, ``x`` and values.
+
+Passes along rows partition by grid and ``y``, passes along columns by grid and ``x``, so no task
+holds more than one row or column of a grid at a time.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from ..functions.core import over
-def box3(cells, grid, value="v", out="v"):
-    for axis, other in (("x", "y"), ("y", "x")):
-        w = over([*grid, other], [axis]); v = F.col(value if axis == "x" else "_h")
-        m = (F.coalesce(F.lag(v).over(w), v) + v + F.coalesce(F.lead(v).over(w), v)) / 3
-        cells = cells.withColumn("_h" if axis == "x" else out, m)
-    return cells.drop("_h")
+from pyspark.sql.window import Window
+
+from ..functions.core import Names, clamp, fold, gathered, item, over
+
+CHANNELS = ("r", "g", "b")
+
+
+def _byte(col: Column) -> Column:
+    return clamp(F.bround(col), 0, 255)
+
+
+def _trunc(col: Column) -> Column:
+    return col.cast("long").cast("double")
+
+
+def _along(grid: Names, axis: str):
+    return over([*grid, "y" if axis == "x" else "x"], [axis])
+
+
+def each(cells: DataFrame, grid: Names, values: Sequence[str], rule: Callable[[Column, object], Column], suffix: str = "") -> DataFrame:
+    """Applies a rule of value and window along rows, then along columns, to several columns at once."""
+    for axis in ("x", "y"):
+        w = _along(grid, axis)
+        cells = cells.withColumns({v + suffix: rule(F.col(v if axis == "x" else v + suffix), w) for v in values})
+    return cells
+
+
+def box3(cells: DataFrame, grid: Names, value: str = "v", out: str = "v") -> DataFrame:
+    """Mean of three along rows, then columns; borders repeat."""
+    rule = lambda v, w: (F.coalesce(F.lag(v).over(w), v) + v + F.coalesce(F.lead(v).over(w), v)) / 3
+    return each(cells.withColumn(out, F.col(value)), grid, [out], rule)
+
+
+def box_mean(cells: DataFrame, grid: Names, radius: int, values: Sequence[str] = ("v",)) -> DataFrame:
+    """Mean within ``radius`` along rows, then columns; windows shrink at borders."""
+    return cells if radius < 1 else each(cells, grid, values, lambda v, w: F.avg(v).over(w.rowsBetween(-radius, radius)))
+
+
+def box3_bytes(cells: DataFrame, grid: Names, passes: int = 1, values: Sequence[str] = ("v",)) -> DataFrame:
+    """Integer mean of three along rows, then columns, of two at the ends, rounded up by one unit
+    before the division; repeated."""
+
+    def rule(v: Column, w) -> Column:
+        a, b = F.lag(v).over(w), F.lead(v).over(w)
+        both = F.floor((a + v + b + 1) / 3)
+        return F.when(a.isNull() & b.isNull(), v).when(a.isNull(), F.floor((v + b + 1) / 2)).when(b.isNull(), F.floor((a + v + 1) / 2)).otherwise(both).cast("double")
+
+    for _ in range(passes):
+        cells = each(cells, grid, values, rule)
+    return cells
+
+
+def erode(cells: DataFrame, grid: Names, radius: int, values: Sequence[str] = ("v",)) -> DataFrame:
+    return cells if radius < 1 else each(cells, grid, values, lambda v, w: F.min(v).over(w.rowsBetween(-radius, radius)))
+
+
+def dilate(cells: DataFrame, grid: Names, radius: int, values: Sequence[str] = ("v",)) -> DataFrame:
+    return cells if radius < 1 else each(cells, grid, values, lambda v, w: F.max(v).over(w.rowsBetween(-radius, radius)))
+
+
+def opened(cells: DataFrame, grid: Names, radius: int, values: Sequence[str] = ("v",)) -> DataFrame:
+    return dilate(erode(cells, grid, radius, values), grid, radius, values)
+
+
+def alpha_stretch(cells: DataFrame, grid: Names, fg: float, bg: float, feather: int = 0, morph: int = 0, value: str = "v") -> DataFrame:
+    """Maps ``bg`` and below to 0, ``fg`` and above to 1, then blurs and opens as asked."""
+    if fg > bg > 0:
+        v = F.col(value)
+        cells = cells.withColumn(value, F.when(v <= bg, 0.0).when(v >= fg, 1.0).otherwise((v - bg) / (fg - bg)))
+    return opened(box_mean(cells, grid, feather // 2, [value]), grid, morph // 25, [value])
+
+
+def composite(fg: DataFrame, alpha: DataFrame, bg: DataFrame, grid: Names, values: Sequence[str] = CHANNELS) -> DataFrame:
+    """Foreground over background by alpha, as bytes."""
+    on = [*grid, "y", "x"]
+    rows = fg.join(alpha.withColumnRenamed("v", "_a"), on).join(bg.select(*on, *[F.col(c).alias(f"_{c}") for c in values]), on)
+    return rows.select(*on, *[clamp(F.floor(F.col("_a") * F.col(c) + (1 - F.col("_a")) * F.col(f"_{c}") + 0.5).cast("double"), 0, 255).alias(c) for c in values])
+
+
+def otsu(cells: DataFrame, grid: Names, value: str = "v") -> DataFrame:
+    """Threshold of each grid that parts its histogram best, as ``fg`` and ``bg`` levels. Bins
+    without pixels change nothing, so only those with some are looked at."""
+    bins = cells.where(F.col(value).isNotNull()).groupBy(*grid, F.floor(clamp(F.col(value), 0, 1) * 255 + 0.5).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    w, whole = over(grid, ["bin"]), Window.partitionBy(*grid)
+    rows = bins.withColumns({"wb": F.sum("n").over(w), "sb": F.sum(F.col("n") * F.col("bin")).over(w), "nn": F.sum("n").over(whole), "ss": F.sum(F.col("n") * F.col("bin")).over(whole)})
+    wf = F.col("nn") - F.col("wb")
+    gap = F.col("sb") / F.col("wb") - (F.col("ss") - F.col("sb")) / F.when(wf > 0, wf)
+    rows = rows.withColumn("between", F.coalesce(F.col("wb") * wf * gap * gap, F.lit(0.0)))
+    best = rows.groupBy(*grid).agg(F.max_by(F.struct("bin"), F.struct("between", -F.col("bin"))).alias("b"), F.max("between").alias("m"))
+    found = F.when(F.col("m") > 0, F.col("b.bin")).otherwise(0)
+    out = best.select(*grid, found.alias("threshold")).withColumn("fg", clamp(F.col("threshold") / 255, 0.35, 0.95))
+    return out.withColumn("bg", clamp(F.col("fg") - 0.14, 0.03, 0.85))
+
+
+def luma() -> Column:
+    return 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")
+
+
+def tile_equalise(cells: DataFrame, grid: Names, w: int, h: int, strength: float, tiles: int = 8, least_side: int = 16) -> DataFrame:
+    """Clipped equalisation of luma in each of ``tiles`` x ``tiles`` tiles, mixed bilinearly between
+    four tiles and applied to the channels in part."""
+    if min(w, h) < least_side:
+        return cells
+    tw, th, amount = -(-w // tiles), -(-h // tiles), strength / 100 * 0.2
+    limit = max(1, int(2.0 * (tw * th) / 256))
+    rows = cells.withColumn("lum", _byte(luma()).cast("int")).withColumns({"ty": F.expr(f"y div {th}").cast("int"), "tx": F.expr(f"x div {tw}").cast("int")})
+    hist = rows.groupBy(*grid, "ty", "tx", F.col("lum").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    tile = hist.groupBy(*grid, "ty", "tx").agg(F.sum("n").alias("cnt"), F.sum(F.greatest(F.col("n") - limit, F.lit(0))).alias("excess"))
+    # The map of a level: pixels up to it after clipping, and its part of what was clipped.
+    levels = tile.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(255)))).join(hist, [*grid, "ty", "tx", "bin"], "left")
+    kept = F.sum(F.least(F.coalesce("n", F.lit(0)), F.lit(limit))).over(over([*grid, "ty", "tx"], ["bin"]))
+    spread = (F.col("bin") + 1) * F.floor(F.col("excess") / 256) + F.least(F.col("bin") + 1, F.col("excess") % 256)
+    maps = levels.withColumn("m", _byte((kept + spread) * 255.0 / F.greatest("cnt", F.lit(1)))).select(*grid, "ty", "tx", F.col("bin").alias("lum"), "m")
+
+    def axis(p: str, size: int, name: str) -> dict[str, Column]:
+        f = (F.col(p) - size / 2.0) / size
+        low = F.floor(f).cast("int")
+        at = lambda c: F.greatest(F.lit(0), F.least(F.lit(tiles - 1), c))
+        return {f"{name}a": at(low), f"{name}b": at(low + 1), f"w{name}": f - low}
+
+    rows = rows.drop("ty", "tx").withColumns({**axis("y", th, "y_"), **axis("x", tw, "x_")})
+    for y in "ab":
+        for x in "ab":
+            rows = rows.join(maps.select(*grid, F.col("ty").alias(f"y_{y}"), F.col("tx").alias(f"x_{x}"), "lum", F.col("m").alias(f"m{y}{x}")), [*grid, f"y_{y}", f"x_{x}", "lum"])
+    wx, wy = F.col("wx_"), F.col("wy_")
+    new = (F.col("maa") * (1 - wx) + F.col("mab") * wx) * (1 - wy) + (F.col("mba") * (1 - wx) + F.col("mbb") * wx) * wy
+    rows = rows.withColumn("_scale", new / F.greatest(F.lit(1.0), F.col("lum").cast("double")))
+    return rows.select(*grid, "y", "x", *[_byte(F.col(c) + (F.bround(F.col(c) * F.col("_scale")) - F.col(c)) * amount).alias(c) for c in CHANNELS])
+
+
+def dehaze(cells: DataFrame, grid: Names, strength: float) -> DataFrame:
+    """Removes haze by the dark channel. Of equally dark pixels the first by place are brightest."""
+    amount = strength / 100 * 0.55
+    least = max(0.05, 1.0 - amount * 0.4)
+    rows = cells.withColumn("dark", F.least(*CHANNELS))
+    for _ in range(6):
+        rows = erode(rows, grid, 2, ["dark"])
+    order = Window.partitionBy(*grid).orderBy(F.desc("dark"), "y", "x")
+    count = Window.partitionBy(*grid)
+    top = rows.withColumns({"_k": F.row_number().over(order), "_n": F.count(F.lit(1)).over(count)}).where(F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 1000)))
+    light = top.groupBy(*grid).agg(*[F.avg(c).alias(f"a{c}") for c in CHANNELS])
+    rows = rows.join(light, list(grid))
+    t = clamp(1.0 - 0.95 * F.least(F.lit(1.0), F.col("dark") / (255.0 * 0.9 + 1.0)), least, 1.0)
+    clear = lambda c: _trunc((F.col(c) - amount * F.col(f"a{c}")) / t)
+    return rows.select(*grid, "y", "x", *[clamp(_trunc(F.col(c) * (1 - amount) + clear(c) * amount), 0, 255).alias(c) for c in CHANNELS])
+
+
+def around(cells: DataFrame, grid: Names, value: str, out: str) -> DataFrame:
+    """``out``: the nine values around each pixel, row by row; borders repeat."""
+    w, c = _along(grid, "x"), _along(grid, "y")
+    v = F.col(value)
+    cells = cells.withColumn("_three", F.array(F.coalesce(F.lag(v).over(w), v), v, F.coalesce(F.lead(v).over(w), v)))
+    three = F.col("_three")
+    return cells.withColumn(out, F.concat(F.coalesce(F.lag(three).over(c), three), three, F.coalesce(F.lead(three).over(c), three))).drop("_three")
+
+
+def inside(w: int, h: int) -> Column:
+    return F.col("x").between(1, w - 2) & F.col("y").between(1, h - 2)
+
+
+def median3(cells: DataFrame, grid: Names, strength: float, values: Sequence[str] = CHANNELS) -> DataFrame:
+    """Two passes of the median of nine, mixed with the original."""
+    rows = cells.withColumns({f"_m{v}": F.col(v) for v in values})
+    for _ in range(2):
+        for v in values:
+            rows = around(rows, grid, f"_m{v}", "_nine").withColumn(f"_m{v}", item(F.array_sort("_nine"), F.lit(4))).drop("_nine")
+    return rows.select(*grid, "y", "x", *[_byte(F.col(v) + (F.col(f"_m{v}") - F.col(v)) * (strength / 100)).alias(v) for v in values])
+
+
+def unsharp(cells: DataFrame, grid: Names, amount: float, threshold: float, passes: int = 1, value: str = "v") -> DataFrame:
+    rows = box3_bytes(cells.withColumn("_blur", F.col(value)), grid, max(1, passes), ["_blur"])
+    diff = F.col(value) - F.col("_blur")
+    return rows.withColumn(value, F.when(F.abs(diff) > threshold, clamp(_trunc(F.col(value) + amount * diff), 0, 255)).otherwise(F.col(value))).drop("_blur")
+
+
+def midtone_clarity(cells: DataFrame, grid: Names, amount: float, passes: int = 8) -> DataFrame:
+    """Adds what eight blurs take away, most where luma is in the middle."""
+    rows = box3_bytes(cells.withColumns({f"_{c}": F.col(c) for c in CHANNELS}), grid, passes, [f"_{c}" for c in CHANNELS])
+    t = F.abs(luma() - 128.0) / 140.0
+    k = amount * 0.5 * F.greatest(F.lit(0.0), 1.0 - t * t)
+    return rows.select(*grid, "y", "x", *[_byte(F.col(c) + k * (F.col(c) - F.col(f"_{c}"))).alias(c) for c in CHANNELS])
+
+
+def high_freq_boost(cells: DataFrame, grid: Names, w: int, h: int, amount: float, threshold: float = 4.0, value: str = "v") -> DataFrame:
+    """Adds the difference to the 3x3 mean, inner pixels only, less where it is small."""
+    rows = around(cells, grid, value, "_nine")
+    hp = F.col(value) - F.aggregate("_nine", F.lit(0.0), lambda a, x: a + x) / 9.0
+    a = F.abs(hp)
+    gate = F.when(a > threshold, (a - threshold) / F.when(a > 0, a)).otherwise(0.0)
+    return rows.withColumn(value, F.when(inside(w, h), _byte(F.col(value) + amount * hp * gate)).otherwise(F.col(value))).drop("_nine")
+
+
+def _edge_weight(nine: str) -> Column:
+    at = lambda i: item(F.col(nine), F.lit(i))
+    gx = at(2) + 2 * at(5) + at(8) - at(0) - 2 * at(3) - at(6)
+    gy = at(6) + 2 * at(7) + at(8) - at(0) - 2 * at(1) - at(2)
+    return clamp(F.sqrt(gx * gx + gy * gy) / 4.0 / 48.0, 0.0, 1.0)
+
+
+def edge_gated_sharpen(cells: DataFrame, grid: Names, w: int, h: int, amount: float) -> DataFrame:
+    """Adds luma less its blur to all channels, most at edges; inner pixels only."""
+    rows = cells.withColumn("_lum", _byte(luma()))
+    rows = around(box3_bytes(rows.withColumn("_blur", F.col("_lum")), grid, 2, ["_blur"]), grid, "_blur", "_nine")
+    add = amount * 1.5 * (F.col("_lum") - F.col("_blur")) * (0.25 + 0.75 * _edge_weight("_nine"))
+    return rows.select(*grid, "y", "x", *[F.when(inside(w, h), _byte(F.col(c) + add)).otherwise(F.col(c)).alias(c) for c in CHANNELS])
+
+
+def edge_enhance(cells: DataFrame, grid: Names, w: int, h: int, amount: float, gain: float = 0.5) -> DataFrame:
+    """Adds each channel's Laplacian of eight neighbours, weighted by the edge strength of luma."""
+    rows = cells.withColumn("_blur", _byte(luma()))
+    rows = around(box3_bytes(rows, grid, 1, ["_blur"]), grid, "_blur", "_nine").withColumn("_w", _edge_weight("_nine"))
+    for c in CHANNELS:
+        rows = around(rows, grid, c, f"_n{c}")
+    lap = lambda c: (9.0 * F.col(c) - F.aggregate(f"_n{c}", F.lit(0.0), lambda a, x: a + x)) / 8.0
+    return rows.select(*grid, "y", "x", *[F.when(inside(w, h), _byte(F.col(c) + amount * gain * lap(c) * F.col("_w"))).otherwise(F.col(c)).alias(c) for c in CHANNELS])
+
+
+def edge_smooth(cells: DataFrame, grid: Names, strength: float, threshold: float = 16, value: str = "v") -> DataFrame:
+    """Moves pixels that differ much from a neighbour toward the integer mean of the nine."""
+    rows = around(cells, grid, value, "_nine")
+    v = F.col(value)
+    edge = (F.array_max("_nine") - v >= threshold) | (v - F.array_min("_nine") >= threshold)
+    mean = F.floor(F.aggregate("_nine", F.lit(0.0), lambda a, x: a + x) / 9)
+    return rows.withColumn(value, F.when(edge, clamp(v + F.bround((mean - v) * (strength / 100 * 0.55)), 0, 255)).otherwise(v)).drop("_nine")
+
+
+def temporal_smooth(cells: DataFrame, by: Names, order: str, reset: str, stability: float, value: str = "v") -> DataFrame:
+    """Steadies each pixel over frames in order; ``reset`` forgets what was. A fold for each pixel."""
+    k = stability / 100 * 0.9
+    if k <= 0:
+        return cells.select(*by, "y", "x", order, value)
+    rows = gathered(cells, [*by, "y", "x"], [order], [value, reset])
+    kind = f"array<struct<{order}:long,{value}:double>>"
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("out"), none.alias("raw"), F.array().cast(kind).alias("all"))
+
+    def step(acc: Column, r: Column) -> Column:
+        out = smoothed(r[value], F.when(~r[reset], acc["out"]), F.when(~r[reset], acc["raw"]), k)
+        return F.struct(out.alias("out"), r[value].cast("double").alias("raw"), F.concat(acc["all"], F.array(F.struct(r[order].cast("long").alias(order), out.alias(value)))).alias("all"))
+
+    return rows.select(*by, "y", "x", F.inline(fold(F.col("rows"), start, step, lambda a: a["all"])))
+
+
+def smoothed(now: Column, out: Column, raw: Column, k: float) -> Column:
+    """The next value from this one and the last ones put out and read; null last ones are none."""
+    hard = (now <= 0.001) | (now >= 0.999) | (out <= 0.001) | (out >= 0.999)
+    w = k * (1 - clamp(3.5 * F.abs(now - raw), 0.0, 1.0))
+    return F.when(out.isNull() | hard, now).otherwise(out + (now - out) * (1 - w)).cast("double")
+
+
+def tile_split(cells: DataFrame, w: int, h: int, tile: int, overlap: int, least_stride: int = 32) -> DataFrame:
+    """A row for each tile that covers a pixel: ``ty``, ``tx``, and the place ``py``, ``px`` in it."""
+    stride = max(tile - overlap, least_stride)
+
+    def covering(p: str, size: int) -> Column:
+        last = F.least(F.floor(F.col(p) / stride), F.lit((size - 1) // stride))
+        first = F.greatest(F.lit(0), F.ceil((F.col(p) - tile + 1) / stride))
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+
+    rows = cells.withColumn("ty", F.explode(covering("y", h))).withColumn("tx", F.explode(covering("x", w)))
+    return rows.withColumns({"py": F.col("y") - F.col("ty") * stride, "px": F.col("x") - F.col("tx") * stride})
+
+
+def tile_stitch(tiles: DataFrame, grid: Names, fade: int, value: str = "v") -> DataFrame:
+    """Lays tiles over each other in order of row and column; each fades in at its left and top."""
+    smooth = lambda t: t * t * (3.0 - 2.0 * t)
+    side = lambda n, p: F.when((F.col(n) > 0) & (F.col(p) < fade), smooth((F.col(p) + 1) / max(1, fade))).otherwise(1.0)
+    rows = tiles.withColumn("_w", side("tx", "px") * side("ty", "py"))
+    rows = gathered(rows, [*grid, "y", "x"], ["ty", "tx"], [value, "_w"])
+    lay = lambda acc, r: F.when(r["_w"] >= 1.0, r[value].cast("double")).otherwise(_trunc(acc * (1.0 - r["_w"]) + r[value] * r["_w"]))
+    return rows.select(*grid, "y", "x", fold(F.col("rows"), F.lit(0.0), lay).alias(value))
+
+
+#: Turns (clockwise) and mirrors for the eight orientation codes; fixed by the EXIF format.
+ORIENTATIONS = {1: (0, False), 2: (0, True), 3: (180, False), 4: (180, True), 5: (90, True), 6: (90, False), 7: (270, True), 8: (270, False)}
+
+
+def orient(cells: DataFrame, code: str, w: str, h: str) -> DataFrame:
+    """Turned and mirrored pixels; unknown codes change nothing."""
+    y, x, wide, high = F.col("y"), F.col("x"), F.col(w), F.col(h)
+    new_y, new_x = y, x
+    for n, (turn, mirror) in ORIENTATIONS.items():
+        ty, tx, width = {0: (y, x, wide), 90: (x, high - 1 - y, high), 180: (high - 1 - y, wide - 1 - x, wide), 270: (wide - 1 - x, y, high)}[turn]
+        new_y, new_x = F.when(F.col(code) == n, ty).otherwise(new_y), F.when(F.col(code) == n, width - 1 - tx if mirror else tx).otherwise(new_x)
+    swap = F.col(code).isin([n for n, (turn, _) in ORIENTATIONS.items() if turn in (90, 270)])
+    return cells.withColumns({"y": new_y, "x": new_x, w: F.when(swap, high).otherwise(wide), h: F.when(swap, wide).otherwise(high)})
