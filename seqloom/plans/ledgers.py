@@ -1 +1,162 @@
+"""Queries of the ledger operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.core import r6
+from ..operators import ledgers as op
+from ..sources import fixtures as fx
+from .registry import query
+
+EXT = "|".join(op.IMAGE_EXTENSIONS)
+STEM = f"regexp_replace(lower(regexp_extract(path, '([^/\\\\]*)$', 1)), '(\\.({EXT}))+$', '')"
+
+
+@query("l01_missing_outputs", f"SELECT {STEM} AS stem, path FROM v_inputs WHERE {STEM} NOT IN (SELECT {STEM} FROM v_outputs)")
+def l01(spark, sf):
+    return op.missing_outputs(fx.inputs(spark, sf), fx.outputs(spark, sf)).select("stem", "path")
+
+
+@query("l02_output_defects", """b AS (SELECT l_orderkey, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'absent' WHEN l_quantity < 3 THEN 'empty' END AS bad FROM lineitem),
+g AS (SELECT l_orderkey, (l_orderkey % 6)::BIGINT AS want, count(*) AS n, min(l_partkey) FILTER (bad IS NOT NULL) AS at, arg_min(bad, l_partkey) FILTER (bad IS NOT NULL) AS first FROM b GROUP BY l_orderkey),
+p AS (SELECT *, CASE WHEN want <= 0 THEN 'expected' WHEN n <> want THEN 'count' WHEN first IS NOT NULL THEN 'bad' END AS problem FROM g)
+SELECT l_orderkey, problem, CASE WHEN problem = 'bad' THEN at END AS at FROM p""")
+def l02(spark, sf):
+    rows = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_orderkey") % 6).alias("want"), (F.col("l_returnflag") != "R").alias("present"), F.when(F.col("l_quantity") < 3, 0).otherwise(1).alias("size"))
+    # Line items of an order may name a part twice, so the kind of the first defect is not compared.
+    out = op.output_defects(rows, ["l_orderkey"], "want", "present", "size", "l_partkey")
+    return out.withColumn("problem", F.when(F.col("problem").isin("absent", "empty"), "bad").otherwise(F.col("problem")))
+
+
+@query("l03_two_point_cost", "s AS (SELECT *, (tn - t1) / (n - 1) AS slope FROM v_prices) SELECT seq, round(slope, 6) AS slope, round(t1 - slope, 6) AS floor, round(slope * 2073600 / pixels, 6) AS at_reference FROM s")
+def l03(spark, sf):
+    slope, floor, ref = op.two_point_cost(F.col("t1"), F.col("tn"), F.col("n"), F.col("pixels"))
+    return fx.prices(spark, sf).select("seq", r6(slope).alias("slope"), r6(floor).alias("floor"), r6(ref).alias("at_reference"))
+
+
+REJECT = "CASE WHEN n < 4 THEN 'frames' WHEN backend NOT IN ('O', 'F') THEN 'backend' WHEN NOT tn > t1 THEN 'order' WHEN tn - t1 < 0.15::DOUBLE * t1 THEN 'noise' WHEN (tn - t1) / (n - 1) <= 0.0005 OR (tn - t1) / (n - 1) > 120 THEN 'slope' END"
+
+
+@query("l04_validate_measure", f"SELECT seq, {REJECT} AS reject FROM v_prices")
+def l04(spark, sf):
+    return op.validate_measures(fx.prices(spark, sf)).select("seq", "reject")
+
+
+KEYS = ["model", "scale", "machine", "backend"]
+
+
+@query("l05_upsert_latest", "SELECT model, scale, machine, backend, seq FROM v_prices QUALIFY row_number() OVER (PARTITION BY model, scale, machine, backend ORDER BY (seq % 3 = 0)::INT DESC, seq DESC) = 1")
+def l05(spark, sf):
+    p = fx.prices(spark, sf)
+    return op.upsert_latest(p.where("seq % 3 <> 0"), p.where("seq % 3 = 0"), KEYS, "seq").select(*KEYS, "seq")
+
+
+@query("l06_resolve_measure", """a AS (SELECT seq AS ask_id, model, scale, CASE WHEN seq % 4 = 0 THEN '99' ELSE machine END AS machine, CASE WHEN seq % 10 = 1 THEN NULL ELSE backend END AS backend FROM v_prices WHERE seq % 7 = 0),
+b AS (SELECT * FROM v_prices WHERE seq % 50 = 3),
+j AS (SELECT a.*, b.seq, b.measured_at, b.machine = a.machine AS m, (a.backend IS NULL OR (a.backend <> 'unknown' AND b.backend = a.backend)) AND b.machine IS NOT NULL AS k, round(b.t1, 6) AS v FROM a LEFT JOIN b ON a.model = b.model AND a.scale = b.scale),
+g AS (SELECT ask_id, arg_max(v, (measured_at, seq)) FILTER (m AND k) AS found, coalesce(bool_or(NOT m AND k), false) AS om, coalesce(bool_or(m AND NOT k), false) AS ob FROM j GROUP BY ask_id)
+SELECT ask_id, found, CASE WHEN found IS NOT NULL THEN '' WHEN om THEN 'machine' WHEN ob THEN 'backend' ELSE 'none' END AS other FROM g""")
+def l06(spark, sf):
+    p = fx.prices(spark, sf)
+    asks = p.where("seq % 7 = 0").select(F.col("seq").alias("ask_id"), "model", "scale", F.when(F.col("seq") % 4 == 0, "99").otherwise(F.col("machine")).alias("machine"), F.when(F.col("seq") % 10 != 1, F.col("backend")).alias("backend"))
+    return op.resolve_measure(asks, p.where("seq % 50 = 3").withColumn("t1", r6("t1")), "t1")
+
+
+@query("l07_perf_history", """r AS (SELECT model AS engine, scale, backend AS flag, seq, measured_at AS at, pixels / 1e6::DOUBLE AS area, seq % 5 AS version, tn AS seconds, n AS frames FROM v_prices)
+SELECT engine, scale, greatest(1, least(40, round_even(area * 10, 0)::INT)) AS tier, flag, round(arg_max(seconds / frames / greatest(0.25::DOUBLE, area), (at, seq)), 6) AS cost FROM r WHERE version = 2 AND seconds > 0 GROUP BY ALL""")
+def l07(spark, sf):
+    runs = fx.prices(spark, sf).select(F.col("model").alias("engine"), "scale", F.col("backend").alias("flag"), "seq", F.col("measured_at").alias("at"), (F.col("pixels") / 1e6).alias("area"), (F.col("seq") % 5).alias("version"), F.col("tn").alias("seconds"), F.col("n").alias("frames"))
+    return op.perf_history(runs, ["flag"], 2).withColumn("cost", r6("cost"))
+
+
+@query("l08_strike_streak", """o AS (SELECT key, max((at, seq)) FILTER (ok) AS last FROM v_attempts GROUP BY key), s AS (SELECT key, count(*) FILTER (NOT a.ok AND (last IS NULL OR (a.at, a.seq) > last)) AS strikes FROM v_attempts a JOIN o USING (key) GROUP BY key)
+SELECT key, strikes, strikes >= 2 AS broken FROM s""")
+def l08(spark, sf):
+    return op.strike_streak(fx.attempts(spark, sf), ["key"], ["at", "seq"], limit=2)
+
+
+@query("l09_verdict_state", """n AS (SELECT key, at, ok, note = 'purchase' AS deny, row_number() OVER (PARTITION BY key ORDER BY at, seq) AS i FROM v_attempts),
+f AS (SELECT key, i, at, ok, CASE WHEN ok AND NOT deny THEN 0 WHEN deny THEN 3 ELSE 1 END AS failures FROM (SELECT key, i, at, ok, deny FROM n WHERE i = 1)
+ UNION ALL SELECT n.key, n.i, n.at, n.ok, CASE WHEN n.ok AND NOT n.deny THEN 0 WHEN n.deny THEN 3 WHEN n.at - f.at BETWEEN 0 AND 604800 THEN f.failures + 1 ELSE 1 END FROM f JOIN n ON n.key = f.key AND n.i = f.i + 1)
+SELECT key, failures, at, ok, failures >= 3 AS denied FROM f WHERE i = (SELECT max(i) FROM n WHERE n.key = f.key) AND 1706660000 - at BETWEEN 0 AND 604800""")
+def l09(spark, sf):
+    deny = F.col("note") == "purchase"
+    rows = fx.attempts(spark, sf)
+    folded = op.verdict_state(rows.withColumn("ok", F.col("ok") & ~deny), ["key"], ["at", "seq"], F.lit(1_706_660_000), 604_800, 3, deny)
+    last = rows.groupBy("key").agg(F.max_by("ok", F.struct("at", "seq")).alias("ok"))
+    return folded.drop("ok").join(last, "key").select("key", "failures", "at", "ok", "denied")
+
+
+@query("l10_all_or_unknown", "SELECT c_custkey, bool_and(o_orderstatus <> 'P') AS \"all\" FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def l10(spark, sf):
+    flags = fx.table(spark, sf, "customer").select("c_custkey").join(fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderstatus") != "P").alias("f")), "c_custkey", "left")
+    return op.all_or_unknown(flags, ["c_custkey"], "f")
+
+
+@query("l11_verdict_lookup", """v AS (SELECT model AS engine, machine AS device, CASE WHEN scale = 1 THEN '' ELSE scale::VARCHAR END AS model, bool_and(seq % 3 <> 0) AS ok FROM v_prices WHERE seq % 40 < 2 GROUP BY ALL),
+a AS (SELECT seq, model AS engine, machine AS device, scale::VARCHAR AS model FROM v_prices WHERE seq % 5 = 0)
+SELECT a.seq, coalesce(e.ok, w.ok) AS verdict FROM a LEFT JOIN v e ON e.engine = a.engine AND e.device = a.device AND e.model = a.model AND e.model <> '' LEFT JOIN v w ON w.engine = a.engine AND w.device = a.device AND w.model = ''""")
+def l11(spark, sf):
+    p = fx.prices(spark, sf)
+    named = lambda model: [F.col("model").alias("engine"), F.col("machine").alias("device"), model.alias("model")]
+    verdicts = p.where("seq % 40 < 2").select(*named(F.when(F.col("scale") == 1, "").otherwise(F.col("scale").cast("string"))), (F.col("seq") % 3 != 0).alias("ok"))
+    verdicts = verdicts.groupBy("engine", "device", "model").agg(F.bool_and("ok").alias("ok"))
+    asks = p.where("seq % 5 = 0").select("seq", *named(F.col("scale").cast("string")))
+    return op.verdict_lookup(asks, verdicts).select("seq", "verdict")
+
+
+AVG = "CASE WHEN done >= 4 AND elapsed >= 1 THEN (total - done) * elapsed / done ELSE -1.0::DOUBLE END"
+ETA = f"""q AS (SELECT *, lag(done, 5) OVER w AS d0, lag(elapsed, 5) OVER w AS t0, {AVG} AS av FROM v_progress WINDOW w AS (PARTITION BY job ORDER BY done)),
+e AS (SELECT *, CASE WHEN av < 0 THEN -1.0::DOUBLE WHEN done > d0 AND elapsed > t0 THEN av * (1 - 0.8::DOUBLE * least(1, done / 60)) + (total - done) * (elapsed - t0) / (done - d0) * (0.8::DOUBLE * least(1, done / 60)) + 30 ELSE av + 30 END AS eta FROM q)"""
+
+
+@query("l12_eta_average", f"SELECT job, done, round({AVG}, 3) AS eta FROM v_progress")
+def l12a(spark, sf):
+    return fx.progress(spark, sf).select("job", "done", F.round(op.eta_average(F.col("done"), F.col("total"), F.col("elapsed")), 3).alias("eta"))
+
+
+@query("l12_eta_blended", f"{ETA} SELECT job, done, round(eta, 3) AS eta FROM e")
+def l12b(spark, sf):
+    return op.eta_blended(fx.progress(spark, sf), ["job"], "done", "total", "elapsed", 5, 30.0).select("job", "done", F.round("eta", 3).alias("eta"))
+
+
+@query("l13_eta_shown", f"""{ETA}, fl AS (SELECT job, done, eta, (total - done) * 9000.0::DOUBLE AS floor FROM e),
+s AS (SELECT job, done, CASE WHEN eta >= 0 THEN greatest(eta, floor) END AS shown FROM fl WHERE done = 1 UNION ALL
+ SELECT fl.job, fl.done, CASE WHEN eta < 0 THEN s.shown WHEN s.shown IS NULL THEN greatest(eta, floor) ELSE greatest(least(s.shown, eta), floor) END FROM s JOIN fl ON fl.job = s.job AND fl.done = s.done + 1)
+SELECT job, done, round(shown, 3) AS shown FROM s""")
+def l13(spark, sf):
+    rows = op.eta_blended(fx.progress(spark, sf), ["job"], "done", "total", "elapsed", 5, 30.0).withColumn("floor", (F.col("total") - F.col("done")) * 9000.0)
+    return op.eta_shown(rows, ["job"], "done", "eta", "floor").select("job", "done", F.round("shown", 3).alias("shown"))
+
+
+@query("l14_top_reasons", """c AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS k FROM documents GROUP BY source)
+SELECT source, n, false AS rest FROM c WHERE k <= 5 UNION ALL SELECT NULL, sum(n)::BIGINT, true FROM c WHERE k > 5""")
+def l14(spark, sf):
+    return op.top_reasons(fx.table(spark, sf, "documents"), "source", 5)
+
+
+@query("l15_sum_by_owner", "SELECT regexp_extract(s_name, '0*([0-9]?[0-9])[0-9]$', 1) AS owner, round(sum(s_acctbal), 6) AS used, round(greatest(0.0::DOUBLE, 50000 - sum(s_acctbal)), 6) AS free FROM supplier WHERE s_acctbal > 0 AND owner <> '' GROUP BY ALL")
+def l15(spark, sf):
+    return op.sum_by_owner(fx.table(spark, sf, "supplier"), "s_name", "s_acctbal", "0*([0-9]?[0-9])[0-9]$", 50_000).withColumns({"used": r6("used"), "free": r6("free")})
+
+
+@query("l16_missing_fuzzy", """a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name || ' Ltd' ELSE upper(c_name) END AS name FROM customer), b AS (SELECT c_name AS name FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT n_name FROM nation UNION ALL SELECT s_name FROM supplier)
+SELECT id, name FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE lower(a.name) = lower(b.name) OR (length(b.name) >= 8 AND length(a.name) >= 8 AND (contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name)))))
+AND NOT EXISTS (SELECT 1 FROM a x WHERE x.id < a.id AND length(x.name) >= 8 AND (contains(lower(a.name), lower(x.name)) OR contains(lower(x.name), lower(a.name))))""")
+def l16(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    a = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit(" Ltd"))).otherwise(F.upper("c_name")).alias("name"))
+    b = c.where("c_custkey % 4 = 0").select(F.col("c_name").alias("name"))
+    others = [b, fx.table(spark, sf, "nation").select(F.col("n_name").alias("name")), fx.table(spark, sf, "supplier").select(F.col("s_name").alias("name"))]
+    return op.missing_fuzzy(a, others, "name", "id").select("id", "name")
+
+
+@query("l17_rank_top", "SELECT c_custkey, c_acctbal AS score FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+def l17(spark, sf):
+    return op.rank_top(fx.table(spark, sf, "customer"), F.col("c_acctbal"), "c_custkey", 25).select("c_custkey", "score")
+
+
+@query("l17_rank_top_per_key", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)::INT AS rank FROM customer QUALIFY rank <= 3")
+def l17b(spark, sf):
+    return op.rank_top(fx.table(spark, sf, "customer"), F.col("c_acctbal"), "c_custkey", 3, ["c_nationkey"]).select("c_nationkey", "c_custkey", "rank")

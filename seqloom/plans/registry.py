@@ -35,7 +35,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             body = sql.strip()
             views = [_VIEWS[n] for n in _needs(body)]
             own = not body.upper().startswith(("SELECT", "FROM"))
-            ORACLE[name] = ("WITH RECURSIVE " + ",\n".join(views) + (",\n" if views and own else "\n") + body) if views or own else body
+            sql_text = ("WITH RECURSIVE " + ",\n".join(views) + (",\n" if views and own else "\n") + body) if views or own else body
+            ORACLE[name] = re.sub(r'(?<!")\bat\b(?!")', '"at"', sql_text)  # a reserved word to some parsers
         return fn
 
     return add

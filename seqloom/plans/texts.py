@@ -1 +1,159 @@
+"""Queries of the sources and the text functions."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import texts as tx
+from ..functions.core import over, r6
+from ..operators import ledgers as lg
+from ..sources import files as op
+from ..sources import fixtures as fx
+from .registry import query
+
+
+@query("a01_media_catalog", """p AS (SELECT 'root/' || lang || '/' || source || CASE WHEN doc_id % 11 = 0 THEN '/a/b/c/d/e/f/' ELSE '/' END || (doc_id // 2)::VARCHAR || CASE doc_id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.png' WHEN 2 THEN '.txt' ELSE '.jpeg' END AS path, n_chars FROM documents),
+d AS (SELECT path, n_chars AS length, (len(string_split(path, '/')) - 2)::INT AS depth, lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM p WHERE regexp_matches(lower(path), '\\.(png|jpeg)$'))
+SELECT path, depth, dir, name FROM d WHERE depth <= 6 QUALIFY row_number() OVER (PARTITION BY lower(path) ORDER BY path) = 1 ORDER BY depth, dir, lower(name), path LIMIT 200""")
+def a01(spark, sf):
+    ending = F.element_at(F.array(F.lit(".PNG"), F.lit(".png"), F.lit(".txt"), F.lit(".jpeg")), (F.col("doc_id") % 4 + 1).cast("int"))
+    deep = F.when(F.col("doc_id") % 11 == 0, "/a/b/c/d/e/f/").otherwise("/")
+    files = fx.table(spark, sf, "documents").select(F.concat(F.lit("root/"), "lang", F.lit("/"), "source", deep, F.expr("doc_id div 2").cast("string"), ending).alias("path"), F.col("n_chars").alias("length"))
+    return op.catalog_of(files, ["root"], "image", 200, 6).select("path", "depth", "dir", "name")
+
+
+KV_SQL = "kv AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'avg_frame_rate=N/A' WHEN event_id % 4 = 1 THEN 'avg_frame_rate=' ELSE 'avg_frame_rate=' || (event_id % 90) || '/' || (event_id % 3) END AS l1, '  r_frame_rate=' || (event_id % 61) || '/2' AS l2, 'avg_frame_rate=25' AS l3, 'nb_read_frames=' || (event_id % 200) AS l4 FROM events)"
+
+
+def kv(spark, sf):
+    e = F.col("event_id")
+    rate = F.when(e % 4 == 0, "N/A").when(e % 4 == 1, "").otherwise(F.concat((e % 90).cast("string"), F.lit("/"), (e % 3).cast("string")))
+    text = F.concat(F.lit("avg_frame_rate="), rate, F.lit("\n  r_frame_rate="), (e % 61).cast("string"), F.lit("/2\navg_frame_rate=25\nnb_read_frames="), (e % 200).cast("string"))
+    return fx.table(spark, sf, "events").select("event_id", text.alias("text"))
+
+
+@query("a02_kv_fields", f"""{KV_SQL}, u AS (SELECT event_id, unnest([1, 2, 3, 4]) AS pos, trim(unnest([l1, l2, l3, l4])) AS line FROM kv), f AS (SELECT event_id, pos, split_part(line, '=', 1) AS key, split_part(line, '=', 2) AS value FROM u)
+SELECT event_id, key, arg_min(value, pos) AS value FROM f WHERE value <> '' AND value <> 'N/A' GROUP BY event_id, key""")
+def a02(spark, sf):
+    return op.kv_fields(kv(spark, sf), ["event_id"], "text", ["avg_frame_rate", "r_frame_rate", "nb_read_frames"])
+
+
+@query("a03_rate_field", """r AS (SELECT event_id, event_id % 200 AS n, CASE WHEN event_id % 3 > 0 THEN (event_id % 90) / (event_id % 3)::DOUBLE END AS a, CASE WHEN event_id % 61 > 0 THEN (event_id % 61)::DOUBLE END AS b FROM events),
+f AS (SELECT *, coalesce(a, b) AS fps FROM r), d AS (SELECT *, CASE WHEN fps > 0 THEN CASE WHEN n >= 2 THEN (n - 1) / fps ELSE 1 / fps END END AS d FROM f)
+SELECT event_id, round(fps, 6) AS fps, round(CASE WHEN d > 0.01 THEN d END, 6) AS duration FROM d""")
+def a03(spark, sf):
+    e = F.col("event_id")
+    rows = fx.table(spark, sf, "events").select("event_id", (e % 200).alias("n"), F.concat((e % 90).cast("string"), F.lit("/"), (e % 3).cast("string")).alias("avg"), (e % 61).cast("string").alias("raw"))
+    rows = rows.withColumn("fps", F.coalesce(op.rate_field(F.col("avg")), op.rate_field(F.col("raw"))))
+    return rows.select("event_id", r6("fps").alias("fps"), r6(op.content_duration(F.col("n"), F.col("fps"))).alias("duration"))
+
+
+@query("a04_read_verdict_tsv", """SELECT 'k' || o_orderkey AS key, o_orderstatus = 'O' AS ok, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE (o_custkey % 5)::INT END AS failures, o_custkey AS at, o_orderpriority AS note
+FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_custkey > 0 AND o_orderkey % 17 <> 0""")
+def a04(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    ok = F.when(F.col("o_orderstatus") == "O", "True").when(F.col("o_orderstatus") == "F", "false").otherwise("maybe")
+    line = F.concat_ws("\t", F.concat(F.lit(" k"), "o_orderkey"), ok, (F.col("o_custkey") % 5).cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority")
+    lines = o.select(F.when(F.col("o_orderkey") % 17 == 0, F.concat(F.lit("# "), line)).otherwise(line).alias("value"))
+    return op.parse_verdicts(lines)
+
+
+@query("a04_verdict_lines", """a AS (SELECT user_id::VARCHAR AS key, bool_and(event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error')::INT AS failures, max(event_id) AS at FROM events GROUP BY user_id)
+SELECT 0 AS part, '' AS key, '# key' || chr(9) || 'ok' || chr(9) || 'failures' || chr(9) || concat('a', 't') || chr(9) || 'note' AS line UNION ALL SELECT 1, '', '# sig=v1' UNION ALL SELECT 2, key, concat_ws(chr(9), key, ok::VARCHAR, failures::VARCHAR, at::VARCHAR, 'n') FROM a""")
+def a04b(spark, sf):
+    e = fx.table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.bool_and(F.col("event_type") != "error").alias("ok"), F.count_if(F.col("event_type") == "error").cast("int").alias("failures"), F.max("event_id").alias("at"))
+    return op.verdict_lines(e.withColumn("note", F.lit("n")), "v1")
+
+
+@query("a05_price_json", f"""SELECT machine, model, scale, round((tn - t1) / (n - 1), 6) AS seconds_per_frame, n AS sample_frames FROM v_prices WHERE backend IN ('O', 'F') AND seq % 20 <> 0 AND tn > t1""")
+def a05(spark, sf):
+    p = fx.prices(spark, sf)
+    slope, _, _ = lg.two_point_cost(F.col("t1"), F.col("tn"), F.col("n"), F.col("pixels"))
+    entries = p.select("machine", "seq", "model", "scale", slope.alias("secondsPerFrame"), F.col("pixels").alias("samplePixels"), F.when(F.col("seq") % 20 == 0, 0).otherwise(F.col("n")).alias("sampleFrames"), F.col("machine").alias("machineKey"), "backend")
+    # One text for each thousandth of the records, so that no key gathers a share of the table.
+    texts = op.to_price_json(entries.withColumn("part", F.expr("seq div 1000")).drop("machine"), ["part"]).unionByName(spark.createDataFrame([(-1, "{broken"), (-2, '{"schema": 2, "entries": []}')], "part long, json string"))
+    out = op.read_price_json(texts, "json", ["O", "F"])
+    return out.select(F.col("machineKey").alias("machine"), "model", "scale", r6("secondsPerFrame").alias("seconds_per_frame"), F.col("sampleFrames").alias("sample_frames"))
+
+
+LOG_SQL = "lg AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS line_no, CASE WHEN event_id % 50 = 0 THEN 'no time here' ELSE '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || upper(event_type) || '] value ' || event_id END AS line, CASE WHEN event_id % 50 <> 0 THEN date_trunc('second', ts) END AS tm, CASE WHEN event_id % 50 <> 0 THEN upper(event_type) END AS level FROM events)"
+
+
+def log(spark, sf):
+    e = fx.table(spark, sf, "events")
+    line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] ["), F.upper("event_type"), F.lit("] value "), F.col("event_id").cast("string"))
+    return e.select("user_id", F.row_number().over(over(["user_id"], ["ts"])).alias("line_no"), F.when(F.col("event_id") % 50 == 0, "no time here").otherwise(line).alias("line"))
+
+
+@query("a06_log_lines", f"{LOG_SQL} SELECT user_id, line_no, tm::VARCHAR AS time, level FROM lg")
+def a06(spark, sf):
+    return op.log_lines(log(spark, sf), "line").select("user_id", "line_no", F.col("time").cast("string").alias("time"), "level")
+
+
+@query("a06_retain_log", f"""{LOG_SQL}, k AS (SELECT user_id, line_no, coalesce(sum(length(line) + 2) OVER (PARTITION BY user_id ORDER BY line_no DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS newer FROM lg WHERE tm IS NULL OR tm >= TIMESTAMP '2024-01-10')
+SELECT user_id, line_no FROM k WHERE newer < 1000""")
+def a06b(spark, sf):
+    return op.retain_log(log(spark, sf), ["user_id"], "line_no", "line", F.expr("TIMESTAMP_NTZ'2024-01-10 00:00:00'"), 1000).select("user_id", "line_no")
+
+
+@query("a07_dir_usage", "u AS (SELECT lang AS root, sum(n_chars)::BIGINT AS bytes, max(CASE WHEN lang <> 'es' THEN doc_id END) AS newest FROM documents GROUP BY lang) SELECT root, bytes, newest, CASE WHEN newest IS NULL THEN true ELSE 1000 - newest < 5 END AS keep FROM u")
+def a07(spark, sf):
+    files = fx.table(spark, sf, "documents").select(F.col("lang").alias("root"), "n_chars", F.when(F.col("lang") != "es", F.col("doc_id")).alias("mtime"))
+    return op.keep_live(op.dir_usage(files, "root", "n_chars", "mtime"), F.lit(1000), 5)
+
+
+@query("a08_image_summary", "m AS (SELECT grid_id, floor(avg(r)) AS r, floor(avg(g)) AS g, floor(avg(b)) AS b FROM v_rgb GROUP BY grid_id) SELECT grid_id, r::BIGINT AS r, g::BIGINT AS g, b::BIGINT AS b, round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 6) AS luma FROM m")
+def a08(spark, sf):
+    return op.image_summary(fx.rgb(spark, sf), ["grid_id"]).withColumn("luma", r6("luma"))
+
+
+@query("a09_unique_names", """d AS (SELECT lang AS dir, doc_id, source || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.txt' END AS name FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY dir, name ORDER BY doc_id) AS k FROM d)
+SELECT dir, doc_id, CASE WHEN k = 1 THEN name WHEN ends_with(name, '.txt') THEN source || ' (' || k || ').txt' ELSE name || ' (' || k || ')' END AS unique_name FROM (SELECT *, regexp_replace(name, '\\.txt$', '') AS source FROM k)""")
+def a09(spark, sf):
+    rows = fx.table(spark, sf, "documents").select(F.col("lang").alias("dir"), "doc_id", F.concat("source", F.when(F.col("doc_id") % 3 == 0, "").otherwise(".txt")).alias("name"))
+    return op.unique_names(rows, "dir", "name", "doc_id").select("dir", "doc_id", "unique_name")
+
+
+RULES = [("urgent", "urgent|high"), ("normal", r"\Qmedium\E"), ("unknown", r"not.specified")]
+
+
+@query("f01_classify", "SELECT o_orderkey, CASE WHEN regexp_matches(lower(o_orderpriority), 'urgent|high') THEN 'urgent' WHEN contains(lower(o_orderpriority), 'medium') THEN 'normal' WHEN regexp_matches(lower(o_orderpriority), 'not.specified') THEN 'unknown' ELSE 'other' END AS label FROM orders")
+def f01(spark, sf):
+    return fx.table(spark, sf, "orders").select("o_orderkey", tx.classify(F.col("o_orderpriority"), RULES, "other").alias("label"))
+
+
+@query("f01_classify_by_table", "w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part), r AS (SELECT word, row_number() OVER (ORDER BY word) AS priority FROM (SELECT DISTINCT word FROM w WHERE word < 'm')) SELECT p.p_partkey, (SELECT arg_min(upper(r.word), priority) FROM w JOIN r USING (word) WHERE w.p_partkey = p.p_partkey) AS label FROM part p")
+def f01b(spark, sf):
+    part = fx.table(spark, sf, "part")
+    words = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where("word < 'm'").distinct()
+    rules = words.select("word", F.upper("word").alias("label"), F.col("word").alias("priority"))
+    return tx.classify_by_table(part, "p_name", rules, ["p_partkey"])
+
+
+@query("f02_url_parts", """SELECT page_id, lower(regexp_extract(url, '://([^/]*)', 1)) AS host, CASE WHEN f = '' THEN 'index' ELSE f END AS file, coalesce(array_to_string(string_split(regexp_extract(url, '://[^/]*/(.*)$', 1), '/')[2:], '/'), '') AS tail
+FROM (SELECT *, regexp_extract(regexp_replace(url, '[?#].*$', ''), '://[^/]*/(?:.*/)?([^/]*)$', 1) AS f FROM pages)""")
+def f02(spark, sf):
+    url = F.col("url")
+    return fx.table(spark, sf, "pages").select("page_id", tx.url_host(url).alias("host"), tx.url_file(url, "index").alias("file"), tx.url_tail(url, 1).alias("tail"))
+
+
+@query("f03_content_fingerprint", "SELECT conv_id, md5(array_to_string(list_sort(list(text)), chr(10))) AS fingerprint FROM conversations GROUP BY conv_id")
+def f03(spark, sf):
+    return tx.content_fingerprint(fx.table(spark, sf, "conversations"), ["conv_id"], "text")
+
+
+@query("f04_char_count", "SELECT doc_id, length(text) - length(regexp_replace(text, '[éèäö]', '', 'g')) AS n, CASE WHEN length(text) - length(regexp_replace(text, '[éèäö]', '', 'g')) > 20 THEN sha256(regexp_extract(text, '(?s)^((?:[^éèäö]*[éèäö]){20})', 1) || '…') ELSE sha256(text) END AS cut FROM documents")
+def f04(spark, sf):
+    text = F.col("text")
+    return fx.table(spark, sf, "documents").select("doc_id", tx.char_count(text, "éèäö").cast("long").alias("n"), F.sha2(tx.clamp_chars(text, 20, "éèäö"), 256).alias("cut"))
+
+
+@query("f05_tail_chars", "t AS (SELECT doc_id, text, right(text, 500) AS t FROM documents), p AS (SELECT *, strpos(t, chr(10)) AS p FROM t) SELECT doc_id, sha256(CASE WHEN length(text) > 500 AND p > 0 AND length(t) - p >= 80 THEN substr(t, p + 1) ELSE t END) AS tail FROM p")
+def f05a(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", F.sha2(tx.tail_chars(F.col("text")), 256).alias("tail"))
+
+
+@query("f05_head_lines", """l AS (SELECT doc_id, string_split(text, chr(10))[1:5] AS ls FROM documents), c AS (SELECT doc_id, ls, k, length(array_to_string(ls[1:k], chr(10))) AS n FROM l, range(1, 6) r(k) WHERE k <= len(ls)),
+b AS (SELECT doc_id, any_value(ls) AS ls, coalesce(max(k) FILTER (n <= 400), 0) AS k FROM c GROUP BY doc_id) SELECT doc_id, sha256(CASE WHEN k > 0 THEN array_to_string(ls[1:k], chr(10)) ELSE left(ls[1], 400) END) AS head FROM b""")
+def f05b(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", F.sha2(tx.head_lines(F.col("text")), 256).alias("head"))

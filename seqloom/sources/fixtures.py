@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.core import over
 
@@ -86,7 +87,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 def progress(spark: SparkSession, sf: str) -> DataFrame:
     w = over(["user_id"], ["ts"])
-    e = table(spark, sf, "events").select("user_id", seconds("ts").alias("t"), F.row_number().over(w).alias("done"), F.count(F.lit(1)).over(w.rowsBetween(-(2**31), 2**31 - 1)).alias("n"), F.min("ts").over(w.rowsBetween(-(2**31), 2**31 - 1)).alias("first"))
+    e = table(spark, sf, "events").select("user_id", seconds("ts").alias("t"), F.row_number().over(w).alias("done"), F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("n"), F.min("ts").over(Window.partitionBy("user_id")).alias("first"))
     return e.select(F.col("user_id").alias("job"), F.col("done").cast("long").alias("done"), (F.col("n") + 20).alias("total"), (F.col("t") - seconds("first")).alias("elapsed"))
 
 
