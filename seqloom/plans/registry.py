@@ -42,4 +42,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import frames, grids, ledgers, signals, texts, timelines  # noqa: E402, F401
+from . import frames, grids, ledgers, signals, streams, texts, timelines  # noqa: E402, F401
