@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from .chunks import op3_chunks
-from .decontaminate import op9_decontaminate
+from .decontaminate import OP9_SQL, op9_decontaminate
 from .neardup import op2_simhash
 from .neighbours import op8_nearest
 from .quality import op5_quality
-from .secrets import op1_secret_scan
+from .secrets import OP1_SQL, op1_secret_scan
 from .substrings import op4_substrings
 from .tokenise import op6_sentencepiece
 from .toxicity import op7_toxicity
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE = {"op10_url_filter": OP10_SQL}
+ORACLE = {"op1_secret_scan": OP1_SQL, "op9_decontaminate": OP9_SQL, "op10_url_filter": OP10_SQL}

@@ -156,3 +156,27 @@ def mask_secrets(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"), repo_cols=["lang"])
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "live", "n_live", "n_copied")
+
+
+_ANY_CASE = "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_ASSIGN_SQL = (_ANY_CASE + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""").replace("'", "''")
+
+
+def _kind_sql(kind: int, pattern: str, group: int, keep: str) -> str:
+    """Matches of one kind with their places: gaps and matches, and a running sum of their lengths."""
+    return f"""SELECT doc_id, owner, repo, {kind} AS kind, (g - length(m))::BIGINT AS start, g::BIGINT AS stop, v FROM (
+    SELECT doc_id, owner, repo, m, v, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM (
+    SELECT doc_id, source AS owner, source || '/' || lang AS repo, unnest(regexp_extract_all(text, '{pattern}', 0)) AS m, unnest(regexp_extract_all(text, '{pattern}', {group})) AS v,
+    unnest((string_split_regex(text, '{pattern}'))[1:len(regexp_extract_all(text, '{pattern}', 0))]) AS gap, unnest(range(1, len(regexp_extract_all(text, '{pattern}', 0)) + 1)) AS k FROM documents)) WHERE {keep}"""
+
+
+_NAME_SQL = "['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || start || ':' || stop"
+OP1_SQL = f"""WITH s AS ({_kind_sql(0, _ASSIGN_SQL, 1, "length(v) >= 12")} UNION ALL {_kind_sql(1, "AKIA[A-Z0-9]+", 0, "length(v) >= 18")}
+UNION ALL {_kind_sql(2, "[0-9a-f]+", 0, "length(v) >= 16")} UNION ALL {_kind_sql(3, "[A-Za-z0-9+/_-]+", 0, "length(v) >= 24 AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')")}),
+o AS (SELECT v, count(DISTINCT owner) AS n_owners FROM s GROUP BY v),
+j AS (SELECT s.*, n_owners <= 2 AND len(list_distinct(string_split(v, ''))) >= 6 AND NOT regexp_matches(v, '{EXAMPLE}') AS live FROM s JOIN o USING (v)),
+a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg({_NAME_SQL}, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg({_NAME_SQL}, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans,
+    string_agg({_NAME_SQL}, ',' ORDER BY start, kind) FILTER (live) AS live, count(*) FILTER (live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_copied FROM j GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+    coalesce(live, '') AS live, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM documents LEFT JOIN a USING (doc_id)"""
