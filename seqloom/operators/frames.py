@@ -46,7 +46,7 @@ def measure_pairs(df: DataFrame, by: Names, order: Names, gray: str, w: int, h:
 def cut_thresholds(strictness: float) -> tuple[float, float, float]:
     """Difference that may be a cut, difference that is one, and largest ratio of structure."""
     steps = int(min(max(strictness, 0.15), 0.90) / 0.05 + 0.5)
-    k = steps * 0.05 / 0.30
+    k = steps / 6  # of 0.05, against 0.30
     return 25 * k, 50 * k, min(max(0.6 / k, 0.2), 1.0)
 
 
