@@ -39,9 +39,14 @@ def mean(values: Column) -> Column:
 
 
 def variance(values: Column) -> Column:
-    """Population variance, computed around the mean."""
-    m = mean(values)
-    return F.when(F.size(values) > 0, total(F.transform(values, lambda x: (x - m) * (x - m))) / F.size(values))
+    """Population variance, in one pass around a running mean."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n, d = acc["n"] + 1, x - acc["mean"]
+        return F.struct(n.alias("n"), (acc["mean"] + d / n).alias("mean"), (acc["m2"] + d * d * (acc["n"] / n)).alias("m2"))
+
+    return F.aggregate(values, start, step, lambda a: F.when(a["n"] > 0, a["m2"] / F.when(a["n"] > 0, a["n"])))
 
 
 def clamp(col: Column, low: float, high: float) -> Column:

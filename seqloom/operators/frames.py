@@ -196,10 +196,22 @@ def dedup_thresholds(sad: float, ssim: float, tier: int = 0) -> tuple[float, flo
 
 
 def global_ssim(a: Column, b: Column) -> Column:
-    """Structural similarity with one window, the whole frame."""
-    ma, mb = mean(a), mean(b)
-    cov = mean(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    return ((2 * ma * mb + 6.5025) * (2 * cov + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (variance(a) + variance(b) + 58.5225))
+    """Structural similarity with one window, the whole frame; sums of bytes are exact."""
+    names = ["n", "x", "y", "xx", "yy", "xy"]
+    start = F.struct(*[F.lit(0.0).alias(k) for k in names])
+
+    def step(acc: Column, p: Column) -> Column:
+        x, y = p["x"].cast("double"), p["y"].cast("double")
+        more = [F.lit(1.0), x, y, x * x, y * y, x * y]
+        return F.struct(*[(acc[k] + m).alias(k) for k, m in zip(names, more, strict=True)])
+
+    def finish(t: Column) -> Column:
+        n = F.when(t["n"] > 0, t["n"])
+        ma, mb = t["x"] / n, t["y"] / n
+        va, vb, cov = t["xx"] / n - ma * ma, t["yy"] / n - mb * mb, t["xy"] / n - ma * mb
+        return ((2 * ma * mb + 6.5025) * (2 * cov + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))
+
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), start, step, finish)
 
 
 def dedup_adjacent(df: DataFrame, by: Names, order: Names, gray: str, sad: float, ssim: float) -> DataFrame:

@@ -17,7 +17,8 @@ BACKENDS = ["O", "F", "vulkan", "dml", "cpu"]
 
 def stem(path: Column) -> Column:
     """File name without its folder and without any image endings, in lower case."""
-    return F.regexp_replace(F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1)), rf"(\.({'|'.join(IMAGE_EXTENSIONS)}))+$", "")
+    name = F.substring_index(F.translate(path, "\\", "/"), "/", -1)
+    return F.regexp_replace(F.lower(name), rf"(\.({'|'.join(IMAGE_EXTENSIONS)}))+$", "")
 
 
 def is_image(path: Column) -> Column:
