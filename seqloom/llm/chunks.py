@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import staged, table, text_batches
+from .tables import spread, staged, table, text_batches
 
 #: Bytes of a chunk: at least, at most; a cut comes every ``1 << CUT_BITS`` bytes beyond the least.
 LEAST, MOST, CUT_BITS = 16, 256, 5
@@ -180,7 +180,7 @@ def chunk_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("h"), text.cast("binary").alias("text"))
     numbered = keyed.select("h", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), "text")
     schema = "kind byte, digest long, h long, id long, place long"
-    rows = numbered.mapInArrow(_chunk, schema).withColumn("more", F.col("place").bitwiseAND(F.lit((1 << 22) - 1))).withColumn("start", F.shiftrightunsigned("place", 32))
+    rows = spread(numbered).mapInArrow(_chunk, schema).withColumn("more", F.col("place").bitwiseAND(F.lit((1 << 22) - 1))).withColumn("start", F.shiftrightunsigned("place", 32))
     rows = rows.repartition("digest").sortWithinPartitions("digest", "more", "id", "start").drop("more", "start")
     found = staged(rows.mapInArrow(_match, schema), "chunks").groupBy("h").agg(F.collect_list(F.struct("kind", "place")).alias("found"))
     out = f"doc_id {keyed.schema['id'].dataType.simpleString()}, n_bytes long, n_repeated long, n_removed long, n_passages long, longest_words long, kept_sha256 string, passages array<array<long>>" + ", kept binary" * with_kept

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import table, text_batches
+from .tables import spread, table, text_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes of text in a shard, and words of benchmark items in a block.
@@ -170,7 +170,8 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     keeps the suffixes that begin like some item's, so its size follows the matches, not the text.
 
     Items travel to the executors in blocks of at most ``block_words`` words; each block beyond the
-    first is one more pass over the documents, without a shuffle. Documents are never shuffled.
+    first is one more pass over the documents, without a shuffle. Documents are not shuffled either,
+    unless they come in fewer partitions than there are cores.
 
     Null texts have no words. Items without id are left out; repeated items count once. Columns of
     ``docs`` with the names added are replaced, all others kept. Repeated rows stay.
@@ -178,7 +179,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     text_batches(docs.sparkSession)
     added = ["n_words", "hit_spans", "n_hit", "items", "n_items", "longest_match", "contaminated"]
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text_col or c not in added])
-    out = kept.withColumn("_text", F.col(text_col).cast("binary"))
+    out = spread(kept).withColumn("_text", F.col(text_col).cast("binary"))
     spark = docs.sparkSession
     for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, window, block_words)):
         shared = spark.sparkContext.broadcast(block)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .tables import staged, table, text_batches
+from .tables import spread, staged, table, text_batches
 
 BITS = 64
 #: Rows of one bucket that a task compares on its own; larger buckets are cut into blocks.
@@ -47,7 +47,7 @@ def fingerprint(text: bytes | None, size: int) -> int:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
     """``id`` and ``fp`` for every row."""
     text_batches(docs.sparkSession)
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    kept = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import staged, table, text_batches
+from .tables import spread, staged, table, text_batches
 
 THRESHOLD = 0.7
 #: Weight of the spherical part in each class covariance, and scale of the log-density difference.
@@ -130,7 +130,7 @@ def held_out(id_col: Column) -> Column:
 def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and ``x``, the statistics, of every row."""
     text_batches(docs.sparkSession)
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    kept = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,7 +193,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
             keep = shared.value.scores(_matrix(b.column(text_col).cast(pa.binary()))) >= threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import row_key, staged, table
+from .tables import row_key, spread, staged, table
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ["assign", "access", "hex", "opaque"]
@@ -70,7 +70,8 @@ def scan(docs: DataFrame, *, text_col: str, id_col: str, owner_col: str, repo_co
     values of candidates are kept only as SHA-256 digests."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
-    return docs.select(
+    needed = docs.select(*dict.fromkeys([id_col, text_col, owner_col, *repo_cols]))
+    return spread(needed).select(
         row_key(F.col(id_col), F.col(text_col), owner, *[F.col(c) for c in repo_cols]).alias("row_key"),
         F.col(id_col).alias("id"),
         owner.alias("owner"),

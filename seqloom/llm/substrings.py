@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import staged, table, text_batches
+from .tables import spread, staged, table, text_batches
 
 GRAM = 8
 #: Rows that a task combines before it sends them on, and that a phrase may have before they are
@@ -349,7 +349,7 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         raise ValueError("length must be from 40 to 1700 bytes")
     text_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    cut = keyed.select("h", "tag", "text").mapInArrow(_cut(length), _ROWS_SCHEMA)
+    cut = spread(keyed.select("h", "tag", "text")).mapInArrow(_cut(length), _ROWS_SCHEMA)
     sifted = staged(cut.repartition("e").sortWithinPartitions("e", "c").mapInArrow(_sift, _ROWS_SCHEMA), "phrases")
     asked = sifted.where(F.col("kind").isin(_ASK, _SAMPLE)).groupBy("h").agg(F.collect_list(F.struct("e", "place", "kind")).alias("asked"))
     pieces = keyed.select("h", "tag", "text").join(asked, "h").mapInArrow(_fetch(length), _PIECES)

@@ -51,3 +51,10 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores if it has fewer partitions than there are, as one small file
+    has; else as it is. Work on whole texts is then never left to a few tasks."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import table, text_batches
+from .tables import spread, table, text_batches
 
 SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -332,7 +332,7 @@ def _map(docs: DataFrame, model: str, columns: list[tuple[str, T.DataType]], one
             arrays += [pa.array([r[k] for r in rows], to_arrow_type(t)) for k, (_, t) in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return spread(kept).mapInArrow(run, schema)
 
 
 def tokenised(docs: DataFrame, model: str, *, text_col: str = "text") -> DataFrame:

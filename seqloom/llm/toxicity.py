@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import held_out
-from .tables import staged, table, text_batches
+from .tables import spread, staged, table, text_batches
 
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 STEMS = (4, 5, 6, 7)
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_c
 
     schema = "fold int, " + "".join(f"`{c}` int, " for c in categories) + "codes array<long>"
     fold = F.pmod(F.crc32(F.concat(F.lit("fold"), F.col("id").cast("string")).cast("binary")), F.lit(FOLDS)).cast("int")
-    rows = staged(texts.withColumn("fold", fold).mapInArrow(coded, schema), "sample")
+    rows = staged(spread(texts.withColumn("fold", fold)).mapInArrow(coded, schema), "sample")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     if not totals["n"]:
         return Chain(categories, [], [np.zeros(1 + k) for k in range(len(categories))])
@@ -146,8 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_c
     score = F.lit(0.0)
     for c in categories:  # how far from chance the feature and the category meet
         share = totals[c] / totals["n"]
-        spread = F.sqrt(F.col("n") * (share * (1 - share)) + 1.0)
-        score = F.greatest(score, F.abs(F.col(c) - F.col("n") * share) / spread)
+        deviation = F.sqrt(F.col("n") * (share * (1 - share)) + 1.0)
+        score = F.greatest(score, F.abs(F.col(c) - F.col("n") * share) / deviation)
     chosen = [r["code"] for r in counts.where(F.col("n") >= MIN_ROWS).orderBy(score.desc(), "code").limit(features).collect()]
     index = F.array(*[F.lit(c) for c in chosen]) if chosen else F.array().cast("array<long>")
     sampled = rows.select("fold", *categories, F.array_intersect("codes", index).alias("codes")).collect()
@@ -174,7 +174,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, *, text_col: str = "text", thr
             yield pa.RecordBatch.from_arrays(cols, [*(c for c in b.schema.names if c != "_text"), *new])
 
     fields = [f for f in kept.schema.fields if f.name != "_text"]
-    out = kept.mapInArrow(run, T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in new)]))
+    out = spread(kept).mapInArrow(run, T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in new)]))
     return out.withColumns({f"is_{c}": (F.col(f"p_{c}") >= threshold).cast("int") for c in chain.categories})
 
 
