@@ -104,9 +104,9 @@ def w10(spark, sf):
     return out(op.mix(fx.wave(spark, sf), "track_id", {"click": 0.5, "view": 9.0}, "click"), "i")
 
 
-@query("w11_trim", "SELECT track_id, i - 250 AS i, round(v, 6) + 0.0 AS v FROM v_wave WHERE i >= 250 AND i - 250 < 500")
+@query("w11_trim", "SELECT track_id, i - 50 AS i, round(v, 6) + 0.0 AS v FROM v_wave WHERE i >= 50 AND i - 50 < 100")
 def w11(spark, sf):
-    return out(op.trim(fx.wave(spark, sf), T, 2.5, 7.5, 100), "track_id", "i")
+    return out(op.trim(fx.wave(spark, sf), T, 0.5, 1.5, 100), "track_id", "i")
 
 
 OVER = f"""{N}, c AS (SELECT w.track_id, w.i, v, c, w.i - c * 75 AS k FROM v_wave w JOIN n USING (track_id) CROSS JOIN range(0, 5000) r(c) WHERE w.i >= c * 75 AND w.i < c * 75 + 100 AND c <= greatest(0, ceil((n - 25) / 75) - 1)),
