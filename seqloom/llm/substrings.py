@@ -4,7 +4,8 @@ occurrences of a string share; phrases, then suffixes of the few phrases in doub
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,16 @@ GRAM = 8
 #: Rows that a task combines before it sends them on, and that a phrase may have before they are
 #: dealt with as a stream.
 COMBINE_ROWS, GROUP_ROWS = 1_000_000, 1_000_000
-#: Bytes of phrases whose suffixes a task sorts at once.
-SORT_BYTES = 2_000_000
-_SINGLE, _SHARED, _DONE, _ASK, _SAMPLE = range(5)
+#: Bytes of phrases whose suffixes a task sorts at once, and of a group whose strings are dealt out
+#: by their digests.
+SORT_BYTES, GROUP_BYTES = 2_000_000, 4_000_000
+#: Phrases with one tail that are compared as they are; more are cut into pieces of so many starts,
+#: each dealt out by the bytes that all its strings hold.
+CROWD, PIECE = 256, 30
+#: Bytes of a string that counts as part of a passage, and words that a passage has at least.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+_SINGLE, _SHARED, _DONE, _ASK, _SAMPLE, _ASK_PIECES, _SAMPLE_PIECES = range(7)
+_LEVEL = 11  # bit of a tag that says which length a row is about
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,21 +60,21 @@ def _window(length: int) -> int:
     return length * 3 // 5
 
 
-def phrases(text: bytes, length: int) -> np.ndarray:
+def phrases(text: bytes, length: int, level: int = 0) -> np.ndarray:
     """Rows (e, c, trigger, first start, last start). ``e`` digests the bytes after the trigger that
-    all strings of the phrase hold; ``c`` all bytes of all of them."""
+    all strings of the phrase hold, but for its last bit, the level; ``c`` all bytes of all of them."""
     at, first, last = triggers(text, length)
     tail = length - _window(length) + 1
     of = xxhash.xxh3_64_intdigest
     out = np.empty((len(at), 5), np.uint64)
-    out[:, 0] = [of(text[a : a + tail]) for a in at.tolist()]
+    out[:, 0] = [of(text[a : a + tail]) & ~1 | level for a in at.tolist()]
     out[:, 1] = [of(text[i : j + length], a - i) for a, i, j in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)]
     out[:, 2], out[:, 3], out[:, 4] = at, first, last
     return out
 
 
-# A place packs the tag of the text (12 bits), the trigger (32), and how far before it the first and
-# the last start lie (10 each).
+# A place packs the tag of the text (11 bits) and the level (1), the trigger (32), and how far before
+# it the first and the last start lie (10 each).
 def _pack(tag: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     u = lambda x, s: x.astype(np.uint64) << np.uint64(s)
     return u(tag, 52) | u(at, 20) | u(at - first, 10) | u(at - last, 0)
@@ -108,8 +116,8 @@ def _done(h: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield _batch(_DONE, h[at], tag[at].astype(np.uint64), h[at], first[at].astype(np.uint64) << np.uint64(32) | top.astype(np.uint64))
 
 
-def _cut(length: int):
-    """Texts to phrases. Equal phrases of a task become one row at once, and their places are
+def _cut(*lengths: int):
+    """Texts to phrases for each length. Equal phrases of a task become one row at once, and their places are
     settled here, so that a text that many documents copy is a few rows for each task."""
 
     def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +135,13 @@ def _cut(length: int):
         parts, n = [], 0
         for b in batches:
             for h, tag, text in zip(b.column("h").to_numpy().view(np.uint64), b.column("tag").to_numpy(), b.column("text"), strict=True):
-                found = phrases(text.as_py(), length)
-                if len(found):
-                    e, c, at, first, last = found.T
-                    parts.append(np.column_stack([e, c, np.full(len(e), h), _pack(np.full(len(e), tag), at, first, last)]))
-                    n += len(e)
+                raw = text.as_py()
+                for level, length in enumerate(lengths):
+                    found = phrases(raw, length, level)
+                    if len(found):
+                        e, c, at, first, last = found.T
+                        parts.append(np.column_stack([e, c, np.full(len(e), h), _pack(np.full(len(e), tag | level << _LEVEL), at, first, last)]))
+                        n += len(e)
             if n >= COMBINE_ROWS:
                 yield from flush(parts)
                 parts, n = [], 0
@@ -141,11 +151,11 @@ def _cut(length: int):
     return run
 
 
-def _resolve(rows: list[np.ndarray], mixed_e) -> Iterator[pa.RecordBatch]:
+def _resolve(rows: list[np.ndarray], mixed_e, crowd: int) -> Iterator[pa.RecordBatch]:
     """``rows`` (kind, e, c, h, place) in order of e and c, groups of e whole. A phrase that occurs
     twice is repeated. One that occurs once, among others with its tail, may share some of its
-    strings with them: it is asked for, and so is a sample of each repeated one. ``mixed_e``: a
-    group of which other phrases went before."""
+    strings with them: it is asked for, and so is a sample of each repeated one, in pieces if there
+    are many. ``mixed_e``: a group of which other phrases went before."""
     kind, e, c, h, place = rows
     if not len(e):
         return
@@ -156,14 +166,15 @@ def _resolve(rows: list[np.ndarray], mixed_e) -> Iterator[pa.RecordBatch]:
     before = np.zeros(group[-1] + 1, bool) if mixed_e is None else e[at][_heads(e[at])] == mixed_e
     mixed = (np.bincount(group) > 1) | before
     lonely = (np.bincount(group, ~many) > 0) | before
+    crowded = ((np.bincount(group) > crowd) | before)[group]
     settled = np.repeat(many, size) & (kind == _SINGLE)
     yield from _done(h[settled], place[settled])
-    for what, chosen in ((_ASK, ~many & mixed[group]), (_SAMPLE, many & mixed[group] & lonely[group])):
+    for what, pieces, chosen in ((_ASK, _ASK_PIECES, ~many & mixed[group]), (_SAMPLE, _SAMPLE_PIECES, many & mixed[group] & lonely[group])):
         k = at[chosen]
-        yield _batch(what, e[k], c[k], h[k], place[k])
+        yield _batch(np.where(crowded[chosen], pieces, what), e[k], c[k], h[k], place[k])
 
 
-def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sift(batches: Iterator[pa.RecordBatch], crowd: int = CROWD) -> Iterator[pa.RecordBatch]:
     """Streams rows in order of e and c; holds a group, or GROUP_ROWS of a larger one."""
     rest, mixed_e = None, None
     for b in batches:
@@ -177,13 +188,13 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cut = int(np.flatnonzero(rest[1] != rest[1][-1])[-1]) + 1 if rest[1][0] != rest[1][-1] else 0
         if cut:
-            yield from _resolve([x[:cut] for x in rest], mixed_e)
+            yield from _resolve([x[:cut] for x in rest], mixed_e, crowd)
             rest = [x[cut:] for x in rest]
         if len(rest[1]) > GROUP_ROWS:
             cut = int(np.flatnonzero(rest[2] != rest[2][-1])[-1]) + 1 if rest[2][0] != rest[2][-1] else 0
             if cut:
                 mixed_e = rest[1][0]
-                yield from _resolve([x[:cut] for x in rest], mixed_e)
+                yield from _resolve([x[:cut] for x in rest], mixed_e, crowd)
                 rest = [x[cut:] for x in rest]
             else:  # one phrase: all are repeated, and one row stands for them
                 once = rest[0] == _SINGLE
@@ -191,13 +202,23 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rest = [x[:1].copy() for x in rest]
                 rest[0][:] = _SHARED
     if rest is not None:
-        yield from _resolve(rest, mixed_e)
+        yield from _resolve(rest, mixed_e, crowd)
 
 
 _PIECES = "e long, h long, place long, sample boolean, piece binary"
 
 
-def _fetch(length: int):
+def _pieces(raw: bytes, at: int, first: int, last: int, length: int, level: int) -> Iterator[tuple[int, int, int]]:
+    """(e, first start, last start) of each piece of a phrase. Starts are cut by how far before the
+    trigger they lie, so equal strings are in equal pieces; ``e`` digests what all strings hold
+    that such a piece may have."""
+    for k in range((at - last) // PIECE, (at - first) // PIECE + 1):
+        x = k * PIECE
+        e = xxhash.xxh3_64_intdigest(raw[at - x : at - x - PIECE + 1 + length], k + 1) & ~1 | level
+        yield e - (e >> 63 << 64), max(first, at - x - PIECE + 1), min(last, at - x)
+
+
+def _fetch(*lengths: int):
     """Texts with the phrases asked for (a list of e, place, kind) to rows with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +227,16 @@ def _fetch(length: int):
             for h, tag, text, asked in zip(b.column("h").to_pylist(), b.column("tag").to_pylist(), b.column("text"), b.column("asked"), strict=True):
                 raw, asked = text.as_py(), asked.values
                 e, place, kind = (asked.field(k).to_numpy() for k in range(3))
-                tags, _, first, last = _unpack(place)
-                out += [(x, h, p, k == _SAMPLE, raw[i : j + length]) for x, p, k, t, i, j in zip(e.tolist(), place.tolist(), kind.tolist(), tags.tolist(), first.tolist(), last.tolist(), strict=True) if t == tag]
+                tags, at, first, last = _unpack(place)
+                for x, p, k, t, a, i, j in zip(e.tolist(), place.tolist(), kind.tolist(), tags.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True):
+                    level = t >> _LEVEL
+                    length, sample = lengths[level], k in (_SAMPLE, _SAMPLE_PIECES)
+                    if t & (1 << _LEVEL) - 1 != tag:
+                        continue
+                    if k in (_ASK, _SAMPLE):
+                        out.append((x, h, p, sample, raw[i : j + length]))
+                    else:
+                        out += [(y, h, (t - (t >> _LEVEL << 12)) << 52 | a << 20 | (a - b) << 10 | (a - c), sample, raw[b : c + length]) for y, b, c in _pieces(raw, a, i, j, length, level)]
                 if len(out) > 4000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PIECE_TYPES, strict=True)], _PIECE_NAMES)
                     out = []
@@ -263,16 +292,16 @@ def repeated_starts(e: np.ndarray, place: np.ndarray, pieces: list[bytes], lengt
 _FOUND = "h long, tag int, first long, last long, digest binary, sample boolean"
 
 
-def _compare(length: int, sort_bytes: int, group_bytes: int):
-    """Streams pieces in order of e; sorts whole groups together. The strings of a group of more
-    than ``group_bytes`` are passed on, each with a digest, instead."""
+def _compare(lengths: Sequence[int], sort_bytes: int, group_bytes: int):
+    """Streams pieces in order of level and e; sorts whole groups of a level together. The strings of
+    a group of more than ``group_bytes`` are passed on, each with a digest, instead."""
 
     def batch(h, tag, first, last, digest=None, sample=None) -> pa.RecordBatch:
         n = len(h)
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(tag, pa.int32()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.nulls(n, pa.binary()) if digest is None else pa.array(digest, pa.binary()), pa.array(np.zeros(n, bool) if sample is None else sample)], ["h", "tag", "first", "last", "digest", "sample"])
 
     def settle(e, h, place, sample, pieces) -> Iterator[pa.RecordBatch]:
-        row, start = repeated_starts(e, place, pieces, length)
+        row, start = repeated_starts(e, place, pieces, lengths[e[0] & 1])
         own = ~sample[row]
         row, start = row[own], start[own]
         if len(row):
@@ -284,6 +313,7 @@ def _compare(length: int, sort_bytes: int, group_bytes: int):
 
     def pass_on(e, h, place, sample, pieces) -> Iterator[pa.RecordBatch]:
         tag, _, first, last = _unpack(place)
+        length = lengths[e[0] & 1]
         for i, p in enumerate(pieces):
             n = int(last[i] - first[i]) + 1
             starts = np.arange(first[i], last[i] + 1)
@@ -304,7 +334,7 @@ def _compare(length: int, sort_bytes: int, group_bytes: int):
                         yield from settle(*[x[at:i] for x in rest])
                     yield from pass_on(*[x[i:j] for x in rest])
                     passed, at, size = rest[0][i], j, 0
-                elif open_end or size + grown > sort_bytes:
+                elif open_end or size + grown > sort_bytes or rest[0][at] & 1 != rest[0][i] & 1:
                     if at < i:
                         yield from settle(*[x[at:i] for x in rest])
                     at, size = i, grown
@@ -339,73 +369,104 @@ def _twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("h"), F.xxhash64(text, F.lit(1)).bitwiseAND(F.lit(0xFFF)).cast("int").alias("tag"), text.cast("binary").alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("h"), F.xxhash64(text, F.lit(1)).bitwiseAND(F.lit((1 << _LEVEL) - 1)).cast("int").alias("tag"), text.cast("binary").alias("text"))
 
 
-def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, sort_bytes: int = SORT_BYTES, group_bytes: int = 64_000_000) -> DataFrame:
-    """``h``, ``tag`` (of a row's id and text), ``first`` and ``last``: ranges of starts of strings of
-    ``length`` bytes that start anywhere else too. Ranges may overlap."""
-    if not 40 <= length <= 1700:
-        raise ValueError("length must be from 40 to 1700 bytes")
+def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lengths: Sequence[int] = (400,), sort_bytes: int = SORT_BYTES, group_bytes: int = GROUP_BYTES, crowd: int = CROWD) -> DataFrame:
+    """``h``, ``tag`` (of a row's id and text), ``level``, ``first`` and ``last``: ranges of starts of
+    strings of ``lengths[level]`` bytes that start anywhere else too. Ranges may overlap. One or two
+    lengths share all passes."""
+    if not (0 < len(lengths) <= 2 and all(40 <= n <= 1700 for n in lengths)):
+        raise ValueError("one or two lengths from 40 to 1700 bytes")
     text_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    cut = spread(keyed.select("h", "tag", "text")).mapInArrow(_cut(length), _ROWS_SCHEMA)
-    sifted = staged(cut.repartition("e").sortWithinPartitions("e", "c").mapInArrow(_sift, _ROWS_SCHEMA), "phrases")
-    asked = sifted.where(F.col("kind").isin(_ASK, _SAMPLE)).groupBy("h").agg(F.collect_list(F.struct("e", "place", "kind")).alias("asked"))
-    pieces = keyed.select("h", "tag", "text").join(asked, "h").mapInArrow(_fetch(length), _PIECES)
-    found = staged(pieces.repartition("e").sortWithinPartitions("e").mapInArrow(_compare(length, sort_bytes, group_bytes), _FOUND), "starts")
+    cut = spread(keyed.select("h", "tag", "text")).mapInArrow(_cut(*lengths), _ROWS_SCHEMA)
+    sifted = staged(cut.repartition("e").sortWithinPartitions("e", "c").mapInArrow(partial(_sift, crowd=crowd), _ROWS_SCHEMA), "phrases")
+    asked = sifted.where(F.col("kind") >= _ASK).groupBy("h").agg(F.collect_list(F.struct("e", "place", "kind")).alias("asked"))
+    pieces = keyed.select("h", "tag", "text").join(asked, "h").mapInArrow(_fetch(*lengths), _PIECES)
+    sorted_pieces = pieces.repartition("e").sortWithinPartitions(F.col("e").bitwiseAND(F.lit(1)), "e")
+    found = staged(sorted_pieces.mapInArrow(_compare(lengths, sort_bytes, group_bytes), _FOUND), "starts")
     crowded = found.where("digest IS NOT NULL").repartition("digest").sortWithinPartitions("digest").mapInArrow(_twins, _FOUND)
     ranges = found.where("digest IS NULL").unionAll(crowded.where(~F.col("sample"))).select("h", "tag", "first", "last")
     done = sifted.where(F.col("kind") == _DONE).select("h", F.col("c").cast("int").alias("tag"), F.shiftrightunsigned("place", 32).alias("first"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("last"))
-    return done.unionAll(ranges)
+    return done.unionAll(ranges).select("h", F.col("tag").bitwiseAND(F.lit((1 << _LEVEL) - 1)).alias("tag"), F.shiftright("tag", _LEVEL).alias("level"), "first", "last")
+
+
+def _spans(first: np.ndarray, last: np.ndarray, length: int) -> list[list[int]]:
+    """[start, stop] of the runs of bytes that strings with these starts cover."""
+    spans: list[list[int]] = []
+    for i, j in sorted(zip(first.tolist(), last.tolist(), strict=True)):
+        if spans and i <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], j + length)
+        else:
+            spans.append([i, j + length])
+    return spans
+
+
+def whole_words(raw: bytes, start: int, stop: int) -> int:
+    """Words that lie in the span from end to end."""
+    n = len(raw[start:stop].split())
+    if n and start and not raw[start - 1 : start].isspace() and not raw[start : start + 1].isspace():
+        n -= 1
+    if n and stop < len(raw) and not raw[stop - 1 : stop].isspace() and not raw[stop : stop + 1].isspace():
+        n -= 1
+    return n
+
+
+_OUT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "spans": "array<array<long>>", "kept_sha256": "string", "n_repeated": "long", "passages": "array<array<long>>", "kept": "binary"}
 
 
-def _erase(length: int, with_kept: bool):
-    names = ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", *(["kept"] if with_kept else [])]
+def _erase(lengths: Sequence[int], passage_words: int, with_kept: bool):
+    names = [n for n in _OUT if n != "kept" or with_kept]
+    types = {"long": pa.int64(), "string": pa.string(), "array<array<long>>": pa.list_(pa.list_(pa.int64())), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for tag, text, ranges in zip(b.column("tag").to_pylist(), b.column("text"), b.column("ranges"), strict=True):
-                raw, spans = text.as_py(), []
+                raw, found = text.as_py(), [[], []]
                 if ranges.is_valid:
-                    t, first, last = (ranges.values.field(k).to_numpy() for k in range(3))
-                    for i, j in sorted(zip(first[t == tag].tolist(), last[t == tag].tolist(), strict=True)):
-                        if spans and i <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], j + length)
-                        else:
-                            spans.append([i, j + length])
+                    t, level, first, last = (ranges.values.field(k).to_numpy() for k in range(4))
+                    for k, length in enumerate(lengths):
+                        own = (t == tag) & (level == k)
+                        found[k] = _spans(first[own], last[own], length)
+                spans, passages = found[0], [s for s in found[-1 if len(lengths) > 1 else 0] if whole_words(raw, *s) >= passage_words]
                 kept = b"".join([raw[i:j] for i, j in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(raw)], strict=True)])
-                rows.append((len(raw), len(raw) - len(kept), len(spans), spans, hashlib.sha256(kept).hexdigest(), kept))
-            n, removed, count, spans, digest, kept = zip(*rows, strict=True) if rows else ((),) * 6
-            cols = [b.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(kept, pa.binary())] if with_kept else [])], names)
+                rows.append((len(raw), len(raw) - len(kept), len(spans), spans, hashlib.sha256(kept).hexdigest(), sum(z - a for a, z in passages), passages, kept))
+            cols = dict(zip(_OUT, zip(*rows, strict=True) if rows else [()] * len(_OUT), strict=True))
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(cols[n], types[_OUT[n]]) for n in names)], ["id", *names])
 
     return run
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_kept: bool = True, **limits) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage_bytes: int | None = PASSAGE_BYTES, passage_words: int = PASSAGE_WORDS, with_kept: bool = True, **limits) -> DataFrame:
     """For every row ``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` ([start, stop] in
-    bytes), ``kept_sha256`` and, if wanted, ``kept`` (binary, for a cut may split a character).
+    bytes), ``kept_sha256``, ``n_repeated`` (bytes in passages), ``passages`` ([start, stop]) and, if
+    wanted, ``kept`` (binary, for a cut may split a character).
 
     Every byte of the UTF-8 text that a string of ``length`` bytes covers which starts anywhere else
-    too, in the same text or another, is removed; all strings are judged on the input.
+    too, in the same text or another, is removed; all strings are judged on the input. Passages
+    are found alike, with strings of ``passage_bytes``: runs of such bytes that hold
+    ``passage_words`` whole words or more. They are reported, not removed. Without
+    ``passage_bytes`` they are those among the removed spans.
 
     Triggers found by a rolling hash cut the texts into phrases so that equal strings lie in phrases
     with equal triggers. Phrases are sorted by what follows the trigger. Phrases that occur twice
     are settled by that. For those that share only a tail with others, the suffixes of the phrases
     before the trigger and the order of what follows it combine to the order of all their strings.
+    A tail that more than ``crowd`` phrases share is dealt out again, by longer parts of them.
 
     Null texts are empty. Repeated rows are copies of each other. Rows without id take part like any
     other. Other columns are left out.
     """
-    ranges = repeated_ranges(docs, id_col=id_col, text_col=text_col, length=length, **limits)
-    lists = ranges.groupBy("h").agg(F.collect_list(F.struct("tag", "first", "last")).alias("ranges"))
+    lengths = (length,) if passage_bytes in (None, length) else (length, passage_bytes)
+    ranges = repeated_ranges(docs, id_col=id_col, text_col=text_col, lengths=lengths, **limits)
+    lists = ranges.groupBy("h").agg(F.collect_list(F.struct("tag", "level", "first", "last")).alias("ranges"))
     keyed = _keyed(docs, id_col, text_col)
-    schema = f"id {keyed.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept_sha256 string" + ", kept binary" * with_kept
-    return keyed.join(lists, "h", "left").select("id", "tag", "text", "ranges").mapInArrow(_erase(length, with_kept), schema)
+    schema = f"id {keyed.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in _OUT.items() if n != "kept" or with_kept)
+    return keyed.join(lists, "h", "left").select("id", "tag", "text", "ranges").mapInArrow(_erase(lengths, passage_words, with_kept), schema)
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(table(spark, sf_dir, "documents"), with_kept=False)
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", (F.col("n_repeated") > 0).alias("repeated"))

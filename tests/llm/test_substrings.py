@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -47,9 +49,49 @@ def test_triggers_depend_on_the_string_alone():
 def test_whole_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = {r.doc_id: w for r, w in zip(rows, slow([r.text.encode() for r in rows], 400))}
-    got = {r.doc_id: tuple(r)[1:] for r in op4_substrings(spark, sf).collect()}
+    found = op4_substrings(spark, sf).collect()
+    got = {r.doc_id: tuple(r)[1:5] for r in found}
     assert got == want and sum(w[1] > 0 for w in want.values()) > 5
 
+    texts = [r.text.encode() for r in rows]
+    repeated = {r.doc_id: (r.n_repeated, r.repeated) for r in found}
+    for r, n in zip(rows, slow_passages(texts)):
+        assert repeated[r.doc_id] == (n, n > 0)
+
+
+def covered(texts, length):
+    """For each text, runs of bytes that strings of this length cover which start elsewhere too."""
+    seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
+    for t in texts:
+        runs = []
+        for p in range(len(t) - length + 1):
+            if seen[t[p : p + length]] > 1:
+                if runs and p <= runs[-1][1]:
+                    runs[-1][1] = p + length
+                else:
+                    runs.append([p, p + length])
+        yield runs
+
+
+def slow_passages(texts, length=200, words=50):
+    for t, runs in zip(texts, covered(texts, length)):
+        places = [m.span() for m in re.finditer(rb"\S+", t)]
+        yield sum(z - a for a, z in runs if sum(a <= i and j <= z for i, j in places) >= words)
+
+
+def test_passages_shorter_than_what_is_removed(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randrange(3, 7)))
+    shared = " ".join(word() for _ in range(55))
+    assert 200 < len(shared) < 400
+    texts = [" ".join([*(word() for _ in range(k)), shared, *(word() for _ in range(40))]) for k in (3, 90)]
+    texts += [" ".join(word() for _ in range(200)), None, "", shared[:150]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r for r in without_repeats(docs).collect()}
+    want = list(slow_passages([(t or "").encode() for t in texts]))
+    assert [got[i].n_repeated for i in range(len(texts))] == want and want[0] >= len(shared) and want[1] >= len(shared)
+    assert sum(want[2:]) == 0 and all(got[i].n_removed == 0 for i in range(len(texts)))
+
 
 def mess(seed):
     rnd = random.Random(seed)
@@ -68,7 +110,7 @@ def mess(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "limits"), [(1, {}), (2, {"sort_bytes": 300}), (3, {"group_bytes": 200}), (4, {"sort_bytes": 1, "group_bytes": 900})])
+@pytest.mark.parametrize(("seed", "limits"), [(1, {}), (2, {"sort_bytes": 300}), (3, {"group_bytes": 200}), (4, {"sort_bytes": 1, "group_bytes": 900}), (5, {"crowd": 1}), (6, {"crowd": 3, "group_bytes": 300})])
 def test_messy_texts(spark, seed, limits):
     for length in (40, 100):
         texts = mess(seed)
