@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 Names = Sequence[str]
@@ -72,5 +74,34 @@ def gathered(df: DataFrame, by: Names, order: Names, values: Names, name: str =
     return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias(name))
 
 
+def ordered_fold(df: DataFrame, by: Names, order: Names, values: Names, step: Callable[[object, tuple], tuple[object, tuple | None]], out: str, start: object = None) -> DataFrame:
+    """Folds the rows of each key in order. ``step(state, values) -> state, row`` gets the row's
+    ``order`` and ``values`` and gives a row of the schema ``out``, or None. Rows flow through sorted
+    partitions, so a key of any length costs one pass and no more memory than its state."""
+    kinds = {f.name: f for f in df.schema.fields}
+    schema = T.StructType([*(kinds[c] for c in by), *T._parse_datatype_string(out).fields])
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in schema.fields]
+        key, state = None, start
+        for b in batches:
+            made = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:n] != key:
+                    key, state = row[:n], start
+                state, new = step(state, row[n:])
+                if new is not None:
+                    made.append((*key, *new))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], schema.names)
+
+    rows = df.select(*by, *order, *values)
+    rows = rows.repartition(*by) if by else rows.coalesce(1)
+    return rows.sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
 def fold(rows: Column, start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None) -> Column:
     return F.aggregate(rows, start, step, finish) if finish else F.aggregate(rows, start, step)

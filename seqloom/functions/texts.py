@@ -30,24 +30,35 @@ def classify_by_table(df: DataFrame, text: str, rules: DataFrame, id_cols: Names
 
 
 def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"://([^/]*)", 1))
+    """What lies between the first ``://`` and the next slash, in lower case; a name without a scheme
+    as it is, trimmed. Null and blank ones are empty."""
+    host = F.when(F.instr(url, "://") > 0, F.regexp_extract(url, r"(?s)^.*?://([^/]*)", 1)).otherwise(F.trim(url))
+    return F.coalesce(F.when(F.trim(url) != "", F.lower(host)), F.lit(""))
+
+
+def _path(url: Column) -> Column:
+    """Path of an absolute URL without query and fragment; empty for anything else."""
+    return F.coalesce(F.regexp_extract(F.trim(url), r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1), F.lit(""))
 
 
 def url_file(url: Column, default: str) -> Column:
     """Last part of the path, without query and fragment; a default if there is none."""
-    name = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"://[^/]*/(?:.*/)?([^/]*)$", 1)
-    return F.when(name == "", F.lit(default)).otherwise(name)
+    name = F.element_at(F.split(_path(url), "/"), -1)
+    return F.when(F.trim(name) == "", F.lit(default)).otherwise(name)
 
 
 def url_tail(url: Column, skip: int = 3) -> Column:
-    """What follows the first ``skip`` parts of the path."""
-    path = F.split(F.regexp_extract(url, r"://[^/]*/(.*)$", 1), "/")
+    """What follows the first ``skip`` parts of the path; empty parts do not count."""
+    path = F.filter(F.split(_path(url), "/"), lambda p: p != "")
     return F.array_join(F.slice(path, skip + 1, F.greatest(F.size(path) - skip, F.lit(0))), "/")
 
 
-def content_fingerprint(df: DataFrame, by: Names, line: str) -> DataFrame:
-    """A digest of each key's sorted lines, to see changes by."""
-    return df.groupBy(*by).agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("fingerprint"))
+def content_fingerprint(df: DataFrame, by: Names, line: str, order: Names) -> DataFrame:
+    """A digest of each key's lines in order, each with its break, to see changes by: one line more,
+    or two that change places, give another. Null lines are empty."""
+    lines = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(line), F.lit("")).alias("_line"))))
+    text = F.array_join(F.transform(lines, lambda x: F.concat(x["_line"], F.lit("\n"))), "")
+    return df.groupBy(*by).agg(F.md5(text).alias("fingerprint"))
 
 
 def char_count(text: Column, kind: str = DEFAULT_HAN) -> Column:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import Names, clamp, fold, gathered, item, mean, over, total, variance
+from ..functions.core import Names, clamp, item, mean, ordered_fold, over, total, variance
 
 
 def mean_abs_diff(a: Column, b: Column) -> Column:
@@ -64,19 +64,16 @@ def is_cut(diff: Column, lap_prev: Column, lap_cur: Column, strictness: float =
 
 def min_spacing(df: DataFrame, by: Names, order: str, flag: str, spacing: int = 15) -> DataFrame:
     """The flagged rows that are at least ``spacing`` after the last one kept. Only flagged rows are
-    gathered."""
-    flagged = df.where(F.col(flag)).select(*by, order)
+    dealt out."""
+    flagged = df.where(F.col(flag)).select(*by, F.col(order).cast("long").alias(order))
     if spacing <= 1:
         return flagged
-    rows = gathered(flagged, by, [order], [])
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = x[order].cast("long")
-        keep = acc["last"].isNull() | (at - acc["last"] >= spacing)
-        return F.struct(F.when(keep, at).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(at))).otherwise(acc["kept"]).alias("kept"))
+    def step(last: int | None, row: tuple) -> tuple[int, tuple | None]:
+        keep = last is None or row[0] - last >= spacing
+        return (row[0], row) if keep else (last, None)
 
-    return rows.select(*by, F.explode(fold(F.col("rows"), start, step, lambda a: a["kept"])).alias(order))
+    return ordered_fold(flagged, by, [order], [], step, f"`{order}` long")
 
 
 def detect_cuts(df: DataFrame, by: Names, order: str, gray: str, w: int, h: int, strictness: float = 0.30, spacing: int = 15) -> DataFrame:
@@ -100,15 +97,16 @@ def near_black(samples: DataFrame, by: Names, total_col: str = "sum_rgb") -> Dat
     return samples.groupBy(*by).agg(F.count_if(F.col(total_col) < 24).alias("n_dark"), F.count(F.lit(1)).alias("n")).withColumn("dark", F.col("n_dark") >= 0.95 * F.col("n"))
 
 
-def band_black(samples: DataFrame, by: Names, rows: int, y: str = "y", total_col: str = "sum_rgb") -> DataFrame:
-    """``band_dark``: one of three bands of rows is near black."""
+def band_black(samples: DataFrame, by: Names, rows: int, cols: int, y: str = "y", total_col: str = "sum_rgb") -> DataFrame:
+    """``band_dark``: one of three bands of rows is near black. Frames with fewer samples than ``rows``
+    times ``cols`` are never called so."""
     band = F.when(F.col(y) < rows // 3, 0).when(F.col(y) < 2 * rows // 3, 1).otherwise(2)
     bands = near_black(samples.withColumn("band", band), [*by, "band"], total_col)
-    return bands.groupBy(*by).agg(F.bool_or("dark").alias("band_dark"))
+    return bands.groupBy(*by).agg((F.bool_or("dark") & (F.sum("n") >= rows * cols) & F.lit(rows > 0 and cols > 0)).alias("band_dark"))
 
 
-def defective_frames(samples: DataFrame, by: Names, rows: int) -> DataFrame:
-    return near_black(samples, by).join(band_black(samples, by, rows), list(by)).select(*by, (F.col("dark") | F.col("band_dark")).alias("defective"))
+def defective_frames(samples: DataFrame, by: Names, rows: int, cols: int) -> DataFrame:
+    return near_black(samples, by).join(band_black(samples, by, rows, cols), list(by)).select(*by, (F.col("dark") | F.col("band_dark")).alias("defective"))
 
 
 def silent_failures(inputs: DataFrame, outputs: DataFrame, on: Names) -> DataFrame:
@@ -175,24 +173,36 @@ def flicker(cells: DataFrame, by: Names, value: str = "v") -> DataFrame:
     return arrays.withColumn("_limit", limit).select(*by, mean(F.filter("_sds", lambda x: x <= F.col("_limit"))).alias("flicker"))
 
 
-def noise_probe(cells: DataFrame, by: Names, order: str, burst: int = 5, block: int = 8) -> DataFrame:
+def noise_probe(cells: DataFrame, by: Names, order: str, w: int, h: int, burst: int = 5, block: int = 8) -> DataFrame:
     """``grain``, ``blocking`` and ``flicker`` of each key with three frames at least, and the
-    ``level`` of denoising (0 to 2) that they call for. ``order`` numbers frames from 0."""
+    ``level`` of denoising (0 to 2) that they call for. Frames without ``w`` times ``h`` cells are
+    left out; bursts are ``burst`` frames in a row of those left (all of them, if it is 1 or less).
+    A burst of under three frames has no flicker; without any it is 0."""
     frame = [*by, order]
+    whole = cells.groupBy(*frame).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") == w * h)
+    whole = whole.select(*frame, (F.row_number().over(over(by, [order])) - 1).alias("_i"))
+    cells = cells.join(whole, frame)
     still = grain(cells, frame).join(blocking(cells, frame, block), frame)
     still = still.groupBy(*by).agg(F.avg("grain").alias("grain"), F.avg("blocking").alias("blocking"), F.count(F.lit(1)).alias("n_frames")).where("n_frames >= 3")
-    bursts = cells.withColumn("burst", F.floor(F.col(order) / burst))
-    size = bursts.groupBy(*by, "burst").agg(F.count_distinct(order).alias("n"))
-    whole = flicker(bursts, [*by, "burst"]).join(size.where("n >= 3"), [*by, "burst"])
-    moving = whole.groupBy(*by).agg(F.avg("flicker").alias("flicker"))
+    bursts = cells.withColumn("burst", F.floor(F.col("_i") / burst) if burst > 1 else F.lit(0).cast("long"))
+    size = whole.withColumn("burst", F.floor(F.col("_i") / burst) if burst > 1 else F.lit(0).cast("long")).groupBy(*by, "burst").agg(F.count(F.lit(1)).alias("n"))
+    moving = flicker(bursts, [*by, "burst"]).join(size.where("n >= 3"), [*by, "burst"])
+    moving = moving.groupBy(*by).agg(F.avg("flicker").alias("flicker"))
     level = F.when(F.col("grain").isNull() | F.isnan("grain"), 0).when(F.col("grain") < 2.2, 0).when(F.col("grain") < 5, 1).otherwise(2)
-    return still.join(moving, list(by), "left").withColumn("level", level)
+    return still.join(moving, list(by), "left").withColumns({"flicker": F.coalesce("flicker", F.lit(0.0)), "level": level})
 
 
-def dedup_thresholds(sad: float, ssim: float, tier: int = 0) -> tuple[float, float]:
-    """Largest difference and least similarity of frames that count as one, for a tier's force."""
-    force, floor = ((1.0, 0.985), (1.5, 0.995), (0.7, 0.99))[tier]
-    return min(max(sad * force, 1.0), 7.0), max(1 - (1 - ssim) * force, floor)
+# Force and least similarity of the tiers (balanced, aggressive, conservative).
+TIERS = ((1.0, 0.99), (1.5, 0.985), (0.7, 0.995))
+
+
+def dedup_thresholds(sad: float, ssim: float, protect: float, segment: float, tier: int = 0) -> tuple[float, float, float, float]:
+    """For a tier's force: the largest difference and least similarity of frames that count as one,
+    the share of a frame that must move to protect it, and the largest difference within a
+    still segment."""
+    force, floor = TIERS[tier]
+    within = lambda x, low, high: min(max(x * force, low), high)
+    return within(sad, 1.0, 7.0), max(1 - (1 - ssim) * force, floor), within(protect, 0.05, 0.60), within(segment, 2.0, 8.0)
 
 
 def global_ssim(a: Column, b: Column) -> Column:
@@ -224,25 +234,20 @@ def dedup_adjacent(df: DataFrame, by: Names, order: Names, gray: str, sad: float
 
 
 def dedup_frames(df: DataFrame, by: Sequence[str], order: str, gray: str, sad: float, ssim: float) -> DataFrame:
-    """Like :func:`dedup_adjacent`, but each frame is compared with the last one kept. That is an
-    ordered fold, so the frames of a key meet in one task."""
-    import numpy as np
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        frames = [np.asarray(g, float) for g in pdf[gray]]
-        keep, last = [], None
-        for i, f in enumerate(frames):
-            same = False
-            if last is not None and i < len(frames) - 1:
-                n = min(len(f), len(last))
-                a, b = f[:n], last[:n]
-                cov = ((a - a.mean()) * (b - b.mean())).mean()
-                like = (2 * a.mean() * b.mean() + 6.5025) * (2 * cov + 58.5225) / ((a.mean() ** 2 + b.mean() ** 2 + 6.5025) * (a.var() + b.var() + 58.5225))
-                same = np.abs(a - b).mean() < sad and like >= ssim
-            keep.append(not same)
-            last = last if same else f
-        return pdf[[*by, order]].assign(keep=keep)
-
-    kinds = dict(df.dtypes)
-    return df.select(*by, order, gray).groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, order]) + ", keep boolean")
+    """Like :func:`dedup_adjacent`, but each frame is compared with the last one kept. An ordered
+    fold over sorted partitions: one frame of a key is held, however long the key is."""
+
+    def step(last: np.ndarray | None, row: tuple) -> tuple[np.ndarray | None, tuple]:
+        at, tail, values = row
+        f, same = np.asarray(values, float), False
+        if last is not None and not tail:
+            n = min(len(f), len(last))
+            a, b = f[:n], last[:n]
+            cov = ((a - a.mean()) * (b - b.mean())).mean()
+            like = (2 * a.mean() * b.mean() + 6.5025) * (2 * cov + 58.5225) / ((a.mean() ** 2 + b.mean() ** 2 + 6.5025) * (a.var() + b.var() + 58.5225))
+            same = bool(np.abs(a - b).mean() < sad and like >= ssim)
+        return (last if same else f), (at, not same)
+
+    kind = dict(df.dtypes)[order]
+    rows = df.select(*by, order, gray, F.lead(F.lit(1)).over(over(by, [order])).isNull().alias("_tail"))
+    return ordered_fold(rows, by, [order], ["_tail", gray], step, f"`{order}` {kind}, keep boolean")

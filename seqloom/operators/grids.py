@@ -75,11 +75,14 @@ def opened(cells: DataFrame, grid: Names, radius: int, values: Sequence[str] = (
 
 
 def alpha_stretch(cells: DataFrame, grid: Names, fg: float, bg: float, feather: int = 0, morph: int = 0, value: str = "v") -> DataFrame:
-    """Maps ``bg`` and below to 0, ``fg`` and above to 1, then blurs and opens as asked."""
+    """Maps ``bg`` and below to 0, ``fg`` and above to 1, then blurs and opens as asked, by a cell at
+    least if at all."""
     if fg > bg > 0:
         v = F.col(value)
         cells = cells.withColumn(value, F.when(v <= bg, 0.0).when(v >= fg, 1.0).otherwise((v - bg) / (fg - bg)))
-    return opened(box_mean(cells, grid, feather // 2, [value]), grid, morph // 25, [value])
+    if feather > 0:
+        cells = box_mean(cells, grid, max(1, feather // 2), [value])
+    return opened(cells, grid, max(1, morph // 25), [value]) if morph > 0 else cells
 
 
 def composite(fg: DataFrame, alpha: DataFrame, bg: DataFrame, grid: Names, values: Sequence[str] = CHANNELS) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.core import Names, clamp, fold, gathered, over
+from ..functions.core import Names, clamp, fold, gathered, ordered_fold, over
+from ..sources.scratch import staged
 
-#: File endings that count as images.
-IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "bmp", "webp", "tif", "tiff", "gif"]
+#: File endings that count as output images.
+IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff"]
 BACKENDS = ["O", "F", "vulkan", "dml", "cpu"]
 
 
@@ -43,10 +44,10 @@ def output_defects(outputs: DataFrame, by: Names, expected: str, present: str, s
 
 def two_point_cost(t1: Column, tn: Column, n: Column, pixels: Column, reference: int = 2_073_600) -> tuple[Column, Column, Column]:
     """Seconds a frame, fixed seconds, and seconds a frame at a reference size, from the times of
-    one frame and of ``n``."""
+    one frame and of ``n``. Without a size the seconds a frame stand as they are."""
     slope = F.when(n >= 2, (tn - t1) / F.when(n >= 2, n - 1)).otherwise(0.0)
     floor = F.when(n >= 2, t1 - slope).otherwise(0.0)
-    return slope, floor, slope * reference / F.when(pixels > 0, pixels)
+    return slope, floor, F.when(pixels > 0, slope * reference / F.when(pixels > 0, pixels)).otherwise(slope)
 
 
 def validate_measures(df: DataFrame) -> DataFrame:
@@ -121,11 +122,15 @@ def verdict_step(failures: Column, at: Column, now: Column, ok: Column, denied:
     return F.when(ok, 0).when(denied, limit).when(fresh, failures + 1).otherwise(1)
 
 
-def verdict_state(attempts: DataFrame, by: Names, order: Names, now: Column, ttl: float, limit: int, denial: Column | None = None) -> DataFrame:
-    """What the ledger says about each key at ``now``: ``ok``, ``failures``, ``at`` and ``denied``;
-    expired records are left out. An ordered fold; a key's attempts are one array."""
-    rows = attempts.withColumn("_deny", denial if denial is not None else F.lit(False))
-    rows = gathered(rows, by, order, ["ok", "_deny"])
+def verdict_state(attempts: DataFrame, by: Names, order: Names, now: Column, ttl: float, limit: int, denial: Column | None = None, success_ttl: float | None = None, device: str | None = None) -> DataFrame:
+    """What the ledger says about each key at ``now``: ``ok``, ``failures``, ``at`` and ``denied``.
+    Failures live for ``ttl``, successes for ``success_ttl`` (the same if not given); expired records
+    and those from the future are left out. A denial is a failure that reaches the limit at once.
+    Attempts with a negative ``device`` are not booked. An ordered fold; a key's attempts are one
+    array."""
+    rows = attempts.where(F.coalesce(F.col(device) >= 0, F.lit(True))) if device else attempts
+    rows = rows.withColumn("_deny", F.coalesce(denial, F.lit(False)) if denial is not None else F.lit(False))
+    rows = gathered(rows.withColumn("ok", F.col("ok") & ~F.col("_deny")), by, order, ["ok", "_deny"])
     start = F.struct(F.lit(0).alias("failures"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("boolean").alias("ok"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -134,7 +139,8 @@ def verdict_state(attempts: DataFrame, by: Names, order: Names, now: Column, ttl
 
     out = rows.select(*by, fold(F.col("rows"), start, step).alias("s")).select(*by, "s.*")
     age = now - F.col("at")
-    return out.where((age >= 0) & (age <= ttl)).withColumn("denied", F.col("failures") >= limit)
+    lives = F.when(F.col("ok"), F.lit(ttl if success_ttl is None else success_ttl)).otherwise(F.lit(ttl))
+    return out.where((age >= 0) & (age <= lives)).withColumn("denied", ~F.col("ok") & (F.col("failures") >= limit))
 
 
 def all_or_unknown(df: DataFrame, by: Names, flag: str) -> DataFrame:
@@ -151,40 +157,40 @@ def verdict_lookup(asks: DataFrame, verdicts: DataFrame, ok: str = "ok") -> Data
 
 
 def eta_average(done: Column, total: Column, elapsed: Column) -> Column:
-    """Seconds left at the average rate; -1 until four are done in a second."""
-    known = (done >= 4) & (elapsed >= 1) & (total >= done)
+    """Seconds left at the average rate; -1 until four are done in a second, and once all are."""
+    known = (done >= 4) & (elapsed >= 1) & (total > done)
     return F.when(known, (total - done) * elapsed / F.when(known, done)).otherwise(-1.0)
 
 
 def eta_blended(progress: DataFrame, by: Names, done: str, total: str, elapsed: str, lag: int, overhead: float = 0.0) -> DataFrame:
-    """``eta`` from the recent rate (since ``lag`` rows before) and the average, the recent one
-    weighing up to four fifths as work gets done; plus a fixed overhead."""
+    """``eta`` from the recent rate (since ``lag`` rows before) and the average rate, the recent one
+    weighing up to four fifths as work gets done; plus a fixed overhead. The recent rate counts if
+    something was done by then and a fifth of a second had passed; -1 where the average is unknown."""
     w = over(by, [done])
     d0, t0 = F.lag(done, lag).over(w), F.lag(elapsed, lag).over(w)
     rows = progress.withColumns({"_d0": d0, "_t0": t0})
     average = eta_average(F.col(done), F.col(total), F.col(elapsed))
-    moved = (F.col(done) > F.col("_d0")) & (F.col(elapsed) > F.col("_t0"))
-    recent = (F.col(total) - F.col(done)) * (F.col(elapsed) - F.col("_t0")) / F.when(moved, F.col(done) - F.col("_d0"))
+    moved = (F.col("_d0") > 0) & (F.col(done) > F.col("_d0")) & (F.col("_t0") > 0.2) & (F.col(elapsed) > F.col("_t0"))
+    recent = (F.col(done) - F.col("_d0")) / F.when(moved, F.col(elapsed) - F.col("_t0"))
     weight = 0.8 * clamp(F.col(done) / 60, 0, 1)
-    eta = F.when(average < 0, -1.0).when(F.coalesce(moved, F.lit(False)), average * (1 - weight) + recent * weight + overhead).otherwise(average + overhead)
+    overall = F.col(done) / F.when(F.col(elapsed) > 0, F.col(elapsed))
+    rate = F.when(F.coalesce(moved, F.lit(False)), weight * recent + (1 - weight) * overall).otherwise(overall)
+    eta = F.when(average < 0, -1.0).otherwise((F.col(total) - F.col(done)) / F.when(rate > 0, rate) + max(0.0, overhead))
     return rows.withColumn("eta", eta).drop("_d0", "_t0")
 
 
-def shown_step(last: Column, eta: Column, floor: Column) -> Column:
-    """What to show: never more than the last, never under the floor; an unknown one changes nothing."""
-    return F.when(eta < 0, last).when(last.isNull(), F.greatest(eta, floor)).otherwise(F.greatest(F.least(last, eta), floor))
-
-
 def eta_shown(rows: DataFrame, by: Names, order: str, eta: str, floor: str) -> DataFrame:
-    """``shown`` along a job's progress. The floor feeds back, so this is a fold."""
-    kind = f"array<struct<{order}:long,shown:double>>"
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(kind).alias("all"))
+    """``shown`` along a job's progress: never more than before, never under the floor; an unknown
+    one changes nothing. The floor feeds back, so this is a fold."""
 
-    def step(acc: Column, r: Column) -> Column:
-        now = shown_step(acc["last"], r[eta], r[floor]).cast("double")
-        return F.struct(now.alias("last"), F.concat(acc["all"], F.array(F.struct(r[order].cast("long").alias(order), now.alias("shown")))).alias("all"))
+    def step(last: float | None, row: tuple) -> tuple[float | None, tuple]:
+        at, left, least = row
+        if left is not None and left >= 0:
+            last = max(left if last is None else min(last, left), least)
+        return last, (at, last)
 
-    return gathered(rows, by, [order], [eta, floor]).select(*by, F.inline(fold(F.col("rows"), start, step, lambda a: a["all"])))
+    rows = rows.select(*by, F.col(order).cast("long").alias(order), F.col(eta).cast("double").alias(eta), F.col(floor).cast("double").alias(floor))
+    return ordered_fold(rows, by, [order], [eta, floor], step, f"`{order}` long, shown double")
 
 
 def top_reasons(df: DataFrame, reason: str, k: int) -> DataFrame:
@@ -202,40 +208,61 @@ def sum_by_owner(counters: DataFrame, name: str, value: str, pattern: str, capac
     return rows.groupBy("owner").agg(F.sum(value).alias("used")).withColumn("free", F.greatest(F.lit(0.0), capacity - F.col("used")))
 
 
-def same_name(a: Column, b: Column) -> Column:
-    """Equal, or one holds the other and both have eight characters or more; case does not matter."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-    return (x == y) | ((F.length(x) >= 8) & (F.length(y) >= 8) & (x.contains(y) | y.contains(x)))
+#: Names shorter than this say too little to be compared; parts of this length find their like.
+LEAST_NAME = 8
 
 
-def _parts(names: DataFrame, col: str, least: int = 8) -> DataFrame:
-    """All parts of ``least`` characters or more of each name, and the name itself, as ``_part``."""
-    low = F.lower(F.trim(F.col(col)))
-    n = F.length(low)
-    starts = F.sequence(F.lit(1), F.greatest(n - least + 1, F.lit(1)))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(least), F.greatest(n - i + 1, F.lit(least))), lambda k: F.substring(low, i, k))))
-    return names.withColumn("_part", F.explode(F.array_union(F.when(n >= least, parts).otherwise(F.array().cast("array<string>")), F.array(low))))
+def same_name(a: Column, b: Column) -> Column:
+    """Both have eight characters or more, and one holds the other; case does not matter."""
+    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    return (F.length(x) >= LEAST_NAME) & (F.length(y) >= LEAST_NAME) & (x.contains(y) | y.contains(x))
 
 
-def _whole(names: DataFrame, col: str) -> DataFrame:
-    return names.withColumn("_part", F.lower(F.trim(F.col(col))))
+def _holders(names: DataFrame) -> DataFrame:
+    """``short`` and ``long`` of all pairs of different names (column ``name``, distinct, long enough)
+    of which one holds the other. A holder has every part of what it holds, so a name looks only
+    among those that have its rarest part."""
+    starts = F.sequence(F.lit(1), F.length("name") - LEAST_NAME + 1)
+    parts = names.select("name", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("name", i, LEAST_NAME)))).alias("part"))
+    rarity = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(rarity, "part").groupBy("name").agg(F.min_by("part", F.struct("n", "part")).alias("part")).withColumnRenamed("name", "short")
+    return rarest.join(parts.withColumnRenamed("name", "long"), "part").where((F.length("long") > F.length("short")) & F.col("long").contains(F.col("short"))).select("short", "long")
 
 
 def missing_fuzzy(a: DataFrame, others: Sequence[DataFrame], col: str, order: str) -> DataFrame:
-    """Names of ``a`` that none of the others has; of names of ``a`` that are the same the first by
-    ``order`` counts. A name that holds another has it among its parts, so names meet by equal
-    text and no pair is tried in vain."""
-    known = others[0].select(F.col(col).alias("_o"))
+    """Names of ``a``, trimmed, that none of the others has. Of names of ``a`` that are the same as
+    one kept before, by ``order``, none is kept; a name that is like a dropped one only stays.
+    Names shorter than eight characters are like no other; blank ones are left out.
+
+    What is kept depends on what was kept before it, so names are settled in rounds: one with no
+    open earlier like stays, and drops its later ones. A round's state is written out."""
+    key = lambda c: F.lower(F.trim(F.col(c)))
+    known = others[0].select(key(col).alias("name"))
     for o in others[1:]:
-        known = known.unionAll(o.select(F.col(col).alias("_o")))
-    known = known.distinct()
-    mine = a.select(col, order)
-    seen = _parts(mine, col).join(_whole(known, "_o"), "_part").unionByName(_whole(mine, col).join(_parts(known, "_o"), "_part"))
-    left = mine.join(seen.where(same_name(F.col(col), F.col("_o"))).select(order).distinct(), order, "left_anti")
-    other = left.select(F.col(col).alias("_o"), F.col(order).alias("_k"))
-    met = _parts(left, col).join(_whole(other, "_o"), "_part").unionByName(_whole(left, col).join(_parts(other, "_o"), "_part"))
-    later = met.where((F.col("_k") < F.col(order)) & same_name(F.col(col), F.col("_o"))).select(order).distinct()
-    return left.join(later, order, "left_anti")
+        known = known.unionAll(o.select(key(col).alias("name")))
+    known = known.where(F.length("name") >= LEAST_NAME).distinct()
+    mine = a.select(F.trim(F.col(col)).alias(col), order, key(col).alias("_name")).where("_name <> ''")
+    long_names = mine.where(F.length("_name") >= LEAST_NAME).groupBy(F.col("_name").alias("name")).agg(F.min(order).alias("at"))
+    pairs = staged(_holders(long_names.select("name").unionAll(known).distinct()), "pairs")
+    either = pairs.unionAll(pairs.select(F.col("long").alias("short"), F.col("short").alias("long")))
+    met = known.unionAll(either.join(known.withColumnRenamed("name", "long"), "long").select(F.col("short").alias("name"))).distinct()
+    # Names that are open, and pairs of an earlier and a later one.
+    open_names = staged(long_names.join(met, "name", "left_anti"), "names")
+    first, second = open_names.select(F.col("name").alias("short"), F.col("at").alias("_a")), open_names.select(F.col("name").alias("long"), F.col("at").alias("_b"))
+    met_here = pairs.join(first, "short").join(second, "long")
+    early = F.col("_a") < F.col("_b")
+    links = staged(met_here.select(F.when(early, F.col("short")).otherwise(F.col("long")).alias("early"), F.when(early, F.col("long")).otherwise(F.col("short")).alias("late")), "links")
+    gone = None
+    while not links.isEmpty():
+        stays = links.select(F.col("early").alias("name")).distinct().join(links.select(F.col("late").alias("name")), "name", "left_anti")
+        out = links.join(stays.withColumnRenamed("name", "early"), "early").select(F.col("late").alias("name")).distinct()
+        out = staged(out, "gone")
+        gone = out if gone is None else gone.unionAll(out)
+        left = links.join(out.withColumnRenamed("name", "early"), "early", "left_anti").join(out.withColumnRenamed("name", "late"), "late", "left_anti")
+        links = staged(left.join(stays.withColumnRenamed("name", "early"), "early", "left_anti"), "links")
+    kept = open_names if gone is None else open_names.join(gone, "name", "left_anti")
+    short = mine.where(F.length("_name") < LEAST_NAME).select(col, order)
+    return short.unionAll(mine.join(kept.select(F.col("name").alias("_name"), F.col("at").alias(order)), ["_name", order], "left_semi").select(col, order))
 
 
 def rank_top(df: DataFrame, score: Column, id_col: str, k: int, by: Names = ()) -> DataFrame:

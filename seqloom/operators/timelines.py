@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.core import Names, clamp, finite, fold, gathered, half_away, half_even, item, mean, over, total, upper_median
+from ..functions.core import Names, clamp, finite, fold, gathered, half_away, half_even, item, mean, ordered_fold, over, total, upper_median
 
 
 def merge_durations(df: DataFrame, by: Names, order: str, dur: str, kept: str) -> DataFrame:
@@ -68,32 +68,47 @@ def flatten_plan(df: DataFrame, by: Names, order: str, dur: str, fps: float, k:
     return out.select(*by, "gaps", "reason", F.when(F.col("reason").isNull(), F.lit(float(fps * k))).alias("target_fps"), F.when(F.col("reason").isNull(), F.greatest(F.lit(2).cast("long"), half_even(total(F.col("_d")) * (fps * k)))).alias("frames"))
 
 
-def cumulative_times(df: DataFrame, by: Names, order: str, dur: str) -> DataFrame:
+def start_times(df: DataFrame, by: Names, order: str, dur: str) -> DataFrame:
     """``pts``, the start of each frame; negative durations count as 0."""
     before = over(by, [order]).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("pts", F.coalesce(F.sum(F.greatest(F.col(dur), F.lit(0.0))).over(before), F.lit(0.0)))
 
 
-def map_target_frames(df: DataFrame, by: Names, order: str, dur: str, fps: float, frames: int) -> DataFrame:
+def cumulative_times(df: DataFrame, by: Names, order: str, dur: str) -> DataFrame:
+    """``order`` and ``pts``, the start of each frame, and one row more for each key: the end, at the
+    place after the last frame. Negative durations count as 0."""
+    rows = start_times(df, by, order, dur).select(*by, F.col(order).cast("long").alias(order), "pts", F.greatest(F.col(dur), F.lit(0.0)).alias("_d"))
+    end = rows.groupBy(*by).agg((F.max(order) + 1).alias(order), F.max_by(F.col("pts") + F.coalesce("_d", F.lit(0.0)), order).alias("pts"))
+    return rows.drop("_d").unionByName(end)
+
+
+def map_target_frames(df: DataFrame, by: Names, order: str, dur: str, fps: float, frames: int | None = None) -> DataFrame:
     """For target times ``k / fps`` the source frames around them and how far between they lie:
-    ``i0``, ``i1``, ``phi`` and ``exact``. An as-of join: targets and frames in one order, the last
-    frame carried on. Times past the end have no row; the last frame is copied."""
-    starts = cumulative_times(df, by, order, dur)
+    ``i0``, ``i1``, ``phi`` and ``exact``. There are ``frames`` targets for each key, by default as
+    many as fit its time, two at least.
+
+    An as-of join: targets and frames in one order, the last frame carried on. A target within a
+    millionth of a frame, or of the share of the way to the next, is that frame; without a next
+    frame the last is copied. Times past the end have no row, nor have keys of a single frame."""
+    starts = start_times(df, by, order, dur)
     w = over(by, [order])
     rows = starts.select(*by, F.col("pts").alias("t"), F.lit(0).alias("kind"), F.col(order).cast("long").alias("i0"), F.col("pts").alias("p0"), F.lead("pts").over(w).alias("p1"), F.lead(order).over(w).cast("long").alias("next"), F.lit(None).cast("long").alias("k"))
-    ends = starts.groupBy(*by).agg(F.sum(F.greatest(F.col(dur), F.lit(0.0))).alias("stop"))
+    ends = starts.groupBy(*by).agg(F.sum(F.greatest(F.col(dur), F.lit(0.0))).alias("stop"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = F.lit(frames).cast("long") if frames is not None else F.greatest(F.lit(2).cast("long"), half_even(F.col("stop") * fps))
     none = lambda kind: F.lit(None).cast(kind)
-    targets = ends.select(*by, F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("k"), "stop")
-    targets = targets.where(F.col("k") / fps < F.col("stop")).select(*by, (F.col("k") / fps).alias("t"), F.lit(1).alias("kind"), none("long").alias("i0"), none("double").alias("p0"), none("double").alias("p1"), none("long").alias("next"), F.col("k").cast("long").alias("k"))
+    targets = ends.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("k"), "stop")
+    targets = targets.where(F.col("k") / fps <= F.col("stop") + 1e-6).select(*by, (F.col("k") / fps).alias("t"), F.lit(1).alias("kind"), none("long").alias("i0"), none("double").alias("p0"), none("double").alias("p1"), none("long").alias("next"), F.col("k").cast("long").alias("k"))
     both = rows.unionByName(targets)
     # A frame that starts up to a millionth after the target counts as reached.
     at = F.when(F.col("kind") == 0, F.col("t") - 1e-6).otherwise(F.col("t"))
     asof = Window.partitionBy(*by).orderBy(at, "kind", "i0")
     carried = [F.last(F.when(F.col("kind") == 0, F.struct("i0", "p0", "p1", "next")), ignorenulls=True).over(asof).alias("s")]
     out = both.select(*by, "k", "t", "kind", *carried).where("kind = 1").select(*by, "k", "t", "s.*")
-    exact = (F.abs(F.col("t") - F.col("p0")) <= 1e-6) | F.col("next").isNull()
-    phi = clamp((F.col("t") - F.col("p0")) / F.when(F.col("p1") > F.col("p0"), F.col("p1") - F.col("p0")), 0.0, 1.0)
-    return out.select(*by, "k", "i0", F.when(exact, F.col("i0")).otherwise(F.col("next")).alias("i1"), F.when(exact, 0.0).otherwise(F.coalesce(phi, F.lit(0.0))).alias("phi"), exact.alias("exact"))
+    span = F.col("p1") - F.col("p0")
+    here = (F.abs(F.col("t") - F.col("p0")) <= 1e-6) | F.col("next").isNull() | (span <= 1e-6)
+    phi = F.when(here, 0.0).otherwise(clamp((F.col("t") - F.col("p0")) / F.when(span > 0, span), 0.0, 1.0))
+    there = phi >= 1 - 1e-6
+    return out.select(*by, "k", F.when(there, F.col("next")).otherwise(F.col("i0")).alias("i0"), F.coalesce("next", "i0").alias("i1"), F.when(there, 1.0).otherwise(phi).alias("phi"), (here | there).alias("exact"))
 
 
 def cut_aware_plan(slots: DataFrame, cuts: DataFrame, by: Names, frame: str) -> DataFrame:
@@ -147,16 +162,16 @@ def segment_targets(segments: DataFrame, n: str, last: str, factor: int) -> Data
 def segment_targets_exact(segments: DataFrame, by: Names, order: str, n: str, slots: int) -> DataFrame:
     """Targets that add up: each segment gets what brings the frames made so far to its share of
     ``slots``, but one more than it has at least. What was made before decides, so this is a fold."""
-    rows = gathered(segments, by, [order], [n], "_rows").withColumn("_all", F.aggregate("_rows", F.lit(0).cast("long"), lambda a, r: a + r[n]))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("made"), F.array().cast(f"array<struct<{order}:long,target:long>>").alias("out"))
+    seen = F.sum(n).over(over(by, [order]))
+    share = half_away(seen * F.lit(float(slots)) / F.greatest(F.sum(n).over(Window.partitionBy(*by)), F.lit(1)))
+    rows = segments.select(*by, F.col(order).cast("long").alias(order), F.col(n).cast("long").alias("_n"), share.alias("_share"))
 
-    def step(acc: Column, r: Column) -> Column:
-        seen = acc["seen"] + r[n]
-        share = half_away(seen * F.lit(float(slots)) / F.greatest("_all", F.lit(1)))
-        target = F.when(r[n] <= 1, F.lit(1).cast("long")).otherwise(F.greatest((r[n] + 1).cast("long"), share - acc["made"]))
-        return F.struct(seen.cast("long").alias("seen"), (acc["made"] + target).alias("made"), F.concat(acc["out"], F.array(F.struct(r[order].cast("long").alias(order), target.alias("target")))).alias("out"))
+    def step(made: int, row: tuple) -> tuple[int, tuple]:
+        at, own, due = row
+        target = 1 if own <= 1 else max(own + 1, due - made)
+        return made + target, (at, target)
 
-    return rows.select(*by, F.inline(fold(F.col("_rows"), start, step, lambda a: a["out"])))
+    return ordered_fold(rows, by, [order], ["_n", "_share"], step, f"`{order}` long, target long", 0)
 
 
 def expected_frames(n: Column, factor: int, override: Column | None = None) -> Column:
@@ -172,7 +187,7 @@ def timestamp_collisions(df: DataFrame, by: Names, order: str, dur: str, rate: f
     """``collisions`` of neighbours whose start truncates to the same tick, 0 with a bad duration,
     and ``time_base``, a rate that avoids them."""
     bad = ~finite(F.col(dur)) | (F.col(dur) <= 0)
-    rows = cumulative_times(df, by, order, dur).withColumns({"_tick": F.floor(F.col("pts") * rate), "_bad": bad})
+    rows = start_times(df, by, order, dur).withColumns({"_tick": F.floor(F.col("pts") * rate), "_bad": bad})
     same = rows.withColumn("_same", F.col("_tick") == F.lag("_tick").over(over(by, [order])))
     out = same.groupBy(*by).agg(F.count_if("_same").alias("n"), F.bool_or("_bad").alias("bad"), F.min(F.when(F.col(dur) > 0, F.col(dur))).alias("least"))
     base = F.ceil(F.greatest(F.lit(float(rate)), 2 / F.col("least")))
@@ -187,22 +202,27 @@ def run_length(df: DataFrame, by: Names, order: str, value: str) -> DataFrame:
 
 
 def run_length_within(df: DataFrame, by: Names, order: str, value: str, tolerance: float = 1e-5, max_runs: int = 400) -> DataFrame:
-    """Runs of values within the tolerance of the run's first; keys with more runs than allowed have
-    none. A run depends on where the last one began, so this is a fold."""
+    """Runs of values nearer than the tolerance to the run's first, as durations have them: ``start``,
+    ``stop``, ``value`` and ``offset``, the time before the run. Keys with more runs than allowed, or
+    with a value that is not finite or not positive, have none. A run depends on where the last
+    one began, so this is a fold."""
     kind = "array<struct<start:long,stop:long,value:double>>"
     start = F.struct(F.lit(None).cast("double").alias("head"), F.array().cast(kind).alias("runs"))
 
     def step(acc: Column, r: Column) -> Column:
         v, at = r[value].cast("double"), r[order].cast("long")
-        same = F.coalesce(F.abs(v - acc["head"]) <= tolerance, F.lit(False))
+        same = F.coalesce(F.abs(v - acc["head"]) < tolerance, F.lit(False))
         n = F.size(acc["runs"])
         lone = F.array(F.struct(at.alias("start"), (at + 1).alias("stop"), v.alias("value")))
         last = item(acc["runs"], n - 1)
         longer = F.concat(F.slice(acc["runs"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), (at + 1).alias("stop"), last["value"].alias("value"))))
         return F.when(n > max_runs, acc).otherwise(F.struct(F.when(same, acc["head"]).otherwise(v).alias("head"), F.when(same, longer).otherwise(F.concat(acc["runs"], lone)).alias("runs")))
 
-    rows = gathered(df, by, [order], [value]).select(*by, fold(F.col("rows"), start, step, lambda a: a["runs"]).alias("runs"))
-    return rows.where(F.size("runs") <= max_runs).select(*by, F.inline("runs"))
+    rows = gathered(df, by, [order], [value]).where(~F.exists("rows", lambda r: ~finite(r[value].cast("double")) | (r[value] <= 0)))
+    rows = rows.select(*by, fold(F.col("rows"), start, step, lambda a: a["runs"]).alias("runs"))
+    runs = rows.where(F.size("runs") <= max_runs).select(*by, F.inline("runs"))
+    before = over(by, ["start"]).rowsBetween(Window.unboundedPreceding, -1)
+    return runs.withColumn("offset", F.coalesce(F.sum(F.col("value") * (F.col("stop") - F.col("start"))).over(before), F.lit(0.0)))
 
 
 def interp_layout(df: DataFrame, by: Names, order: str, target: Column, pairs: Column) -> DataFrame:
@@ -224,10 +244,16 @@ def segment_size(free_kb: Column, per_frame: Column, factor: Column) -> Column:
 
 
 def assign_batch(df: DataFrame, by: Names, order: str, sizes: DataFrame, number: str, size: str) -> DataFrame:
-    """The batch that holds each frame, if batches of given sizes follow each other."""
-    w = over([], [number]) if not by else over(by, [number])
-    ends = sizes.withColumn("_stop", F.sum(size).over(w)).withColumn("_start", F.col("_stop") - F.col(size))
-    return df.join(ends.select(*by, number, "_start", "_stop"), list(by)).where((F.col(order) >= F.col("_start")) & (F.col(order) < F.col("_stop"))).drop("_start", "_stop")
+    """``number`` of the batch that holds each frame, if batches of given sizes follow each other;
+    frames past the last batch are left out."""
+    w = over(by, [number])
+    names = [c for c in df.columns if c != number]
+    ends = sizes.withColumn("_stop", F.sum(size).over(w)).withColumn("_start", F.col("_stop") - F.col(size)).where(F.col(size) > 0)
+    # Batches and frames in one order, the last batch that began carried on.
+    begun = ends.select(*[F.col(c) if c in by else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names], F.col("_start").cast("double").alias("_at"), F.lit(0).alias("_frame"), F.struct(number, "_stop").alias("_batch"))
+    rows = df.select(*names, F.col(order).cast("double").alias("_at"), F.lit(1).alias("_frame"), F.lit(None).cast(begun.schema["_batch"].dataType).alias("_batch"))
+    carried = begun.unionByName(rows).withColumn("_batch", F.last("_batch", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_at", "_frame")))
+    return carried.where((F.col("_frame") == 1) & (F.col("_at") < F.col("_batch._stop"))).select(*names, F.col(f"_batch.{number}").alias(number))
 
 
 def spread_sample(df: DataFrame, by: Names, order: str, need: int) -> DataFrame:

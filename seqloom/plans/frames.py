@@ -82,20 +82,22 @@ def s08(spark, sf):
     return op.near_black(samples(spark, sf), ["grid_id"])
 
 
-@query("s09_band_black", f"SELECT grid_id, bool_or(dark) AS band_dark FROM ({_dark(extra=', CASE WHEN y < 2 THEN 0 WHEN y < 5 THEN 1 ELSE 2 END AS band')}) GROUP BY grid_id")
+@query("s09_band_black", """b AS (SELECT grid_id, CASE WHEN y < 2 THEN 0 WHEN y < 5 THEN 1 ELSE 2 END AS band, count(*) AS n, count(*) FILTER (r + g + b - 380 < 24) AS dark FROM v_rgb WHERE r + g + b - 380 < 250 GROUP BY ALL)
+SELECT grid_id, sum(n) >= 64 AND bool_or(dark >= 0.95 * n) AS band_dark FROM b GROUP BY grid_id""")
 def s09(spark, sf):
-    return op.band_black(samples(spark, sf), ["grid_id"], 8)
+    """Samples near white are missing, and frames that lack any are not called dark."""
+    return op.band_black(samples(spark, sf).where("sum_rgb < 250"), ["grid_id"], 8, 8)
 
 
 @query("s10_defective_frame", _defect(420))
 def s10(spark, sf):
-    return op.defective_frames(samples(spark, sf, 420), ["grid_id"], 8)
+    return op.defective_frames(samples(spark, sf, 420), ["grid_id"], 8, 8)
 
 
 @query("s11_silent_failure", f"SELECT o.grid_id FROM ({_defect(430)}) o JOIN ({_defect(400)}) i USING (grid_id) WHERE o.defective AND NOT i.defective")
 def s11(spark, sf):
-    made = op.defective_frames(samples(spark, sf, 430), ["grid_id"], 8)
-    return op.silent_failures(op.defective_frames(samples(spark, sf, 400), ["grid_id"], 8), made, ["grid_id"])
+    made = op.defective_frames(samples(spark, sf, 430), ["grid_id"], 8, 8)
+    return op.silent_failures(op.defective_frames(samples(spark, sf, 400), ["grid_id"], 8, 8), made, ["grid_id"])
 
 
 @query("s12_sample_grid", """SELECT p_partkey, greatest(4, least(p_size, 40) // 32)::INT AS step, len(range(step, 40, step))::INT AS rows, gy::INT AS gy, gx::INT AS gx
@@ -160,10 +162,14 @@ def s16(spark, sf):
     return op.flicker(cells, ["clip_id", "burst"]).join(size, ["clip_id", "burst"], "left_semi").select("clip_id", "burst", r6("flicker").alias("flicker"))
 
 
-@query("s16_noise_probe", f"""{GRAIN}, {BLOCK}, {FLICK}, g AS (SELECT clip_id, avg(grain) AS grain, avg(blocking) AS blocking, count(*) AS n_frames FROM v_frames JOIN gr USING (grid_id) JOIN bl USING (grid_id) GROUP BY clip_id HAVING count(*) >= 3)
-SELECT clip_id, round(grain, 6) AS grain, round(blocking, 6) AS blocking, round((SELECT avg(flicker) FROM fl WHERE fl.clip_id = g.clip_id), 6) AS flicker, n_frames, CASE WHEN grain < 2.2 THEN 0 WHEN grain < 5 THEN 1 ELSE 2 END AS level FROM g""")
+@query("s16_noise_probe", f"""{GRAIN}, {BLOCK}, ok AS (SELECT clip_id, grid_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame_no) - 1 AS i FROM v_frames WHERE list_max(gray) < 240),
+sd AS (SELECT clip_id, i // 5 AS burst, y, x, stddev_pop(v) AS sd, count(*) AS nf FROM v_cells JOIN ok USING (grid_id) GROUP BY ALL), sl AS (SELECT clip_id, burst, list_sort(list(sd))[floor(count(*) * 0.25)::INT + 1] AS cap FROM sd WHERE nf >= 3 GROUP BY ALL),
+fl AS (SELECT clip_id, burst, avg(sd) AS flicker FROM sd JOIN sl USING (clip_id, burst) WHERE sd <= cap GROUP BY ALL),
+g AS (SELECT clip_id, avg(grain) AS grain, avg(blocking) AS blocking, count(*) AS n_frames FROM ok JOIN gr USING (grid_id) JOIN bl USING (grid_id) GROUP BY clip_id HAVING count(*) >= 3)
+SELECT clip_id, round(grain, 6) AS grain, round(blocking, 6) AS blocking, round(coalesce((SELECT avg(flicker) FROM fl WHERE fl.clip_id = g.clip_id), 0.0::DOUBLE), 6) AS flicker, n_frames, CASE WHEN grain < 2.2 THEN 0 WHEN grain < 5 THEN 1 ELSE 2 END AS level FROM g""")
 def s16b(spark, sf):
-    return op.noise_probe(frame_cells(spark, sf), KEY, NO, burst=5, block=4).select("clip_id", *[r6(c).alias(c) for c in ("grain", "blocking", "flicker")], "n_frames", "level")
+    """Cells near white are missing, and frames that lack any are left out."""
+    return op.noise_probe(frame_cells(spark, sf).where("v < 240"), KEY, NO, 8, 8, burst=5, block=4).select("clip_id", *[r6(c).alias(c) for c in ("grain", "blocking", "flicker")], "n_frames", "level")
 
 
 SSIM = """list_avg(gray) AS ma, list_avg(prev) AS mb"""
@@ -177,6 +183,17 @@ def s17(spark, sf):
     return op.dedup_adjacent(f, KEY, [NO], "gray", 36, 0.1).select("clip_id", NO, "keep")
 
 
-@query("s17_dedup_frames")
+def _like(a, b):
+    """Whether lists a and b of 64 values are one frame: small difference, and similarity over the whole."""
+    ma, mb = f"list_avg({a})", f"list_avg({b})"
+    cov = f"(list_sum(list_transform(range(1, 65), lambda i: {a}[i] * {b}[i]))::DOUBLE / 64 - {ma} * {mb})"
+    return f"""list_sum(list_transform(range(1, 65), lambda i: abs({a}[i] - {b}[i])))::DOUBLE / 64 < 36 AND
+ (2 * {ma} * {mb} + 6.5025) * (2 * {cov} + 58.5225) / (({ma} * {ma} + {mb} * {mb} + 6.5025) * (list_var_pop({a}) + list_var_pop({b}) + 58.5225)) >= 0.1"""
+
+
+@query("s17_dedup_frames", f"""n AS MATERIALIZED (SELECT clip_id, frame_no, gray, frame_no = max(frame_no) OVER (PARTITION BY clip_id) AS tail FROM v_frames),
+f AS (SELECT clip_id, frame_no, gray AS held, true AS keep FROM n WHERE frame_no = 0
+ UNION ALL SELECT clip_id, frame_no, CASE WHEN keep THEN gray ELSE held END, keep FROM (SELECT n.clip_id, n.frame_no, n.gray, f.held, n.tail OR NOT ({_like('n.gray', 'f.held')}) AS keep FROM f JOIN n ON n.clip_id = f.clip_id AND n.frame_no = f.frame_no + 1))
+SELECT clip_id, frame_no, keep FROM f""")
 def s17b(spark, sf):
     return op.dedup_frames(fx.frames(spark, sf), KEY, NO, "gray", 36, 0.1)

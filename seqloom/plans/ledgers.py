@@ -9,11 +9,11 @@ from ..operators import ledgers as op
 from ..sources import fixtures as fx
 from .registry import query
 
-EXT = "|".join(op.IMAGE_EXTENSIONS)
+EXT = "png|jpg|jpeg|webp|bmp|tif|tiff"
 STEM = f"regexp_replace(lower(regexp_extract(path, '([^/\\\\]*)$', 1)), '(\\.({EXT}))+$', '')"
 
 
-@query("l01_missing_outputs", f"SELECT {STEM} AS stem, path FROM v_inputs WHERE {STEM} NOT IN (SELECT {STEM} FROM v_outputs)")
+@query("l01_missing_outputs", f"SELECT {STEM} AS stem, path FROM v_inputs WHERE {STEM} NOT IN (SELECT {STEM} FROM v_outputs WHERE regexp_matches(lower(path), '\\.({EXT})$'))")
 def l01(spark, sf):
     return op.missing_outputs(fx.inputs(spark, sf), fx.outputs(spark, sf)).select("stem", "path")
 
@@ -29,9 +29,10 @@ def l02(spark, sf):
     return out.withColumn("problem", F.when(F.col("problem").isin("absent", "empty"), "bad").otherwise(F.col("problem")))
 
 
-@query("l03_two_point_cost", "s AS (SELECT *, (tn - t1) / (n - 1) AS slope FROM v_prices) SELECT seq, round(slope, 6) AS slope, round(t1 - slope, 6) AS floor, round(slope * 2073600 / pixels, 6) AS at_reference FROM s")
+@query("l03_two_point_cost", "s AS (SELECT *, (tn - t1) / (n - 1) AS slope FROM v_prices) SELECT seq, round(slope, 6) AS slope, round(t1 - slope, 6) AS floor, round(CASE WHEN backend = 'unknown' THEN slope ELSE slope * 2073600 / pixels END, 6) AS at_reference FROM s")
 def l03(spark, sf):
-    slope, floor, ref = op.two_point_cost(F.col("t1"), F.col("tn"), F.col("n"), F.col("pixels"))
+    pixels = F.when(F.col("backend") == "unknown", 0).otherwise(F.col("pixels"))
+    slope, floor, ref = op.two_point_cost(F.col("t1"), F.col("tn"), F.col("n"), pixels)
     return fx.prices(spark, sf).select("seq", r6(slope).alias("slope"), r6(floor).alias("floor"), r6(ref).alias("at_reference"))
 
 
@@ -52,15 +53,15 @@ def l05(spark, sf):
     return op.upsert_latest(p.where("seq % 3 <> 0"), p.where("seq % 3 = 0"), KEYS, "seq").select(*KEYS, "seq")
 
 
-@query("l06_resolve_measure", """a AS (SELECT seq AS ask_id, model, scale, CASE WHEN seq % 4 = 0 THEN '99' ELSE machine END AS machine, CASE WHEN seq % 10 = 1 THEN NULL ELSE backend END AS backend FROM v_prices WHERE seq % 7 = 0),
-b AS (SELECT * FROM v_prices WHERE seq % 50 = 3),
+@query("l06_resolve_measure", """a AS (SELECT seq AS ask_id, model, CASE WHEN seq % 11 = 0 THEN 9 ELSE scale END AS scale, CASE WHEN seq % 4 = 0 THEN '99' ELSE machine END AS machine, CASE WHEN seq % 10 = 1 THEN NULL ELSE backend END AS backend FROM v_prices),
+b AS (SELECT * FROM v_prices QUALIFY row_number() OVER (PARTITION BY model, scale, machine, backend ORDER BY measured_at DESC, seq DESC) = 1),
 j AS (SELECT a.*, b.seq, b.measured_at, b.machine = a.machine AS m, (a.backend IS NULL OR (a.backend <> 'unknown' AND b.backend = a.backend)) AND b.machine IS NOT NULL AS k, round(b.t1, 6) AS v FROM a LEFT JOIN b ON a.model = b.model AND a.scale = b.scale),
 g AS (SELECT ask_id, arg_max(v, (measured_at, seq)) FILTER (m AND k) AS found, coalesce(bool_or(NOT m AND k), false) AS om, coalesce(bool_or(m AND NOT k), false) AS ob FROM j GROUP BY ask_id)
 SELECT ask_id, found, CASE WHEN found IS NOT NULL THEN '' WHEN om THEN 'machine' WHEN ob THEN 'backend' ELSE 'none' END AS other FROM g""")
 def l06(spark, sf):
     p = fx.prices(spark, sf)
-    asks = p.where("seq % 7 = 0").select(F.col("seq").alias("ask_id"), "model", "scale", F.when(F.col("seq") % 4 == 0, "99").otherwise(F.col("machine")).alias("machine"), F.when(F.col("seq") % 10 != 1, F.col("backend")).alias("backend"))
-    return op.resolve_measure(asks, p.where("seq % 50 = 3").withColumn("t1", r6("t1")), "t1")
+    asks = p.select(F.col("seq").alias("ask_id"), "model", F.when(F.col("seq") % 11 == 0, 9).otherwise(F.col("scale")).alias("scale"), F.when(F.col("seq") % 4 == 0, "99").otherwise(F.col("machine")).alias("machine"), F.when(F.col("seq") % 10 != 1, F.col("backend")).alias("backend"))
+    return op.resolve_measure(asks, p.withColumn("t1", r6("t1")), "t1")
 
 
 @query("l07_perf_history", """r AS (SELECT model AS engine, scale, backend AS flag, seq, measured_at AS at, pixels / 1e6::DOUBLE AS area, seq % 5 AS version, tn AS seconds, n AS frames FROM v_prices)
@@ -76,16 +77,14 @@ def l08(spark, sf):
     return op.strike_streak(fx.attempts(spark, sf), ["key"], ["at", "seq"], limit=2)
 
 
-@query("l09_verdict_state", """n AS (SELECT key, at, ok, note = 'purchase' AS deny, row_number() OVER (PARTITION BY key ORDER BY at, seq) AS i FROM v_attempts),
-f AS (SELECT key, i, at, ok, CASE WHEN ok AND NOT deny THEN 0 WHEN deny THEN 3 ELSE 1 END AS failures FROM (SELECT key, i, at, ok, deny FROM n WHERE i = 1)
- UNION ALL SELECT n.key, n.i, n.at, n.ok, CASE WHEN n.ok AND NOT n.deny THEN 0 WHEN n.deny THEN 3 WHEN n.at - f.at BETWEEN 0 AND 604800 THEN f.failures + 1 ELSE 1 END FROM f JOIN n ON n.key = f.key AND n.i = f.i + 1)
-SELECT key, failures, at, ok, failures >= 3 AS denied FROM f WHERE i = (SELECT max(i) FROM n WHERE n.key = f.key) AND 1706660000 - at BETWEEN 0 AND 604800""")
+@query("l09_verdict_state", """n AS (SELECT key, at, note <> 'error' AND note <> 'purchase' AS ok, note = 'purchase' AS deny, row_number() OVER (PARTITION BY key ORDER BY at, seq) AS i FROM v_attempts WHERE note <> 'signup'),
+f AS (SELECT key, i, at, ok, CASE WHEN ok THEN 0 WHEN deny THEN 3 ELSE 1 END AS failures FROM n WHERE i = 1
+ UNION ALL SELECT n.key, n.i, n.at, n.ok, CASE WHEN n.ok THEN 0 WHEN n.deny THEN 3 WHEN NOT f.ok AND n.at - f.at BETWEEN 0 AND 604800 THEN f.failures + 1 ELSE 1 END FROM f JOIN n ON n.key = f.key AND n.i = f.i + 1)
+SELECT key, failures, at, ok, NOT ok AND failures >= 3 AS denied FROM f WHERE i = (SELECT max(i) FROM n WHERE n.key = f.key) AND 1706660000 - at BETWEEN 0 AND CASE WHEN ok THEN 86400 ELSE 604800 END""")
 def l09(spark, sf):
-    deny = F.col("note") == "purchase"
-    rows = fx.attempts(spark, sf)
-    folded = op.verdict_state(rows.withColumn("ok", F.col("ok") & ~deny), ["key"], ["at", "seq"], F.lit(1_706_660_000), 604_800, 3, deny)
-    last = rows.groupBy("key").agg(F.max_by("ok", F.struct("at", "seq")).alias("ok"))
-    return folded.drop("ok").join(last, "key").select("key", "failures", "at", "ok", "denied")
+    """Failures live for a week, successes for a day; attempts without a device are not booked."""
+    rows = fx.attempts(spark, sf).withColumn("device", F.when(F.col("note") == "signup", -1).otherwise(0))
+    return op.verdict_state(rows, ["key"], ["at", "seq"], F.lit(1_706_660_000), 604_800, 3, F.col("note") == "purchase", 86_400, "device").select("key", "failures", "at", "ok", "denied")
 
 
 @query("l10_all_or_unknown", "SELECT c_custkey, bool_and(o_orderstatus <> 'P') AS \"all\" FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
@@ -94,21 +93,23 @@ def l10(spark, sf):
     return op.all_or_unknown(flags, ["c_custkey"], "f")
 
 
-@query("l11_verdict_lookup", """v AS (SELECT model AS engine, machine AS device, CASE WHEN scale = 1 THEN '' ELSE scale::VARCHAR END AS model, bool_and(seq % 3 <> 0) AS ok FROM v_prices WHERE seq % 40 < 2 GROUP BY ALL),
-a AS (SELECT seq, model AS engine, machine AS device, scale::VARCHAR AS model FROM v_prices WHERE seq % 5 = 0)
+@query("l11_verdict_lookup", """v AS (SELECT model AS engine, machine AS device, CASE WHEN scale = 1 THEN '' ELSE scale::VARCHAR END AS model, max(seq) % 3 <> 0 AS ok FROM v_prices WHERE machine <> '5' AND scale <> 3 GROUP BY ALL),
+a AS (SELECT seq, model AS engine, machine AS device, scale::VARCHAR AS model FROM v_prices)
 SELECT a.seq, coalesce(e.ok, w.ok) AS verdict FROM a LEFT JOIN v e ON e.engine = a.engine AND e.device = a.device AND e.model = a.model AND e.model <> '' LEFT JOIN v w ON w.engine = a.engine AND w.device = a.device AND w.model = ''""")
 def l11(spark, sf):
     p = fx.prices(spark, sf)
     named = lambda model: [F.col("model").alias("engine"), F.col("machine").alias("device"), model.alias("model")]
-    verdicts = p.where("seq % 40 < 2").select(*named(F.when(F.col("scale") == 1, "").otherwise(F.col("scale").cast("string"))), (F.col("seq") % 3 != 0).alias("ok"))
-    verdicts = verdicts.groupBy("engine", "device", "model").agg(F.bool_and("ok").alias("ok"))
-    asks = p.where("seq % 5 = 0").select("seq", *named(F.col("scale").cast("string")))
+    # One machine and one scale have no verdicts; those of scale 1 are the engine's.
+    verdicts = p.where("machine <> '5' AND scale <> 3").select(*named(F.when(F.col("scale") == 1, "").otherwise(F.col("scale").cast("string"))), "seq")
+    verdicts = verdicts.groupBy("engine", "device", "model").agg((F.max("seq") % 3 != 0).alias("ok"))
+    asks = p.select("seq", *named(F.col("scale").cast("string")))
     return op.verdict_lookup(asks, verdicts).select("seq", "verdict")
 
 
-AVG = "CASE WHEN done >= 4 AND elapsed >= 1 THEN (total - done) * elapsed / done ELSE -1.0::DOUBLE END"
+AVG = "CASE WHEN done >= 4 AND elapsed >= 1 AND done < total THEN (total - done) * elapsed / done ELSE -1.0::DOUBLE END"
 ETA = f"""q AS (SELECT *, lag(done, 5) OVER w AS d0, lag(elapsed, 5) OVER w AS t0, {AVG} AS av FROM v_progress WINDOW w AS (PARTITION BY job ORDER BY done)),
-e AS (SELECT *, CASE WHEN av < 0 THEN -1.0::DOUBLE WHEN done > d0 AND elapsed > t0 THEN av * (1 - 0.8::DOUBLE * least(1, done / 60)) + (total - done) * (elapsed - t0) / (done - d0) * (0.8::DOUBLE * least(1, done / 60)) + 30 ELSE av + 30 END AS eta FROM q)"""
+x AS (SELECT *, done / elapsed AS overall, CASE WHEN d0 > 0 AND d0 < done AND t0 > 0.2 AND elapsed > t0 THEN (done - d0) / (elapsed - t0) END AS recent, 0.8::DOUBLE * least(1, done / 60) AS w FROM q),
+e AS (SELECT *, CASE WHEN av < 0 THEN -1.0::DOUBLE ELSE (total - done) / coalesce(w * recent + (1 - w) * overall, overall) + 30 END AS eta FROM x)"""
 
 
 @query("l12_eta_average", f"SELECT job, done, round({AVG}, 3) AS eta FROM v_progress")
@@ -141,14 +142,32 @@ def l15(spark, sf):
     return op.sum_by_owner(fx.table(spark, sf, "supplier"), "s_name", "s_acctbal", "0*([0-9]?[0-9])[0-9]$", 50_000).withColumns({"used": r6("used"), "free": r6("free")})
 
 
-@query("l16_missing_fuzzy", """a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name || ' Ltd' ELSE upper(c_name) END AS name FROM customer), b AS (SELECT c_name AS name FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT n_name FROM nation UNION ALL SELECT s_name FROM supplier)
-SELECT id, name FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE lower(a.name) = lower(b.name) OR (length(b.name) >= 8 AND length(a.name) >= 8 AND (contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name)))))
-AND NOT EXISTS (SELECT 1 FROM a x WHERE x.id < a.id AND length(x.name) >= 8 AND (contains(lower(a.name), lower(x.name)) OR contains(lower(x.name), lower(a.name))))""")
+# Names of every kind: equal short ones, chains of which the middle one holds both ends, holders of
+# known names, blank ones.
+CARDS = """CASE c_custkey % 6 WHEN 0 THEN c_name || ' Ltd' WHEN 1 THEN upper(c_name) WHEN 2 THEN 'Card ' || (c_custkey % 7) WHEN 3 THEN 'Alpha-' || (c_custkey // 6) || '-Beta ' WHEN 4 THEN 'alpha-' || (c_custkey // 6) || '-beta gamma-' || (c_custkey // 6) || '-delta'
+    ELSE CASE WHEN c_mktsegment = 'BUILDING' THEN ' ' ELSE 'Gamma-' || (c_custkey // 6) || '-Delta' END END"""
+
+
+@query("l16_missing_fuzzy", f"""a AS (SELECT id, trim(name) AS name, lower(trim(name)) AS k FROM (SELECT c_custkey AS id, {CARDS} AS name FROM customer) WHERE trim(name) <> ''),
+b AS (SELECT DISTINCT lower(name) AS k FROM (SELECT c_name AS name FROM customer WHERE c_acctbal > 3000 UNION ALL SELECT n_name FROM nation UNION ALL SELECT s_name FROM supplier) WHERE length(name) >= 8),
+o AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE length(a.k) >= 8 AND (contains(a.k, b.k) OR contains(b.k, a.k)))),
+g AS (SELECT i, id, name, k, true AS kept, [k] AS seen FROM o WHERE i = 1
+ UNION ALL SELECT o.i, o.id, o.name, o.k, length(o.k) < 8 OR NOT list_bool_or(list_transform(g.seen, lambda s: contains(s, o.k) OR contains(o.k, s))),
+ CASE WHEN length(o.k) < 8 OR list_bool_or(list_transform(g.seen, lambda s: contains(s, o.k) OR contains(o.k, s))) THEN g.seen ELSE list_append(g.seen, o.k) END FROM g JOIN o ON o.i = g.i + 1)
+SELECT id, name FROM g WHERE kept""")
 def l16(spark, sf):
     c = fx.table(spark, sf, "customer")
-    a = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit(" Ltd"))).otherwise(F.upper("c_name")).alias("name"))
-    b = c.where("c_custkey % 4 = 0").select(F.col("c_name").alias("name"))
-    others = [b, fx.table(spark, sf, "nation").select(F.col("n_name").alias("name")), fx.table(spark, sf, "supplier").select(F.col("s_name").alias("name"))]
+    key, group = F.col("c_custkey"), F.expr("cast(c_custkey div 6 AS string)")
+    kinds = [
+        F.concat("c_name", F.lit(" Ltd")),
+        F.upper("c_name"),
+        F.concat(F.lit("Card "), (key % 7).cast("string")),
+        F.concat(F.lit("Alpha-"), group, F.lit("-Beta ")),
+        F.concat(F.lit("alpha-"), group, F.lit("-beta gamma-"), group, F.lit("-delta")),
+        F.when(F.col("c_mktsegment") == "BUILDING", " ").otherwise(F.concat(F.lit("Gamma-"), group, F.lit("-Delta"))),
+    ]
+    a = c.select(key.alias("id"), F.element_at(F.array(*kinds), (key % 6 + 1).cast("int")).alias("name"))
+    others = [c.where("c_acctbal > 3000").select(F.col("c_name").alias("name")), fx.table(spark, sf, "nation").select(F.col("n_name").alias("name")), fx.table(spark, sf, "supplier").select(F.col("s_name").alias("name"))]
     return op.missing_fuzzy(a, others, "name", "id").select("id", "name")
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.core import over
 from ..operators import frames as fr
 from ..sources import fixtures as fx
+from ..sources.scratch import shared_folder, staged
 from ..streaming import stateful as op
+from .ledgers import ETA
 from .registry import query
 
 
@@ -16,11 +18,19 @@ def events(spark, sf):
     return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
 
 
-def streamed(spark, rows, name):
-    """A table that Spark made, read as a stream: for rows that take windows to make."""
-    path = f"{op._folder(spark)}/{name}"
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+def streamed(spark, rows, name, part):
+    """A table that Spark made, read as a stream of three micro-batches: rows whose ``part`` is 0, 1 and
+    2, in this order. For rows that take windows to make."""
+    path = shared_folder(spark, name)
+    rows = staged(rows.withColumn("_part", part), name)
+    for k in range(3):
+        rows.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def third(by, order):
+    """Which third of its key a row lies in."""
+    return F.ntile(3).over(over(by, order)) - 1
 
 
 def smooth_rows(spark, sf):
@@ -35,7 +45,7 @@ f AS (SELECT clip_id, pos, frame_no, v AS o, v AS raw FROM a WHERE frame_no = 0
 SELECT clip_id, pos, frame_no::BIGINT AS frame_no, round(o, 6) AS v FROM f""")
 def t01(spark, sf):
     start, state, out = op.SMOOTH
-    stream = streamed(spark, smooth_rows(spark, sf), "cells")
+    stream = streamed(spark, smooth_rows(spark, sf), "cells", third(["clip_id", "pos"], ["frame_no"]))
     return op.drained(op.keyed_fold(stream, ["clip_id", "pos"], ["frame_no"], start, op.smooth_step(70), state, out)).withColumn("v", F.round("v", 6))
 
 
@@ -45,21 +55,33 @@ f AS (SELECT key, i, at, seq, CASE WHEN ok THEN 0 ELSE 1 END AS failures FROM n
 SELECT key, seq, failures::INT AS failures, failures >= 2 AS denied FROM f""")
 def t02(spark, sf):
     start, state, out = op.VERDICT
-    rows = events(spark, sf).select(F.col("user_id").cast("string").alias("key"), F.floor(fx.seconds("ts")).alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), F.col("ts").cast("timestamp").alias("time"))
+    days = fx.table(spark, sf, "events")
+    rows = streamed(spark, days, "events", F.expr("least(2, (day(ts) - 1) div 10)")).select(F.col("user_id").cast("string").alias("key"), F.floor(fx.seconds("ts")).alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), F.col("ts").cast("timestamp").alias("time"))
     folded = op.keyed_fold(rows.withWatermark("time", "7 days"), ["key"], ["at", "seq"], start, op.verdict_step(604_800, 2), state, out, keep_ms=604_800_000, time="time")
     return op.drained(folded)
 
 
 def requests(spark, sf):
+    """Tenths of hours stand for milliseconds, so that steps as long as the limits occur. Positions may
+    be missing, targets may be negative."""
     w = over(["user_id"], ["ts"])
-    e = fx.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.floor(fx.seconds("ts") / 100).alias("at_ms"), F.col("event_id").alias("seq"), F.when(F.col("event_type") != "view", F.col("value")).alias("target"), F.lag("value", 2).over(w).alias("pos"))
-    return e
-
-
-@query("t03_coalesce_requests_stream")
+    pos = F.when(F.col("event_type").isin("purchase", "signup"), F.lag("value", 2).over(w))
+    return fx.table(spark, sf, "events").select(F.col("user_id").alias("key"), (F.floor(fx.seconds("ts") / 3600) * 10).alias("at_ms"), F.col("event_id").alias("seq"), F.when(F.col("event_type") != "view", F.col("value") - 20).alias("target"), pos.alias("pos"))
+
+
+@query("t03_coalesce_requests_stream", """r AS (SELECT user_id AS key, floor(epoch_us(ts) / 1e6 / 3600)::BIGINT * 10 AS t, event_id, CASE WHEN event_type <> 'view' THEN value - 20 END AS target,
+ CASE WHEN event_type IN ('purchase', 'signup') THEN lag(value, 2) OVER (PARTITION BY user_id ORDER BY ts) END AS pos FROM events),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, event_id) AS i FROM r),
+f AS (SELECT key, i, t, target IS NOT NULL AS ran, CASE WHEN target IS NOT NULL THEN t END AS last, target IS NOT NULL AS busy, greatest(0.0::DOUBLE, target) AS goal, coalesce(pos, -1.0::DOUBLE) AS began, NULL::DOUBLE AS parked FROM n WHERE i = 1
+ UNION ALL SELECT key, i, t, ran, CASE WHEN ran THEN t ELSE last END, busy OR ran, CASE WHEN ran THEN greatest(0.0::DOUBLE, parked) ELSE goal END, CASE WHEN ran THEN coalesce(pos, -1.0::DOUBLE) ELSE began END, CASE WHEN NOT ran THEN parked END FROM (
+ SELECT *, parked IS NOT NULL AND NOT busy AND (last IS NULL OR t - last >= 110) AS ran FROM (
+ SELECT n.key, n.i, n.t, n.pos, f.last, f.goal, f.began, coalesce(n.target, f.parked) AS parked,
+ f.busy AND NOT (n.t - f.last > 900 OR coalesce(abs(n.pos - f.goal) < 0.35 OR (f.began >= 0 AND abs(n.pos - f.began) > 0.05), false)) AS busy FROM f JOIN n ON n.key = f.key AND n.i = f.i + 1)))
+SELECT key, t AS at_ms, goal AS ran FROM f WHERE ran""")
 def t03(spark, sf):
     start, state, out = op.COALESCE
-    return op.drained(op.keyed_fold(streamed(spark, requests(spark, sf), "requests"), ["key"], ["at_ms", "seq"], start, op.coalesce_step(), state, out))
+    stream = streamed(spark, requests(spark, sf), "requests", third(["key"], ["at_ms", "seq"]))
+    return op.drained(op.keyed_fold(stream, ["key"], ["at_ms", "seq"], start, op.coalesce_step(), state, out))
 
 
 @query("t04_latest_per_key_stream", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
@@ -68,11 +90,12 @@ def t04(spark, sf):
     return out.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("s")).select("user_id", "s.*")
 
 
-@query("t05_live_eta_stream", """e AS (SELECT job, done, CASE WHEN done >= 4 AND elapsed >= 1 THEN (total - done) * elapsed / done ELSE -1.0::DOUBLE END AS eta, (total - done) * 9000.0::DOUBLE AS floor FROM v_progress),
-s AS (SELECT job, done, CASE WHEN eta >= 0 THEN greatest(eta, floor) END AS shown FROM e WHERE done = 1 UNION ALL
- SELECT e.job, e.done, CASE WHEN eta < 0 THEN s.shown WHEN s.shown IS NULL THEN greatest(eta, floor) ELSE greatest(least(s.shown, eta), floor) END FROM s JOIN e ON e.job = s.job AND e.done = s.done + 1)
+@query("t05_live_eta_stream", f"""{ETA}, fl AS (SELECT job, done, eta, (total - done) * 9000.0::DOUBLE AS floor FROM e),
+s AS (SELECT job, done, CASE WHEN eta >= 0 THEN greatest(eta, floor) END AS shown FROM fl WHERE done = 1 UNION ALL
+ SELECT fl.job, fl.done, CASE WHEN eta < 0 THEN s.shown WHEN s.shown IS NULL THEN greatest(eta, floor) ELSE greatest(least(s.shown, eta), floor) END FROM s JOIN fl ON fl.job = s.job AND fl.done = s.done + 1)
 SELECT job, done, round(shown, 3) AS shown FROM s""")
 def t05(spark, sf):
     start, state, out = op.ETA
     rows = fx.progress(spark, sf).withColumn("floor", (F.col("total") - F.col("done")) * 9000.0)
-    return op.drained(op.keyed_fold(streamed(spark, rows, "progress"), ["job"], ["done"], start, op.eta_step(), state, out)).withColumn("shown", F.round("shown", 3))
+    stream = streamed(spark, rows, "progress", third(["job"], ["done"]))
+    return op.drained(op.keyed_fold(stream, ["job"], ["done"], start, op.eta_step(5, 30.0), state, out)).withColumn("shown", F.round("shown", 3))

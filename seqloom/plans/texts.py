@@ -12,14 +12,19 @@ from ..sources import fixtures as fx
 from .registry import query
 
 
-@query("a01_media_catalog", """p AS (SELECT 'root/' || lang || '/' || source || CASE WHEN doc_id % 11 = 0 THEN '/a/b/c/d/e/f/' ELSE '/' END || (doc_id // 2)::VARCHAR || CASE doc_id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.png' WHEN 2 THEN '.txt' ELSE '.jpeg' END AS path, n_chars FROM documents),
-d AS (SELECT path, n_chars AS length, (len(string_split(path, '/')) - 2)::INT AS depth, lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM p WHERE regexp_matches(lower(path), '\\.(png|jpeg)$'))
-SELECT path, depth, dir, name FROM d WHERE depth <= 6 QUALIFY row_number() OVER (PARTITION BY lower(path) ORDER BY path) = 1 ORDER BY depth, dir, lower(name), path LIMIT 200""")
+@query("a01_media_catalog", """p AS (SELECT CASE WHEN doc_id = 2 THEN 'root/named.txt' ELSE 'root/' || lang || CASE WHEN doc_id % 5 = 0 THEN '-b/' ELSE '/' END || source || CASE WHEN doc_id % 11 = 0 THEN '/a/b/c/d/e/f/' ELSE '/' END || (doc_id // 2)::VARCHAR || ['.PNG', '.png', '.txt', '.jfif', '.avif'][1 + doc_id % 5] END AS path FROM documents),
+r AS (SELECT path, CASE WHEN starts_with(path, 'root/fr/') THEN 0 WHEN path = 'root/named.txt' THEN 1 WHEN starts_with(path, 'root/') THEN 2 END AS root FROM p),
+d AS (SELECT path, root, (CASE root WHEN 0 THEN len(string_split(path, '/')) - 3 WHEN 1 THEN 0 ELSE len(string_split(path, '/')) - 2 END)::INT AS depth, lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM r),
+e AS (SELECT * FROM d WHERE root = 1 OR depth <= 6 AND regexp_matches(lower(path), '\\.(png|jfif|avif)$') QUALIFY row_number() OVER (PARTITION BY upper(path) ORDER BY path) = 1)
+SELECT path, depth, dir, name FROM e ORDER BY root, depth, string_split(upper(dir), '/'), upper(name), path LIMIT 200""")
 def a01(spark, sf):
-    ending = F.element_at(F.array(F.lit(".PNG"), F.lit(".png"), F.lit(".txt"), F.lit(".jpeg")), (F.col("doc_id") % 4 + 1).cast("int"))
-    deep = F.when(F.col("doc_id") % 11 == 0, "/a/b/c/d/e/f/").otherwise("/")
-    files = fx.table(spark, sf, "documents").select(F.concat(F.lit("root/"), "lang", F.lit("/"), "source", deep, F.expr("doc_id div 2").cast("string"), ending).alias("path"), F.col("n_chars").alias("length"))
-    return op.catalog_of(files, ["root"], "image", 200, 6).select("path", "depth", "dir", "name")
+    """Three roots, of which one is a file, in an order of their own."""
+    e = F.col("doc_id")
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".PNG", ".png", ".txt", ".jfif", ".avif")]), (e % 5 + 1).cast("int"))
+    deep = F.when(e % 11 == 0, "/a/b/c/d/e/f/").otherwise("/")
+    path = F.concat(F.lit("root/"), "lang", F.when(e % 5 == 0, "-b/").otherwise("/"), "source", deep, F.expr("doc_id div 2").cast("string"), ending)
+    files = fx.table(spark, sf, "documents").select(F.when(e == 2, "root/named.txt").otherwise(path).alias("path"), F.col("n_chars").alias("length"))
+    return op.catalog_of(files, ["root/fr", "root/named.txt", "root/"], "image", 200, 6).select("path", "depth", "dir", "name")
 
 
 KV_SQL = "kv AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'avg_frame_rate=N/A' WHEN event_id % 4 = 1 THEN 'avg_frame_rate=' ELSE 'avg_frame_rate=' || (event_id % 90) || '/' || (event_id % 3) END AS l1, '  r_frame_rate=' || (event_id % 61) || '/2' AS l2, 'avg_frame_rate=25' AS l3, 'nb_read_frames=' || (event_id % 200) AS l4 FROM events)"
@@ -114,6 +119,21 @@ def a09(spark, sf):
     return op.unique_names(rows, "dir", "name", "doc_id").select("dir", "doc_id", "unique_name")
 
 
+@query("a09_unique_names_taken", """d AS (SELECT lang AS dir, doc_id, source || CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 7 = 0 THEN ' (2).txt' ELSE '.txt' END AS name FROM documents),
+t AS (SELECT DISTINCT lang AS dir, source || '.txt' AS name FROM documents WHERE n_chars > 500 UNION SELECT DISTINCT lang, source || ' (4).txt' FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY dir, name ORDER BY doc_id) AS k FROM d), w AS (SELECT dir, name, max(k) AS most FROM k GROUP BY dir, name),
+u AS (SELECT dir, name FROM t UNION SELECT dir, name FROM d),
+n AS (SELECT w.dir, w.name, i, CASE WHEN i = 1 THEN w.name WHEN ends_with(w.name, '.txt') THEN left(w.name, length(w.name) - 4) || ' (' || i || ').txt' ELSE w.name || ' (' || i || ')' END AS made FROM (SELECT *, unnest(range(1, most + 10)) AS i FROM w) w),
+f AS (SELECT dir, name, made, row_number() OVER (PARTITION BY dir, name ORDER BY i) AS k FROM n WHERE CASE WHEN i = 1 THEN (dir, made) NOT IN (SELECT (dir, name) FROM t) ELSE (dir, made) NOT IN (SELECT (dir, name) FROM u) END)
+SELECT dir, doc_id, made AS unique_name FROM k JOIN f USING (dir, name, k)""")
+def a09b(spark, sf):
+    e = F.col("doc_id")
+    docs = fx.table(spark, sf, "documents")
+    rows = docs.select(F.col("lang").alias("dir"), "doc_id", F.concat("source", F.when(e % 3 == 0, "").when(e % 7 == 0, " (2).txt").otherwise(".txt")).alias("name"))
+    taken = docs.where("n_chars > 500").select(F.col("lang").alias("dir"), F.concat("source", F.lit(".txt")).alias("name")).unionAll(docs.select("lang", F.concat("source", F.lit(" (4).txt"))))
+    return op.unique_names(rows, "dir", "name", "doc_id", taken).select("dir", "doc_id", "unique_name")
+
+
 RULES = [("urgent", "urgent|high"), ("normal", r"\Qmedium\E"), ("unknown", r"not.specified")]
 
 
@@ -130,16 +150,22 @@ def f01b(spark, sf):
     return tx.classify_by_table(part, "p_name", rules, ["p_partkey"])
 
 
-@query("f02_url_parts", """SELECT page_id, lower(regexp_extract(url, '://([^/]*)', 1)) AS host, CASE WHEN f = '' THEN 'index' ELSE f END AS file, coalesce(array_to_string(string_split(regexp_extract(url, '://[^/]*/(.*)$', 1), '/')[2:], '/'), '') AS tail
-FROM (SELECT *, regexp_extract(regexp_replace(url, '[?#].*$', ''), '://[^/]*/(?:.*/)?([^/]*)$', 1) AS f FROM pages)""")
+@query("f02_url_parts", """u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN ' ' || split_part(url, '://', 2) || ' ' WHEN 1 THEN replace(url, '.com/', '.com//a/') ELSE url END AS url FROM pages),
+c AS (SELECT *, strpos(url, '://') AS at FROM u), r AS (SELECT *, CASE WHEN at > 0 THEN substr(url, at + 3) END AS rest FROM c), s AS (SELECT *, strpos(rest, '/') AS slash FROM r),
+p AS (SELECT *, CASE WHEN slash > 0 THEN split_part(split_part(substr(rest, slash), '?', 1), '#', 1) ELSE '' END AS path FROM s), l AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p)
+SELECT page_id, lower(CASE WHEN at = 0 THEN trim(url) WHEN slash > 0 THEN left(rest, slash - 1) ELSE rest END) AS host,
+CASE WHEN path IS NULL OR path = '' OR ends_with(path, '/') THEN 'index' ELSE parts[-1] END AS file, coalesce(array_to_string(parts[2:], '/'), '') AS tail FROM l""")
 def f02(spark, sf):
-    url = F.col("url")
+    """URLs as they are, without a scheme, and with empty parts."""
+    given = F.col("url")
+    bare = F.concat(F.lit(" "), F.split(given, "://")[1], F.lit(" "))
+    url = F.when(F.col("page_id") % 4 == 0, bare).when(F.col("page_id") % 4 == 1, F.replace(given, F.lit(".com/"), F.lit(".com//a/"))).otherwise(given)
     return fx.table(spark, sf, "pages").select("page_id", tx.url_host(url).alias("host"), tx.url_file(url, "index").alias("file"), tx.url_tail(url, 1).alias("tail"))
 
 
-@query("f03_content_fingerprint", "SELECT conv_id, md5(array_to_string(list_sort(list(text)), chr(10))) AS fingerprint FROM conversations GROUP BY conv_id")
+@query("f03_content_fingerprint", "SELECT conv_id, md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn)) AS fingerprint FROM conversations GROUP BY conv_id")
 def f03(spark, sf):
-    return tx.content_fingerprint(fx.table(spark, sf, "conversations"), ["conv_id"], "text")
+    return tx.content_fingerprint(fx.table(spark, sf, "conversations"), ["conv_id"], "text", ["turn"])
 
 
 @query("f04_char_count", "SELECT doc_id, length(text) - length(regexp_replace(text, '[éèäö]', '', 'g')) AS n, CASE WHEN length(text) - length(regexp_replace(text, '[éèäö]', '', 'g')) > 20 THEN sha256(regexp_extract(text, '(?s)^((?:[^éèäö]*[éèäö]){20})', 1) || '…') ELSE sha256(text) END AS cut FROM documents")

@@ -63,20 +63,21 @@ def s22(spark, sf):
 PTS = "p AS (SELECT clip_id, frame_no, dur, coalesce(sum(greatest(dur, 0.0::DOUBLE)) OVER (PARTITION BY clip_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS pts FROM v_seq)"
 
 
-@query("s23_cumulative_times", f"{PTS} SELECT clip_id, frame_no, round(pts, 6) AS pts FROM p")
+@query("s23_cumulative_times", f"{PTS} SELECT clip_id, frame_no::BIGINT AS frame_no, round(pts, 6) AS pts FROM p UNION ALL SELECT clip_id, count(*), round(sum(greatest(dur, 0.0::DOUBLE)), 6) FROM p GROUP BY clip_id")
 def s23(spark, sf):
     return op.cumulative_times(fx.timeline(spark, sf), KEY, NO, "dur").select("clip_id", NO, r6("pts").alias("pts"))
 
 
-SLOTS = f"""{PTS}, q AS (SELECT clip_id, frame_no, pts, lead(pts) OVER w AS p1, lead(frame_no) OVER w AS nxt, sum(greatest(dur, 0.0::DOUBLE)) OVER (PARTITION BY clip_id) AS stop, pts - 1e-6::DOUBLE AS at FROM p WINDOW w AS (PARTITION BY clip_id ORDER BY frame_no)),
-t AS (SELECT DISTINCT clip_id, stop, k FROM q, range(0, 100) r(k)),
-j AS (SELECT t.clip_id, t.k, t.k / (1 / 3600::DOUBLE) AS tt, q.frame_no AS i0, q.pts AS p0, q.p1, q.nxt FROM (SELECT clip_id, stop, k, k / (1 / 3600::DOUBLE) AS tt FROM t) t ASOF JOIN q ON t.clip_id = q.clip_id AND t.tt >= q.at WHERE t.k / (1 / 3600::DOUBLE) < t.stop),
-sl AS (SELECT clip_id, k, i0, abs(tt - p0) <= 1e-6 OR nxt IS NULL AS exact, CASE WHEN abs(tt - p0) <= 1e-6 OR nxt IS NULL THEN i0 ELSE nxt END AS i1,
-    CASE WHEN abs(tt - p0) <= 1e-6 OR nxt IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (tt - p0) / (p1 - p0))) END AS phi FROM j)"""
+SLOTS = f"""{PTS}, q AS (SELECT clip_id, frame_no, pts, lead(pts) OVER w AS p1, lead(frame_no) OVER w AS nxt, sum(greatest(dur, 0.0::DOUBLE)) OVER (PARTITION BY clip_id) AS stop, count(*) OVER (PARTITION BY clip_id) AS n, pts - 1e-6::DOUBLE AS at FROM p WINDOW w AS (PARTITION BY clip_id ORDER BY frame_no)),
+c0 AS (SELECT DISTINCT clip_id, stop, greatest(2, round_even(stop * (1 / 3600::DOUBLE), 0)::BIGINT) AS targets FROM q WHERE n > 1),
+t AS (SELECT * FROM (SELECT clip_id, stop, unnest(range(0, targets)) AS k, k / (1 / 3600::DOUBLE) AS tt FROM c0) WHERE tt <= stop + 1e-6::DOUBLE),
+j AS (SELECT t.clip_id, t.k, t.tt, q.frame_no AS i0, q.pts AS p0, q.p1, q.nxt, abs(t.tt - q.pts) <= 1e-6 OR q.nxt IS NULL OR q.p1 - q.pts <= 1e-6 AS here FROM t ASOF JOIN q ON t.clip_id = q.clip_id AND t.tt >= q.at),
+f AS (SELECT *, CASE WHEN here THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (tt - p0) / (p1 - p0))) END AS f FROM j),
+sl AS (SELECT clip_id, k, CASE WHEN f >= 1 - 1e-6::DOUBLE THEN nxt ELSE i0 END AS i0, here OR f >= 1 - 1e-6::DOUBLE AS exact, coalesce(nxt, i0) AS i1, CASE WHEN f >= 1 - 1e-6::DOUBLE THEN 1.0::DOUBLE ELSE f END AS phi FROM f)"""
 
 
 def slots(spark, sf):
-    return op.map_target_frames(fx.timeline(spark, sf), KEY, NO, "dur", RATE, 100)
+    return op.map_target_frames(fx.timeline(spark, sf), KEY, NO, "dur", RATE)
 
 
 @query("s24_map_target_frames", f"{SLOTS} SELECT clip_id, k::BIGINT AS k, i0::BIGINT AS i0, i1::BIGINT AS i1, round(phi, 6) AS phi, exact FROM sl")
@@ -164,11 +165,14 @@ def s32(spark, sf):
     return op.run_length(rows, ["user_id"], "i", "v")
 
 
-@query("s32_run_length_within", """a AS (SELECT clip_id, frame_no AS i, metric AS v FROM v_seq), f AS (SELECT clip_id, i, v AS head, i AS start FROM a WHERE i = 0
- UNION ALL SELECT a.clip_id, a.i, CASE WHEN abs(a.v - f.head) <= 15 THEN f.head ELSE a.v END, CASE WHEN abs(a.v - f.head) <= 15 THEN f.start ELSE a.i END FROM f JOIN a ON a.clip_id = f.clip_id AND a.i = f.i + 1)
-SELECT clip_id, start::BIGINT AS start, (max(i) + 1)::BIGINT AS stop, any_value(head) AS value FROM f GROUP BY clip_id, start""")
+@query("s32_run_length_within", """a AS (SELECT clip_id, frame_no AS i, round(metric) - 1 AS v FROM v_seq WHERE clip_id NOT IN (SELECT clip_id FROM v_seq WHERE round(metric) - 1 <= 0)), f AS (SELECT clip_id, i, v AS head, i AS start FROM a WHERE i = 0
+ UNION ALL SELECT a.clip_id, a.i, CASE WHEN abs(a.v - f.head) < 15 THEN f.head ELSE a.v END, CASE WHEN abs(a.v - f.head) < 15 THEN f.start ELSE a.i END FROM f JOIN a ON a.clip_id = f.clip_id AND a.i = f.i + 1),
+g AS (SELECT clip_id, start::BIGINT AS start, (max(i) + 1)::BIGINT AS stop, any_value(head) AS value FROM f GROUP BY clip_id, start)
+SELECT *, coalesce(sum(value * (stop - start)) OVER (PARTITION BY clip_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS "offset" FROM g""")
 def s32b(spark, sf):
-    return op.run_length_within(fx.timeline(spark, sf), KEY, NO, "metric", 15.0)
+    """Whole numbers, so that values just as far apart as the tolerance occur; clips with one of 0 or
+    less have no runs."""
+    return op.run_length_within(fx.timeline(spark, sf).withColumn("metric", F.round("metric") - 1), KEY, NO, "metric", 15.0)
 
 
 @query("s33_interp_layout", """n AS (SELECT clip_id, frame_no, count(*) OVER (PARTITION BY clip_id) AS pairs FROM v_seq), s AS (SELECT *, (1 + greatest(0, 199 // pairs - 1) + CASE WHEN frame_no < 199 % pairs THEN 1 ELSE 0 END)::BIGINT AS slots FROM n)

@@ -10,29 +10,36 @@ from pyspark.sql.window import Window
 
 from ..functions.core import Names, over
 
+# Endings of the files that count.
 KINDS = {
-    "image": ["png", "jpg", "jpeg", "bmp", "webp", "tif", "tiff", "gif"],
-    "video": ["mp4", "mkv", "avi", "mov", "wmv", "flv", "webm", "m4v", "ts"],
+    "image": ["png", "jpg", "jpeg", "jfif", "webp", "bmp", "tif", "tiff", "gif", "avif"],
+    "video": ["mp4", "mkv", "mov", "webm", "avi", "m4v", "ts", "m2ts", "flv", "wmv", "mpg", "mpeg", "rmvb", "3gp"],
 }
 PRICE_SCHEMA = "struct<schema:int,entries:array<struct<model:string,scale:int,secondsPerFrame:double,samplePixels:bigint,sampleFrames:int,floorSeconds:double,sampleSeconds:double,measuredAtUtc:string,machineKey:string,backend:string,note:string>>>"
 
 
 def media_catalog(spark: SparkSession, roots: Sequence[str], kind: str = "image", max_files: int = 2000, max_depth: int = 6) -> DataFrame:
-    """Files of a kind under the roots: ``path``, ``depth``, ``length`` and time. Case does not matter
-    for endings nor for paths that repeat; nearer folders and earlier names come first."""
+    """Files of a kind under the roots: ``path``, ``depth``, ``length`` and time. See
+    :func:`catalog_of` for their order. Roots that are files are kept whatever their ending."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots)).select("path", "length", "modificationTime")
     return catalog_of(files, roots, kind, max_files, max_depth)
 
 
 def catalog_of(files: DataFrame, roots: Sequence[str], kind: str, max_files: int, max_depth: int) -> DataFrame:
-    base = F.lit(0)
-    for r in roots:
-        base = F.greatest(base, F.when(F.instr("path", r.rstrip("/") + "/") > 0, F.instr("path", r.rstrip("/") + "/") + len(r.rstrip("/"))).otherwise(0))
-    inner = F.substring("path", base + 1, F.length("path"))
-    rows = files.withColumn("depth", F.size(F.split(inner, "/")) - 1).where((F.col("depth") <= max_depth) & F.lower("path").rlike(rf"\.({'|'.join(KINDS[kind])})$"))
+    """The first ``max_files`` of the files that lie under the roots at most ``max_depth`` folders deep
+    and have an ending of the kind, or are roots themselves. Roots come in the order given; within
+    one, nearer folders first, then by folder and name. Case matters neither for endings nor for
+    order, nor for paths that repeat, of which the first stays."""
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    tops = [r.rstrip("/") for r in roots]
+    under = F.coalesce(*[F.when((plain == r) | plain.startswith(r + "/"), F.struct(F.lit(i).alias("root"), F.lit(len(r)).alias("at"))) for i, r in enumerate(tops)])
+    rows = files.withColumn("_in", under).where("_in IS NOT NULL").withColumn("_rest", F.substring(plain, F.col("_in.at") + 1, F.length("path")))
+    rows = rows.withColumn("depth", F.greatest(F.size(F.split("_rest", "/")) - 2, F.lit(0)))
+    rows = rows.where((F.col("_rest") == "") | ((F.col("depth") <= max_depth) & F.lower("path").rlike(rf"\.({'|'.join(KINDS[kind])})$")))
     rows = rows.withColumns({"dir": F.lower(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)), "name": F.regexp_extract("path", r"([^/]*)$", 1)})
-    once = rows.withColumn("_k", F.row_number().over(Window.partitionBy(F.lower("path")).orderBy("path"))).where("_k = 1").drop("_k")
-    return once.orderBy("depth", "dir", F.lower("name"), "path").limit(max_files)
+    order = [F.col("_in.root"), F.col("depth"), F.split(F.upper("dir"), "/"), F.upper("name"), F.col("path")]
+    once = rows.withColumn("_k", F.row_number().over(Window.partitionBy(F.upper("path")).orderBy(*order))).where("_k = 1")
+    return once.orderBy(*order).limit(max_files).drop("_k", "_in", "_rest")
 
 
 def kv_fields(df: DataFrame, id_cols: Names, text: str, keys: Sequence[str]) -> DataFrame:
@@ -136,22 +143,25 @@ def image_summary(cells: DataFrame, grid: Names) -> DataFrame:
 
 
 def unique_names(df: DataFrame, folder: str, name: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """``unique_name``: later names that repeat in a folder get `` (2)``, `` (3)`` before the ending;
-    names of ``taken`` count as earlier ones. Repeats till no new name meets another."""
-    base, ending = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
+    """``unique_name``: later names that repeat in a folder get `` (2)``, `` (3)`` before the ending.
+    With ``taken``, names there count as earlier ones, and no new name meets another.
+
+    Without it a name's number is its place among those that are equal. With it, the numbers that
+    are free for a name are ranked, and its k-th occurrence gets the k-th of them; own names keep
+    themselves before any that are made. One pass, however many names meet."""
+    ending = r"(\.[^.]*)?$"
     k = F.row_number().over(over([folder, name], [order]))
+    numbered = lambda n: F.when(n == 1, F.col(name)).otherwise(F.concat(F.regexp_extract(name, "^(.*?)" + ending, 1), F.lit(" ("), n.cast("string"), F.lit(")"), F.regexp_extract(name, "^(.*?)" + ending, 2)))
     if taken is None:
-        return df.withColumn("_k", k).withColumn("unique_name", F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(base, F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), ending))).drop("_k")
-    used = taken.select(F.col(folder).alias("_f"), F.col(name).alias("_u")).distinct()
-    rows, done = df.withColumn("_n", k), None
-    while True:
-        tried = rows.withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(base, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ending)))
-        first = F.row_number().over(Window.partitionBy(folder, "unique_name").orderBy("_n", order))
-        tried = tried.withColumn("_first", first).join(used.withColumn("_taken", F.lit(True)), (F.col(folder) == F.col("_f")) & (F.col("unique_name") == F.col("_u")), "left").drop("_f", "_u")
-        free = (F.col("_first") == 1) & F.col("_taken").isNull()
-        good = tried.where(free).drop("_n", "_first", "_taken")
-        done = good if done is None else done.unionByName(good)
-        rows = tried.where(~free).withColumn("_n", F.col("_n") + 1).drop("unique_name", "_first", "_taken")
-        if rows.isEmpty():
-            return done
-        used = used.unionAll(good.select(F.col(folder).alias("_f"), F.col("unique_name").alias("_u")))
+        return df.withColumn("_k", k).withColumn("unique_name", numbered(F.col("_k"))).drop("_k")
+    # Names that are not free to be made: those taken, and those that rows of their own have.
+    made = r"^(.*?) \((\d{1,9})\)(\.[^.]*)?$"
+    used = taken.select(F.col(folder), F.col(name)).unionAll(df.select(folder, name)).distinct()
+    blocked = used.where(F.col(name).rlike(made)).select(folder, F.concat(F.regexp_extract(name, made, 1), F.regexp_extract(name, made, 3)).alias(name), F.regexp_extract(name, made, 2).alias("_text"))
+    blocked = blocked.withColumn("_n", F.col("_text").cast("long")).where((F.col("_n") >= 2) & (F.col("_n").cast("string") == F.col("_text"))).select(folder, name, "_n")
+    whole = taken.select(F.col(folder), F.col(name), F.lit(1).cast("long").alias("_n")).distinct()
+    gaps = blocked.unionAll(whole).groupBy(folder, name).agg(F.array_sort(F.collect_set("_n")).alias("_blocked"))
+    rows = df.withColumn("_k", k).join(gaps, [folder, name], "left")
+    # The k-th number that is not blocked: each blocked one up to it moves it on by one.
+    free = F.aggregate(F.coalesce("_blocked", F.array().cast("array<long>")), F.col("_k").cast("long"), lambda n, b: F.when(b <= n, n + 1).otherwise(n))
+    return rows.withColumn("_k", free).withColumn("unique_name", numbered(F.col("_k"))).select(*df.columns, "unique_name")

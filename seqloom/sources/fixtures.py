@@ -61,7 +61,7 @@ def inputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def outputs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select("l_orderkey").distinct().select(F.concat(F.lit("out/"), F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("path"))
+    return table(spark, sf, "lineitem").select("l_orderkey").distinct().select(F.concat(F.lit("out/"), F.col("l_orderkey").cast("string"), F.when(F.col("l_orderkey") % 9 == 0, ".gif").when(F.col("l_orderkey") % 9 == 1, ".jpg.TIFF").otherwise(".jpg")).alias("path"))
 
 
 def prices(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +88,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 def progress(spark: SparkSession, sf: str) -> DataFrame:
     w = over(["user_id"], ["ts"])
     e = table(spark, sf, "events").select("user_id", seconds("ts").alias("t"), F.row_number().over(w).alias("done"), F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("n"), F.min("ts").over(Window.partitionBy("user_id")).alias("first"))
-    return e.select(F.col("user_id").alias("job"), F.col("done").cast("long").alias("done"), (F.col("n") + 20).alias("total"), (F.col("t") - seconds("first")).alias("elapsed"))
+    return e.select(F.col("user_id").alias("job"), F.col("done").cast("long").alias("done"), F.col("n").alias("total"), (F.col("t") - seconds("first")).alias("elapsed"))
 
 
 VIEWS_SQL = """
@@ -106,11 +106,11 @@ v_gaps AS (SELECT clip_id, frame_no, dur / 3600 AS g FROM v_seq),
 v_wave AS (SELECT event_type AS track_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i,
     greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (value - 50) / 500)) AS v FROM events),
 v_inputs AS (SELECT o_orderkey || '.PNG' AS path FROM orders),
-v_outputs AS (SELECT DISTINCT 'out/' || l_orderkey || '.jpg' AS path FROM lineitem),
+v_outputs AS (SELECT DISTINCT 'out/' || l_orderkey || CASE l_orderkey % 9 WHEN 0 THEN '.gif' WHEN 1 THEN '.jpg.TIFF' ELSE '.jpg' END AS path FROM lineitem),
 v_prices AS (SELECT o_orderkey AS seq, o_orderpriority AS model, (1 + o_orderkey % 4)::INT AS scale, (o_custkey % 7)::VARCHAR AS machine,
     CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE o_orderstatus END AS backend, o_orderdate AS measured_at, trunc(o_totalprice * 10)::BIGINT AS pixels,
     (2 + o_orderkey % 8)::INT AS n, 1 + o_totalprice % 3 AS t1, 1 + o_totalprice % 3 + o_totalprice % 5 AS tn FROM orders),
 v_attempts AS (SELECT user_id::VARCHAR AS key, floor(epoch_us(ts) / 1e6)::BIGINT AS at, event_id AS seq, event_type <> 'error' AS ok, event_type AS note FROM events),
-v_progress AS (SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS done, count(*) OVER (PARTITION BY user_id) + 20 AS total,
+v_progress AS (SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS done, count(*) OVER (PARTITION BY user_id) AS total,
     epoch_us(ts) / 1e6 - epoch_us(min(ts) OVER (PARTITION BY user_id)) / 1e6 AS elapsed FROM events)
 """

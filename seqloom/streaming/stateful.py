@@ -7,16 +7,16 @@ promise that should hold rows back by a delay of their own.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.scratch import shared_folder
+
 Step = Callable[[tuple, dict], tuple[tuple, list[tuple]]]
 
 
@@ -103,33 +103,44 @@ COALESCE = ((None, False, None, None, None), "last long, busy boolean, target do
 
 def coalesce_step(gap_ms: int = 110, timeout_ms: int = 900, near: float = 0.35, moved: float = 0.05) -> Step:
     """Runs a request if none is under way and the last one began long enough ago; else parks it in
-    place of one parked before. A run ends near its target, once it has moved, or after a while."""
+    place of one parked before. A run ends near its target, once it has moved from where it is known
+    to have begun, or after a while. Targets are 0 at least."""
 
     def step(state: tuple, row: dict) -> tuple[tuple, list[tuple]]:
         last, busy, target, began, parked = state
         at, pos = int(row["at_ms"]), row["pos"]
-        if busy and (at - last >= timeout_ms or (pos is not None and (abs(pos - target) <= near or abs(pos - began) > moved))):
+        if busy and (at - last > timeout_ms or (pos is not None and (abs(pos - target) < near or (began >= 0 and abs(pos - began) > moved)))):
             busy = False
         parked = parked if row["target"] is None else float(row["target"])
         if parked is not None and not busy and (last is None or at - last >= gap_ms):
-            return (at, True, parked, 0.0 if pos is None else float(pos), None), [(at, parked)]
+            target = max(0.0, parked)
+            return (at, True, target, -1.0 if pos is None else float(pos), None), [(at, target)]
         return (last, busy, target, began, parked), []
 
     return step
 
 
 # Progress: state (what was shown last).
-ETA = ((None,), "shown double", "done long, shown double")
+ETA = ((None, []), "shown double, seen array<struct<done:long,elapsed:double>>", "done long, shown double")
+
 
+def eta_step(lag: int = 5, overhead: float = 0.0, floor: str = "floor") -> Step:
+    """The estimate of ``ledgers.eta_blended`` and what ``ledgers.eta_shown`` shows of it. The state
+    holds the last ``lag`` rows besides."""
 
-def eta_step(row_floor: str = "floor") -> Step:
     def step(state: tuple, row: dict) -> tuple[tuple, list[tuple]]:
-        (shown,) = state
-        done, elapsed = int(row["done"]), float(row["elapsed"])
-        if done >= 4 and elapsed >= 1 and row["total"] >= done:
-            eta = (row["total"] - done) * elapsed / done
-            shown = max(eta if shown is None else min(shown, eta), float(row[row_floor]))
-        return (shown,), [(done, shown)]
+        shown, seen = state[0], [(s["done"], s["elapsed"]) if hasattr(s, "keys") else tuple(s) for s in state[1]]
+        done, elapsed, total = int(row["done"]), float(row["elapsed"]), row["total"]
+        if done >= 4 and elapsed >= 1 and total > done:
+            rate = done / elapsed
+            if len(seen) >= lag:
+                d0, t0 = seen[-lag]
+                if 0 < d0 < done and 0.2 < t0 < elapsed:
+                    weight = 0.8 * min(max(done / 60, 0.0), 1.0)
+                    rate = weight * (done - d0) / (elapsed - t0) + (1 - weight) * rate
+            left = (total - done) / rate + max(0.0, overhead)
+            shown = max(left if shown is None else min(shown, left), float(row[floor]))
+        return (shown, [*seen, (done, elapsed)][-lag:]), [(done, shown)]
 
     return step
 
@@ -139,19 +150,10 @@ def latest_per_key(stream: DataFrame, keys: Sequence[str], seq: str, values: Seq
     return stream.groupBy(*keys).agg(F.max_by(F.struct(seq, *values), seq).alias("_s")).select(*keys, "_s.*")
 
 
-def _folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="seqloom-")
-    return f"{found.rstrip('/')}/seqloom/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream until its source is exhausted; its rows as a table. In update mode rows carry
     the number of their batch as ``_batch``."""
-    spark, top = stream.sparkSession, _folder(stream.sparkSession)
+    spark, top = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{top}/rows").start()

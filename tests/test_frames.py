@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import frames as op
@@ -32,8 +33,10 @@ def test_min_spacing(spark):
 def test_near_black(spark):
     rows = [("a", y, x, 0 if y * 10 + x < 95 else 300) for y in range(10) for x in range(10)] + [("b", y, x, 0 if y * 10 + x < 94 else 300) for y in range(10) for x in range(10)]
     rows += [("c", y, x, 0 if y < 3 else 300) for y in range(9) for x in range(10)]
-    got = {r.f: r.defective for r in op.defective_frames(spark.createDataFrame(rows, "f string, y int, x int, sum_rgb int"), ["f"], 10).collect()}
+    got = {r.f: r.defective for r in op.defective_frames(spark.createDataFrame(rows, "f string, y int, x int, sum_rgb int"), ["f"], 9, 10).collect()}
     assert got["a"] and got["c"]
+    few = op.band_black(spark.createDataFrame(rows, "f string, y int, x int, sum_rgb int"), ["f"], 10, 10)
+    assert {r.f: r.band_dark for r in few.collect()}["c"] is False  # too few samples to say
 
 
 def test_constant_grid_has_no_noise(spark):
@@ -51,4 +54,15 @@ def test_dedup_compares_with_the_last_kept(spark):
     last = [r.keep for r in op.dedup_frames(df, ["c"], "i", "gray", 1.0, -1.0).orderBy("i").collect()]
     assert adjacent == [True, False, False, False, False, True]
     assert last == [True, False, True, False, True, True] or last == [True, False, False, True, False, True]
-    assert op.dedup_thresholds(3, 0.98, 1) == (4.5, 0.995) and op.dedup_thresholds(20, 0.9, 0)[0] == 7
+    assert op.dedup_thresholds(3, 0.98, 0.2, 4, 1) == (4.5, 0.985, pytest.approx(0.3), 6.0)
+    assert op.dedup_thresholds(20, 0.9, 0.9, 1, 0) == (7.0, 0.99, 0.60, 2.0) and op.dedup_thresholds(3, 0.98, 0.2, 4, 2)[1] == 0.995
+
+
+def test_noise_probe_leaves_out_frames_of_another_size(spark):
+    rows = [(f, y, x, float((f * 31 + y * 7 + x * 13) % 17)) for f in range(9) for y in range(4) for x in range(4) if (f, y, x) != (4, 3, 3)]
+    cells = spark.createDataFrame(rows, "i int, y int, x int, v double").withColumn("c", F.lit(0))
+    got = op.noise_probe(cells, ["c"], "i", 4, 4, burst=5, block=2).first()
+    rest = op.noise_probe(cells.where("i <> 4").withColumn("i", F.when(F.col("i") > 4, F.col("i") - 1).otherwise(F.col("i"))), ["c"], "i", 4, 4, burst=5, block=2).first()
+    assert got.n_frames == 8 and got.flicker == rest.flicker > 0
+    assert op.noise_probe(cells, ["c"], "i", 4, 4, burst=2, block=2).first().flicker == 0  # no burst is long enough
+    assert op.noise_probe(cells.where("i < 2"), ["c"], "i", 4, 4).count() == 0

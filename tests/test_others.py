@@ -8,11 +8,14 @@ from seqloom.streaming import stateful as st
 
 
 def test_catalog(spark, tmp_path):
-    for name in ("b.PNG", "a.jpg", "c.txt", "d/e.webp", "1/2/3/4/5/6/7/deep.png"):
+    for name in ("b.PNG", "a.jpg", "c.txt", "d/e.webp", "d-2/f.avif", "z.jfif", "1/2/3/4/5/6/7/deep.png"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"x")
     got = [r.path.rsplit("/", 1)[1] for r in files.media_catalog(spark, [str(tmp_path)]).collect()]
-    assert got == ["a.jpg", "b.PNG", "e.webp"]
+    assert got == ["a.jpg", "b.PNG", "z.jfif", "e.webp", "f.avif"]
+    roots = [str(tmp_path / "d"), str(tmp_path / "c.txt"), str(tmp_path)]  # roots in their order, a named file as it is
+    got = [r.path.rsplit("/", 1)[1] for r in files.media_catalog(spark, roots).collect()]
+    assert got == ["e.webp", "c.txt", "a.jpg", "b.PNG", "z.jfif", "f.avif"]
     assert len(files.media_catalog(spark, [str(tmp_path)], max_files=1).collect()) == 1
 
 
@@ -34,9 +37,107 @@ def test_unique_names_with_taken(spark):
 
 
 def test_missing_outputs(spark):
-    inputs = spark.createDataFrame([("x/A.png",), ("b.jpg",), ("c.png",), (".png",)], "path string")
-    outputs = spark.createDataFrame([("out/a.webp",), ("OUT/B.JPG",), ("c.txt",)], "path string")
-    assert [r.path for r in ledgers.missing_outputs(inputs, outputs).collect()] == ["c.png"]
+    inputs = spark.createDataFrame([("x/A.png",), ("b.jpg",), ("c.png",), (".png",), ("g.png",)], "path string")
+    outputs = spark.createDataFrame([("out/a.webp",), ("OUT/B.JPG",), ("c.txt",), ("g.gif",)], "path string")
+    assert sorted(r.path for r in ledgers.missing_outputs(inputs, outputs).collect()) == ["c.png", "g.png"]
+
+
+def test_eta_blends_rates(spark):
+    # 40 of 100 done in 40 s, 10 of them in the last 5: rates of 2 and 1, weighed 0.8 * 40 / 60
+    rows = [("j", 20, 100, 25.0), ("j", 30, 100, 35.0), ("j", 40, 100, 40.0), ("j", 100, 100, 70.0)]
+    df = spark.createDataFrame(rows, "job string, done long, total long, elapsed double")
+    got = [r.eta for r in ledgers.eta_blended(df, ["job"], "done", "total", "elapsed", 1, 3.0).orderBy("done").collect()]
+    weight = 0.8 * 40 / 60
+    assert abs(got[2] - (60 / (weight * 2 + (1 - weight)) + 3)) < 1e-9 and got[3] == -1
+    early = spark.createDataFrame([("j", 4, 10, 0.2), ("j", 5, 10, 2.0), ("k", 3, 10, 9.0)], df.schema)
+    got = {(r.job, r.done): r.eta for r in ledgers.eta_blended(early, ["job"], "done", "total", "elapsed", 1).collect()}
+    assert got == {("j", 4): -1, ("j", 5): 2.0, ("k", 3): -1}  # a sample of a fifth of a second does not count
+
+
+def test_eta_shown(spark):
+    rows = [("j", 1, -1.0, 5.0), ("j", 2, 50.0, 5.0), ("j", 3, 80.0, 5.0), ("j", 4, -1.0, 5.0), ("j", 5, 20.0, 30.0), ("j", 6, 25.0, 0.0)]
+    df = spark.createDataFrame(rows, "job string, done long, eta double, floor double")
+    assert [r.shown for r in ledgers.eta_shown(df, ["job"], "done", "eta", "floor").orderBy("done").collect()] == [None, 50.0, 50.0, 50.0, 30.0, 25.0]
+
+
+def fuzzy(spark, names, others=()):
+    df = lambda xs: spark.createDataFrame(list(enumerate(xs)), "id int, name string")
+    return [r.name for r in ledgers.missing_fuzzy(df(names), [df(others)], "name", "id").orderBy("id").collect()]
+
+
+def test_fuzzy_names(spark):
+    chain = ["Alpha model", "alpha MODEL and Gamma model", "Gamma model"]
+    assert fuzzy(spark, chain) == ["Alpha model", "Gamma model"]  # the middle one is dropped and drops none
+    assert fuzzy(spark, chain[1:] + chain[:1]) == chain[1:2]
+    assert fuzzy(spark, ["NV", "NV", " ", None, "nv"], ["NV"]) == ["NV", "NV", "nv"]  # short names say nothing
+    assert fuzzy(spark, [" Radeon 610M ", "AMD Radeon 610M", "GeForce 4060", "GeForce 4060"], ["GEFORCE 4060 Laptop"]) == ["Radeon 610M"]
+    words = ["".join(x) for x in zip("abcdefgh" * 3, "hgfedcba" * 3)] * 8
+    names = [" ".join(words[i : i + 1 + (i * 7) % 5]) for i in range(60)]
+    kept = []
+    for n in names:
+        if len(n) < 8 or not any(n in k or k in n for k in kept if len(k) >= 8):
+            kept.append(n)
+    assert fuzzy(spark, names) == kept
+
+
+def test_measure_without_pixels(spark):
+    row = spark.range(1).select(*ledgers.two_point_cost(F.lit(2.0), F.lit(8.0), F.lit(4), F.lit(0))).first()
+    assert tuple(row) == (2.0, 0.0, 2.0)
+
+
+def test_verdicts_live_apart(spark):
+    rows = [("ok", 0, True, 0), ("bad", 0, False, 0), ("cpu", 0, False, -1), ("deny", 0, True, 0)]
+    df = spark.createDataFrame(rows, "key string, at long, ok boolean, device int")
+    at = lambda now: {r.key: (r.ok, r.failures, r.denied) for r in ledgers.verdict_state(df, ["key"], ["at"], F.lit(now), 100, 3, F.col("key") == "deny", 10, "device").collect()}
+    assert at(10) == {"ok": (True, 0, False), "bad": (False, 1, False), "deny": (False, 3, True)}
+    assert at(11).keys() == {"bad", "deny"} and at(101) == {} and at(-1) == {}
+
+
+def test_feather_of_one_blurs(spark):
+    cells = spark.createDataFrame([(0, 0, x, float(x == 2)) for x in range(5)], "grid_id int, y int, x int, v double")
+    out = lambda **k: [round(r.v, 6) for r in grids.alpha_stretch(cells, ["grid_id"], 0.0, 0.0, **k).orderBy("x").collect()]
+    assert out() == [0, 0, 1, 0, 0] and out(feather=1) == [0, 0.333333, 0.333333, 0.333333, 0] == out(feather=3) and out(morph=1) == [0] * 5
+
+
+def test_urls_and_fingerprints(spark):
+    urls = ["https://A.example.com/o/r/b/ad/img.jpg?x=1#y", "https://a.example.com", "  Example.com/a ", None, " ", "http://h/a//b/c/d.txt?x=1", "http://h/a/b/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
+    u = F.col("u")
+    got = [tuple(r) for r in df.orderBy("i").select(tx.url_host(u), tx.url_tail(u), tx.url_file(u, "ad.jpg")).collect()]
+    assert got == [("a.example.com", "ad/img.jpg", "img.jpg"), ("a.example.com", "", "ad.jpg"), ("example.com/a", "", "ad.jpg"), ("", "", "ad.jpg"), ("", "", "ad.jpg"), ("h", "d.txt", "d.txt"), ("h", "", "ad.jpg")]
+    lines = lambda *xs: tx.content_fingerprint(spark.createDataFrame([(1, i, x) for i, x in enumerate(xs)], "k int, i int, t string"), ["k"], "t", ["i"]).first().fingerprint
+    assert len({lines("a", "b"), lines("b", "a"), lines("a", "b", ""), lines("ab"), lines("a")}) == 5 and lines("a", None) == lines("a", "")
+
+
+def coalesced(spark, rows):
+    df = spark.createDataFrame([(0, at, i, target, pos) for i, (at, target, pos) in enumerate(rows)], "key int, at_ms long, seq long, target double, pos double")
+    start, _, out = st.COALESCE
+    return [(r.at_ms, r.ran) for r in st.batch_fold(df, ["key"], ["at_ms", "seq"], start, st.coalesce_step(), out).orderBy("at_ms").collect()]
+
+
+def test_requests_at_the_limits(spark):
+    assert coalesced(spark, [(0, 1.0, None), (900, 2.0, None), (901, None, None)]) == [(0, 1.0), (901, 2.0)]  # still under way at 900
+    assert coalesced(spark, [(0, 1.0, None), (200, 2.0, 9.0)]) == [(0, 1.0)]  # where it began is not known
+    assert coalesced(spark, [(0, 1.0, 9.0), (200, 2.0, 9.5)]) == [(0, 1.0), (200, 2.0)]
+    assert coalesced(spark, [(0, 1.0, None), (200, 2.0, 1.375), (300, None, 1.25)]) == [(0, 1.0), (300, 2.0)]
+    assert coalesced(spark, [(0, -3.0, None), (50, 2.0, 0.0), (109, None, 0.0), (110, None, 0.0)]) == [(0, 0.0), (110, 2.0)]
+
+
+def test_a_timer_fires(spark, tmp_path):
+    """A key that is silent for longer than its time to live starts anew, across micro-batches."""
+    day = 86_400
+    rows = [("a", 100 * day, 1), ("a", 101 * day, 2), ("b", 130 * day, 3), ("b", 160 * day, 4), ("a", 161 * day, 5)]
+    df = spark.createDataFrame(rows, "key string, at long, seq long").withColumns({"ok": F.lit(False), "time": F.col("at").cast("timestamp")})
+    for _, _, k in rows:
+        df.where(F.col("seq") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start, state, out = st.VERDICT
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("time", "1 day")
+    folded = st.keyed_fold(stream, ["key"], ["at", "seq"], start, st.verdict_step(7 * day, 2), state, out, keep_ms=7 * day * 1000, time="time")
+    query = folded.writeStream.format("parquet").option("path", str(tmp_path / "rows")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    removed = sum(s["numRowsRemoved"] for p in query.recentProgress for s in p["stateOperators"])
+    got = {r.seq: r.failures for r in spark.read.parquet(str(tmp_path / "rows")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1} and removed >= 1
 
 
 def test_verdict_ages(spark):

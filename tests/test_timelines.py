@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import timelines as op
 
 G = "clip_id string, i int, g double"
+# Fixed vectors of gaps and durations: see FIXTURES.md, part A.
 
 
 def gaps(spark, values):
@@ -51,16 +52,39 @@ def test_durations_are_conserved(spark):
 def test_mapping_is_monotone(spark):
     df = spark.createDataFrame([("c", i, [0.5, 0.1, 0.4][i % 3]) for i in range(9)], "clip_id string, i int, d double")
     rows = op.map_target_frames(df, ["clip_id"], "i", "d", 10.0, 60).orderBy("k").collect()
-    assert [r.k for r in rows] == list(range(30))
+    assert [r.k for r in rows] == list(range(31))  # the end itself is the last frame
     place = [r.i0 + (r.phi if r.i1 != r.i0 else 0) for r in rows]
     assert place == sorted(place) and rows[5].exact and rows[5].i0 == 1
+    assert rows[30].exact and rows[30].i0 == rows[30].i1 == 8 and rows[30].phi == 0
+    assert op.map_target_frames(df, ["clip_id"], "i", "d", 10.0).count() == 30  # as many as fit the time
+    assert op.map_target_frames(df.where("i = 0"), ["clip_id"], "i", "d", 10.0, 5).count() == 0
+    long = spark.createDataFrame([("c", 0, 1e6), ("c", 1, 1e6)], "clip_id string, i int, d double")
+    near = op.map_target_frames(long, ["clip_id"], "i", "d", 1 / 999_999.5, 2).where("k = 1").first()
+    assert near.exact and near.phi == 1 and near.i0 == near.i1 == 1  # within a millionth of the way
+
+
+def test_start_times_have_an_end(spark):
+    df = spark.createDataFrame([("c", 0, 0.5), ("c", 1, -1.0), ("c", 2, 0.25)], "clip_id string, i int, d double")
+    assert [(r.i, r.pts) for r in op.cumulative_times(df, ["clip_id"], "i", "d").orderBy("i").collect()] == [(0, 0.0), (1, 0.5), (2, 0.5), (3, 0.75)]
+
+
+def test_batches(spark):
+    df = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(3)], "clip_id string, i int")
+    sizes = spark.createDataFrame([("a", 0, 4), ("a", 1, 0), ("a", 2, 3), ("b", 0, 9)], "clip_id string, nb int, size int")
+    got = sorted((r.clip_id, r.i, r.nb) for r in op.assign_batch(df, ["clip_id"], "i", sizes, "nb", "size").collect())
+    assert got == [("a", i, 0) for i in range(4)] + [("a", i, 2) for i in range(4, 7)] + [("b", i, 0) for i in range(3)]
+    whole = op.assign_batch(df.where("clip_id = 'a'"), [], "i", sizes.where("clip_id = 'a'").drop("clip_id"), "nb", "size").collect()
+    assert sorted((r.i, r.nb) for r in whole) == [(i, 0) for i in range(4)] + [(i, 2) for i in range(4, 7)]
 
 
 def test_runs_within_tolerance(spark):
-    df = spark.createDataFrame([("c", i, v) for i, v in enumerate([0.0, 0.6, 1.0, 1.4, 2.0, 2.0])], "clip_id string, i int, v double")
-    runs = [(r.start, r.stop) for r in op.run_length_within(df, ["clip_id"], "i", "v", 1.0).orderBy("start").collect()]
-    assert runs == [(0, 3), (3, 6)]
+    df = spark.createDataFrame([("c", i, v) for i, v in enumerate([1.0, 1.5, 2.0, 2.5, 3.0, 3.0])], "clip_id string, i int, v double")
+    runs = [(r.start, r.stop, r.offset) for r in op.run_length_within(df, ["clip_id"], "i", "v", 1.0).orderBy("start").collect()]
+    assert runs == [(0, 2, 0.0), (2, 4, 2.0), (4, 6, 6.0)]  # just as far as the tolerance is another run
     assert op.run_length_within(df, ["clip_id"], "i", "v", 0.0, max_runs=3).count() == 0
+    for bad in (0.0, -1.0, float("nan"), float("inf")):
+        more = df.unionAll(spark.createDataFrame([("c", 9, bad)], df.schema))
+        assert op.run_length_within(more, ["clip_id"], "i", "v", 1.0).count() == 0
 
 
 def test_collisions(spark):
