@@ -167,8 +167,8 @@ def chunk_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     in bytes) and, if wanted, ``kept`` (binary).
 
     Texts are cut where a rolling hash of their last bytes says, so an insertion changes the chunks
-    near it only. Chunks with equal digests are one; it stays where it occurs first, by id (a
-    number) and place. Repeated chunks side by side form runs, and runs of ``min_words`` words or
+    near it only. Chunks with equal digests are one; it stays where it occurs first, by id (ids
+    that are not whole numbers by their hashes) and place. Repeated chunks side by side form runs, and runs of ``min_words`` words or
     more are passages. Later copies of chunks within passages are removed.
 
     A task sends each chunk once, so one that a third of all texts hold is a row for each task.
@@ -178,7 +178,9 @@ def chunk_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("h"), text.cast("binary").alias("text"))
-    numbered = keyed.select("h", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), "text")
+    whole = keyed.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = F.col("id").cast("long") if whole else F.when(F.col("id").isNotNull(), F.xxhash64("id"))
+    numbered = keyed.select("h", F.coalesce(number, F.lit(-(2**63)).cast("long")).alias("id"), "text")
     schema = "kind byte, digest long, h long, id long, place long"
     rows = spread(numbered).mapInArrow(_chunk, schema).withColumn("more", F.col("place").bitwiseAND(F.lit((1 << 22) - 1))).withColumn("start", F.shiftrightunsigned("place", 32))
     rows = rows.repartition("digest").sortWithinPartitions("digest", "more", "id", "start").drop("more", "start")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import spread, staged, table, text_batches
+from .tables import spread, table, text_batches
 
 THRESHOLD = 0.7
 #: Weight of the spherical part in each class covariance, and scale of the log-density difference.
@@ -30,6 +30,8 @@ _KIND[[10, 13]] = _LINE
 _KIND[list(b".,;:'\"-()")] = _POINT
 _KIND[list(b"?!")] = _LOUD
 FEATURES = 16
+#: The model is fitted on the texts of at most so many labelled ids.
+FIT_LABELS = 20_000
 
 
 def statistics(text: bytes | None) -> np.ndarray:
@@ -127,35 +129,25 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``x``, the statistics, of every row."""
-    text_batches(docs.sparkSession)
-    kept = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "x"])
-
-    return kept.mapInArrow(run, T.StructType([T.StructField("id", kept.schema["id"].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))]))
-
-
-def fit(measured: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", shrinkage: float = SHRINKAGE) -> Discriminant:
-    """Learns from all rows of ``measured`` (see :func:`features`) with a label that are not held
-    out. Tasks send sums only. Labels that repeat or disagree count once, by the lowest; null ones
-    not at all."""
-    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = SHRINKAGE, sample: int = FIT_LABELS) -> Discriminant:
+    """Learns from the texts of ids with a label that are not held out: of ``sample`` of them at most,
+    those with the smallest hashes. Labels that repeat or disagree count once, by the lowest; null
+    ones not at all. The labels travel to the documents, and tasks send sums only."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("long").alias("label"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + FEATURES + FEATURES * FEATURES))
         for b in batches:
-            x, y = np.array(b.column("x").to_pylist()).reshape(-1, FEATURES), b.column("label").to_numpy()
+            x, y = _matrix(b.column("text")), b.column("label").to_numpy()
             for k in range(2):
                 part = x[y == k]
                 total[k] += np.r_[len(part), part.sum(axis=0), (part.T @ part).ravel()]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "value"])
 
-    rows = measured.where(~held_out(F.col("id"))).join(known, "id").select("x", F.col("label").cast("long")).mapInArrow(sums, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    text_batches(docs.sparkSession)
+    texts = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")))
+    rows = texts.join(F.broadcast(known), "id").select("text", "label").mapInArrow(sums, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
     total = np.zeros((2, 1 + FEATURES + FEATURES * FEATURES))
     for r in rows:
         total.ravel()[r["at"]] = r["value"]
@@ -169,23 +161,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     with a null or repeated id are scored too. Without labels all scores are 0.5; with labels of
     one class all are that class. Other columns are left out.
     """
-    measured = staged(features(docs, id_col=id_col, text_col=text_col), "features")
-    model = fit(measured, labels, id_col=id_col, label_col=label_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
+    texts = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column("x").to_pylist()).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(shared.value.scores(x))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(shared.value.scores(_matrix(b.column("text"))))], ["id", "score"])
 
-    scored = measured.mapInArrow(run, T.StructType([measured.schema["id"], T.StructField("score", T.DoubleType())]))
+    scored = texts.mapInArrow(run, T.StructType([texts.schema["id"], T.StructField("score", T.DoubleType())]))
     return scored.select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, whole and without a shuffle."""
-    model = fit(staged(features(docs, id_col=id_col, text_col=text_col), "features"), labels, id_col=id_col, label_col=label_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs`` whose score reaches the threshold, whole and without a shuffle. Null texts
+    are scored as empty ones, and rows with a null or repeated id like any other; columns may have
+    any names."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

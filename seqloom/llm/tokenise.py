@@ -10,7 +10,6 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -307,32 +306,34 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    with open(path, "rb") as f:
-        return Encoder(f.read())
+def _encoder(model: bytes) -> Encoder:
+    return Encoder(model)
 
 
-def _map(docs: DataFrame, model: str, columns: list[tuple[str, T.DataType]], one) -> DataFrame:
-    """Adds columns that ``one(encoder, text)`` gives. The model file is sent to every executor."""
+def _map(docs: DataFrame, of: str, model: str, columns: list[tuple[str, T.DataType]], one) -> DataFrame:
+    """Adds columns that ``one(encoder, value)`` gives of the column ``of``. The model, which is small,
+    is broadcast. Columns with the names added are replaced, all others kept, whatever their names."""
     spark = docs.sparkSession
     text_batches(spark)
-    spark.sparkContext.addFile(model)
-    name = model.rsplit("/", 1)[-1]
-    new = {n for n, _ in columns}
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
-    schema = T.StructType([*(f for f in kept.schema.fields if f.name != "_text"), *(T.StructField(n, t) for n, t in columns)])
+    with open(model, "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+    new = [n for n, _ in columns]
+    kept = [c for c in docs.columns if c not in new]
+    value = F.col(f"`{of}`")
+    rows = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), value.alias("value"))
+    made = T.StructType([rows.schema["row"], *(T.StructField(f"c{k}", t) for k, (_, t) in enumerate(columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        encoder = _encoder(SparkFiles.get(name))
+        encoder = _encoder(shared.value)
         for b in batches:
-            rows = [one(encoder, t.as_py()) for t in b.column("_text")]
-            arrays = [b.column(n) for n in b.schema.names if n != "_text"]
-            arrays += [pa.array([r[k] for r in rows], to_arrow_type(t)) for k, (_, t) in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+            found = [one(encoder, t.as_py()) for t in b.column("value")]
+            arrays = [pa.array([r[k] for r in found], to_arrow_type(t)) for k, (_, t) in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), *arrays], made.names)
 
-    return spread(kept).mapInArrow(run, schema)
+    out = rows.mapInArrow(run, made)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *[F.col(f"c{k}").alias(n) for k, n in enumerate(new)])
 
 
 def tokenised(docs: DataFrame, model: str, *, text_col: str = "text") -> DataFrame:
@@ -343,12 +344,12 @@ def tokenised(docs: DataFrame, model: str, *, text_col: str = "text") -> DataFra
         ids = encoder.encode(text)
         return ids, len(ids)
 
-    return _map(docs.withColumn("_text", F.col(text_col)), model, [("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType())], one)
+    return _map(docs, text_col, model, [("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType())], one)
 
 
 def detokenised(rows: DataFrame, model: str, *, ids_col: str = "ids") -> DataFrame:
     """Add ``decoded``, the text of the ids; null ids give an empty text."""
-    return _map(rows.withColumn("_text", F.col(ids_col)), model, [("decoded", T.StringType())], lambda encoder, ids: (encoder.pieces.decode(ids or []),))
+    return _map(rows, ids_col, model, [("decoded", T.StringType())], lambda encoder, ids: (encoder.pieces.decode(ids or []),))
 
 
 def digests(docs: DataFrame, model: str, *, text_col: str = "text") -> DataFrame:
@@ -359,7 +360,7 @@ def digests(docs: DataFrame, model: str, *, text_col: str = "text") -> DataFrame
         n, ids, decoded = encoder.round_trip(text)
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
-    return _map(docs.withColumn("_text", F.col(text_col)), model, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], one)
+    return _map(docs, text_col, model, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], one)
 
 
 def default_model() -> str:

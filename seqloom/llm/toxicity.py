@@ -123,63 +123,70 @@ def fit_chain(categories: list[str], features: list[int], rows: list[list[int]],
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_LABELS, features: int = FEATURES) -> Chain:
     """Fits a chain on at most ``sample`` labelled rows, those with the smallest hashes, none of them
-    held out. The sample travels to the documents, not the documents to it. Features are the
-    words and stems that tell a category best; they are counted on the executors."""
+    held out. The sample travels to the documents, not the documents to it. Of texts that share an id
+    one is used. Features are the words and stems that tell a category best; they are counted on
+    the executors."""
     text_batches(docs.sparkSession)
     categories = list(categories)
     known = labels.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(*[F.max(c).cast("int").alias(c) for c in categories])
     known = known.dropna(subset=categories).orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(known), "id")
+    texts = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))).join(F.broadcast(known), "id")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [list({c for w in words_of(t.as_py()) for c in codes_of(w)}) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("fold"), *[b.column(c) for c in categories], pa.array(found, pa.list_(pa.int64()))], ["fold", *categories, "codes"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("fold"), b.column("labels"), pa.array([sorted(c) for c in found], pa.list_(pa.int64()))], ["id", "fold", "labels", "codes"])
 
-    schema = "fold int, " + "".join(f"`{c}` int, " for c in categories) + "codes array<long>"
     fold = F.pmod(F.crc32(F.concat(F.lit("fold"), F.col("id").cast("string")).cast("binary")), F.lit(FOLDS)).cast("int")
-    rows = staged(spread(texts.withColumn("fold", fold)).mapInArrow(coded, schema), "sample")
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
+    kind = T.StructType([texts.schema["id"], *T._parse_datatype_string("fold int, labels array<int>, codes array<long>").fields])
+    rows = texts.select("id", "text", fold.alias("fold"), F.array(*[F.col(f"`{c}`") for c in categories]).alias("labels")).mapInArrow(coded, kind)
+    # An id is one row of the sample, however many texts have it.
+    rows = rows.groupBy("id", "fold", "labels").agg(F.min("codes").alias("codes"))
+    rows = staged(rows.select("fold", *[F.col("labels")[k].alias(f"y{k}") for k in range(len(categories))], "codes"), "sample")
+    names, columns = list(categories), [f"y{k}" for k in range(len(categories))]
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns]).first()
     if not totals["n"]:
-        return Chain(categories, [], [np.zeros(1 + k) for k in range(len(categories))])
-    counts = rows.select(*categories, F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories])
+        return Chain(names, [], [np.zeros(1 + k) for k in range(len(names))])
+    counts = rows.select(*columns, F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns])
     score = F.lit(0.0)
-    for c in categories:  # how far from chance the feature and the category meet
+    for c in columns:  # how far from chance the feature and the category meet
         share = totals[c] / totals["n"]
         deviation = F.sqrt(F.col("n") * (share * (1 - share)) + 1.0)
         score = F.greatest(score, F.abs(F.col(c) - F.col("n") * share) / deviation)
     chosen = [r["code"] for r in counts.where(F.col("n") >= MIN_ROWS).orderBy(score.desc(), "code").limit(features).collect()]
     index = F.array(*[F.lit(c) for c in chosen]) if chosen else F.array().cast("array<long>")
-    sampled = rows.select("fold", *categories, F.array_intersect("codes", index).alias("codes")).collect()
+    sampled = rows.select("fold", *columns, F.array_intersect("codes", index).alias("codes")).collect()
     at = {c: i for i, c in enumerate(chosen)}
-    return fit_chain(categories, chosen, [[at[c] for c in r["codes"]] for r in sampled], np.array([[r[c] for c in categories] for r in sampled], float), np.array([r["fold"] for r in sampled]))
+    return fit_chain(names, chosen, [[at[c] for c in r["codes"]] for r in sampled], np.array([[r[c] for c in columns] for r in sampled], float), np.array([r["fold"] for r in sampled]))
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``p_<category>`` and ``is_<category>`` for each category to every row, from the whole text.
 
-    Null texts count as empty. Repeated rows stay; columns with these names are replaced. Without
-    training rows every probability is 0.5.
+    Null texts count as empty. Repeated rows stay; columns with these names are replaced, all others
+    kept, whatever their names. Without training rows every probability is 0.5.
     """
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     new = [f"p_{c}" for c in chain.categories]
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new and not c.startswith("_text")], F.col(text_col).cast("binary").alias("_text"))
+    flags = [f"is_{c}" for c in chain.categories]
+    kept = [c for c in docs.columns if c not in (*new, *flags)]
+    rows = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             model = shared.value
-            p = [model.probabilities(model.columns(t.as_py())) for t in b.column("_text")]
-            cols = [b.column(c) for c in b.schema.names if c != "_text"] + [pa.array([r[k] for r in p], pa.float64()) for k in range(len(new))]
-            yield pa.RecordBatch.from_arrays(cols, [*(c for c in b.schema.names if c != "_text"), *new])
+            p = [model.probabilities(model.columns(t.as_py())) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(p, pa.list_(pa.float64()))], ["row", "p"])
 
-    fields = [f for f in kept.schema.fields if f.name != "_text"]
-    out = spread(kept).mapInArrow(run, T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in new)]))
-    return out.withColumns({f"is_{c}": (F.col(f"p_{c}") >= threshold).cast("int") for c in chain.categories})
+    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("p", T.ArrayType(T.DoubleType()))]))
+    score = [F.col("p")[k] for k in range(len(new))]
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *[x.alias(c) for x, c in zip(score, new, strict=True)], *[(x >= threshold).cast("int").alias(c) for x, c in zip(score, flags, strict=True)])
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels name two categories: low quality, which comes first in the chain, and toxic."""
+    """The labels tell toxic documents from others, but no kinds of toxicity. So the chain has the two
+    categories that they do name: low quality, which comes first, and toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), F.col("toxic"))
     found = score_toxicity(docs, train(docs, labels, ["junk", "toxic"]))

@@ -20,10 +20,11 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 WORDS = 8  # 64-bit words in a block of the filter; a key sets one bit in each
+#: Longer lists of rules are a table that hosts are joined to.
 MAX_RULES = 1000
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Sites whose pages make up the list that ``op10`` filters by.
-LISTED_SITES = "(^|[.-])(casino|bets|pills|ads)([.-]|$)"
+#: What pages show that make up the list which ``op10`` filters by: numbers of cards, addresses of mail.
+LISTED_PAGES = "[0-9]{16}|[a-z0-9]@[a-z0-9]"
 
 
 def host_of(url):
@@ -60,8 +61,6 @@ def bloom_filter(listed: DataFrame, key: str, blocks: int) -> DataFrame:
 def rule_of(host, path, rules: Sequence[tuple[str, str, str]]):
     """The rule as ``host/path`` text and its verdict; nulls where none fits. The longest wins,
     and of rules of one length the first in the sequence."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; put hosts that long into the list of URLs")
     name = verdict = F.lit(None).cast("string")
     for what, h, p in sorted(reversed(list(rules)), key=lambda r: len(r[1]) + len(r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -69,67 +68,93 @@ def rule_of(host, path, rules: Sequence[tuple[str, str, str]]):
     return name, verdict
 
 
-def url_filter(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", listed_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, bits_per_key: int = 16, broadcast_mb: float = 8, salts: int = 16) -> DataFrame:
+def rules_by_table(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same for ``places`` (``host`` and ``path``, distinct) and a table of rules (``rank``, ``what``,
+    ``host``, ``path``): ``host``, ``path``, ``rule`` and ``ruled`` of the places that a rule fits. A
+    host meets the rules of its own name and of each domain that it lies in."""
+    labels = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    spread_out = places.select("host", "path", F.explode(domains).alias("domain"))
+    found = spread_out.join(rules.select("rank", "what", F.col("host").alias("domain"), F.col("path").alias("start")), "domain").where(F.col("path").startswith(F.col("start")))
+    best = F.struct((F.length("domain") + F.length("start")).alias("n"), (-F.col("rank")).alias("first"))
+    return found.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("domain", "start").alias("rule"), F.col("what").alias("ruled")), best).alias("_r")).select("host", "path", "_r.*")
+
+
+def url_filter(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", listed_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, bits_per_key: int = 16, broadcast_mb: float = 8, max_rules: int = MAX_RULES) -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``listed`` and ``verdict`` to every row of ``pages``.
 
     ``listed`` holds URLs in the form of :func:`canonical`. A page without a rule is blocked if
     its canonical URL is listed, and else allowed. The list goes into a blocked Bloom filter of
     ``bits_per_key`` bits a URL. Pages that it passes are joined to the list itself, so its false
-    positives don't show. The filter is broadcast up to ``broadcast_mb`` (its size follows from the
-    number of listed URLs) and joined by block number beyond that. A URL that many pages share is
-    reduced to one row before it meets the list, and its pages are spread over ``salts`` keys.
+    positives don't show. Filter and list are broadcast up to ``broadcast_mb`` each, by their measured
+    sizes. Beyond that both are joined, pages under salts, so that neither one URL that many pages
+    share nor pages without one meet in a task. Rules beyond ``max_rules`` are joined by domain.
 
     Null URLs and URLs without ``://`` have an empty host and path, meet no rule and are never
     listed. Nulls and repeated rows in the list count once or not at all; repeated pages each get a
-    row. Other columns are kept; columns of ``pages`` that have the names added are replaced.
+    row. Other columns are kept, whatever their names; those that have the names added are replaced.
     """
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict")]
-    names = listed.select(F.col(listed_col).alias("_key")).where(F.col("_key").isNotNull() & (F.col("_key") != "")).distinct()
-    blocks = max(1, math.ceil(names.count() * bits_per_key / (64 * WORDS)))
-    bloom = bloom_filter(names, "_key", blocks)
-    small = blocks * 8 * (WORDS + 1) <= broadcast_mb * 1e6
-
-    url = F.col(url_col)
-    judged = pages.select(*[F.col(f"`{c}`") for c in keep], host_of(url).alias("host"), path_of(url).alias("path"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    key = canonical(F.col("host"), F.col("path"))
-    at, bits, h = _bits(F.col("_key"))
-    probed = (
-        judged.withColumns({"rule": rule, "_verdict": verdict, "_key": key})
-        .withColumns({"_block": F.pmod(at, F.lit(blocks)), "_h": h})
-        .join(F.broadcast(bloom) if small else bloom, "_block", "left")
-    )
-    passes = F.lit(True)
+    added = ("host", "path", "rule", "listed", "verdict")
+    keep = [c for c in pages.columns if c not in added]
+    names = listed.select(F.col(listed_col).alias("key")).where(F.col("key").isNotNull() & (F.col("key") != "")).distinct()
+    n, length = names.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n * bits_per_key / (64 * WORDS)))
+    bloom = bloom_filter(names, "key", blocks)
+    small_filter, small_list = blocks * 8 * (WORDS + 1) <= broadcast_mb * 1e6, length + 32 * n <= broadcast_mb * 1e6
+    salts = max(16, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    salted = lambda table: table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    url = F.col(f"`{url_col}`")
+    plain = [c for c, kind in pages.dtypes if not kind.startswith("map")]
+    once = lambda **cols: F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))  # noqa: E731  keeps the optimizer from writing them out again wherever they are used
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int")
+    row = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), once(host=host_of(url), path=path_of(url), salt=salt))
+    if len(rules) > max_rules:
+        table_of_rules = pages.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rules)], "rank int, what string, host string, path string")
+        ruled = salted(rules_by_table(row.where("host <> ''").select("host", "path").distinct(), table_of_rules))
+        row = row.join(ruled, ["host", "path", "salt"], "left")
+    else:
+        rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+        row = row.select("*", once(rule=rule, ruled=verdict))
+    row = row.select("*", once(key=canonical(F.col("host"), F.col("path"))))
+    at, bits, h = _bits(F.col("key"))
+    # Pages without a URL look up blocks that do not exist, each by its salt.
+    row = row.select("*", once(_block=F.when(F.col("key") == "", -1 - F.col("salt")).otherwise(F.pmod(at, F.lit(blocks))), _h=h))
+    row = row.join(F.broadcast(bloom), "_block", "left") if small_filter else row.join(salted(bloom), ["_block", "salt"], "left")
+    passes = F.col("key") != ""
     for i, b in enumerate(bits):
         passes = passes & ((F.coalesce(F.col(f"_w{i}"), F.lit(0).cast("long")).bitwiseAND(b)) != 0)
-    probed = probed.withColumn("_maybe", passes).drop("_h", "_block", *[f"_w{i}" for i in range(WORDS)])
-
-    maybe = probed.where("_maybe").withColumn("_salt", F.pmod(F.xxhash64(url), F.lit(salts)).cast("int"))
-    true = maybe.select("_key").distinct().join(names, "_key", "left_semi")
-    true = true.select("_key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.lit(True).alias("listed"))
-    checked = maybe.join(true, ["_key", "_salt"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    out = [*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", "listed", F.coalesce("_verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict")]
-    return checked.select(*out).unionAll(probed.where(~F.col("_maybe")).withColumn("listed", F.lit(False)).select(*out))
+    # What the filter stops looks up keys that no URL has.
+    row = row.select("row", "host", "path", "rule", "ruled", "salt", once(key=F.when(passes, F.col("key")).otherwise(F.concat(F.lit(" "), F.xxhash64("key").cast("string")))))
+    true = names.withColumn("listed", F.lit(True))
+    row = row.join(F.broadcast(true), "key", "left") if small_list else row.join(salted(true), ["key", "salt"], "left")
+    return row.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in keep],
+        "host",
+        "path",
+        "rule",
+        F.coalesce("listed", F.lit(False)).alias("listed"),
+        F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),
+    )
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """The list for ``op10``: canonical URLs of pages on sites whose names give them away."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    return pages.where(host.rlike(LISTED_SITES)).select(canonical(host, path).alias("url"))
+    """The list for ``op10``: canonical URLs of pages that show numbers of cards or addresses of mail.
+    All mirrors and spellings of such a page are blocked with it."""
+    return pages.where(F.col("html").rlike(LISTED_PAGES)).select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("url"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
+    pages = table(spark, sf_dir, "pages")
+    return url_filter(pages.select("page_id", "url"), listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 _PARTS = f"""SELECT page_id,
     translate(coalesce(regexp_extract(url, '{URL_PARTS}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '{URL_PARTS}', 2), '') AS path FROM pages"""
+    coalesce(regexp_extract(url, '{URL_PARTS}', 2), '') AS path, coalesce(regexp_matches(html, '{LISTED_PAGES}'), false) AS bad FROM pages"""
 OP10_SQL = f"""WITH p AS ({_PARTS}),
-c AS (SELECT *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(/|\\.html)$', '') AS k,
-    regexp_matches(host, '{LISTED_SITES}') AS junk FROM p),
-l AS (SELECT DISTINCT k FROM c WHERE junk AND k <> ''),
+c AS (SELECT *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(/|\\.html)$', '') AS k FROM p),
+l AS (SELECT DISTINCT k FROM c WHERE bad AND k <> ''),
 r AS (SELECT *, k IN (SELECT k FROM l) AS listed,
     CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
          WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'

@@ -64,3 +64,18 @@ def test_edges(spark):
     assert sorted(str(r.doc_id) for r in decontaminated(docs, bench).collect()) == ["3", "4", "5", "5", "7", "8"]
     assert find_overlap(docs.limit(0), bench).count() == 0
     assert find_overlap(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_many_blocks_of_items(spark):
+    """A block holds the items dealt to it alone; many blocks find what one finds."""
+    import pickle
+
+    from seqloom.llm.decontaminate import _blocks
+
+    items = [(i, " ".join(f"w{(i * 7 + k) % 400}" for k in range(14))) for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 13 + k) % 400}" for k in range(60)), "k") for i in range(40)] + [(99, None, "k"), (100, "", "k")], "doc_id long, text string, key string")
+    blocks = [pickle.loads(r["data"]) for r in _blocks(bench, "item_id", "text", 10, 200).collect()]
+    assert len(blocks) > 5 and sum(len(b.items) for b in blocks) == 200 and max(len(b.items) for b in blocks) < 80
+    one, many = (sorted(map(repr, find_overlap(docs, bench, block_words=n).collect())) for n in (10**6, 200))
+    assert one == many and sum(r.contaminated for r in find_overlap(docs, bench, block_words=200).collect()) > 5

@@ -64,3 +64,18 @@ def test_mask_keeps_examples(spark):
     assert by[0] == data[0][1]
     assert by[100] == "[SECRET]' token=secret:abcdefghijkl9"
     assert by[101] is None
+
+
+def test_repositories_of_one_owner(spark):
+    """A value in every repository of one owner is an example, though one owner has it."""
+    secret = "api_key = 'q9Zk2LmN8vTr4XyB'"
+    data = [(i, secret, f"l{i}", "hot", 1, "x") for i in range(4)] + [(10 + i, secret.replace("q9", "Q7"), f"l{i % 3}", "hot", 1, "x") for i in range(6)]
+    got = {r.id: r for r in find_secrets(spark.createDataFrame(data, SCHEMA), repo_cols=["lang"]).collect()}
+    assert got[0].n_live == 0 and (got[0].owners, got[0].repos) == ("1", "4")
+    assert got[10].n_live == 1 and (got[10].owners, got[10].repos) == ("1", "3")
+
+
+def test_text_of_very_many_matches(spark):
+    text = "password: abcdefghijk%d " * 40_000 % tuple(range(40_000))
+    got = find_secrets(spark.createDataFrame([(1, text, "en", "s", 1, "x")], SCHEMA)).first()
+    assert got.n_assign == 40_000 and got.base.split(",") == base(text)

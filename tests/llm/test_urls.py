@@ -1,6 +1,6 @@
 import duckdb
 
-from seqloom.llm.urls import OP10_SQL, op10_url_filter, url_filter
+from seqloom.llm.urls import OP10_SQL, RULES, listed_urls, op10_url_filter, url_filter
 
 
 def test_same_as_sql(spark, sf):
@@ -40,3 +40,20 @@ def test_no_false_negatives(spark):
     listed = pages.where("page_id % 3 = 0").selectExpr("concat('h', page_id % 700, '.net/p', page_id) AS url")
     got = url_filter(pages, listed).where("listed").count()
     assert got == 1000
+
+
+def test_tables_of_rules(spark):
+    rows = ["http://a.example.org/es/1", "http://example.org/en/12", "http://x.org/", "http://b.com/fr/", "http://b.com/de/", "http://com/de/", None, "http://notexample.org.net/es/", "http://EXAMPLE.org/es/"]
+    pages = spark.createDataFrame([(i % 9, u) for i, u in enumerate(rows * 3)], "page_id long, url string")
+    listed = spark.createDataFrame([("notexample.org.net/es",)], "url string")
+    more = [*RULES, ("block", "org", "/"), *[("block", f"h{i}.net", "/") for i in range(50)]]
+    plain = sorted(map(repr, url_filter(pages, listed, rules=more).collect()))
+    assert sorted(map(repr, url_filter(pages, listed, rules=more, max_rules=3).collect())) == plain and len(plain) == 27
+    assert sorted(map(repr, url_filter(pages, listed, rules=more, max_rules=3, broadcast_mb=0).collect())) == plain
+
+
+def test_mirrors_of_a_listed_page(spark):
+    rows = [(1, "http://www.a.net/x.html", "write to me@b"), (2, "https://a.net/x/", "plain"), (3, "http://c.net/x", "1234567812345678"), (4, "http://d.net/", None), (5, None, "me@b")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter(pages, listed_urls(pages)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
