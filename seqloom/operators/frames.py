@@ -11,8 +11,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.core import Names, clamp, item, mean, ordered_fold, over, total, variance
+from ..functions.core import Names, item, ordered_fold, over, total, variance
 
 
 def mean_abs_diff(a: Column, b: Column) -> Column:
@@ -146,15 +147,26 @@ def plausible_between(stats: DataFrame, by: Names, order: Names) -> DataFrame:
     return rows.withColumn("plausible", is_achromatic() & (F.abs(F.col("level") - F.col("want_level")) <= 24) & ~flat)
 
 
+def low_mean(df: DataFrame, by: Names, value: str, share: float) -> DataFrame:
+    """``low``: the mean of each key's values up to the one at this share of them in order. Values are
+    sorted, not gathered."""
+    w, whole = over(by, [value]), Window.partitionBy(*by)
+    n = F.count(F.lit(1)).over(whole)
+    rows = df.withColumn("_at", (F.row_number().over(w) - 1 == F.least(F.floor(n * share), n - 1)))
+    rows = rows.withColumn("_limit", F.max(F.when(F.col("_at"), F.col(value))).over(whole))
+    return rows.where(F.col(value) <= F.col("_limit")).groupBy(*by).agg(F.avg(value).alias("low"))
+
+
 def grain(cells: DataFrame, grid: Names, value: str = "v") -> DataFrame:
     """Noise level of each grid: root of the mean local variance over its flattest fifth."""
-    from .grids import box3
+    from .grids import _three, on_grids
+
+    def rule(a: dict) -> dict:
+        mean = _three(a[value])
+        return {"_var": np.maximum(0.0, _three(a[value] * a[value]) - mean * mean)}
 
-    both = box3(box3(cells.withColumn("_sq", F.col(value) * F.col(value)), grid, value, "_m"), grid, "_sq", "_m2")
-    local = both.withColumn("_var", F.greatest(F.lit(0.0), F.col("_m2") - F.col("_m") * F.col("_m")))
-    arrays = local.groupBy(*grid).agg(F.array_sort(F.collect_list("_var")).alias("_vars"))
-    limit = item(F.col("_vars"), F.least(F.floor(F.size("_vars") * 0.2), F.size("_vars") - 1))
-    return arrays.withColumn("_limit", limit).select(*grid, F.sqrt(mean(F.filter("_vars", lambda x: x <= F.col("_limit")))).alias("grain"))
+    local = on_grids(cells.select(*grid, "y", "x", value), grid, 1, [value], ["_var"], rule)
+    return low_mean(local, grid, "_var", 0.2).select(*grid, F.sqrt("low").alias("grain"))
 
 
 def blocking(cells: DataFrame, grid: Names, block: int = 8, value: str = "v") -> DataFrame:
@@ -168,9 +180,7 @@ def blocking(cells: DataFrame, grid: Names, block: int = 8, value: str = "v") ->
 def flicker(cells: DataFrame, by: Names, value: str = "v") -> DataFrame:
     """Mean temporal deviation over each group's steadiest quarter of pixels."""
     spread = cells.groupBy(*by, "y", "x").agg(F.stddev_pop(value).alias("_sd"))
-    arrays = spread.groupBy(*by).agg(F.array_sort(F.collect_list("_sd")).alias("_sds"))
-    limit = item(F.col("_sds"), F.least(F.floor(F.size("_sds") * 0.25), F.size("_sds") - 1))
-    return arrays.withColumn("_limit", limit).select(*by, mean(F.filter("_sds", lambda x: x <= F.col("_limit"))).alias("flicker"))
+    return low_mean(spread, by, "_sd", 0.25).withColumnRenamed("low", "flicker")
 
 
 def noise_probe(cells: DataFrame, by: Names, order: str, w: int, h: int, burst: int = 5, block: int = 8) -> DataFrame:

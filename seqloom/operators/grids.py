@@ -1,20 +1,28 @@
 """Operators on pixel tables: a row a pixel with its grid, ``y``, ``x`` and values.
 
-Passes along rows partition by grid and ``y``, passes along columns by grid and ``x``, so no task
-holds more than one row or column of a grid at a time.
+Filters of neighbourhoods pack the pixels of a tile, with a border as wide as all their passes reach,
+into arrays: whatever the number of passes, pixels are shuffled once, and no task holds more than a
+tile of a grid at a time. Missing pixels count as lying outside the grid.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.core import Names, clamp, fold, gathered, item, over
+from ..functions.core import Names, clamp, fold, gathered, ordered_fold, over
 
 CHANNELS = ("r", "g", "b")
+#: Side of a tile without its border.
+TILE = 256
+Arrays = dict[str, np.ndarray]
 
 
 def _byte(col: Column) -> Column:
@@ -25,53 +33,178 @@ def _trunc(col: Column) -> Column:
     return col.cast("long").cast("double")
 
 
-def _along(grid: Names, axis: str):
-    return over([*grid, "y" if axis == "x" else "x"], [axis])
+def on_grids(cells: DataFrame, grid: Names, halo: int, values: Sequence[str], outs: Sequence[str], rule: Callable[[Arrays], Arrays], tile: int = TILE) -> DataFrame:
+    """``cells`` with the columns ``outs``, which ``rule`` makes of ``values``: arrays of many tiles of one
+    shape (tile, row, column), NaN where there is no pixel. What is made of a pixel may depend on
+    others up to ``halo`` away. All other columns stay."""
+    near = lambda p: F.sequence(F.greatest(F.lit(0), F.floor((F.col(p) - halo) / tile)).cast("int"), F.greatest(F.lit(0), F.floor((F.col(p) + halo) / tile)).cast("int"))
+    own = lambda p: F.greatest(F.lit(0), F.floor(F.col(p) / tile)).cast("int")
+    keys = [*grid, "_ty", "_tx"]
+    dealt = cells.withColumn("_ty", F.explode(near("y"))).withColumn("_tx", F.explode(near("x"))).withColumn("_own", (F.col("_ty") == own("y")) & (F.col("_tx") == own("x")))
+    dealt = dealt.withColumns({f"_v{k}": F.col(v).cast("double") for k, v in enumerate(values)})
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    kept = [f for f in cells.schema.fields if f.name not in outs]
+    schema = T.StructType([*kept, *(T.StructField(o, T.DoubleType()) for o in outs)])
+
+    def made(part: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        y, x, own = (part.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("y", "x", "_own"))
+        given = {v: part.column(f"_v{k}").combine_chunks().to_numpy(zero_copy_only=False) for k, v in enumerate(values)}
+        sizes = np.diff(np.r_[starts, len(y)])
+        top, left = np.minimum.reduceat(y, starts), np.minimum.reduceat(x, starts)
+        shape = np.stack([np.maximum.reduceat(y, starts) - top + 1, np.maximum.reduceat(x, starts) - left + 1], axis=1)
+        group = np.repeat(np.arange(len(starts)), sizes)
+        at = (y - top[group], x - left[group])
+        new = {o: np.empty(len(y)) for o in outs}
+        for h, w in np.unique(shape, axis=0):
+            some = np.flatnonzero((shape == (h, w)).all(axis=1))
+            place = np.full(len(starts), -1)
+            place[some] = np.arange(len(some))
+            rows = np.flatnonzero(place[group] >= 0)
+            spot = (place[group[rows]], at[0][rows], at[1][rows])
+            arrays = {}
+            for v, data in given.items():
+                arrays[v] = np.full((len(some), h, w), np.nan)
+                arrays[v][spot] = data[rows]
+            for o, data in rule(arrays).items():
+                new[o][rows] = data[spot]
+        mine = np.flatnonzero(own)
+        part = part.select([f.name for f in kept]).take(pa.array(mine)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in part.columns), *(pa.array(new[o][mine], from_pandas=True) for o in outs)], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rest = None
+
+        def new_group(table: pa.Table) -> np.ndarray:
+            flags = np.zeros(table.num_rows, bool)
+            flags[:1] = True
+            for k in keys:
+                c = table.column(k).combine_chunks()
+                a, b = c.slice(1), c.slice(0, len(c) - 1)
+                different = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+                flags[1:] |= different
+            return np.flatnonzero(flags)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            # Only what may end a group is looked at; a group that goes on is just held.
+            if len(held) > 1 and len(new_group(pa.Table.from_batches([held[-2].slice(held[-2].num_rows - 1), b]))) == 1:
+                continue
+            table = pa.Table.from_batches(held)
+            starts = new_group(table)
+            cut = int(starts[-1])
+            if cut:
+                yield made(table.slice(0, cut), starts[:-1])
+            rest = table.slice(cut)
+            held = rest.to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield made(table, new_group(table))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _shifted(a: np.ndarray, axis: int, by: int) -> np.ndarray:
+    """The neighbour ``by`` places before (or, if negative, after) each pixel; NaN outside."""
+    out = np.full_like(a, np.nan)
+    to, of = [slice(None)] * a.ndim, [slice(None)] * a.ndim
+    to[axis], of[axis] = (slice(by, None), slice(None, -by)) if by > 0 else (slice(None, by), slice(-by, None))
+    if abs(by) < a.shape[axis]:
+        out[tuple(to)] = a[tuple(of)]
+    return out
+
+
+def _or(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(a), b, a)
+
+
+def _three(a: np.ndarray) -> np.ndarray:
+    for axis in (-1, -2):
+        a = (_or(_shifted(a, axis, 1), a) + a + _or(_shifted(a, axis, -1), a)) / 3
+    return a
+
+
+def _window(a: np.ndarray, radius: int, join: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    for axis in (-1, -2):
+        a = np.where(np.isnan(a), np.nan, join([_shifted(a, axis, k) if k else a for k in range(radius, -radius - 1, -1)]))
+    return a
+
+
+def _mean(parts: list[np.ndarray]) -> np.ndarray:
+    total, n = np.zeros_like(parts[0]), np.zeros_like(parts[0])
+    for p in parts:
+        there = ~np.isnan(p)
+        total += np.where(there, p, 0.0)
+        n += there
+    return total / np.maximum(n, 1)
+
+
+def _least(parts: list[np.ndarray]) -> np.ndarray:
+    return np.fmin.reduce(parts)
+
+
+def _most(parts: list[np.ndarray]) -> np.ndarray:
+    return np.fmax.reduce(parts)
+
+
+def _bytes3(a: np.ndarray) -> np.ndarray:
+    for axis in (-1, -2):
+        p, q = _shifted(a, axis, 1), _shifted(a, axis, -1)
+        one, other = np.isnan(p), np.isnan(q)
+        a = np.where(one & other, a, np.floor(np.where(one, (a + q + 1) / 2, np.where(other, (p + a + 1) / 2, (p + a + q + 1) / 3))))
+    return a
+
+
+def _nine(a: np.ndarray) -> np.ndarray:
+    """The nine values around each pixel, row by row, along a new first axis; borders repeat."""
+    three = np.stack([_or(_shifted(a, -1, 1), a), a, _or(_shifted(a, -1, -1), a)])
+    return np.concatenate([_or(_shifted(three, -2, 1), three), three, _or(_shifted(three, -2, -1), three)])
 
 
-def each(cells: DataFrame, grid: Names, values: Sequence[str], rule: Callable[[Column, object], Column], suffix: str = "") -> DataFrame:
-    """Applies a rule of value and window along rows, then along columns, to several columns at once."""
-    for axis in ("x", "y"):
-        w = _along(grid, axis)
-        cells = cells.withColumns({v + suffix: rule(F.col(v if axis == "x" else v + suffix), w) for v in values})
-    return cells
+def _bytes(a: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(a), 0, 255)
 
 
 def box3(cells: DataFrame, grid: Names, value: str = "v", out: str = "v") -> DataFrame:
     """Mean of three along rows, then columns; borders repeat."""
-    rule = lambda v, w: (F.coalesce(F.lag(v).over(w), v) + v + F.coalesce(F.lead(v).over(w), v)) / 3
-    return each(cells.withColumn(out, F.col(value)), grid, [out], rule)
+    return on_grids(cells, grid, 1, [value], [out], lambda a: {out: _three(a[value])})
 
 
 def box_mean(cells: DataFrame, grid: Names, radius: int, values: Sequence[str] = ("v",)) -> DataFrame:
     """Mean within ``radius`` along rows, then columns; windows shrink at borders."""
-    return cells if radius < 1 else each(cells, grid, values, lambda v, w: F.avg(v).over(w.rowsBetween(-radius, radius)))
+    return cells if radius < 1 else on_grids(cells, grid, radius, values, values, lambda a: {v: _window(a[v], radius, _mean) for v in values})
+
+
+def _repeated(rule: Callable[[np.ndarray], np.ndarray], times: int) -> Callable[[np.ndarray], np.ndarray]:
+    def run(a: np.ndarray) -> np.ndarray:
+        for _ in range(times):
+            a = rule(a)
+        return a
+
+    return run
 
 
 def box3_bytes(cells: DataFrame, grid: Names, passes: int = 1, values: Sequence[str] = ("v",)) -> DataFrame:
     """Integer mean of three along rows, then columns, of two at the ends, rounded up by one unit
     before the division; repeated."""
-
-    def rule(v: Column, w) -> Column:
-        a, b = F.lag(v).over(w), F.lead(v).over(w)
-        both = F.floor((a + v + b + 1) / 3)
-        return F.when(a.isNull() & b.isNull(), v).when(a.isNull(), F.floor((v + b + 1) / 2)).when(b.isNull(), F.floor((a + v + 1) / 2)).otherwise(both).cast("double")
-
-    for _ in range(passes):
-        cells = each(cells, grid, values, rule)
-    return cells
+    rule = _repeated(_bytes3, passes)
+    return on_grids(cells, grid, passes, values, values, lambda a: {v: rule(a[v]) for v in values})
 
 
 def erode(cells: DataFrame, grid: Names, radius: int, values: Sequence[str] = ("v",)) -> DataFrame:
-    return cells if radius < 1 else each(cells, grid, values, lambda v, w: F.min(v).over(w.rowsBetween(-radius, radius)))
+    return cells if radius < 1 else on_grids(cells, grid, radius, values, values, lambda a: {v: _window(a[v], radius, _least) for v in values})
 
 
 def dilate(cells: DataFrame, grid: Names, radius: int, values: Sequence[str] = ("v",)) -> DataFrame:
-    return cells if radius < 1 else each(cells, grid, values, lambda v, w: F.max(v).over(w.rowsBetween(-radius, radius)))
+    return cells if radius < 1 else on_grids(cells, grid, radius, values, values, lambda a: {v: _window(a[v], radius, _most) for v in values})
 
 
 def opened(cells: DataFrame, grid: Names, radius: int, values: Sequence[str] = ("v",)) -> DataFrame:
-    return dilate(erode(cells, grid, radius, values), grid, radius, values)
+    if radius < 1:
+        return cells
+    return on_grids(cells, grid, 2 * radius, values, values, lambda a: {v: _window(_window(a[v], radius, _least), radius, _most) for v in values})
 
 
 def alpha_stretch(cells: DataFrame, grid: Names, fg: float, bg: float, feather: int = 0, morph: int = 0, value: str = "v") -> DataFrame:
@@ -80,9 +213,15 @@ def alpha_stretch(cells: DataFrame, grid: Names, fg: float, bg: float, feather:
     if fg > bg > 0:
         v = F.col(value)
         cells = cells.withColumn(value, F.when(v <= bg, 0.0).when(v >= fg, 1.0).otherwise((v - bg) / (fg - bg)))
-    if feather > 0:
-        cells = box_mean(cells, grid, max(1, feather // 2), [value])
-    return opened(cells, grid, max(1, morph // 25), [value]) if morph > 0 else cells
+    blur, open_by = max(1, feather // 2) if feather > 0 else 0, max(1, morph // 25) if morph > 0 else 0
+    if not blur and not open_by:
+        return cells
+
+    def rule(a: Arrays) -> Arrays:
+        out = _window(a[value], blur, _mean) if blur else a[value]
+        return {value: _window(_window(out, open_by, _least), open_by, _most) if open_by else out}
+
+    return on_grids(cells, grid, blur + 2 * open_by, [value], [value], rule)
 
 
 def composite(fg: DataFrame, alpha: DataFrame, bg: DataFrame, grid: Names, values: Sequence[str] = CHANNELS) -> DataFrame:
@@ -113,154 +252,190 @@ def luma() -> Column:
 
 def tile_equalise(cells: DataFrame, grid: Names, w: int, h: int, strength: float, tiles: int = 8, least_side: int = 16) -> DataFrame:
     """Clipped equalisation of luma in each of ``tiles`` x ``tiles`` tiles, mixed bilinearly between
-    four tiles and applied to the channels in part."""
+    four tiles and applied to the channels in part. Pixels between the same four tiles meet the
+    histograms of these; pixels are shuffled once, and histograms are summed before they travel."""
     if min(w, h) < least_side:
         return cells
     tw, th, amount = -(-w // tiles), -(-h // tiles), strength / 100 * 0.2
     limit = max(1, int(2.0 * (tw * th) / 256))
-    rows = cells.withColumn("lum", _byte(luma()).cast("int")).withColumns({"ty": F.expr(f"y div {th}").cast("int"), "tx": F.expr(f"x div {tw}").cast("int")})
-    hist = rows.groupBy(*grid, "ty", "tx", F.col("lum").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    tile = hist.groupBy(*grid, "ty", "tx").agg(F.sum("n").alias("cnt"), F.sum(F.greatest(F.col("n") - limit, F.lit(0))).alias("excess"))
-    # The map of a level: pixels up to it after clipping, and its part of what was clipped.
-    levels = tile.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(255)))).join(hist, [*grid, "ty", "tx", "bin"], "left")
-    kept = F.sum(F.least(F.coalesce("n", F.lit(0)), F.lit(limit))).over(over([*grid, "ty", "tx"], ["bin"]))
-    spread = (F.col("bin") + 1) * F.floor(F.col("excess") / 256) + F.least(F.col("bin") + 1, F.col("excess") % 256)
-    maps = levels.withColumn("m", _byte((kept + spread) * 255.0 / F.greatest("cnt", F.lit(1)))).select(*grid, "ty", "tx", F.col("bin").alias("lum"), "m")
-
-    def axis(p: str, size: int, name: str) -> dict[str, Column]:
-        f = (F.col(p) - size / 2.0) / size
-        low = F.floor(f).cast("int")
-        at = lambda c: F.greatest(F.lit(0), F.least(F.lit(tiles - 1), c))
-        return {f"{name}a": at(low), f"{name}b": at(low + 1), f"w{name}": f - low}
-
-    rows = rows.drop("ty", "tx").withColumns({**axis("y", th, "y_"), **axis("x", tw, "x_")})
-    for y in "ab":
-        for x in "ab":
-            rows = rows.join(maps.select(*grid, F.col("ty").alias(f"y_{y}"), F.col("tx").alias(f"x_{x}"), "lum", F.col("m").alias(f"m{y}{x}")), [*grid, f"y_{y}", f"x_{x}", "lum"])
-    wx, wy = F.col("wx_"), F.col("wy_")
-    new = (F.col("maa") * (1 - wx) + F.col("mab") * wx) * (1 - wy) + (F.col("mba") * (1 - wx) + F.col("mbb") * wx) * wy
-    rows = rows.withColumn("_scale", new / F.greatest(F.lit(1.0), F.col("lum").cast("double")))
-    return rows.select(*grid, "y", "x", *[_byte(F.col(c) + (F.bround(F.col(c) * F.col("_scale")) - F.col(c)) * amount).alias(c) for c in CHANNELS])
+    rows = cells.select(*grid, "y", "x", *CHANNELS).withColumn("lum", _byte(luma()).cast("int"))
+    hist = rows.groupBy(*grid, F.expr(f"y div {th}").cast("int").alias("ty"), F.expr(f"x div {tw}").cast("int").alias("tx"), F.col("lum").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # A field lies between the middles of tiles, and is numbered by the one before it, from -1.
+    field = lambda p, size: F.floor((F.col(p) - size / 2.0) / size).cast("int")
+    fields = lambda t: F.array(*[c.cast("int") for c in (F.col(t) - 1, F.col(t))])
+    sent = hist.withColumn("fy", F.explode(fields("ty"))).withColumn("fx", F.explode(fields("tx")))
+    rows = rows.withColumns({"fy": field("y", th), "fx": field("x", tw)})
+    keys = [*grid, "fy", "fx"]
+    schema = T.StructType([*(cells.schema[c] for c in [*grid, "y", "x"]), *(T.StructField(c, T.DoubleType()) for c in CHANNELS)])
+
+    def equal(n: np.ndarray) -> np.ndarray:
+        """The map of levels: pixels up to each after clipping, and its part of what was clipped."""
+        kept, excess, level = np.cumsum(np.minimum(n, limit)), int(np.maximum(n - limit, 0).sum()), np.arange(1, 257)
+        return _bytes((kept + level * (excess // 256) + np.minimum(level, excess % 256)) * 255.0 / max(1, int(n.sum())))
+
+    def run(pixels: pa.Table, counts: pa.Table) -> pa.Table:
+        if not len(pixels):
+            return schema_of.empty_table()
+        ty, tx, lum, n = (counts.column(c).to_numpy() for c in ("ty", "tx", "bin", "n"))
+        maps = {}
+        for t in set(zip(ty.tolist(), tx.tolist(), strict=True)):
+            own = (ty == t[0]) & (tx == t[1])
+            maps[t] = equal(np.bincount(lum[own], n[own], 256).astype(np.int64))
+        fy, fx = pixels.column("fy")[0].as_py(), pixels.column("fx")[0].as_py()
+        inside_of = lambda k: min(max(k, 0), tiles - 1)
+        level, empty = pixels.column("lum").to_numpy(), np.zeros(256)
+        at = lambda i, j: maps.get((inside_of(fy + i), inside_of(fx + j)), empty)[level]
+        wy, wx = (pixels.column("y").to_numpy() - th / 2.0) / th - fy, (pixels.column("x").to_numpy() - tw / 2.0) / tw - fx
+        new = (at(0, 0) * (1 - wx) + at(0, 1) * wx) * (1 - wy) + (at(1, 0) * (1 - wx) + at(1, 1) * wx) * wy
+        scale = new / np.maximum(1.0, level)
+        out = {c: pixels.column(c) for c in [*grid, "y", "x"]}
+        for c in CHANNELS:
+            v = pixels.column(c).to_numpy().astype(float)
+            out[c] = pa.array(_bytes(v + (np.rint(v * scale) - v) * amount))
+        return pa.table(out)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema_of = to_arrow_schema(schema)
+    return rows.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def dehaze(cells: DataFrame, grid: Names, strength: float) -> DataFrame:
     """Removes haze by the dark channel. Of equally dark pixels the first by place are brightest."""
     amount = strength / 100 * 0.55
     least = max(0.05, 1.0 - amount * 0.4)
-    rows = cells.withColumn("dark", F.least(*CHANNELS))
-    for _ in range(6):
-        rows = erode(rows, grid, 2, ["dark"])
-    order = Window.partitionBy(*grid).orderBy(F.desc("dark"), "y", "x")
-    count = Window.partitionBy(*grid)
-    top = rows.withColumns({"_k": F.row_number().over(order), "_n": F.count(F.lit(1)).over(count)}).where(F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 1000)))
-    light = top.groupBy(*grid).agg(*[F.avg(c).alias(f"a{c}") for c in CHANNELS])
-    rows = rows.join(light, list(grid))
+    rule = _repeated(lambda a: _window(a, 2, _least), 6)
+    rows = on_grids(cells.withColumn("dark", F.least(*CHANNELS)), grid, 12, ["dark"], ["dark"], lambda a: {"dark": rule(a["dark"])})
+    order, whole = Window.partitionBy(*grid).orderBy(F.desc("dark"), "y", "x"), Window.partitionBy(*grid)
+    rows = rows.withColumns({"_k": F.row_number().over(order), "_n": F.count(F.lit(1)).over(whole)})
+    light = F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 1000))
+    rows = rows.withColumns({f"a{c}": F.avg(F.when(light, F.col(c))).over(whole) for c in CHANNELS})
     t = clamp(1.0 - 0.95 * F.least(F.lit(1.0), F.col("dark") / (255.0 * 0.9 + 1.0)), least, 1.0)
     clear = lambda c: _trunc((F.col(c) - amount * F.col(f"a{c}")) / t)
     return rows.select(*grid, "y", "x", *[clamp(_trunc(F.col(c) * (1 - amount) + clear(c) * amount), 0, 255).alias(c) for c in CHANNELS])
 
 
-def around(cells: DataFrame, grid: Names, value: str, out: str) -> DataFrame:
-    """``out``: the nine values around each pixel, row by row; borders repeat."""
-    w, c = _along(grid, "x"), _along(grid, "y")
-    v = F.col(value)
-    cells = cells.withColumn("_three", F.array(F.coalesce(F.lag(v).over(w), v), v, F.coalesce(F.lead(v).over(w), v)))
-    three = F.col("_three")
-    return cells.withColumn(out, F.concat(F.coalesce(F.lag(three).over(c), three), three, F.coalesce(F.lead(three).over(c), three))).drop("_three")
-
-
-def inside(w: int, h: int) -> Column:
-    return F.col("x").between(1, w - 2) & F.col("y").between(1, h - 2)
+def _inside(a: np.ndarray, reach: int = 1) -> np.ndarray:
+    """Pixels that have all their neighbours."""
+    out = ~np.isnan(a)
+    for axis in (-1, -2):
+        out &= ~np.isnan(_shifted(a, axis, reach)) & ~np.isnan(_shifted(a, axis, -reach))
+    return out
 
 
 def median3(cells: DataFrame, grid: Names, strength: float, values: Sequence[str] = CHANNELS) -> DataFrame:
     """Two passes of the median of nine, mixed with the original."""
-    rows = cells.withColumns({f"_m{v}": F.col(v) for v in values})
-    for _ in range(2):
-        for v in values:
-            rows = around(rows, grid, f"_m{v}", "_nine").withColumn(f"_m{v}", item(F.array_sort("_nine"), F.lit(4))).drop("_nine")
-    return rows.select(*grid, "y", "x", *[_byte(F.col(v) + (F.col(f"_m{v}") - F.col(v)) * (strength / 100)).alias(v) for v in values])
+    middle = _repeated(lambda a: np.sort(_nine(a), axis=0)[4], 2)
+    rule = lambda a: {v: _bytes(a[v] + (middle(a[v]) - a[v]) * (strength / 100)) for v in values}
+    return on_grids(cells.select(*grid, "y", "x", *values), grid, 2, values, values, rule)
 
 
 def unsharp(cells: DataFrame, grid: Names, amount: float, threshold: float, passes: int = 1, value: str = "v") -> DataFrame:
-    rows = box3_bytes(cells.withColumn("_blur", F.col(value)), grid, max(1, passes), ["_blur"])
-    diff = F.col(value) - F.col("_blur")
-    return rows.withColumn(value, F.when(F.abs(diff) > threshold, clamp(_trunc(F.col(value) + amount * diff), 0, 255)).otherwise(F.col(value))).drop("_blur")
+    blur = _repeated(_bytes3, max(1, passes))
+
+    def rule(a: Arrays) -> Arrays:
+        diff = a[value] - blur(a[value])
+        return {value: np.where(np.abs(diff) > threshold, np.clip(np.trunc(a[value] + amount * diff), 0, 255), a[value])}
+
+    return on_grids(cells, grid, max(1, passes), [value], [value], rule)
 
 
 def midtone_clarity(cells: DataFrame, grid: Names, amount: float, passes: int = 8) -> DataFrame:
     """Adds what eight blurs take away, most where luma is in the middle."""
-    rows = box3_bytes(cells.withColumns({f"_{c}": F.col(c) for c in CHANNELS}), grid, passes, [f"_{c}" for c in CHANNELS])
-    t = F.abs(luma() - 128.0) / 140.0
-    k = amount * 0.5 * F.greatest(F.lit(0.0), 1.0 - t * t)
-    return rows.select(*grid, "y", "x", *[_byte(F.col(c) + k * (F.col(c) - F.col(f"_{c}"))).alias(c) for c in CHANNELS])
+    blur = _repeated(_bytes3, passes)
+
+    def rule(a: Arrays) -> Arrays:
+        t = np.abs(_luma(a) - 128.0) / 140.0
+        k = amount * 0.5 * np.maximum(0.0, 1.0 - t * t)
+        return {c: _bytes(a[c] + k * (a[c] - blur(a[c]))) for c in CHANNELS}
+
+    return on_grids(cells.select(*grid, "y", "x", *CHANNELS), grid, passes, CHANNELS, CHANNELS, rule)
 
 
 def high_freq_boost(cells: DataFrame, grid: Names, w: int, h: int, amount: float, threshold: float = 4.0, value: str = "v") -> DataFrame:
     """Adds the difference to the 3x3 mean, inner pixels only, less where it is small."""
-    rows = around(cells, grid, value, "_nine")
-    hp = F.col(value) - F.aggregate("_nine", F.lit(0.0), lambda a, x: a + x) / 9.0
-    a = F.abs(hp)
-    gate = F.when(a > threshold, (a - threshold) / F.when(a > 0, a)).otherwise(0.0)
-    return rows.withColumn(value, F.when(inside(w, h), _byte(F.col(value) + amount * hp * gate)).otherwise(F.col(value))).drop("_nine")
 
+    def rule(a: Arrays) -> Arrays:
+        v = a[value]
+        hp = v - _sum(_nine(v)) / 9.0
+        size = np.abs(hp)
+        gate = np.where(size > threshold, (size - threshold) / np.where(size > 0, size, 1.0), 0.0)
+        return {value: np.where(_inside(v), _bytes(v + amount * hp * gate), v)}
 
-def _edge_weight(nine: str) -> Column:
-    at = lambda i: item(F.col(nine), F.lit(i))
-    gx = at(2) + 2 * at(5) + at(8) - at(0) - 2 * at(3) - at(6)
-    gy = at(6) + 2 * at(7) + at(8) - at(0) - 2 * at(1) - at(2)
-    return clamp(F.sqrt(gx * gx + gy * gy) / 4.0 / 48.0, 0.0, 1.0)
+    return on_grids(cells, grid, 1, [value], [value], rule)
+
+
+def _sum(parts: np.ndarray) -> np.ndarray:
+    total = np.zeros_like(parts[0])
+    for p in parts:
+        total = total + p
+    return total
+
+
+def _luma(a: Arrays) -> np.ndarray:
+    return 0.299 * a["r"] + 0.587 * a["g"] + 0.114 * a["b"]
+
+
+def _edge_weight(nine: np.ndarray) -> np.ndarray:
+    gx = nine[2] + 2 * nine[5] + nine[8] - nine[0] - 2 * nine[3] - nine[6]
+    gy = nine[6] + 2 * nine[7] + nine[8] - nine[0] - 2 * nine[1] - nine[2]
+    return np.clip(np.sqrt(gx * gx + gy * gy) / 4.0 / 48.0, 0.0, 1.0)
 
 
 def edge_gated_sharpen(cells: DataFrame, grid: Names, w: int, h: int, amount: float) -> DataFrame:
     """Adds luma less its blur to all channels, most at edges; inner pixels only."""
-    rows = cells.withColumn("_lum", _byte(luma()))
-    rows = around(box3_bytes(rows.withColumn("_blur", F.col("_lum")), grid, 2, ["_blur"]), grid, "_blur", "_nine")
-    add = amount * 1.5 * (F.col("_lum") - F.col("_blur")) * (0.25 + 0.75 * _edge_weight("_nine"))
-    return rows.select(*grid, "y", "x", *[F.when(inside(w, h), _byte(F.col(c) + add)).otherwise(F.col(c)).alias(c) for c in CHANNELS])
+
+    def rule(a: Arrays) -> Arrays:
+        lum = _bytes(_luma(a))
+        blur = _bytes3(_bytes3(lum))
+        add = amount * 1.5 * (lum - blur) * (0.25 + 0.75 * _edge_weight(_nine(blur)))
+        return {c: np.where(_inside(lum), _bytes(a[c] + add), a[c]) for c in CHANNELS}
+
+    return on_grids(cells.select(*grid, "y", "x", *CHANNELS), grid, 3, CHANNELS, CHANNELS, rule)
 
 
 def edge_enhance(cells: DataFrame, grid: Names, w: int, h: int, amount: float, gain: float = 0.5) -> DataFrame:
     """Adds each channel's Laplacian of eight neighbours, weighted by the edge strength of luma."""
-    rows = cells.withColumn("_blur", _byte(luma()))
-    rows = around(box3_bytes(rows, grid, 1, ["_blur"]), grid, "_blur", "_nine").withColumn("_w", _edge_weight("_nine"))
-    for c in CHANNELS:
-        rows = around(rows, grid, c, f"_n{c}")
-    lap = lambda c: (9.0 * F.col(c) - F.aggregate(f"_n{c}", F.lit(0.0), lambda a, x: a + x)) / 8.0
-    return rows.select(*grid, "y", "x", *[F.when(inside(w, h), _byte(F.col(c) + amount * gain * lap(c) * F.col("_w"))).otherwise(F.col(c)).alias(c) for c in CHANNELS])
+
+    def rule(a: Arrays) -> Arrays:
+        lum = _bytes(_luma(a))
+        weight = _edge_weight(_nine(_bytes3(lum)))
+        lap = {c: (9.0 * a[c] - _sum(_nine(a[c]))) / 8.0 for c in CHANNELS}
+        return {c: np.where(_inside(lum), _bytes(a[c] + amount * gain * lap[c] * weight), a[c]) for c in CHANNELS}
+
+    return on_grids(cells.select(*grid, "y", "x", *CHANNELS), grid, 2, CHANNELS, CHANNELS, rule)
 
 
 def edge_smooth(cells: DataFrame, grid: Names, strength: float, threshold: float = 16, value: str = "v") -> DataFrame:
     """Moves pixels that differ much from a neighbour toward the integer mean of the nine."""
-    rows = around(cells, grid, value, "_nine")
-    v = F.col(value)
-    edge = (F.array_max("_nine") - v >= threshold) | (v - F.array_min("_nine") >= threshold)
-    mean = F.floor(F.aggregate("_nine", F.lit(0.0), lambda a, x: a + x) / 9)
-    return rows.withColumn(value, F.when(edge, clamp(v + F.bround((mean - v) * (strength / 100 * 0.55)), 0, 255)).otherwise(v)).drop("_nine")
+
+    def rule(a: Arrays) -> Arrays:
+        v, nine = a[value], _nine(a[value])
+        edge = (nine.max(axis=0) - v >= threshold) | (v - nine.min(axis=0) >= threshold)
+        mean = np.floor(_sum(nine) / 9)
+        return {value: np.where(edge, np.clip(v + np.rint((mean - v) * (strength / 100 * 0.55)), 0, 255), v)}
+
+    return on_grids(cells, grid, 1, [value], [value], rule)
 
 
 def temporal_smooth(cells: DataFrame, by: Names, order: str, reset: str, stability: float, value: str = "v") -> DataFrame:
-    """Steadies each pixel over frames in order; ``reset`` forgets what was. A fold for each pixel."""
+    """Steadies each pixel over frames in order; ``reset`` forgets what was. A fold for each pixel over
+    sorted partitions."""
     k = stability / 100 * 0.9
     if k <= 0:
         return cells.select(*by, "y", "x", order, value)
-    rows = gathered(cells, [*by, "y", "x"], [order], [value, reset])
-    kind = f"array<struct<{order}:long,{value}:double>>"
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("out"), none.alias("raw"), F.array().cast(kind).alias("all"))
-
-    def step(acc: Column, r: Column) -> Column:
-        out = smoothed(r[value], F.when(~r[reset], acc["out"]), F.when(~r[reset], acc["raw"]), k)
-        return F.struct(out.alias("out"), r[value].cast("double").alias("raw"), F.concat(acc["all"], F.array(F.struct(r[order].cast("long").alias(order), out.alias(value)))).alias("all"))
-
-    return rows.select(*by, "y", "x", F.inline(fold(F.col("rows"), start, step, lambda a: a["all"])))
-
 
-def smoothed(now: Column, out: Column, raw: Column, k: float) -> Column:
-    """The next value from this one and the last ones put out and read; null last ones are none."""
-    hard = (now <= 0.001) | (now >= 0.999) | (out <= 0.001) | (out >= 0.999)
-    w = k * (1 - clamp(3.5 * F.abs(now - raw), 0.0, 1.0))
-    return F.when(out.isNull() | hard, now).otherwise(out + (now - out) * (1 - w)).cast("double")
+    def step(last: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        at, now, forget = row
+        out = now
+        if last is not None and not forget:
+            before, raw = last
+            if not (now <= 0.001 or now >= 0.999 or before <= 0.001 or before >= 0.999):
+                out = before + (now - before) * (1 - k * (1 - min(max(3.5 * abs(now - raw), 0.0), 1.0)))
+        return (out, now), (at, out)
+
+    rows = cells.select(*by, "y", "x", F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value), F.coalesce(F.col(reset), F.lit(False)).alias(reset))
+    return ordered_fold(rows, [*by, "y", "x"], [order], [value, reset], step, f"`{order}` long, `{value}` double")
 
 
 def tile_split(cells: DataFrame, w: int, h: int, tile: int, overlap: int, least_stride: int = 32) -> DataFrame:

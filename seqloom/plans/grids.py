@@ -75,7 +75,7 @@ MEAN1 = "(avg({v}) OVER ({p} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"
 
 @query("d05_alpha_stretch", f"SELECT {AT}, round(v, 6) AS v FROM {passes(passes(passes(STRETCH, ['v'], MEAN1), ['v'], MIN), ['v'], MIN.replace('min', 'max'))}")
 def d05(spark, sf):
-    return out(op.alpha_stretch(fx.alpha(spark, sf), G, 0.7, 0.3, feather=2, morph=25))
+    return out(op.alpha_stretch(fx.alpha(spark, sf), G, 0.7, 0.3, feather=1, morph=10))
 
 
 @query("d06_composite", f"SELECT {AT}, " + ", ".join(f"greatest(0, least(255, floor(v / 255 * {c} + (1 - v / 255) * (255 - {c}) + 0.5)))::DOUBLE AS {c}" for c in RGB) + " FROM (SELECT grid_id, y, x, r, g, b, (r * 3 + g * 5 + b * 7) % 256 AS v FROM v_rgb)")
@@ -128,7 +128,7 @@ def d10(spark, sf):
     return out(op.median3(fx.cells(spark, sf), G, 70, ["v"]))
 
 
-@query("d11_unsharp", f"bl AS (SELECT grid_id, y, x, v AS s FROM {passes('v_cells', ['v'], BYTES, times=2)}) SELECT {AT}, (CASE WHEN abs(v - s) > 5 THEN greatest(0, least(255, trunc(v + 1.5::DOUBLE * (v - s)))) ELSE v END)::DOUBLE AS v FROM v_cells JOIN bl USING ({AT})")
+@query("d11_unsharp", f"bl AS MATERIALIZED (SELECT grid_id, y, x, v AS s FROM {passes('v_cells', ['v'], BYTES, times=2)}) SELECT {AT}, (CASE WHEN abs(v - s) > 5 THEN greatest(0, least(255, trunc(v + 1.5::DOUBLE * (v - s)))) ELSE v END)::DOUBLE AS v FROM v_cells JOIN bl USING ({AT})")
 def d11(spark, sf):
     return out(op.unsharp(fx.cells(spark, sf), G, 1.5, 5, 2))
 
