@@ -20,6 +20,13 @@ from ..sources.scratch import shared_folder
 Step = Callable[[tuple, dict], tuple[tuple, list[tuple]]]
 
 
+def _records(pdf: pd.DataFrame) -> Iterator[dict]:
+    """Rows as dictionaries, missing values as None; columns are turned into lists once."""
+    names = list(pdf.columns)
+    columns = [c.astype(object).where(c.notna(), None).tolist() for _, c in pdf.items()]
+    return (dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True))
+
+
 def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], start: tuple, step: Step, state: str, out: str, keep_ms: int | None = None, time: str | None = None) -> DataFrame:
     """Folds each key's rows with ``step(state, row) -> (state, rows out)``. With ``keep_ms`` and a
     ``time`` column under a watermark, a key's state goes when the watermark is that far past its
@@ -34,14 +41,15 @@ def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], sta
             return
         now, rows, last = (held.get if held.exists else start), [], None
         pdf = pd.concat(list(parts)).sort_values(list(order))
-        for row in pdf.to_dict("records"):
-            now, made = step(now, {k: None if v is pd.NaT or v != v else v for k, v in row.items()})
+        for row in _records(pdf):
+            now, made = step(now, row)
             rows += [(*key, *m) for m in made]
             last = row.get(time) if time else None
         held.update(now)
         if keep_ms is not None and last is not None:
             held.setTimeoutTimestamp(max(int(last.timestamp() * 1000), held.getCurrentWatermarkMs()) + keep_ms)
-        yield pd.DataFrame(rows, columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     kind = GroupStateTimeout.EventTimeTimeout if keep_ms is not None else GroupStateTimeout.NoTimeout
     return stream.groupBy(*keys).applyInPandasWithState(run, out_type, T._parse_datatype_string(state), "append", kind)
@@ -54,8 +62,8 @@ def batch_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         now, made = start, []
-        for row in pdf.sort_values(list(order)).to_dict("records"):
-            now, more = step(now, {k: None if v is pd.NaT or v != v else v for k, v in row.items()})
+        for row in _records(pdf.sort_values(list(order))):
+            now, more = step(now, row)
             made += [(*key, *m) for m in more]
         return pd.DataFrame(made, columns=names)
 
