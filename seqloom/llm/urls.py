@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import ascii_lower, table
+from .tables import ascii_lower, staged, table
 
 #: (verdict, host, path)
 RULES = [
@@ -96,7 +96,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", lis
     """
     added = ("host", "path", "rule", "listed", "verdict")
     keep = [c for c in pages.columns if c not in added]
-    names = listed.select(F.col(listed_col).alias("key")).where(F.col("key").isNotNull() & (F.col("key") != "")).distinct()
+    names = staged(listed.select(F.col(listed_col).alias("key")).where(F.col("key").isNotNull() & (F.col("key") != "")).distinct(), "listed")
     n, length = names.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
     blocks = max(1, math.ceil(n * bits_per_key / (64 * WORDS)))
     bloom = bloom_filter(names, "key", blocks)

@@ -1,8 +1,6 @@
 import hashlib
 import re
 
-from pyspark.sql import functions as F
-
 from seqloom.llm.secrets import find_secrets, mask_secrets, op1_secret_scan
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string"
