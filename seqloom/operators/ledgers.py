@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.core import Names, clamp, fold, gathered, ordered_fold, over
+from ..functions.core import Names, clamp, finite, fold, gathered, ordered_fold, over
 from ..sources.scratch import staged
 
 #: File endings that count as output images.
@@ -51,16 +51,20 @@ def two_point_cost(t1: Column, tn: Column, n: Column, pixels: Column, reference:
 
 
 def validate_measures(df: DataFrame) -> DataFrame:
-    """``reject``: the first rule that a measurement breaks, null if it is accepted."""
+    """``reject``: the first rule that a measurement breaks, null if it is accepted. What is missing
+    breaks a rule too, and times that are not finite do."""
     slope, _, _ = two_point_cost(F.col("t1"), F.col("tn"), F.col("n"), F.col("pixels"))
+    no = lambda good: ~F.coalesce(good, F.lit(False))
+    time = lambda c: finite(F.col(c)) & (F.col(c) > 0)
     rule = (
-        F.when(F.trim(F.coalesce("model", F.lit(""))) == "", "model")
-        .when(F.col("scale") < 1, "scale")
-        .when(F.col("n") < 4, "frames")
-        .when(~(F.col("t1") > 0), "time")
-        .when(F.col("pixels") <= 0, "pixels")
-        .when(F.trim(F.coalesce("machine", F.lit(""))) == "", "machine")
-        .when(~F.col("backend").isin(BACKENDS), "backend")
+        F.when(no(F.trim("model") != ""), "model")
+        .when(no(F.col("scale") >= 1), "scale")
+        .when(no(F.col("n") >= 4), "frames")
+        .when(no(time("t1")), "time")
+        .when(no(time("tn")), "sample_time")
+        .when(no(F.col("pixels") > 0), "pixels")
+        .when(no(F.trim("machine") != ""), "machine")
+        .when(no(F.col("backend").isin(BACKENDS)), "backend")
         .when(~(F.col("tn") > F.col("t1")), "order")
         .when(F.col("tn") - F.col("t1") < 0.15 * F.col("t1"), "noise")
         .when((slope <= 0.0005) | (slope > 120), "slope")

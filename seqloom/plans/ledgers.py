@@ -36,12 +36,18 @@ def l03(spark, sf):
     return fx.prices(spark, sf).select("seq", r6(slope).alias("slope"), r6(floor).alias("floor"), r6(ref).alias("at_reference"))
 
 
-REJECT = "CASE WHEN n < 4 THEN 'frames' WHEN backend NOT IN ('O', 'F') THEN 'backend' WHEN NOT tn > t1 THEN 'order' WHEN tn - t1 < 0.15::DOUBLE * t1 THEN 'noise' WHEN (tn - t1) / (n - 1) <= 0.0005 OR (tn - t1) / (n - 1) > 120 THEN 'slope' END"
+FAULTS = """SELECT seq, n, backend, CASE WHEN seq % 37 = 0 THEN ' ' ELSE model END AS model, CASE WHEN seq % 23 = 0 THEN 0 ELSE scale END AS scale, CASE WHEN seq % 13 = 0 THEN 'nan'::DOUBLE WHEN seq % 19 = 0 THEN 0 ELSE t1 END AS t1,
+CASE WHEN seq % 17 = 0 THEN 'inf'::DOUBLE ELSE tn END AS tn, CASE WHEN seq % 31 = 0 THEN 0 ELSE pixels END AS pixels, CASE WHEN seq % 29 = 0 THEN NULL ELSE machine END AS machine FROM v_prices"""
+REJECT = "CASE WHEN trim(model) = '' THEN 'model' WHEN scale < 1 THEN 'scale' WHEN n < 4 THEN 'frames' WHEN isnan(t1) OR t1 <= 0 THEN 'time' WHEN isinf(tn) THEN 'sample_time' WHEN pixels <= 0 THEN 'pixels' WHEN machine IS NULL THEN 'machine' WHEN backend NOT IN ('O', 'F') THEN 'backend' WHEN NOT tn > t1 THEN 'order' WHEN tn - t1 < 0.15::DOUBLE * t1 THEN 'noise' WHEN (tn - t1) / (n - 1) <= 0.0005 OR (tn - t1) / (n - 1) > 120 THEN 'slope' END"
 
 
-@query("l04_validate_measure", f"SELECT seq, {REJECT} AS reject FROM v_prices")
+@query("l04_validate_measure", f"SELECT seq, {REJECT} AS reject FROM ({FAULTS})")
 def l04(spark, sf):
-    return op.validate_measures(fx.prices(spark, sf)).select("seq", "reject")
+    """Measurements with faults of every kind."""
+    faulty = {"model": (37, F.lit(" ")), "scale": (23, F.lit(0)), "tn": (17, F.lit(float("inf"))), "pixels": (31, F.lit(0)), "machine": (29, F.lit(None))}
+    p = fx.prices(spark, sf).withColumns({c: F.when(F.col("seq") % k == 0, v).otherwise(F.col(c)) for c, (k, v) in faulty.items()})
+    p = p.withColumn("t1", F.when(F.col("seq") % 13 == 0, float("nan")).when(F.col("seq") % 19 == 0, 0.0).otherwise(F.col("t1")))
+    return op.validate_measures(p).select("seq", "reject")
 
 
 KEYS = ["model", "scale", "machine", "backend"]

@@ -214,3 +214,12 @@ def test_texts(spark):
     assert got == [(12, "漢字…"), (0, "x"), (0, "")]
     head = df.select(tx.head_lines(F.lit("a\n" + "b" * 500), 5, 400).alias("h"), tx.tail_chars(F.lit("q" * 300 + "\n" + "z" * 450)).alias("t")).first()
     assert head.h == "a" and head.t == "z" * 450
+
+
+def test_measures_are_rejected_by_the_first_rule(spark):
+    good = ("m", 2, 6, 0.9, 2.5, 2_073_600, "K", "vulkan")
+    bad = {"model": (0, " "), "scale": (1, 0), "frames": (2, 3), "time": (3, float("nan")), "sample_time": (4, float("inf")), "pixels": (5, 0), "machine": (6, None), "backend": (7, "")}
+    rows = [("", *good), *((k, *[v if j == i else x for j, x in enumerate(good)]) for k, (i, v) in bad.items())]
+    rows += [("time", *good[:3], 0.0, *good[4:]), ("sample_time", *good[:4], -1.0, *good[5:]), ("order", *good[:3], 4.0, 4.0, *good[5:]), ("order", *good[:3], 4.0, 3.7, *good[5:]), ("noise", *good[:3], 4.0, 4.5, *good[5:]), ("slope", *good[:3], 0.9, 900.0, *good[5:])]
+    df = spark.createDataFrame(rows, "want string, model string, scale int, n int, t1 double, tn double, pixels long, machine string, backend string")
+    assert [(r.want, r.reject or "") for r in ledgers.validate_measures(df).collect() if r.want != (r.reject or "")] == []
