@@ -82,17 +82,20 @@ def upsert_latest(book: DataFrame, new: DataFrame, keys: Names, arrival: str) ->
 def resolve_measure(asks: DataFrame, book: DataFrame, value: str, ask_id: str = "ask_id") -> DataFrame:
     """For each ask (model, scale, machine, backend) the newest record that fits: ``found``. Without
     one ``other`` says whether only another machine or backend has it. A null backend fits all,
-    the unknown one none."""
+    the unknown one none. Asks for the same are answered once."""
     rank = F.struct("measured_at", "seq")
     records = book.select(F.col("model"), F.col("scale"), F.col("machine").alias("_m"), F.col("backend").alias("_b"), rank.alias("_at"), F.col(value).alias("_v"))
     # The newest of each machine and backend is all that can matter.
     records = records.groupBy("model", "scale", "_m", "_b").agg(F.max_by("_v", "_at").alias("_v"), F.max("_at").alias("_at"))
-    rows = asks.join(records, ["model", "scale"], "left")
+    keys = ["model", "scale", "machine", "backend"]
+    rows = asks.select(*keys).distinct().join(records, ["model", "scale"], "left")
     machine = F.col("_m") == F.col("machine")
     backend = (F.col("backend").isNull() | ((F.col("backend") != "unknown") & (F.col("_b") == F.col("backend")))) & F.col("_m").isNotNull()
     hit = machine & backend
-    out = rows.groupBy(ask_id).agg(F.max_by(F.when(hit, F.col("_v")), F.when(hit, F.col("_at"))).alias("found"), F.coalesce(F.bool_or(machine & ~backend), F.lit(False)).alias("b"), F.coalesce(F.bool_or(~machine & backend), F.lit(False)).alias("m"))
-    return out.select(ask_id, "found", F.when(F.col("found").isNotNull(), "").when(F.col("m"), "machine").when(F.col("b"), "backend").otherwise("none").alias("other"))
+    out = rows.groupBy(*keys).agg(F.max_by(F.when(hit, F.col("_v")), F.when(hit, F.col("_at"))).alias("found"), F.coalesce(F.bool_or(machine & ~backend), F.lit(False)).alias("b"), F.coalesce(F.bool_or(~machine & backend), F.lit(False)).alias("m"))
+    out = out.select(*[F.col(k).alias(f"_{k}") for k in keys], "found", F.when(F.col("found").isNotNull(), "").when(F.col("m"), "machine").when(F.col("b"), "backend").otherwise("none").alias("other"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return asks.join(out, same).select(ask_id, "found", "other")
 
 
 def perf_history(runs: DataFrame, flags: Names, version: int) -> DataFrame:
