@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chunks import op3_chunks
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .manifest import OP11_SQL, op11_manifest
 from .neardup import op2_simhash
 from .neighbours import op8_nearest
 from .quality import op5_quality
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
+    "op11_manifest": op11_manifest,
 }
-ORACLE = {"op1_secret_scan": OP1_SQL, "op9_decontaminate": OP9_SQL, "op10_url_filter": OP10_SQL}
+ORACLE = {"op1_secret_scan": OP1_SQL, "op9_decontaminate": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_manifest": OP11_SQL}
