@@ -9,6 +9,7 @@ from .neardup import op2_simhash
 from .neighbours import op8_nearest
 from .quality import op5_quality
 from .secrets import OP1_SQL, op1_secret_scan
+from .spelling import OP13_SQL, op13_spelling
 from .substrings import op4_substrings
 from .tokenise import op6_sentencepiece
 from .toxicity import op7_toxicity
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
     "op11_manifest": op11_manifest,
+    "op13_spelling": op13_spelling,
 }
-ORACLE = {"op1_secret_scan": OP1_SQL, "op9_decontaminate": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_manifest": OP11_SQL}
+ORACLE = {"op1_secret_scan": OP1_SQL, "op9_decontaminate": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_manifest": OP11_SQL, "op13_spelling": OP13_SQL}
