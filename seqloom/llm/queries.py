@@ -7,6 +7,7 @@ from .decontaminate import OP9_SQL, op9_decontaminate
 from .manifest import OP11_SQL, op11_manifest
 from .neardup import op2_simhash
 from .neighbours import op8_nearest
+from .pii import op12_pii
 from .quality import op5_quality
 from .secrets import OP1_SQL, op1_secret_scan
 from .spelling import OP13_SQL, op13_spelling
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
     "op11_manifest": op11_manifest,
+    "op12_pii": op12_pii,
     "op13_spelling": op13_spelling,
 }
 ORACLE = {"op1_secret_scan": OP1_SQL, "op9_decontaminate": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_manifest": OP11_SQL, "op13_spelling": OP13_SQL}
