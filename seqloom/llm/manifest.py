@@ -17,6 +17,7 @@ from .tables import ascii_lower, spread, staged, table
 #: Children of a node, and levels that one block nests: a block holds ``FAN ** LEVELS`` nodes.
 FAN, LEVELS = 16, 2
 BLOCK = FAN**LEVELS
+PATH = "array<struct<left:string,right:string>>"
 
 
 def leaf_digest(*fields: Column) -> Column:
@@ -106,16 +107,21 @@ def tree(nodes: DataFrame, largest: int, by: Sequence[str], name: str) -> tuple[
     return levels[-1].select(*by, "digest"), levels
 
 
-def paths(levels: list[DataFrame], by: Sequence[str], above: DataFrame) -> DataFrame:
+def paths(levels: list[DataFrame], by: Sequence[str], above: DataFrame | None = None) -> DataFrame:
     """The nodes under ``levels`` with their whole paths up to the tops, followed by ``above.above`` of
-    their group. Only rows of blocks are joined, with the paths of those over them."""
-    same = lambda keys: [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    renamed = lambda df, keys: df.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(df.columns[-1]).alias("above"))
-    top = levels[-1]
-    found = _unrolled(top.join(renamed(above, by), same(by)).drop(*[f"_{k}" for k in by]) if by else top.join(renamed(above, by)), by)
+    their group. Only rows of blocks are joined, with the paths of those over them; the one block at
+    the top of an ungrouped tree needs no join."""
+
+    def under(blocks: DataFrame, keys: Sequence[str], upper: DataFrame) -> DataFrame:
+        upper = upper.select(*[F.col(k).alias(f"_{k}") for k in keys], "above")
+        condition = F.lit(True)
+        for k in keys:
+            condition = F.col(k).eqNullSafe(F.col(f"_{k}")) & condition
+        return _unrolled(blocks.join(upper, condition).drop(*[f"_{k}" for k in keys]), by)
+
+    found = _unrolled(levels[-1].withColumn("above", F.array().cast(PATH)), by) if above is None else under(levels[-1], by, above)
     for level in reversed(levels[:-1]):
-        keys = [*by, "rank"]
-        found = _unrolled(level.join(renamed(found.select(*keys, "path"), keys), same(keys)).drop(*[f"_{k}" for k in keys]), by)
+        found = under(level, [*by, "rank"], found.withColumnRenamed("path", "above"))
     return found
 
 
@@ -152,10 +158,9 @@ def manifest(docs: DataFrame, *, fields: Sequence[str], id_col: str = "doc_id",
     subroots, levels = tree(nodes, largest, ["group"], "groups")
     tops, largest = ranked(staged(subroots, "subroots"), [], ["group"], "tops")
     roots, upper = tree(tops.select("rank", "size", "digest", F.struct("group").alias("payload")), largest, [], "top")
-    none = F.array().cast("array<struct<left:string,right:string>>")
-    above = roots.select(F.struct(none.alias("path"), F.col("digest").alias("root")).alias("at"))
-    groups = paths(upper, [], above.select(F.col("at.path").alias("above")))
-    groups = staged(groups.join(above.select("at.root")).select(F.col("payload.group").alias("group"), F.col("digest").alias("subroot"), "root", F.col("path").alias("above")), "above")
+    top = roots.first()  # one row, if there is any
+    root = F.lit(top["digest"] if top else None).cast("string")
+    groups = staged(paths(upper, []).select(F.col("payload.group").alias("group"), F.col("digest").alias("subroot"), root.alias("root"), F.col("path").alias("above")), "above")
     found = paths(levels, ["group"], groups.select("group", "above"))
     found = found.join(groups.select(F.col("group").alias("_group"), "subroot", "root"), F.col("group").eqNullSafe(F.col("_group")))
     return found.select(F.col("payload.id").alias("id"), F.col("digest").alias("leaf"), "subroot", "root", "path", F.coalesce("payload.given", "digest").alias("given"))
