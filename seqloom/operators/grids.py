@@ -418,24 +418,81 @@ def edge_smooth(cells: DataFrame, grid: Names, strength: float, threshold: float
     return on_grids(cells, grid, 1, [value], [value], rule)
 
 
-def temporal_smooth(cells: DataFrame, by: Names, order: str, reset: str, stability: float, value: str = "v") -> DataFrame:
-    """Steadies each pixel over frames in order; ``reset`` forgets what was. A fold for each pixel over
-    sorted partitions."""
+def smoothed(now: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None, stability: float) -> np.ndarray:
+    """One frame's pixels after those put out and read for the frame before; no pixel is NaN. Pixels
+    at either end of the scale, now or before, are taken as they are, and so is all after a reset."""
     k = stability / 100 * 0.9
-    if k <= 0:
+    if before is None or k <= 0:
+        return now
+    out, raw = before
+    ends = (now <= 0.001) | (now >= 0.999) | (out <= 0.001) | (out >= 0.999)
+    return np.where(ends, now, out + (now - out) * (1 - k * (1 - np.clip(3.5 * np.abs(now - raw), 0.0, 1.0))))
+
+
+def temporal_smooth(cells: DataFrame, by: Names, order: str, reset: str, stability: float, value: str = "v", tile: int = TILE) -> DataFrame:
+    """Steadies each pixel over frames in order; ``reset`` forgets what was. A pixel that a frame lacks
+    keeps its last value in mind.
+
+    A fold of tiles: pixels are shuffled once, to their tile and in order of frames; what is held of a
+    tile are two arrays of its pixels, and a frame is one step of these."""
+    if stability <= 0:
         return cells.select(*by, "y", "x", order, value)
+    keys = [*by, "_ty", "_tx"]
+    kinds = {f.name: f for f in cells.schema.fields}
+    rows = cells.select(*by, F.expr(f"y div {tile}").cast("int").alias("_ty"), F.expr(f"x div {tile}").cast("int").alias("_tx"), F.col(order).cast("long").alias(order), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias(value), F.coalesce(F.col(reset), F.lit(False)).alias(reset))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, order)
+    schema = T.StructType([*(kinds[c] for c in by), T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), T.StructField(order, T.LongType()), T.StructField(value, T.DoubleType())])
+    n = len(by)
 
-    def step(last: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-        at, now, forget = row
-        out = now
-        if last is not None and not forget:
-            before, raw = last
-            if not (now <= 0.001 or now >= 0.999 or before <= 0.001 or before >= 0.999):
-                out = before + (now - before) * (1 - k * (1 - min(max(3.5 * abs(now - raw), 0.0), 1.0)))
-        return (out, now), (at, out)
-
-    rows = cells.select(*by, "y", "x", F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value), F.coalesce(F.col(reset), F.lit(False)).alias(reset))
-    return ordered_fold(rows, [*by, "y", "x"], [order], [value, reset], step, f"`{order}` long, `{value}` double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, out, raw = None, np.full(tile * tile, np.nan), np.full(tile * tile, np.nan)
+        left: pa.Table | None = None
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            table = table if left is None else pa.concat_tables([left, table])
+            frames = _starts(table, n + 3)
+            # The last frame may go on in the next batch.
+            left, table = table.slice(frames[-1]), table.slice(0, frames[-1])
+            if len(frames) > 1:
+                key, made = _fold_frames(table, frames[:-1], n, tile, stability, key, out, raw)
+                yield made
+        if left is not None and len(left):
+            yield _fold_frames(left, np.array([0]), n, tile, stability, key, out, raw)[1]
+
+    def _fold_frames(table: pa.Table, frames: np.ndarray, n: int, tile: int, stability: float, key: tuple | None, out: np.ndarray, raw: np.ndarray) -> tuple[tuple, pa.RecordBatch]:
+        plain = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        y, x, now, forget = plain(n + 3), plain(n + 4), plain(n + 5), plain(n + 6)
+        at = (y % tile) * tile + x % tile
+        new = np.empty(len(now))
+        tiles = set(_starts(table, n + 2).tolist())
+        for start, stop in zip(frames, [*frames[1:], len(now)], strict=True):
+            if start in tiles:
+                own = tuple(table.column(c)[int(start)].as_py() for c in range(n + 2))
+                if own != key:
+                    key = own
+                    out.fill(np.nan)
+                    raw.fill(np.nan)
+            p, v = at[start:stop], now[start:stop]
+            known = ~np.isnan(out[p]) & ~forget[start:stop].astype(bool)
+            new[start:stop] = np.where(known, smoothed(v, (out[p], raw[p]), stability), v)
+            out[p], raw[p] = new[start:stop], v
+        columns = [*(table.column(c).combine_chunks() for c in range(n)), table.column(n + 3).combine_chunks(), table.column(n + 4).combine_chunks(), table.column(n + 2).combine_chunks(), pa.array(new)]
+        return key, pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _starts(table: pa.Table, columns: int) -> np.ndarray:
+    """Where the first ``columns`` of a sorted table change; the first row is one."""
+    change = np.zeros(len(table), bool)
+    change[:1] = True
+    for c in range(columns):
+        v = table.column(c).combine_chunks()
+        if len(v) > 1:
+            a, b = v[:-1], v[1:]
+            same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) & b.is_null().to_numpy(zero_copy_only=False))
+            change[1:] |= ~same
+    return np.flatnonzero(change)
 
 
 def tile_split(cells: DataFrame, w: int, h: int, tile: int, overlap: int, least_stride: int = 32) -> DataFrame:

@@ -186,14 +186,20 @@ def eta_blended(progress: DataFrame, by: Names, done: str, total: str, elapsed:
     return rows.withColumn("eta", eta).drop("_d0", "_t0")
 
 
+def shown_next(last: float | None, left: float, least: float | None) -> float:
+    """What to show after ``last``: never more than that, if it was above 0, but the floor at least."""
+    bound = min(last, left) if last is not None and last > 0 else left
+    return max(bound, 0.0 if least is None else least, 0.0)
+
+
 def eta_shown(rows: DataFrame, by: Names, order: str, eta: str, floor: str) -> DataFrame:
-    """``shown`` along a job's progress: never more than before, never under the floor; an unknown
-    one changes nothing. The floor feeds back, so this is a fold."""
+    """``shown`` along a job's progress: never more than before, once more than 0 was shown; never under
+    the floor; an unknown one changes nothing. The floor feeds back, so this is a fold."""
 
     def step(last: float | None, row: tuple) -> tuple[float | None, tuple]:
         at, left, least = row
         if left is not None and left >= 0:
-            last = max(left if last is None else min(last, left), least)
+            last = shown_next(last, left, least)
         return last, (at, last)
 
     rows = rows.select(*by, F.col(order).cast("long").alias(order), F.col(eta).cast("double").alias(eta), F.col(floor).cast("double").alias(floor))

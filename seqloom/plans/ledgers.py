@@ -128,12 +128,17 @@ def l12b(spark, sf):
     return op.eta_blended(fx.progress(spark, sf), ["job"], "done", "total", "elapsed", 5, 30.0).select("job", "done", F.round("eta", 3).alias("eta"))
 
 
-@query("l13_eta_shown", f"""{ETA}, fl AS (SELECT job, done, eta, (total - done) * 9000.0::DOUBLE AS floor FROM e),
+def eta_floor():
+    return F.when(F.col("done") % 9 < 4, 0.0).otherwise((F.col("total") - F.col("done")) * 9000.0)
+
+
+@query("l13_eta_shown", f"""{ETA}, fl AS (SELECT job, done, CASE WHEN done % 7 = 0 AND eta >= 0 THEN 0 ELSE eta END AS eta, CASE WHEN done % 9 < 4 THEN 0 ELSE (total - done) * 9000.0::DOUBLE END AS floor FROM e),
 s AS (SELECT job, done, CASE WHEN eta >= 0 THEN greatest(eta, floor) END AS shown FROM fl WHERE done = 1 UNION ALL
- SELECT fl.job, fl.done, CASE WHEN eta < 0 THEN s.shown WHEN s.shown IS NULL THEN greatest(eta, floor) ELSE greatest(least(s.shown, eta), floor) END FROM s JOIN fl ON fl.job = s.job AND fl.done = s.done + 1)
+ SELECT fl.job, fl.done, CASE WHEN eta < 0 THEN s.shown WHEN s.shown IS NULL OR s.shown <= 0 THEN greatest(eta, floor) ELSE greatest(least(s.shown, eta), floor) END FROM s JOIN fl ON fl.job = s.job AND fl.done = s.done + 1)
 SELECT job, done, round(shown, 3) AS shown FROM s""")
 def l13(spark, sf):
-    rows = op.eta_blended(fx.progress(spark, sf), ["job"], "done", "total", "elapsed", 5, 30.0).withColumn("floor", (F.col("total") - F.col("done")) * 9000.0)
+    """Estimates of 0 occur, after which a job's time may grow again."""
+    rows = op.eta_blended(fx.progress(spark, sf), ["job"], "done", "total", "elapsed", 5, 30.0).withColumns({"floor": eta_floor(), "eta": F.when((F.col("done") % 7 == 0) & (F.col("eta") >= 0), 0.0).otherwise(F.col("eta"))})
     return op.eta_shown(rows, ["job"], "done", "eta", "floor").select("job", "done", F.round("shown", 3).alias("shown"))
 
 

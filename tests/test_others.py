@@ -131,6 +131,7 @@ def test_a_timer_fires(spark, tmp_path):
     for _, _, k in rows:
         df.where(F.col("seq") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     start, state, out = st.VERDICT
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("time", "1 day")
     folded = st.keyed_fold(stream, ["key"], ["at", "seq"], start, st.verdict_step(7 * day, 2), state, out, keep_ms=7 * day * 1000, time="time")
     query = folded.writeStream.format("parquet").option("path", str(tmp_path / "rows")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
