@@ -74,10 +74,11 @@ def gathered(df: DataFrame, by: Names, order: Names, values: Names, name: str =
     return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias(name))
 
 
-def ordered_fold(df: DataFrame, by: Names, order: Names, values: Names, step: Callable[[object, tuple], tuple[object, tuple | None]], out: str, start: object = None) -> DataFrame:
+def ordered_fold(df: DataFrame, by: Names, order: Names, values: Names, step: Callable[[object, tuple], tuple[object, tuple | None]], out: str, start: object = None, finish: Callable[[object], tuple | None] | None = None) -> DataFrame:
     """Folds the rows of each key in order. ``step(state, values) -> state, row`` gets the row's
-    ``order`` and ``values`` and gives a row of the schema ``out``, or None. Rows flow through sorted
-    partitions, so a key of any length costs one pass and no more memory than its state."""
+    ``order`` and ``values`` and gives a row of the schema ``out``, or None; ``finish(state)`` gives one
+    more at the key's end, or None. Rows flow through sorted partitions, so a key of any length costs
+    one pass and no more memory than its state."""
     kinds = {f.name: f for f in df.schema.fields}
     schema = T.StructType([*(kinds[c] for c in by), *T._parse_datatype_string(out).fields])
     n = len(by)
@@ -87,16 +88,26 @@ def ordered_fold(df: DataFrame, by: Names, order: Names, values: Names, step: Ca
 
         types = [to_arrow_type(f.dataType) for f in schema.fields]
         key, state = None, start
+
+        def batch(made: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], schema.names)
+
+        def ended() -> list[tuple]:
+            last = finish(state) if finish and key is not None else None
+            return [] if last is None else [(*key, *last)]
+
         for b in batches:
             made = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[:n] != key:
+                    made += ended()
                     key, state = row[:n], start
                 state, new = step(state, row[n:])
                 if new is not None:
                     made.append((*key, *new))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], schema.names)
+            yield from batch(made)
+        yield from batch(ended())
 
     rows = df.select(*by, *order, *values)
     rows = rows.repartition(*by) if by else rows.coalesce(1)

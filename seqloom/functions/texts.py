@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import Names, item
+from .core import Names
 
 DEFAULT_HAN = r"\x{4E00}-\x{9FFF}"
 
@@ -72,25 +72,31 @@ def clamp_chars(text: Column, n: int = 60, kind: str = DEFAULT_HAN) -> Column:
     return F.when(char_count(text, kind) > n, F.concat(head, F.lit("…"))).otherwise(text)
 
 
-def head_lines(text: Column, lines: int = 5, chars: int = 400) -> Column:
-    """The first lines as long as they fit into so many characters with their breaks; the first line
-    is cut if it alone does not."""
-    parts = F.slice(F.split(text, "\n"), 1, lines)
-    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("out"))
+def plain_breaks(text: Column) -> Column:
+    """Line breaks of any system as line feeds, without white space at the ends; null is empty."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n|\r", "\n"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def head_lines(text: Column, lines: int = 5, chars: int = 400, mark: str = " …") -> Column:
+    """The first lines that are not blank, without white space at their ends, as long as they fit into
+    so many characters with their breaks; the line that does not fit is cut and marked."""
+    parts = F.filter(F.transform(F.split(plain_breaks(text), "\n"), lambda x: F.regexp_replace(x, r"[\s\p{Z}]+$", "")), lambda x: x != "")
+    start = F.struct(F.lit(chars).alias("room"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        n = acc["n"] + F.length(x) + F.when(F.size(acc["out"]) > 0, 1).otherwise(0)
-        over = acc["full"] | (n > chars)
-        return F.struct(F.when(over, acc["n"]).otherwise(n).alias("n"), over.alias("full"), F.when(over, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"))
+        fits = F.length(x) <= acc["room"]
+        line = F.when(fits, x).otherwise(F.concat(F.substring(x, F.lit(1), acc["room"]), F.lit(mark)))
+        room = F.when(fits, acc["room"] - F.length(x) - 1).otherwise(0)
+        done = acc["room"] <= 0
+        return F.struct(F.when(done, acc["room"]).otherwise(room).alias("room"), F.when(done, acc["out"]).otherwise(F.concat(acc["out"], F.array(line))).alias("out"))
 
-    kept = F.aggregate(parts, start, step, lambda a: a["out"])
-    return F.when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise(F.substring(item(parts, F.lit(0)), 1, chars))
+    return F.array_join(F.aggregate(F.slice(parts, 1, max(1, lines)), start, step, lambda a: a["out"]), "\n")
 
 
 def tail_chars(text: Column, chars: int = 500, least: int = 80) -> Column:
-    """The last characters from a line's start on, unless that leaves too few."""
-    tail = F.right(text, F.lit(chars))
+    """The last characters, from a line's start on unless that is among the last ``least`` of them."""
+    whole = plain_breaks(text)
+    tail = F.right(whole, F.lit(chars))
     at = F.instr(tail, "\n")
-    moved = F.substring(tail, at + 1, F.length(tail))
-    cut = (F.length(text) > chars) & (at > 0) & (F.length(moved) >= least)
-    return F.when(cut, moved).otherwise(tail)
+    cut = (F.length(whole) > chars) & (at > 0) & (at - 1 < chars - least)
+    return F.when(cut, F.substring(tail, at + 1, F.length(tail))).otherwise(tail)

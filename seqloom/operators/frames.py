@@ -125,10 +125,11 @@ def sample_grid(df: DataFrame, w: str, h: str) -> DataFrame:
 
 
 def frame_stats(samples: DataFrame, by: Names) -> DataFrame:
-    """Mean R, G, B and the variance pooled over the channels."""
-    means = {f"mean_{c}": F.avg(c) for c in "rgb"}
-    pooled = sum((F.var_pop(c) for c in "rgb"), F.lit(0.0)) / 3
-    return samples.groupBy(*by).agg(*[v.alias(k) for k, v in means.items()], pooled.alias("var"))
+    """Mean R, G, B and the variance of all values of the three channels together."""
+    squares = sum((F.avg(F.col(c) * F.col(c)) for c in "rgb"), F.lit(0.0)) / 3
+    out = samples.groupBy(*by).agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgb"], squares.alias("_squares"))
+    level = (F.col("mean_r") + F.col("mean_g") + F.col("mean_b")) / 3
+    return out.withColumn("var", F.greatest(F.lit(0.0), F.col("_squares") - level * level)).drop("_squares")
 
 
 def is_achromatic() -> Column:

@@ -232,18 +232,19 @@ def composite(fg: DataFrame, alpha: DataFrame, bg: DataFrame, grid: Names, value
 
 
 def otsu(cells: DataFrame, grid: Names, value: str = "v") -> DataFrame:
-    """Threshold of each grid that parts its histogram best, as ``fg`` and ``bg`` levels. Bins
-    without pixels change nothing, so only those with some are looked at."""
-    bins = cells.where(F.col(value).isNotNull()).groupBy(*grid, F.floor(clamp(F.col(value), 0, 1) * 255 + 0.5).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Threshold of each grid that parts its histogram best, the lowest of equals, as ``fg`` and ``bg``
+    levels; 128 if nothing can be parted. A grid without values has no threshold, and levels of its
+    own. Bins without pixels change nothing, so only those with some are looked at."""
+    bins = cells.groupBy(*grid, F.floor(clamp(F.col(value), 0, 1) * 255 + 0.5).alias("bin")).agg(F.count(value).alias("n"))
     w, whole = over(grid, ["bin"]), Window.partitionBy(*grid)
     rows = bins.withColumns({"wb": F.sum("n").over(w), "sb": F.sum(F.col("n") * F.col("bin")).over(w), "nn": F.sum("n").over(whole), "ss": F.sum(F.col("n") * F.col("bin")).over(whole)})
     wf = F.col("nn") - F.col("wb")
-    gap = F.col("sb") / F.col("wb") - (F.col("ss") - F.col("sb")) / F.when(wf > 0, wf)
-    rows = rows.withColumn("between", F.coalesce(F.col("wb") * wf * gap * gap, F.lit(0.0)))
-    best = rows.groupBy(*grid).agg(F.max_by(F.struct("bin"), F.struct("between", -F.col("bin"))).alias("b"), F.max("between").alias("m"))
-    found = F.when(F.col("m") > 0, F.col("b.bin")).otherwise(0)
-    out = best.select(*grid, found.alias("threshold")).withColumn("fg", clamp(F.col("threshold") / 255, 0.35, 0.95))
-    return out.withColumn("bg", clamp(F.col("fg") - 0.14, 0.03, 0.85))
+    gap = F.col("sb") / F.when(F.col("wb") > 0, F.col("wb")) - (F.col("ss") - F.col("sb")) / F.when(wf > 0, wf)
+    rows = rows.withColumn("between", F.col("wb") * wf * gap * gap)
+    best = rows.groupBy(*grid).agg(F.max_by("bin", F.when(F.col("between").isNotNull(), F.struct("between", -F.col("bin")))).alias("b"), F.max("nn").alias("nn"))
+    out = best.select(*grid, F.when(F.col("nn") > 0, F.coalesce("b", F.lit(128).cast("long"))).alias("threshold"))
+    out = out.withColumn("fg", F.when(F.col("threshold").isNull(), 0.78).otherwise(clamp(F.col("threshold") / 255, 0.35, 0.95)))
+    return out.withColumn("bg", F.when(F.col("threshold").isNull(), 0.42).otherwise(clamp(F.col("fg") - 0.14, 0.03, 0.85)))
 
 
 def luma() -> Column:

@@ -13,7 +13,14 @@ from ..sources.scratch import staged
 
 #: File endings that count as output images.
 IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff"]
-BACKENDS = ["O", "F", "vulkan", "dml", "cpu"]
+#: Backends whose times count.
+BACKENDS = ["ncnn-vulkan", "onnx-dml", "onnx-cpu"]
+
+
+def backend_name(col: str, backends: Sequence[str]) -> Column:
+    """The backend in lower case without blanks around it; null if it is none of those known."""
+    name = F.lower(F.trim(col))
+    return F.when(name.isin([b.lower() for b in backends]), name)
 
 
 def stem(path: Column) -> Column:
@@ -50,9 +57,9 @@ def two_point_cost(t1: Column, tn: Column, n: Column, pixels: Column, reference:
     return slope, floor, F.when(pixels > 0, slope * reference / F.when(pixels > 0, pixels)).otherwise(slope)
 
 
-def validate_measures(df: DataFrame) -> DataFrame:
+def validate_measures(df: DataFrame, backends: Sequence[str] = BACKENDS) -> DataFrame:
     """``reject``: the first rule that a measurement breaks, null if it is accepted. What is missing
-    breaks a rule too, and times that are not finite do."""
+    breaks a rule too, and times that are not finite do, and backends other than those known."""
     slope, _, _ = two_point_cost(F.col("t1"), F.col("tn"), F.col("n"), F.col("pixels"))
     no = lambda good: ~F.coalesce(good, F.lit(False))
     time = lambda c: finite(F.col(c)) & (F.col(c) > 0)
@@ -64,7 +71,7 @@ def validate_measures(df: DataFrame) -> DataFrame:
         .when(no(time("tn")), "sample_time")
         .when(no(F.col("pixels") > 0), "pixels")
         .when(no(F.trim("machine") != ""), "machine")
-        .when(no(F.col("backend").isin(BACKENDS)), "backend")
+        .when(no(backend_name("backend", backends).isNotNull()), "backend")
         .when(~(F.col("tn") > F.col("t1")), "order")
         .when(F.col("tn") - F.col("t1") < 0.15 * F.col("t1"), "noise")
         .when((slope <= 0.0005) | (slope > 120), "slope")
@@ -79,23 +86,38 @@ def upsert_latest(book: DataFrame, new: DataFrame, keys: Names, arrival: str) ->
     return both.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k", "_new")
 
 
-def resolve_measure(asks: DataFrame, book: DataFrame, value: str, ask_id: str = "ask_id") -> DataFrame:
-    """For each ask (model, scale, machine, backend) the newest record that fits: ``found``. Without
-    one ``other`` says whether only another machine or backend has it. A null backend fits all,
-    the unknown one none. Asks for the same are answered once."""
-    rank = F.struct("measured_at", "seq")
-    records = book.select(F.col("model"), F.col("scale"), F.col("machine").alias("_m"), F.col("backend").alias("_b"), rank.alias("_at"), F.col(value).alias("_v"))
-    # The newest of each machine and backend is all that can matter.
-    records = records.groupBy("model", "scale", "_m", "_b").agg(F.max_by("_v", "_at").alias("_v"), F.max("_at").alias("_at"))
-    keys = ["model", "scale", "machine", "backend"]
-    rows = asks.select(*keys).distinct().join(records, ["model", "scale"], "left")
-    machine = F.col("_m") == F.col("machine")
-    backend = (F.col("backend").isNull() | ((F.col("backend") != "unknown") & (F.col("_b") == F.col("backend")))) & F.col("_m").isNotNull()
-    hit = machine & backend
-    out = rows.groupBy(*keys).agg(F.max_by(F.when(hit, F.col("_v")), F.when(hit, F.col("_at"))).alias("found"), F.coalesce(F.bool_or(machine & ~backend), F.lit(False)).alias("b"), F.coalesce(F.bool_or(~machine & backend), F.lit(False)).alias("m"))
-    out = out.select(*[F.col(k).alias(f"_{k}") for k in keys], "found", F.when(F.col("found").isNotNull(), "").when(F.col("m"), "machine").when(F.col("b"), "backend").otherwise("none").alias("other"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return asks.join(out, same).select(ask_id, "found", "other")
+def resolve_measure(asks: DataFrame, book: DataFrame, value: str, ask_id: str = "ask_id", backends: Sequence[str] = BACKENDS) -> DataFrame:
+    """For each ask (model, scale, machine, backend) the newest record that fits: ``found``. A null or
+    blank machine fits all, and so does a null backend; one that is not among ``backends`` fits none
+    and gets no answer at all. Besides, ``other_machine``: the machine of the newest record that any
+    other machine has for the model and scale, whatever its backend; and, if nothing was found and
+    a backend was asked for, ``other_backend``: that of the newest record of the asked machine.
+
+    Asks meet sums by equal keys only: the newest record by all four keys, by three and by two, and the
+    newest two machines of a model and scale, of which one is another than the asked one."""
+    newest = F.struct("measured_at", "seq")
+    machine = F.coalesce(F.trim("machine"), F.lit(""))
+    records = book.select("model", "scale", machine.alias("_m"), backend_name("backend", backends).alias("_b"), newest.alias("at"), F.col(value).alias("v"))
+    records = records.groupBy("model", "scale", "_m", "_b").agg(F.max(F.struct("at", "v")).alias("_one"))
+    at, v = F.col("_one.at").alias("at"), F.col("_one.v").alias("v")
+    by_machine = records.groupBy("model", "scale", "_m").agg(F.max(F.struct(at, F.col("_b").alias("b"), v)).alias("_own"))
+    by_backend = records.groupBy("model", "scale", "_b").agg(F.max("_one").alias("_same"))
+    # The newest of each model and scale, and the newest that another machine than that one's has.
+    top = by_machine.groupBy("model", "scale").agg(F.max(F.struct(F.col("_own.at").alias("at"), F.col("_m").alias("m"), F.col("_own.b").alias("b"), F.col("_own.v").alias("v"))).alias("_top"))
+    next_ = by_machine.join(top, ["model", "scale"]).where(F.col("_m") != F.col("_top.m"))
+    next_ = next_.groupBy("model", "scale").agg(F.max(F.struct(F.col("_own.at").alias("at"), F.col("_m").alias("m"))).alias("_next"))
+
+    rows = asks.select(ask_id, "model", "scale", F.when(machine != "", machine).alias("_m"), backend_name("backend", backends).alias("_b"), F.col("backend").alias("_asked"))
+    rows = rows.join(top, ["model", "scale"], "left").join(next_, ["model", "scale"], "left")
+    rows = rows.join(by_machine, ["model", "scale", "_m"], "left").join(by_backend, ["model", "scale", "_b"], "left").join(records, ["model", "scale", "_m", "_b"], "left")
+    free, everywhere = F.col("_asked").isNull(), F.col("_m").isNull()
+    pick = lambda own, same, one, whole: F.when(everywhere, F.when(free, whole).otherwise(same)).otherwise(F.when(free, own).otherwise(one))
+    found = pick(F.col("_own.v"), F.col("_same.v"), F.col("_one.v"), F.col("_top.v"))
+    hit = pick(*[F.col(c).isNotNull() for c in ("_own", "_same", "_one", "_top")])
+    other = F.when(~everywhere, F.when(F.col("_top.m") != F.col("_m"), F.col("_top.m")).otherwise(F.col("_next.m")))
+    backend = F.when(~hit & ~free, F.when(everywhere, F.col("_top.b")).otherwise(F.col("_own.b")))
+    answers = free | F.col("_b").isNotNull()
+    return rows.select(ask_id, F.when(answers, found).alias("found"), F.when(answers, other).alias("other_machine"), F.when(answers, backend).alias("other_backend"))
 
 
 def perf_history(runs: DataFrame, flags: Names, version: int) -> DataFrame:

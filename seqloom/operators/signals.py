@@ -264,7 +264,7 @@ def chunk_overlap(samples: DataFrame, by: Names, n: int, overlap: int) -> DataFr
     """Each sample in every chunk of ``n`` that holds it; chunks start every ``n - overlap``."""
     stride = n - overlap
     rows = _with_length(samples, by)
-    last = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("n") - overlap) / stride) - 1)
+    last = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("n") / stride) - 1)
     low, high = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("i") - n + 1) / stride)), F.least(F.floor(F.col("i") / stride), last)
     rows = rows.where(low <= high).withColumn("c", F.explode(F.sequence(low, high)))
     return rows.withColumn("k", F.col("i") - F.col("c") * stride).withColumn("w", ramp(F.col("k"), n, overlap)).drop("n")

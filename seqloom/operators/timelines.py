@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.core import Names, clamp, finite, fold, gathered, half_away, half_even, item, mean, ordered_fold, over, total, upper_median
+from ..functions.core import Names, clamp, finite, gathered, half_away, half_even, mean, ordered_fold, over, total, upper_median
 
 
 def merge_durations(df: DataFrame, by: Names, order: str, dur: str, kept: str) -> DataFrame:
@@ -144,14 +146,16 @@ def expand_durations(df: DataFrame, by: Names, order: str, dur: str, k: int, las
     return rows.withColumn("slot_dur", F.greatest(F.lit(0.0005), F.col(dur) / F.col("_n"))).drop("_n")
 
 
-def expand_durations_exact(df: DataFrame, by: Names, order: str, dur: str, slots: Column) -> DataFrame:
-    """Spreads ``slots`` over the frames of a key, one at least for each; the tail gets one."""
-    rows = df.withColumns({"_i": F.row_number().over(over(by, [order])) - 1, "_len": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    body = F.col("_len") - 1
-    rows = rows.withColumn("_r", (F.greatest(slots, F.col("_len")) - 1) / F.when(body > 0, body))
-    n = F.when(body == 0, F.lit(1)).when(F.col("_i") == body, 1).otherwise(half_away((F.col("_i") + 1) * F.col("_r")) - half_away(F.col("_i") * F.col("_r")))
+def expand_durations_exact(df: DataFrame, by: Names, order: str, dur: str, slots: Column, last_segment: str) -> DataFrame:
+    """Spreads ``slots`` over the frames of a segment, one at least for each, evenly by rounding what is
+    due up to each frame. A lone frame gets one slot; the tail of the last segment gets one, and the
+    frames before it the others."""
+    rows = df.withColumns({"_i": F.row_number().over(over(by, [order])), "_len": F.count(F.lit(1)).over(Window.partitionBy(*by)), "_tail": F.coalesce(F.col(last_segment), F.lit(False)).cast("int")})
+    body = F.col("_len") - F.col("_tail")
+    rows = rows.withColumn("_r", (F.greatest(slots, F.col("_len")) - F.col("_tail")) / F.when(body > 0, body))
+    n = F.when((F.col("_len") == 1) | (F.col("_i") > body), 1).otherwise(half_away(F.col("_i") * F.col("_r")) - half_away((F.col("_i") - 1) * F.col("_r")))
     rows = rows.withColumn("_n", n.cast("int")).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return rows.withColumn("slot_dur", F.greatest(F.lit(0.0005), F.col(dur) / F.col("_n"))).drop("_i", "_len", "_r", "_n")
+    return rows.withColumn("slot_dur", F.greatest(F.lit(0.0005), F.col(dur) / F.col("_n"))).drop("_i", "_len", "_tail", "_r", "_n")
 
 
 def segment_targets(segments: DataFrame, n: str, last: str, factor: int) -> DataFrame:
@@ -160,38 +164,72 @@ def segment_targets(segments: DataFrame, n: str, last: str, factor: int) -> Data
 
 
 def segment_targets_exact(segments: DataFrame, by: Names, order: str, n: str, slots: int) -> DataFrame:
-    """Targets that add up: each segment gets what brings the frames made so far to its share of
-    ``slots``, but one more than it has at least. What was made before decides, so this is a fold."""
-    seen = F.sum(n).over(over(by, [order]))
-    share = half_away(seen * F.lit(float(slots)) / F.greatest(F.sum(n).over(Window.partitionBy(*by)), F.lit(1)))
-    rows = segments.select(*by, F.col(order).cast("long").alias(order), F.col(n).cast("long").alias("_n"), share.alias("_share"))
+    """Targets that add up: the last frame of a segment, the k-th of all from 0, belongs at the place
+    ``k`` steps after the first of ``slots``, and the segment gets what brings the frames made so far to
+    that place, but one more than it has at least; the last one gets what is left. A lone frame is
+    copied once. Without slots, or with a single frame in all, a segment gets one more than it has.
+    What was made before decides, so this is a fold."""
+    seen, total = F.sum(n).over(over(by, [order])), F.sum(n).over(Window.partitionBy(*by))
+    step_size = F.lit(float(slots - 1)) / F.when(total > 1, total - 1)
+    due = F.when(seen >= total, F.lit(slots).cast("long")).otherwise(half_away((seen - 1) * step_size) + 1)
+    rows = segments.select(*by, F.col(order).cast("long").alias(order), F.col(n).cast("long").alias("_n"), F.when((total > 1) & F.lit(slots > 0), due).alias("_due"))
 
     def step(made: int, row: tuple) -> tuple[int, tuple]:
         at, own, due = row
-        target = 1 if own <= 1 else max(own + 1, due - made)
+        own = max(1, own)
+        target = own + 1 if due is None else 1 if own == 1 else max(own + 1, due - made)
         return made + target, (at, target)
 
-    return ordered_fold(rows, by, [order], ["_n", "_share"], step, f"`{order}` long, target long", 0)
+    return ordered_fold(rows, by, [order], ["_n", "_due"], step, f"`{order}` long, target long", 0)
 
 
-def expected_frames(n: Column, factor: int, override: Column | None = None) -> Column:
-    plain = (n - 1) * factor + 1
-    return plain if override is None else F.coalesce(override, plain)
+def expected_frames(n: Column, factor: float, override: Column | None = None) -> Column:
+    """Frames after interpolation by a factor, of which one below 1 counts as 1; 0 without frames. An
+    override counts if it is above 0."""
+    plain = F.when(n > 0, half_even((n - 1) * F.lit(float(factor) if 1 < factor < float("inf") else 1.0) + 1)).otherwise(F.lit(0).cast("long"))
+    return plain if override is None else F.when(override > 0, override).otherwise(plain)
 
 
 def count_mismatch(actual: Column, expected: Column, tolerance: int) -> Column:
-    return F.abs(actual - expected) > tolerance
+    """Whether counts differ by more than a tolerance; nothing is known where none are expected."""
+    return (expected > 0) & (F.abs(actual - expected) > max(0, tolerance))
+
+
+#: Durations nearer than this to a run's first are one run.
+SAME_DURATION = 1e-5
+
+
+def _good(v: float | None) -> bool:
+    return v is not None and math.isfinite(v) and v > 0
 
 
 def timestamp_collisions(df: DataFrame, by: Names, order: str, dur: str, rate: float) -> DataFrame:
-    """``collisions`` of neighbours whose start truncates to the same tick, 0 with a bad duration,
-    and ``time_base``, a rate that avoids them."""
-    bad = ~finite(F.col(dur)) | (F.col(dur) <= 0)
-    rows = start_times(df, by, order, dur).withColumns({"_tick": F.floor(F.col("pts") * rate), "_bad": bad})
-    same = rows.withColumn("_same", F.col("_tick") == F.lag("_tick").over(over(by, [order])))
-    out = same.groupBy(*by).agg(F.count_if("_same").alias("n"), F.bool_or("_bad").alias("bad"), F.min(F.when(F.col(dur) > 0, F.col(dur))).alias("least"))
-    base = F.ceil(F.greatest(F.lit(float(rate)), 2 / F.col("least")))
-    return out.select(*by, F.when(F.col("bad"), F.lit(0).cast("long")).otherwise(F.col("n")).alias("collisions"), F.greatest(F.lit(1).cast("long"), F.least(F.lit(100_000).cast("long"), F.coalesce(base, F.lit(int(rate)).cast("long")))).alias("time_base"))
+    """``collisions`` of neighbours whose times fall on the same tick of ``rate``, 0 with a bad duration,
+    and ``time_base``, a rate that avoids them. In a run of equal durations a frame's time is the run's
+    start and so many times its first duration, so that nothing sums up. One fold, no array."""
+    tick, usable = 1.0 / rate if rate > 0 else 0.0, rate > 0 and math.isfinite(rate)
+
+    # State: the run's start, length and duration; the last tick, collisions, a bad one seen, the least.
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, None]:
+        begun, k, head, before, n, bad, least = state or (0.0, 0, None, None, 0, False, None)
+        v = row[1]
+        least = v if _good(v) and (least is None or v < least) else least
+        if bad or not _good(v):
+            return (begun, k, head, before, n, True, least), None
+        if head is None:
+            head = v
+        elif abs(v - head) >= SAME_DURATION:
+            begun, k, head = begun + head * k, 0, v
+        at = int((begun + k * head) / tick) if usable else None
+        return (begun, k + 1, head, at, n + (at is not None and at == before), False, least), None
+
+    def finish(state: tuple) -> tuple:
+        *_, n, bad, least = state
+        base = math.ceil(max(rate if usable else 1.0, 2 / least if least else 0.0))
+        return (0 if bad else n, min(max(base, 1), 100_000))
+
+    rows = df.select(*by, order, F.col(dur).cast("double").alias("_dur"))
+    return ordered_fold(rows, by, [order], ["_dur"], step, "collisions long, time_base long", None, finish)
 
 
 def run_length(df: DataFrame, by: Names, order: str, value: str) -> DataFrame:
@@ -201,26 +239,26 @@ def run_length(df: DataFrame, by: Names, order: str, value: str) -> DataFrame:
     return runs.groupBy(*by, "_run").agg(F.min(order).alias("start"), (F.max(order) + 1).alias("stop"), F.count(F.lit(1)).alias("n"), F.min(value).alias(value)).drop("_run")
 
 
-def run_length_within(df: DataFrame, by: Names, order: str, value: str, tolerance: float = 1e-5, max_runs: int = 400) -> DataFrame:
+def run_length_within(df: DataFrame, by: Names, order: str, value: str, tolerance: float = SAME_DURATION, max_runs: int = 400) -> DataFrame:
     """Runs of values nearer than the tolerance to the run's first, as durations have them: ``start``,
     ``stop``, ``value`` and ``offset``, the time before the run. Keys with more runs than allowed, or
-    with a value that is not finite or not positive, have none. A run depends on where the last
-    one began, so this is a fold."""
-    kind = "array<struct<start:long,stop:long,value:double>>"
-    start = F.struct(F.lit(None).cast("double").alias("head"), F.array().cast(kind).alias("runs"))
-
-    def step(acc: Column, r: Column) -> Column:
-        v, at = r[value].cast("double"), r[order].cast("long")
-        same = F.coalesce(F.abs(v - acc["head"]) < tolerance, F.lit(False))
-        n = F.size(acc["runs"])
-        lone = F.array(F.struct(at.alias("start"), (at + 1).alias("stop"), v.alias("value")))
-        last = item(acc["runs"], n - 1)
-        longer = F.concat(F.slice(acc["runs"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), (at + 1).alias("stop"), last["value"].alias("value"))))
-        return F.when(n > max_runs, acc).otherwise(F.struct(F.when(same, acc["head"]).otherwise(v).alias("head"), F.when(same, longer).otherwise(F.concat(acc["runs"], lone)).alias("runs")))
-
-    rows = gathered(df, by, [order], [value]).where(~F.exists("rows", lambda r: ~finite(r[value].cast("double")) | (r[value] <= 0)))
-    rows = rows.select(*by, fold(F.col("rows"), start, step, lambda a: a["runs"]).alias("runs"))
-    runs = rows.where(F.size("runs") <= max_runs).select(*by, F.inline("runs"))
+    with a value that is not finite or not positive, have none. A run depends on where the last one
+    began, so this is a fold, which gives a run once it ends."""
+
+    # State: first value (None for a bad one), start and stop of the run.
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        at, v = int(row[0]), row[1] if _good(row[1]) else None
+        if state is None:
+            return (v, at, at + 1), None
+        head, start, _ = state
+        if v is not None and head is not None and abs(v - head) < tolerance:
+            return (head, start, at + 1), None
+        return (v, at, at + 1), (start, state[2], head)
+
+    rows = df.select(*by, order, F.col(value).cast("double").alias("_v"))
+    runs = ordered_fold(rows, by, [order], ["_v"], step, "start long, stop long, value double", None, lambda s: (s[1], s[2], s[0]))
+    whole = Window.partitionBy(*by)
+    runs = runs.withColumns({"_n": F.count(F.lit(1)).over(whole), "_bad": F.bool_or(F.col("value").isNull()).over(whole)}).where(~F.col("_bad") & (F.col("_n") <= max_runs)).drop("_n", "_bad")
     before = over(by, ["start"]).rowsBetween(Window.unboundedPreceding, -1)
     return runs.withColumn("offset", F.coalesce(F.sum(F.col("value") * (F.col("stop") - F.col("start"))).over(before), F.lit(0.0)))
 

@@ -107,7 +107,7 @@ def s12(spark, sf):
     return op.sample_grid(fx.table(spark, sf, "part").select("p_partkey", "p_size", F.lit(40).alias("h")), "p_size", "h").select("p_partkey", "step", "rows", "gy", "gx")
 
 
-STATS = "s AS (SELECT grid_id // 100000 AS clip, grid_id, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, (var_pop(r) + var_pop(g) + var_pop(b)) / 3 AS var FROM v_rgb GROUP BY ALL)"
+STATS = "s AS (SELECT grid_id // 100000 AS clip, grid_id, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, greatest(0.0::DOUBLE, sum(r * r + g * g + b * b) / (3 * count(*)) - ((avg(r) + avg(g) + avg(b)) / 3) ** 2) AS var FROM v_rgb GROUP BY ALL)"
 
 
 @query("s13_frame_stats", f"{STATS} SELECT grid_id, round(mr, 6) AS mean_r, round(mg, 6) AS mean_g, round(mb, 6) AS mean_b, round(var, 6) AS var, greatest(mr, mg, mb) - least(mr, mg, mb) <= 12 AS achromatic FROM s")

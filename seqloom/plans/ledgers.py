@@ -36,6 +36,7 @@ def l03(spark, sf):
     return fx.prices(spark, sf).select("seq", r6(slope).alias("slope"), r6(floor).alias("floor"), r6(ref).alias("at_reference"))
 
 
+FIXTURE_BACKENDS = ["O", "F"]
 FAULTS = """SELECT seq, n, backend, CASE WHEN seq % 37 = 0 THEN ' ' ELSE model END AS model, CASE WHEN seq % 23 = 0 THEN 0 ELSE scale END AS scale, CASE WHEN seq % 13 = 0 THEN 'nan'::DOUBLE WHEN seq % 19 = 0 THEN 0 ELSE t1 END AS t1,
 CASE WHEN seq % 17 = 0 THEN 'inf'::DOUBLE ELSE tn END AS tn, CASE WHEN seq % 31 = 0 THEN 0 ELSE pixels END AS pixels, CASE WHEN seq % 29 = 0 THEN NULL ELSE machine END AS machine FROM v_prices"""
 REJECT = "CASE WHEN trim(model) = '' THEN 'model' WHEN scale < 1 THEN 'scale' WHEN n < 4 THEN 'frames' WHEN isnan(t1) OR t1 <= 0 THEN 'time' WHEN isinf(tn) THEN 'sample_time' WHEN pixels <= 0 THEN 'pixels' WHEN machine IS NULL THEN 'machine' WHEN backend NOT IN ('O', 'F') THEN 'backend' WHEN NOT tn > t1 THEN 'order' WHEN tn - t1 < 0.15::DOUBLE * t1 THEN 'noise' WHEN (tn - t1) / (n - 1) <= 0.0005 OR (tn - t1) / (n - 1) > 120 THEN 'slope' END"
@@ -47,7 +48,7 @@ def l04(spark, sf):
     faulty = {"model": (37, F.lit(" ")), "scale": (23, F.lit(0)), "tn": (17, F.lit(float("inf"))), "pixels": (31, F.lit(0)), "machine": (29, F.lit(None))}
     p = fx.prices(spark, sf).withColumns({c: F.when(F.col("seq") % k == 0, v).otherwise(F.col(c)) for c, (k, v) in faulty.items()})
     p = p.withColumn("t1", F.when(F.col("seq") % 13 == 0, float("nan")).when(F.col("seq") % 19 == 0, 0.0).otherwise(F.col("t1")))
-    return op.validate_measures(p).select("seq", "reject")
+    return op.validate_measures(p, FIXTURE_BACKENDS).select("seq", "reject")
 
 
 KEYS = ["model", "scale", "machine", "backend"]
@@ -59,15 +60,19 @@ def l05(spark, sf):
     return op.upsert_latest(p.where("seq % 3 <> 0"), p.where("seq % 3 = 0"), KEYS, "seq").select(*KEYS, "seq")
 
 
-@query("l06_resolve_measure", """a AS (SELECT seq AS ask_id, model, CASE WHEN seq % 11 = 0 THEN 9 ELSE scale END AS scale, CASE WHEN seq % 4 = 0 THEN '99' ELSE machine END AS machine, CASE WHEN seq % 10 = 1 THEN NULL ELSE backend END AS backend FROM v_prices),
-b AS (SELECT * FROM v_prices QUALIFY row_number() OVER (PARTITION BY model, scale, machine, backend ORDER BY measured_at DESC, seq DESC) = 1),
-j AS (SELECT a.*, b.seq, b.measured_at, b.machine = a.machine AS m, (a.backend IS NULL OR (a.backend <> 'unknown' AND b.backend = a.backend)) AND b.machine IS NOT NULL AS k, round(b.t1, 6) AS v FROM a LEFT JOIN b ON a.model = b.model AND a.scale = b.scale),
-g AS (SELECT ask_id, arg_max(v, (measured_at, seq)) FILTER (m AND k) AS found, coalesce(bool_or(NOT m AND k), false) AS om, coalesce(bool_or(m AND NOT k), false) AS ob FROM j GROUP BY ask_id)
-SELECT ask_id, found, CASE WHEN found IS NOT NULL THEN '' WHEN om THEN 'machine' WHEN ob THEN 'backend' ELSE 'none' END AS other FROM g""")
+@query("l06_resolve_measure", """a AS (SELECT seq AS ask_id, model, CASE WHEN seq % 11 = 0 THEN 9 ELSE scale END AS scale, CASE WHEN seq % 4 = 0 THEN '99' WHEN seq % 9 = 2 THEN ' ' ELSE machine END AS machine, CASE WHEN seq % 10 = 1 THEN NULL ELSE backend END AS backend FROM v_prices),
+b AS (SELECT model, scale, machine, CASE WHEN backend IN ('O', 'F') THEN lower(backend) END AS b, (measured_at, seq) AS at, round(t1, 6) AS v FROM v_prices WHERE NOT (machine = '3' AND backend = 'O') AND NOT (machine = '4' AND backend <> 'unknown') QUALIFY row_number() OVER (PARTITION BY model, scale, machine, backend ORDER BY measured_at DESC, seq DESC) = 1),
+j AS (SELECT a.ask_id, a.backend, b.*, trim(a.machine) = '' OR a.machine = b.machine AS m, a.backend IS NULL OR b.b = lower(a.backend) AS k FROM a JOIN b ON a.model = b.model AND a.scale = b.scale WHERE a.backend IS NULL OR a.backend IN ('O', 'F')),
+g AS (SELECT ask_id, any_value(backend) AS asked, arg_max(v, at) FILTER (m AND k) AS found, arg_max(machine, at) FILTER (NOT m) AS om, arg_max_null(b, at) FILTER (m AND k IS NOT TRUE) AS ob FROM j GROUP BY ask_id)
+SELECT ask_id, found, om AS other_machine, CASE WHEN found IS NULL AND asked IS NOT NULL THEN ob END AS other_backend FROM a LEFT JOIN g USING (ask_id)""")
 def l06(spark, sf):
+    """One machine lacks a backend and one all that are known; asks have machines and scales that no
+    record has, blank machines, and backends that are not known or not given."""
     p = fx.prices(spark, sf)
-    asks = p.select(F.col("seq").alias("ask_id"), "model", F.when(F.col("seq") % 11 == 0, 9).otherwise(F.col("scale")).alias("scale"), F.when(F.col("seq") % 4 == 0, "99").otherwise(F.col("machine")).alias("machine"), F.when(F.col("seq") % 10 != 1, F.col("backend")).alias("backend"))
-    return op.resolve_measure(asks, p.withColumn("t1", r6("t1")), "t1")
+    machine = F.when(F.col("seq") % 4 == 0, "99").when(F.col("seq") % 9 == 2, " ").otherwise(F.col("machine"))
+    asks = p.select(F.col("seq").alias("ask_id"), "model", F.when(F.col("seq") % 11 == 0, 9).otherwise(F.col("scale")).alias("scale"), machine.alias("machine"), F.when(F.col("seq") % 10 != 1, F.col("backend")).alias("backend"))
+    book = p.where("NOT (machine = '3' AND backend = 'O') AND NOT (machine = '4' AND backend <> 'unknown')")
+    return op.resolve_measure(asks, book.withColumn("t1", r6("t1")), "t1", backends=FIXTURE_BACKENDS)
 
 
 @query("l07_perf_history", """r AS (SELECT model AS engine, scale, backend AS flag, seq, measured_at AS at, pixels / 1e6::DOUBLE AS area, seq % 5 AS version, tn AS seconds, n AS frames FROM v_prices)

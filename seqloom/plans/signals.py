@@ -81,9 +81,9 @@ def w06(spark, sf):
     return op.mel_spectrum(op.stft(fx.wave(spark, sf), T, 8, 4), T, 16000, 8, 3, 0.0, 8000.0).withColumn("mel", r6("mel"))
 
 
-@query("w07_envelope", f"{N}, b AS (SELECT track_id, i // greatest(1, n // 50) AS bucket, v FROM v_wave JOIN n USING (track_id)) SELECT track_id, bucket::BIGINT AS bucket, round(least(1.0::DOUBLE, avg(abs(v))), 6) AS level FROM b WHERE bucket < 50 GROUP BY ALL")
+@query("w07_envelope", f"{N}, b AS (SELECT track_id, i // greatest(1, n // 50) AS bucket, v FROM v_wave JOIN n USING (track_id)) SELECT track_id, bucket::BIGINT AS bucket, round(least(1.0::DOUBLE, avg(abs(v))), 8) AS level FROM b WHERE bucket < 50 GROUP BY ALL")
 def w07(spark, sf):
-    return op.envelope(fx.wave(spark, sf), T, 50).withColumn("level", r6("level"))
+    return op.envelope(fx.wave(spark, sf), T, 50).withColumn("level", F.round("level", 8))
 
 
 LEV = "l AS (SELECT track_id, 20 * log10(max(abs(v))) AS p, 20 * log10(sqrt(avg(v * v))) AS m FROM v_wave GROUP BY track_id)"
@@ -109,7 +109,7 @@ def w11(spark, sf):
     return out(op.trim(fx.wave(spark, sf), T, 0.5, 1.5, 100), "track_id", "i")
 
 
-OVER = f"""{N}, c AS (SELECT w.track_id, w.i, v, c, w.i - c * 75 AS k FROM v_wave w JOIN n USING (track_id) CROSS JOIN range(0, 5000) r(c) WHERE w.i >= c * 75 AND w.i < c * 75 + 100 AND c <= greatest(0, ceil((n - 25) / 75) - 1)),
+OVER = f"""{N}, c AS (SELECT w.track_id, w.i, v, c, w.i - c * 75 AS k FROM v_wave w JOIN n USING (track_id) CROSS JOIN range(0, 5000) r(c) WHERE w.i >= c * 75 AND w.i < c * 75 + 100 AND c < greatest(1, ceil(n / 75))),
 w AS (SELECT *, CASE WHEN k < 25 THEN k / 25 WHEN 99 - k < 25 THEN (99 - k) / 25 ELSE 1 END AS w FROM c)"""
 
 

@@ -24,7 +24,7 @@ def a01(spark, sf):
     deep = F.when(e % 11 == 0, "/a/b/c/d/e/f/").otherwise("/")
     path = F.concat(F.lit("root/"), "lang", F.when(e % 5 == 0, "-b/").otherwise("/"), "source", deep, F.expr("doc_id div 2").cast("string"), ending)
     files = fx.table(spark, sf, "documents").select(F.when(e == 2, "root/named.txt").otherwise(path).alias("path"), F.col("n_chars").alias("length"))
-    return op.catalog_of(files, ["root/fr", "root/named.txt", "root/"], "image", 200, 6).select("path", "depth", "dir", "name")
+    return op.catalog_of(files, ["root/fr", "root/named.txt", "root/"], "image", 200, 6, folders=True).select("path", "depth", "dir", "name")
 
 
 KV_SQL = "kv AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'avg_frame_rate=N/A' WHEN event_id % 4 = 1 THEN 'avg_frame_rate=' ELSE 'avg_frame_rate=' || (event_id % 90) || '/' || (event_id % 3) END AS l1, '  r_frame_rate=' || (event_id % 61) || '/2' AS l2, 'avg_frame_rate=25' AS l3, 'nb_read_frames=' || (event_id % 200) AS l4 FROM events)"
@@ -54,29 +54,35 @@ def a03(spark, sf):
 
 
 @query("a04_read_verdict_tsv", """SELECT 'k' || o_orderkey AS key, o_orderstatus = 'O' AS ok, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE (o_custkey % 5)::INT END AS failures, o_custkey AS at, o_orderpriority AS note
-FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_custkey > 0 AND o_orderkey % 17 <> 0""")
+FROM orders WHERE (o_orderstatus = 'O' AND o_orderkey % 13 <> 0 OR o_orderstatus = 'F') AND o_custkey > 0 AND o_orderkey % 17 <> 0""")
 def a04(spark, sf):
+    """Comments behind blanks, and verdicts written as numbers, which are none."""
     o = fx.table(spark, sf, "orders")
-    ok = F.when(F.col("o_orderstatus") == "O", "True").when(F.col("o_orderstatus") == "F", "false").otherwise("maybe")
-    line = F.concat_ws("\t", F.concat(F.lit(" k"), "o_orderkey"), ok, (F.col("o_custkey") % 5).cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority")
-    lines = o.select(F.when(F.col("o_orderkey") % 17 == 0, F.concat(F.lit("# "), line)).otherwise(line).alias("value"))
-    return op.parse_verdicts(lines)
+    ok = F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 13 == 0), "1").when(F.col("o_orderstatus") == "O", "True").when(F.col("o_orderstatus") == "F", " false").otherwise("maybe")
+    line = F.concat_ws("\t", F.concat(F.lit(" k"), "o_orderkey"), ok, (F.col("o_custkey") % 5).cast("string"), F.col("o_custkey").cast("string"), F.concat("o_orderpriority", F.lit(" ")))
+    return op.parse_verdicts(o.select(F.when(F.col("o_orderkey") % 17 == 0, F.concat(F.lit("  # "), line)).otherwise(line).alias("value")))
 
 
-@query("a04_verdict_lines", """a AS (SELECT user_id::VARCHAR AS key, bool_and(event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error')::INT AS failures, max(event_id) AS at FROM events GROUP BY user_id)
-SELECT 0 AS part, '' AS key, '# key' || chr(9) || 'ok' || chr(9) || 'failures' || chr(9) || concat('a', 't') || chr(9) || 'note' AS line UNION ALL SELECT 1, '', '# sig=v1' UNION ALL SELECT 2, key, concat_ws(chr(9), key, ok::VARCHAR, failures::VARCHAR, at::VARCHAR, 'n') FROM a""")
+@query("a04_verdict_lines", """a AS (SELECT user_id::VARCHAR AS key, bool_and(event_type <> 'error') AS ok, count(*)::INT AS failures, max(event_id) AS at FROM events GROUP BY user_id)
+SELECT 0 AS part, '' AS key, '# key' || chr(9) || 'ok' || chr(9) || 'failures' || chr(9) || concat('a', 't') || chr(9) || 'note' AS line UNION ALL SELECT 1, '', '# sig=v1'
+UNION ALL SELECT 2, key, concat_ws(chr(9), key, CASE WHEN ok THEN 'True' ELSE 'False' END, CASE WHEN ok THEN '0' ELSE failures::VARCHAR END, at::VARCHAR, 'n n') FROM a""")
 def a04b(spark, sf):
-    e = fx.table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.bool_and(F.col("event_type") != "error").alias("ok"), F.count_if(F.col("event_type") == "error").cast("int").alias("failures"), F.max("event_id").alias("at"))
-    return op.verdict_lines(e.withColumn("note", F.lit("n")), "v1")
+    """Successes with failures before them, and notes of two lines."""
+    e = fx.table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.bool_and(F.col("event_type") != "error").alias("ok"), F.count(F.lit(1)).cast("int").alias("failures"), F.max("event_id").alias("at"))
+    return op.verdict_lines(e.withColumn("note", F.lit("n\nn")), "v1")
 
 
-@query("a05_price_json", f"""SELECT machine, model, scale, round((tn - t1) / (n - 1), 6) AS seconds_per_frame, n AS sample_frames FROM v_prices WHERE backend IN ('O', 'F') AND seq % 20 <> 0 AND tn > t1""")
+# A value of a wrong kind spoils a text.
+BAD_KIND = '{"schema": 1, "prices": [{"modelKey": "m", "engineScale": "two", "secondsPerFrame": 1.5, "samplePixels": 9, "sampleFrames": 9, "machineKey": "k", "backend": "O"}]}'
+
+
+@query("a05_price_json", f"""SELECT machine, model, scale, round((tn - t1) / (n - 1), 6) AS seconds_per_frame, n AS sample_frames FROM v_prices WHERE backend IN ('O', 'F') AND seq % 20 <> 0 AND seq % 20 <> 7 AND tn > t1""")
 def a05(spark, sf):
     p = fx.prices(spark, sf)
     slope, _, _ = lg.two_point_cost(F.col("t1"), F.col("tn"), F.col("n"), F.col("pixels"))
-    entries = p.select("machine", "seq", "model", "scale", slope.alias("secondsPerFrame"), F.col("pixels").alias("samplePixels"), F.when(F.col("seq") % 20 == 0, 0).otherwise(F.col("n")).alias("sampleFrames"), F.col("machine").alias("machineKey"), "backend")
+    entries = p.select("machine", "seq", F.when(F.col("seq") % 20 == 7, " ").otherwise(F.col("model")).alias("model"), "scale", slope.alias("secondsPerFrame"), F.col("pixels").alias("samplePixels"), F.when(F.col("seq") % 20 == 0, 0).otherwise(F.col("n")).alias("sampleFrames"), F.col("machine").alias("machineKey"), "backend")
     # One text for each thousandth of the records, so that no key gathers a share of the table.
-    texts = op.to_price_json(entries.withColumn("part", F.expr("seq div 1000")).drop("machine"), ["part"]).unionByName(spark.createDataFrame([(-1, "{broken"), (-2, '{"schema": 2, "entries": []}')], "part long, json string"))
+    texts = op.to_price_json(entries.withColumn("part", F.expr("seq div 1000")).drop("machine"), ["part"]).unionByName(spark.createDataFrame([(-1, "{broken"), (-2, '{"schema": 2, "prices": []}'), (-3, BAD_KIND)], "part long, json string"))
     out = op.read_price_json(texts, "json", ["O", "F"])
     return out.select(F.col("machineKey").alias("machine"), "model", "scale", r6("secondsPerFrame").alias("seconds_per_frame"), F.col("sampleFrames").alias("sample_frames"))
 
@@ -174,12 +180,24 @@ def f04(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", tx.char_count(text, "éèäö").cast("long").alias("n"), F.sha2(tx.clamp_chars(text, 20, "éèäö"), 256).alias("cut"))
 
 
-@query("f05_tail_chars", "t AS (SELECT doc_id, text, right(text, 500) AS t FROM documents), p AS (SELECT *, strpos(t, chr(10)) AS p FROM t) SELECT doc_id, sha256(CASE WHEN length(text) > 500 AND p > 0 AND length(t) - p >= 80 THEN substr(t, p + 1) ELSE t END) AS tail FROM p")
+# Texts with blank lines, breaks of other systems and blanks at the ends.
+F05 = "f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '  ' || replace(text, '. ', '.' || chr(13) || chr(10)) || chr(10) WHEN 2 THEN replace(text, '. ', '. ' || chr(10) || ' ' || chr(10)) ELSE replace(text, '. ', '.' || chr(13)) END AS raw FROM documents), t AS (SELECT doc_id, regexp_replace(replace(replace(raw, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\\s+|\\s+$', '', 'g') AS text FROM f)"
+
+
+def outputs(spark, sf):
+    k, text = F.col("doc_id") % 4, F.col("text")
+    raw = F.when(k == 0, text).when(k == 1, F.concat(F.lit("  "), F.replace(text, F.lit(". "), F.lit(".\r\n")), F.lit("\n"))).when(k == 2, F.replace(text, F.lit(". "), F.lit(". \n \n"))).otherwise(F.replace(text, F.lit(". "), F.lit(".\r")))
+    return fx.table(spark, sf, "documents").select("doc_id", raw.alias("text"))
+
+
+@query("f05_tail_chars", f"{F05}, c AS (SELECT doc_id, text, right(text, 500) AS t FROM t), p AS (SELECT *, strpos(t, chr(10)) AS p FROM c) SELECT doc_id, sha256(CASE WHEN length(text) > 500 AND p > 0 AND p - 1 < 500 - 80 THEN substr(t, p + 1) ELSE t END) AS tail FROM p")
 def f05a(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.sha2(tx.tail_chars(F.col("text")), 256).alias("tail"))
+    return outputs(spark, sf).select("doc_id", F.sha2(tx.tail_chars(F.col("text")), 256).alias("tail"))
 
 
-@query("f05_head_lines", """l AS (SELECT doc_id, string_split(text, chr(10))[1:5] AS ls FROM documents), c AS (SELECT doc_id, ls, k, length(array_to_string(ls[1:k], chr(10))) AS n FROM l, range(1, 6) r(k) WHERE k <= len(ls)),
-b AS (SELECT doc_id, any_value(ls) AS ls, coalesce(max(k) FILTER (n <= 400), 0) AS k FROM c GROUP BY doc_id) SELECT doc_id, sha256(CASE WHEN k > 0 THEN array_to_string(ls[1:k], chr(10)) ELSE left(ls[1], 400) END) AS head FROM b""")
+@query("f05_head_lines", f"""{F05}, l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: trim(x) <> '')[1:5] AS ls FROM t),
+c AS (SELECT doc_id, k, ls[k] AS x, 400 - coalesce(sum(length(ls[k]) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM l, range(1, 6) r(k) WHERE k <= len(ls)),
+b AS (SELECT *, coalesce(bool_or(length(x) > room) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM c)
+SELECT doc_id, sha256(coalesce(h, '')) AS head FROM l LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN length(x) <= room THEN x ELSE left(x, room::INT) || ' …' END, chr(10) ORDER BY k) AS h FROM b WHERE room > 0 AND NOT done GROUP BY doc_id) USING (doc_id)""")
 def f05b(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.sha2(tx.head_lines(F.col("text")), 256).alias("head"))
+    return outputs(spark, sf).select("doc_id", F.sha2(tx.head_lines(F.col("text")), 256).alias("head"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.core import over, r6
 from ..operators import frames as fr
@@ -112,11 +113,14 @@ def s27(spark, sf):
     return op.expand_durations(rows, KEY, NO, "dur", 3, "last").select("clip_id", NO, "slot", r6("slot_dur").alias("slot_dur"))
 
 
-@query("s28_expand_durations_exact", """e AS (SELECT clip_id, frame_no, dur, count(*) OVER (PARTITION BY clip_id) AS len FROM v_seq), r AS (SELECT *, (greatest(200, len) - 1) / (len - 1)::DOUBLE AS r FROM e),
-n AS (SELECT *, CASE WHEN len = 1 OR frame_no = len - 1 THEN 1 ELSE (round((frame_no + 1) * r) - round(frame_no * r))::INT END AS n FROM r)
-SELECT clip_id, frame_no, slot::INT AS slot, round(greatest(0.0005::DOUBLE, dur / n), 6) AS slot_dur FROM n, range(1, 201) t(slot) WHERE slot <= n""")
+@query("s28_expand_durations_exact", """e AS (SELECT clip_id, frame_no // 30 AS seg, frame_no, dur, row_number() OVER w AS i, count(*) OVER (PARTITION BY clip_id, frame_no // 30) AS len, (frame_no // 30 = max(frame_no // 30) OVER (PARTITION BY clip_id))::INT AS tail FROM v_seq WINDOW w AS (PARTITION BY clip_id, frame_no // 30 ORDER BY frame_no)),
+r AS (SELECT *, (greatest(70, len) - tail) / nullif(len - tail, 0)::DOUBLE AS r FROM e), n AS (SELECT *, CASE WHEN len = 1 OR i > len - tail THEN 1 ELSE (round(i * r) - round((i - 1) * r))::INT END AS n FROM r)
+SELECT clip_id, frame_no, slot::INT AS slot, round(greatest(0.0005::DOUBLE, dur / n), 6) AS slot_dur FROM n, range(1, 71) t(slot) WHERE slot <= n""")
 def s28(spark, sf):
-    return op.expand_durations_exact(fx.timeline(spark, sf), KEY, NO, "dur", F.lit(200)).select("clip_id", NO, "slot", r6("slot_dur").alias("slot_dur"))
+    """Segments of thirty frames into seventy slots each; only a clip's last one has a tail."""
+    rows = fx.timeline(spark, sf).withColumn("seg", F.expr("frame_no div 30"))
+    rows = rows.withColumn("last", F.col("seg") == F.max("seg").over(Window.partitionBy("clip_id")))
+    return op.expand_durations_exact(rows, [*KEY, "seg"], NO, "dur", F.lit(70), "last").select("clip_id", NO, "slot", r6("slot_dur").alias("slot_dur"))
 
 
 def segments(spark, sf):
@@ -134,28 +138,42 @@ def s29(spark, sf):
 
 
 EXACT = """a AS (SELECT clip_id, frame_no // 7 AS segment, count(*) AS n FROM v_seq GROUP BY ALL), b AS (SELECT *, sum(n) OVER (PARTITION BY clip_id) AS total, sum(n) OVER (PARTITION BY clip_id ORDER BY segment) AS seen FROM a),
-f AS (SELECT clip_id, segment, made AS target, made FROM (SELECT *, CASE WHEN n <= 1 THEN 1 ELSE greatest(n + 1, round(seen * 150.0::DOUBLE / total)::BIGINT) END::BIGINT AS made FROM b WHERE segment = 0)
- UNION ALL SELECT clip_id, segment, t, made + t FROM (SELECT b.clip_id, b.segment, f.made, CASE WHEN n <= 1 THEN 1 ELSE greatest(n + 1, round(seen * 150.0::DOUBLE / total)::BIGINT - f.made) END::BIGINT AS t FROM f JOIN b ON b.clip_id = f.clip_id AND b.segment = f.segment + 1))"""
+d AS (SELECT *, CASE WHEN total <= 1 THEN NULL WHEN seen >= total THEN 260 ELSE round((seen - 1) * (259.0::DOUBLE / (total - 1)))::BIGINT + 1 END AS due FROM b),
+f AS (SELECT clip_id, segment, CASE WHEN due IS NULL THEN n + 1 WHEN n = 1 THEN 1 ELSE greatest(n + 1, due) END::BIGINT AS target, CASE WHEN due IS NULL THEN n + 1 WHEN n = 1 THEN 1 ELSE greatest(n + 1, due) END::BIGINT AS made FROM d WHERE segment = 0
+ UNION ALL SELECT clip_id, segment, t, made + t FROM (SELECT d.clip_id, d.segment, f.made, CASE WHEN due IS NULL THEN n + 1 WHEN n = 1 THEN 1 ELSE greatest(n + 1, due - f.made) END::BIGINT AS t FROM f JOIN d ON d.clip_id = f.clip_id AND d.segment = f.segment + 1))"""
 
 
 @query("s29_segment_targets_exact", f"{EXACT} SELECT clip_id, segment::BIGINT AS segment, target FROM f")
 def s29b(spark, sf):
     parts = op.fixed_segments(fx.timeline(spark, sf), KEY, NO, 7)
-    return op.segment_targets_exact(parts, KEY, "segment", "n", 150)
+    return op.segment_targets_exact(parts, KEY, "segment", "n", 260)
 
 
-@query("s30_expected_frames", """SELECT l_orderkey, count(*) AS n, CASE WHEN l_orderkey % 5 = 0 THEN 9 ELSE (count(*) - 1) * 2 + 1 END::BIGINT AS expected,
-abs(max(l_linenumber) - CASE WHEN l_orderkey % 5 = 0 THEN 9 ELSE (count(*) - 1) * 2 + 1 END) > 1 AS mismatch FROM lineitem GROUP BY l_orderkey""")
+@query("s30_expected_frames", """c AS (SELECT l_orderkey, count(*) - 1 AS n, max(l_linenumber) AS got, CASE WHEN l_orderkey % 5 = 0 THEN 9 WHEN l_orderkey % 5 = 1 THEN 0 END AS own FROM lineitem GROUP BY l_orderkey),
+e AS (SELECT *, CASE WHEN own > 0 THEN own WHEN n <= 0 THEN 0 ELSE round_even((n - 1) * 2.5::DOUBLE + 1, 0)::BIGINT END AS expected FROM c)
+SELECT l_orderkey, n, expected::BIGINT AS expected, expected > 0 AND abs(got - expected) > 1 AS mismatch FROM e""")
 def s30(spark, sf):
-    rows = fx.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_linenumber").alias("got"))
-    rows = rows.withColumn("expected", op.expected_frames(F.col("n"), 2, F.when(F.col("l_orderkey") % 5 == 0, F.lit(9).cast("long"))))
+    """A factor with halves, clips without frames, and overrides of 0."""
+    rows = fx.table(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.count(F.lit(1)) - 1).alias("n"), F.max("l_linenumber").alias("got"))
+    own = F.when(F.col("l_orderkey") % 5 == 0, F.lit(9).cast("long")).when(F.col("l_orderkey") % 5 == 1, F.lit(0).cast("long"))
+    rows = rows.withColumn("expected", op.expected_frames(F.col("n"), 2.5, own))
     return rows.select("l_orderkey", "n", "expected", op.count_mismatch(F.col("got"), F.col("expected"), 1).alias("mismatch"))
 
 
-@query("s31_timestamp_collisions", f"""{PTS}, t AS (SELECT *, floor(pts * 0.001) AS tick, lag(floor(pts * 0.001)) OVER (PARTITION BY clip_id ORDER BY frame_no) AS before FROM p)
-SELECT clip_id, count(*) FILTER (tick = before) AS collisions, greatest(1, least(100000, ceil(greatest(0.001::DOUBLE, 2 / min(dur) FILTER (dur > 0)))))::BIGINT AS time_base FROM t GROUP BY clip_id""")
+@query("s31_timestamp_collisions", """d AS (SELECT clip_id, frame_no, CASE WHEN clip_id % 7 = 3 AND frame_no = 5 THEN 0.0::DOUBLE ELSE round(dur / 36000) / 10 + 0.1::DOUBLE END AS d FROM v_seq),
+h AS (SELECT *, CASE WHEN lag(d) OVER w IS NULL OR abs(lag(d) OVER w - d) >= 1e-5 THEN 1 ELSE 0 END AS new FROM d WINDOW w AS (PARTITION BY clip_id ORDER BY frame_no)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY frame_no) AS run FROM h),
+u AS MATERIALIZED (SELECT clip_id, run, min(frame_no) AS first, count(*) AS k, any_value(d) AS d FROM r GROUP BY ALL),
+s AS (SELECT *, 0.0::DOUBLE AS begun FROM u WHERE run = 1 UNION ALL SELECT u.*, s.begun + s.d * s.k FROM s JOIN u ON u.clip_id = s.clip_id AND u.run = s.run + 1),
+t AS (SELECT r.clip_id, r.frame_no, trunc((begun + (r.frame_no - s.first) * s.d) / (1.0::DOUBLE / 10))::BIGINT AS tick FROM r JOIN s USING (clip_id, run)),
+c AS (SELECT clip_id, count(*) FILTER (same) AS n FROM (SELECT clip_id, tick = lag(tick) OVER (PARTITION BY clip_id ORDER BY frame_no) AS same FROM t) GROUP BY clip_id),
+b AS (SELECT clip_id, bool_or(d <= 0) AS bad, greatest(1, least(100000, ceil(greatest(10.0::DOUBLE, 2 / min(d) FILTER (d > 0)))))::BIGINT AS time_base FROM d GROUP BY clip_id)
+SELECT clip_id, CASE WHEN bad THEN 0 ELSE n END AS collisions, time_base FROM b JOIN c USING (clip_id)""")
 def s31(spark, sf):
-    return op.timestamp_collisions(fx.timeline(spark, sf), KEY, NO, "dur", 0.001)
+    """Tenths of seconds at ten ticks a second, in runs: summed up one by one they would fall on other
+    ticks. Some clips have a bad duration."""
+    rows = fx.timeline(spark, sf).withColumn("d", F.when((F.col("clip_id") % 7 == 3) & (F.col(NO) == 5), 0.0).otherwise(F.round(F.col("dur") / 36000) / 10 + 0.1))
+    return op.timestamp_collisions(rows, KEY, NO, "d", 10.0)
 
 
 @query("s32_run_length", """e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i, event_type AS v FROM events), c AS (SELECT *, CASE WHEN lag(v) OVER (PARTITION BY user_id ORDER BY i) = v THEN 0 ELSE 1 END AS new FROM e),
@@ -178,8 +196,6 @@ def s32b(spark, sf):
 @query("s33_interp_layout", """n AS (SELECT clip_id, frame_no, count(*) OVER (PARTITION BY clip_id) AS pairs FROM v_seq), s AS (SELECT *, (1 + greatest(0, 199 // pairs - 1) + CASE WHEN frame_no < 199 % pairs THEN 1 ELSE 0 END)::BIGINT AS slots FROM n)
 SELECT clip_id, frame_no, slots, (1 + coalesce(sum(slots) OVER (PARTITION BY clip_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first FROM s""")
 def s33(spark, sf):
-    from pyspark.sql.window import Window
-
     rows = fx.timeline(spark, sf).select("clip_id", NO, F.count(F.lit(1)).over(Window.partitionBy("clip_id")).alias("pairs"))
     return op.interp_layout(rows, KEY, NO, F.lit(200), F.col("pairs")).drop("pairs")
 

@@ -15,27 +15,29 @@ KINDS = {
     "image": ["png", "jpg", "jpeg", "jfif", "webp", "bmp", "tif", "tiff", "gif", "avif"],
     "video": ["mp4", "mkv", "mov", "webm", "avi", "m4v", "ts", "m2ts", "flv", "wmv", "mpg", "mpeg", "rmvb", "3gp"],
 }
-PRICE_SCHEMA = "struct<schema:int,entries:array<struct<model:string,scale:int,secondsPerFrame:double,samplePixels:bigint,sampleFrames:int,floorSeconds:double,sampleSeconds:double,measuredAtUtc:string,machineKey:string,backend:string,note:string>>>"
+PRICE_SCHEMA = "struct<schema:int,prices:array<struct<modelKey:string,engineScale:int,secondsPerFrame:double,samplePixels:bigint,sampleFrames:int,floorSeconds:double,sampleSeconds:double,measuredAtUtc:string,machineKey:string,backend:string,note:string>>,_bad:string>"
 
 
-def media_catalog(spark: SparkSession, roots: Sequence[str], kind: str = "image", max_files: int = 2000, max_depth: int = 6) -> DataFrame:
-    """Files of a kind under the roots: ``path``, ``depth``, ``length`` and time. See
-    :func:`catalog_of` for their order. Roots that are files are kept whatever their ending."""
+def media_catalog(spark: SparkSession, roots: Sequence[str], kind: str = "image", max_files: int = 2000, max_depth: int = 6, folders: bool = False) -> DataFrame:
+    """Files of a kind among the roots: ``path``, ``depth``, ``length`` and time. See :func:`catalog_of` for
+    their order. Roots that are files are kept whatever their ending; those that are folders have
+    their files listed only with ``folders``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots)).select("path", "length", "modificationTime")
-    return catalog_of(files, roots, kind, max_files, max_depth)
+    return catalog_of(files, roots, kind, max_files, max_depth, folders)
 
 
-def catalog_of(files: DataFrame, roots: Sequence[str], kind: str, max_files: int, max_depth: int) -> DataFrame:
+def catalog_of(files: DataFrame, roots: Sequence[str], kind: str, max_files: int, max_depth: int, folders: bool = False) -> DataFrame:
     """The first ``max_files`` of the files that lie under the roots at most ``max_depth`` folders deep
     and have an ending of the kind, or are roots themselves. Roots come in the order given; within
     one, nearer folders first, then by folder and name. Case matters neither for endings nor for
-    order, nor for paths that repeat, of which the first stays."""
+    order, nor for paths that repeat, of which the first stays. Without ``folders`` only roots that
+    are files count."""
     plain = F.regexp_replace("path", "^file:/+", "/")
     tops = [r.rstrip("/") for r in roots]
     under = F.coalesce(*[F.when((plain == r) | plain.startswith(r + "/"), F.struct(F.lit(i).alias("root"), F.lit(len(r)).alias("at"))) for i, r in enumerate(tops)])
     rows = files.withColumn("_in", under).where("_in IS NOT NULL").withColumn("_rest", F.substring(plain, F.col("_in.at") + 1, F.length("path")))
     rows = rows.withColumn("depth", F.greatest(F.size(F.split("_rest", "/")) - 2, F.lit(0)))
-    rows = rows.where((F.col("_rest") == "") | ((F.col("depth") <= max_depth) & F.lower("path").rlike(rf"\.({'|'.join(KINDS[kind])})$")))
+    rows = rows.where((F.col("_rest") == "") | (F.lit(folders) & (F.col("depth") <= max_depth) & F.lower("path").rlike(rf"\.({'|'.join(KINDS[kind])})$")))
     rows = rows.withColumns({"dir": F.lower(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)), "name": F.regexp_extract("path", r"([^/]*)$", 1)})
     order = [F.col("_in.root"), F.col("depth"), F.split(F.upper("dir"), "/"), F.upper("name"), F.col("path")]
     once = rows.withColumn("_k", F.row_number().over(Window.partitionBy(F.upper("path")).orderBy(*order))).where("_k = 1")
@@ -63,32 +65,58 @@ def content_duration(n: Column, fps: Column) -> Column:
     return F.when(d > 0.01, d)
 
 
+#: White space at either end.
+_ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
+
+def _one_line(text: Column) -> Column:
+    return F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\r\n", "   "))
+
+
 def parse_verdicts(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Rows of a verdict ledger's lines; comments and bad lines go."""
-    f = F.split(line, "\t")
-    part = lambda i: F.get(f, i)
-    ok = F.lower(F.trim(part(1)))
-    rows = lines.where((F.trim(line) != "") & ~F.col(line).startswith("#")).select(
-        F.trim(part(0)).alias("key"),
-        F.when(ok.isin("true", "1"), True).when(ok.isin("false", "0"), False).alias("ok"),
+    """Rows of a verdict ledger's lines, without blanks around them; comments and bad lines go. A
+    verdict is ``true`` or ``false`` in any case."""
+    trimmed = F.regexp_replace(line, _ENDS, "")
+    f = F.split("_line", "\t")
+    part = lambda i: F.trim(F.get(f, i))
+    ok = F.lower(part(1))
+    rows = lines.withColumn("_line", trimmed).where((F.col("_line") != "") & ~F.col("_line").startswith("#")).select(
+        part(0).alias("key"),
+        F.when(ok == "true", True).when(ok == "false", False).alias("ok"),
         part(2).try_cast("int").alias("failures"),
         part(3).try_cast("bigint").alias("at"),
-        F.coalesce(part(4), F.lit("")).alias("note"),
+        _one_line(F.get(f, 4)).alias("note"),
+        *[c for c in lines.columns if c not in (line, "key", "ok", "failures", "at", "note")],
     )
     good = rows.where("key <> '' AND ok IS NOT NULL AND failures >= 0 AND at > 0")
     return good.withColumn("failures", F.when(F.col("ok"), 0).otherwise(F.col("failures")))
 
 
-def read_verdict_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return parse_verdicts(spark.read.text(path))
+SIGNATURE = "# sig="
+
+
+def read_verdict_tsv(spark: SparkSession, path: str, signature: str | None = None) -> DataFrame:
+    """A ledger's rows, the last of each key, whose case does not matter. With a ``signature`` other than
+    the one that the ledger has, if it has one, all of them count as never made."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_n"))
+    if signature and signature.strip():
+        signed = F.regexp_replace("value", _ENDS, "").startswith(SIGNATURE)
+        first = lines.where(signed).agg(F.min_by(F.regexp_replace("value", _ENDS, ""), "_n")).first()[0]
+        stored = (first or "")[len(SIGNATURE) :].strip()
+        if stored and stored.lower() != " ".join(signature.translate(str.maketrans("\t\r\n", "   ")).split(" ")).strip().lower():
+            lines = lines.limit(0)
+    rows = parse_verdicts(lines)
+    return rows.groupBy(F.lower("key").alias("_key")).agg(F.max_by(F.struct("key", "ok", "failures", "at", "note"), "_n").alias("_last")).select("_last.*")
 
 
 def verdict_lines(verdicts: DataFrame, signature: str | None = None) -> DataFrame:
-    """``line`` and ``n``, its place: a header, a signature if there is one, then rows by key."""
-    head = ["# key\tok\tfailures\tat\tnote", *([f"# sig={signature}"] if signature else [])]
+    """``part``, ``key`` and ``line``: a header, a signature if there is one, then a line for each row with a
+    key, by key. A success has no failures; breaks and tabs in texts become blanks."""
+    head = ["# key\tok\tfailures\tat\tnote", *([SIGNATURE + signature] if signature else [])]
     top = verdicts.sparkSession.createDataFrame([(i, "", t) for i, t in enumerate(head)], "part int, key string, line string")
-    rows = verdicts.select(F.lit(len(head)).alias("part"), "key", F.concat_ws("\t", "key", F.col("ok").cast("string"), F.col("failures").cast("string"), F.col("at").cast("string"), "note").alias("line"))
-    return top.unionByName(rows)
+    failures = F.when(F.col("ok"), 0).otherwise(F.greatest(F.lit(0), F.col("failures")))
+    line = F.concat_ws("\t", _one_line(F.col("key")), F.when(F.col("ok"), "True").otherwise("False"), failures.cast("string"), F.col("at").cast("string"), _one_line(F.col("note")))
+    return top.unionByName(verdicts.where(F.trim("key") != "").select(F.lit(len(head)).alias("part"), "key", line.alias("line")))
 
 
 def write_verdict_tsv(verdicts: DataFrame, path: str, signature: str | None = None) -> None:
@@ -98,17 +126,22 @@ def write_verdict_tsv(verdicts: DataFrame, path: str, signature: str | None = No
 
 
 def read_price_json(df: DataFrame, text: str, backends: Sequence[str]) -> DataFrame:
-    """Measurements in JSON texts of schema 1; bad entries go one by one, bad texts whole."""
-    book = F.from_json(text, PRICE_SCHEMA)
-    rows = df.select(book.alias("b")).where("b.schema = 1").select(F.inline("b.entries"))
+    """Measurements in JSON texts of schema 1, which is that of texts that name none; bad entries go one
+    by one, texts that are broken or hold a value of a wrong kind whole. Backends are compared in
+    lower case without blanks around them."""
+    book = F.from_json(text, PRICE_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
+    rows = df.select(book.alias("b")).where("b._bad IS NULL AND coalesce(b.schema, 1) = 1").select(F.inline("b.prices"))
+    rows = rows.select(F.col("modelKey").alias("model"), F.col("engineScale").alias("scale"), *rows.columns[2:])
+    rows = rows.withColumns({"machineKey": F.trim("machineKey"), "backend": F.lower(F.trim("backend"))})
     finite = F.coalesce(~F.isnan("secondsPerFrame") & (F.abs("secondsPerFrame") < float("inf")), F.lit(False))
-    return rows.where((F.col("model") != "") & (F.col("scale") >= 1) & (F.col("samplePixels") > 0) & (F.col("sampleFrames") > 0) & finite & (F.col("secondsPerFrame") > 0) & (F.col("machineKey") != "") & F.col("backend").isin(list(backends)))
+    return rows.where((F.trim("model") != "") & (F.col("scale") >= 1) & (F.col("samplePixels") > 0) & (F.col("sampleFrames") > 0) & finite & (F.col("secondsPerFrame") > 0) & (F.col("machineKey") != "") & F.col("backend").isin([b.lower() for b in backends]))
 
 
 def to_price_json(prices: DataFrame, by: Names) -> DataFrame:
     """A JSON text of schema 1 for each key, entries in order."""
-    entry = F.struct(*[c for c in prices.columns if c not in by])
-    return prices.groupBy(*by).agg(F.to_json(F.struct(F.lit(1).alias("schema"), F.array_sort(F.collect_list(entry)).alias("entries"))).alias("json"))
+    names = {"model": "modelKey", "scale": "engineScale"}
+    entry = F.struct(*[F.col(c).alias(names.get(c, c)) for c in prices.columns if c not in by])
+    return prices.groupBy(*by).agg(F.to_json(F.struct(F.lit(1).alias("schema"), F.array_sort(F.collect_list(entry)).alias("prices"))).alias("json"))
 
 
 def log_lines(df: DataFrame, line: str) -> DataFrame:

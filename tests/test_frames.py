@@ -66,3 +66,9 @@ def test_noise_probe_leaves_out_frames_of_another_size(spark):
     assert got.n_frames == 8 and got.flicker == rest.flicker > 0
     assert op.noise_probe(cells, ["c"], "i", 4, 4, burst=2, block=2).first().flicker == 0  # no burst is long enough
     assert op.noise_probe(cells.where("i < 2"), ["c"], "i", 4, 4).count() == 0
+
+
+def test_variance_is_of_all_channels_together(spark):
+    red = spark.createDataFrame([(1, 255, 0, 0)] * 9, "g int, r int, b int, x int").select("g", "r", F.lit(0).alias("b"), F.col("x").alias("g2")).select(F.col("g").alias("id"), "r", F.col("g2").alias("g"), "b")
+    row = op.frame_stats(red, ["id"]).first()
+    assert (row.mean_r, row.mean_g, row["var"]) == (255.0, 0.0, 14450.0)

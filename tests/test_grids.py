@@ -86,3 +86,10 @@ def test_equalise_against_loops(spark):
             new = (m(0, 0) * (1 - fx + i) + m(0, 1) * (fx - i)) * (1 - fy + j) + (m(1, 0) * (1 - fx + i) + m(1, 1) * (fx - i)) * (fy - j)
             want = [np.clip(np.rint(v + (np.rint(v * new / max(1.0, lum[y, x])) - v) * 0.2 * 0.8), 0, 255) for v in rgb[y, x]]
             assert np.allclose(got[y, x], want, atol=1)  # sums in another order may fall on the other side of a half
+
+
+def test_otsu_without_parts(spark):
+    rows = [("even", i, 0.3) for i in range(9)] + [("none", i, None) for i in range(4)] + [("two", i, float(i % 2)) for i in range(8)]
+    df = spark.createDataFrame(rows, "grid_id string, x int, v double")
+    got = {r.grid_id: (r.threshold, round(r.fg, 3), round(r.bg, 3)) for r in grids.otsu(df, ["grid_id"]).collect()}
+    assert got == {"even": (128, 0.502, 0.362), "none": (None, 0.78, 0.42), "two": (0, 0.35, 0.21)}

@@ -11,12 +11,13 @@ def test_catalog(spark, tmp_path):
     for name in ("b.PNG", "a.jpg", "c.txt", "d/e.webp", "d-2/f.avif", "z.jfif", "1/2/3/4/5/6/7/deep.png"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"x")
-    got = [r.path.rsplit("/", 1)[1] for r in files.media_catalog(spark, [str(tmp_path)]).collect()]
+    got = [r.path.rsplit("/", 1)[1] for r in files.media_catalog(spark, [str(tmp_path)], folders=True).collect()]
     assert got == ["a.jpg", "b.PNG", "z.jfif", "e.webp", "f.avif"]
     roots = [str(tmp_path / "d"), str(tmp_path / "c.txt"), str(tmp_path)]  # roots in their order, a named file as it is
-    got = [r.path.rsplit("/", 1)[1] for r in files.media_catalog(spark, roots).collect()]
+    got = [r.path.rsplit("/", 1)[1] for r in files.media_catalog(spark, roots, folders=True).collect()]
     assert got == ["e.webp", "c.txt", "a.jpg", "b.PNG", "z.jfif", "f.avif"]
-    assert len(files.media_catalog(spark, [str(tmp_path)], max_files=1).collect()) == 1
+    assert len(files.media_catalog(spark, [str(tmp_path)], max_files=1, folders=True).collect()) == 1
+    assert [r.path.rsplit("/", 1)[1] for r in files.media_catalog(spark, roots).collect()] == ["c.txt"]  # folders only if asked for
 
 
 def test_verdict_file(spark, tmp_path):
@@ -27,6 +28,38 @@ def test_verdict_file(spark, tmp_path):
     assert sorted(map(tuple, files.read_verdict_tsv(spark, str(tmp_path / "v")).collect())) == [("a", True, 0, 50, ""), ("b|x", False, 2, 100, "n")]
     bad = spark.createDataFrame([("k\tmaybe\t1\t2",), ("k\ttrue\t-1\t2",), ("k\ttrue\t1",), ("\ttrue\t1\t5",), ("k\ttrue\t4\t5",)], "value string")
     assert [tuple(r) for r in files.parse_verdicts(bad).collect()] == [("k", True, 0, 5, "")]
+    odd = spark.createDataFrame([("k\t1\t1\t2",), ("  # c\ttrue\t1\t2",), (" K\tTRUE\t1\t2\t a ",)], "value string")
+    assert [tuple(r) for r in files.parse_verdicts(odd).collect()] == [("K", True, 0, 2, "a")]
+    rows = spark.createDataFrame([("a", True, 3, 9, "two\nlines\tand more"), (" ", False, 1, 1, ""), ("b", False, 2, 8, None)], rows.schema)
+    files.write_verdict_tsv(rows, str(tmp_path / "w"), "card 1")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "w").glob("part-*")))
+    assert text.splitlines()[2:] == ["a\tTrue\t0\t9\ttwo lines and more", "b\tFalse\t2\t8\t"]
+    assert files.read_verdict_tsv(spark, str(tmp_path / "w"), "CARD 1").count() == 2 and files.read_verdict_tsv(spark, str(tmp_path / "w"), "card 2").count() == 0
+    (tmp_path / "x.tsv").write_text("a\ttrue\t0\t5\nA\tfalse\t2\t7\n")
+    assert [tuple(r) for r in files.read_verdict_tsv(spark, str(tmp_path / "x.tsv"), "any").collect()] == [("A", False, 2, 7, "")]
+
+
+def test_price_books(spark):
+    good = '{"modelKey": "m", "engineScale": 2, "secondsPerFrame": 0.5, "samplePixels": 10, "sampleFrames": 6, "machineKey": " K ", "backend": "ONNX-DML"}'
+    broken = good.replace("0.5", '"fast"')
+    texts = ['{"prices": [%s]}' % good, '{"schema": 1, "prices": [%s, %s]}' % (good, good.replace('"m"', '" "')), '{"schema": 1, "prices": [%s, %s]}' % (good, broken), '{"schema": 2, "prices": [%s]}' % good, '{"entries": [%s]}' % good, "[", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, json string")
+    for i, n in enumerate([1, 1, 0, 0, 0, 0, 0]):
+        rows = files.read_price_json(df.where(f"i = {i}"), "json", ledgers.BACKENDS).collect()
+        assert len(rows) == n and all((r.model, r.scale, r.machineKey, r.backend) == ("m", 2, "K", "onnx-dml") for r in rows)
+    back = files.to_price_json(files.read_price_json(df.where("i = 0"), "json", ledgers.BACKENDS).withColumn("part", F.lit(1)), ["part"])
+    assert '"modelKey":"m"' in back.first().json and files.read_price_json(back, "json", ledgers.BACKENDS).count() == 1
+
+
+def test_measures_are_resolved(spark):
+    """Newest of the machine and backend asked for, else what else there is."""
+    book = [("m", 2, "A", "onnx-dml", "2026-01-01", 1, 1.0), ("m", 2, "A", "onnx-dml", "2026-03-01", 2, 2.0), ("m", 2, "A", "ncnn-vulkan", "2026-02-01", 3, 3.0), ("m", 2, "B", "onnx-cpu", "2026-04-01", 4, 4.0), ("m", 2, "C", "odd", "2026-01-05", 5, 5.0), ("x", 1, "D", "odd", "2026-01-05", 6, 6.0)]
+    asks = [("m", 2, "A", "onnx-dml"), ("m", 2, "A", None), ("m", 2, None, "ncnn-vulkan"), ("m", 2, " ", None), ("m", 2, "Z", "onnx-dml"), ("m", 2, "B", "onnx-dml"), ("m", 2, "A", "other"), ("m", 2, "A", ""), ("n", 2, "A", None), ("m", 2, "A ", " ONNX-CPU"), ("x", 1, "D", "onnx-cpu"), ("m", 2, None, "odd")]
+    want = [(2.0, "B", None), (2.0, "B", None), (3.0, None, None), (4.0, None, None), (None, "B", None), (None, "A", "onnx-cpu"), (None, None, None), (None, None, None), (None, None, None), (None, "B", "onnx-dml"), (None, None, None), (None, None, None)]
+    b = spark.createDataFrame(book, "model string, scale int, machine string, backend string, measured_at string, seq int, cost double")
+    a = spark.createDataFrame([(i, *x) for i, x in enumerate(asks)], "ask_id int, model string, scale int, machine string, backend string")
+    out = ledgers.resolve_measure(a, b, "cost")
+    assert [tuple(r)[1:] for r in out.orderBy("ask_id").collect()] == want
 
 
 def test_unique_names_with_taken(spark):
@@ -58,6 +91,8 @@ def test_eta_shown(spark):
     rows = [("j", 1, -1.0, 5.0), ("j", 2, 50.0, 5.0), ("j", 3, 80.0, 5.0), ("j", 4, -1.0, 5.0), ("j", 5, 20.0, 30.0), ("j", 6, 25.0, 0.0)]
     df = spark.createDataFrame(rows, "job string, done long, eta double, floor double")
     assert [r.shown for r in ledgers.eta_shown(df, ["job"], "done", "eta", "floor").orderBy("done").collect()] == [None, 50.0, 50.0, 50.0, 30.0, 25.0]
+    df = spark.createDataFrame([("j", 1, 0.0, 0.0), ("j", 2, 4.0, 0.0), ("j", 3, 9.0, 0.0), ("j", 4, 1.0, -2.0)], df.schema)
+    assert [r.shown for r in ledgers.eta_shown(df, ["job"], "done", "eta", "floor").orderBy("done").collect()] == [0.0, 4.0, 4.0, 1.0]  # 0 binds nothing
 
 
 def fuzzy(spark, names, others=()):
@@ -150,6 +185,15 @@ def test_verdict_ages(spark):
     assert got["a"] == (2, True) and got["c"] == (0, False) and "d" not in got
 
 
+def test_the_last_chunk_covers_the_end(spark):
+    """A hundred samples in chunks of a hundred: a second chunk, or the end would weigh nothing."""
+    df = spark.createDataFrame([("t", i, 1.0) for i in range(100)], "track string, i long, v double")
+    chunks = signals.chunk_overlap(df, ["track"], 100, 25)
+    assert {r.c for r in chunks.select("c").distinct().collect()} == {0, 1}
+    back = {r.i: r.v for r in signals.overlap_add(chunks, ["track"]).collect()}
+    assert back[99] == 1.0 and len(back) == 100
+
+
 def test_resample_tone(spark):
     n, rate = 4000, 16000
     tone = np.sin(2 * np.pi * 1000 * np.arange(n) / rate)
@@ -214,11 +258,14 @@ def test_texts(spark):
     got = [tuple(r) for r in df.select(tx.char_count(F.col("t")), tx.clamp_chars(F.col("t"), 2)).collect()]
     assert got == [(12, "漢字…"), (0, "x"), (0, "")]
     head = df.select(tx.head_lines(F.lit("a\n" + "b" * 500), 5, 400).alias("h"), tx.tail_chars(F.lit("q" * 300 + "\n" + "z" * 450)).alias("t")).first()
-    assert head.h == "a" and head.t == "z" * 450
+    assert head.h == "a\n" + "b" * 398 + " …" and head.t == "z" * 450
+    cases = {"aaaa\n\n \nbbbb\ncccccccccccc": "aaaa\nbbbb\ncc …", "  a \r\nb\rc\nd  ": "a\nb\nc", "aaaaaaaaaaaa\nb": "aaaaaaaaaaaa", " \n ": "", None: ""}
+    one = spark.createDataFrame([(t,) for t in cases], "t string").select("t", tx.head_lines(F.col("t"), 3, 12).alias("h"))
+    assert {r.t: r.h for r in one.collect()} == cases
 
 
 def test_measures_are_rejected_by_the_first_rule(spark):
-    good = ("m", 2, 6, 0.9, 2.5, 2_073_600, "K", "vulkan")
+    good = ("m", 2, 6, 0.9, 2.5, 2_073_600, "K", "ncnn-vulkan")
     bad = {"model": (0, " "), "scale": (1, 0), "frames": (2, 3), "time": (3, float("nan")), "sample_time": (4, float("inf")), "pixels": (5, 0), "machine": (6, None), "backend": (7, "")}
     rows = [("", *good), *((k, *[v if j == i else x for j, x in enumerate(good)]) for k, (i, v) in bad.items())]
     rows += [("time", *good[:3], 0.0, *good[4:]), ("sample_time", *good[:4], -1.0, *good[5:]), ("order", *good[:3], 4.0, 4.0, *good[5:]), ("order", *good[:3], 4.0, 3.7, *good[5:]), ("noise", *good[:3], 4.0, 4.5, *good[5:]), ("slope", *good[:3], 0.9, 900.0, *good[5:])]

@@ -43,7 +43,7 @@ def test_durations_are_conserved(spark):
     merged = op.merge_durations(df, ["clip_id"], "i", "d", "kept").collect()
     assert abs(sum(r.d for r in merged) - sum(0.1 * (i % 3 + 1) for i in range(1, 8))) < 1e-9 and len(merged) == 3
     for n in (5, 8, 13, 50):
-        rows = op.expand_durations_exact(df, ["clip_id"], "i", "d", F.lit(n)).collect()
+        rows = op.expand_durations_exact(df.withColumn("last", F.lit(n % 2 == 0)), ["clip_id"], "i", "d", F.lit(n), "last").collect()
         assert len(rows) == max(n, 8) and abs(sum(r.slot_dur for r in rows) - sum(0.1 * (i % 3 + 1) for i in range(8))) < 1e-9
     layout = op.interp_layout(df, ["clip_id"], "i", F.lit(29), F.lit(8)).orderBy("i").collect()
     assert sum(r.slots for r in layout) == 28 and [r["first"] for r in layout][:2] == [1, 1 + layout[0].slots]
@@ -93,6 +93,35 @@ def test_collisions(spark):
     assert got["a"].collisions == 9 and got["a"].time_base >= 1000 and got["b"].collisions == 0 and got["c"].collisions == 0
 
 
+def test_collisions_do_not_sum_up(spark):
+    """A frame's time is its run's start and so many times one duration."""
+    df = spark.createDataFrame([("a", i, 0.1) for i in range(60)] + [("b", 0, 0.1), ("b", 1, float("nan"))] + [("c", 0, 0.1)], "clip_id string, i int, d double")
+    got = {r.clip_id: (r.collisions, r.time_base) for r in op.timestamp_collisions(df, ["clip_id"], "i", "d", 10.0).collect()}
+    assert got == {"a": (1, 20), "b": (0, 20), "c": (0, 20)}
+
+
+def test_exact_slots(spark):
+    """Only a clip's last segment has a tail of one slot."""
+    df = spark.createDataFrame([("c", i, 0.3, last) for i in range(3) for last in (False, True)], "clip_id string, i int, d double, last boolean")
+    for last, want in ((False, [3, 3, 3]), (True, [4, 4, 1])):
+        rows = op.expand_durations_exact(df.where(F.col("last") == last), ["clip_id"], "i", "d", F.lit(9), "last").groupBy("i").count().orderBy("i").collect()
+        assert [r["count"] for r in rows] == want
+    assert op.expand_durations_exact(df.where("i = 0"), ["clip_id", "last"], "i", "d", F.lit(9), "last").count() == 2
+
+
+@pytest.mark.parametrize("sizes,slots,want", [([4, 4, 2], 25, [9, 11, 5]), ([1], 25, [2]), ([5, 1, 4], 0, [6, 2, 5]), ([3, 1, 6], 30, [7, 1, 22]), ([6, 6], 4, [7, 7]), ([10, 10, 10], 72, [23, 25, 24])])
+def test_segment_targets_add_up(spark, sizes, slots, want):
+    df = spark.createDataFrame([("c", i, n) for i, n in enumerate(sizes)], "clip_id string, s int, n long")
+    got = [r.target for r in op.segment_targets_exact(df, ["clip_id"], "s", "n", slots).orderBy("s").collect()]
+    assert got == want
+
+
+def test_expected_frames(spark):
+    df = spark.createDataFrame([(0, None), (1, 0), (10, 0), (10, 7), (10, -1), (-3, None)], "n long, own long")
+    rows = df.select(op.expected_frames(F.col("n"), 2, F.col("own")).alias("e"), op.expected_frames(F.col("n"), 0.5).alias("f"), op.count_mismatch(F.col("n"), op.expected_frames(F.col("n"), 2, F.col("own")), 1).alias("m")).collect()
+    assert [tuple(r) for r in rows] == [(0, 0, False), (1, 1, False), (19, 10, True), (7, 10, True), (19, 10, True), (0, 0, False)]
+
+
 def test_spread_sample(spark):
     df = spark.createDataFrame([("c", i) for i in range(40)], "clip_id string, i int")
     assert [r.i for r in op.spread_sample(df, ["clip_id"], "i", 1).collect()] == [20]
