@@ -199,7 +199,8 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     with it, as many as the sample shows to be needed (see ``IN_CELLS``). There its inner products
     are estimated from the packed bits of the codes and two scalars a vector; only vectors whose
     upper bound reaches the k-th best score that the query has in the sample are computed in double
-    precision. Cells are cut into blocks of about ``cell_rows`` vectors and as many queries, so no
+    precision. A query whose cells gave fewer than ``k`` rows is compared with all rows, without a
+    bound, so each has ``k``, or all there are. Cells are cut into blocks of about ``cell_rows`` vectors and as many queries, so no
     task holds more, however alike the vectors are.
 
     Ties go to the smaller id. See :func:`usable` for rows that take no part; vectors of another
@@ -230,28 +231,49 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
 
     coded = staged(rows.mapInArrow(code, T.StructType([*rows.schema.fields, *T._parse_datatype_string("cell int, code binary, scale double, slack double").fields])), "codes")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = _stack(b.column("v"))
-                least = shared.value.least_score(b.column("id").to_numpy(), x, k)
-                best = np.argsort(-(x @ shared.value.centers.T), axis=1, kind="stable")[:, :visits]
-                at = pa.array(np.repeat(np.arange(len(x)), visits))
-                yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("v").take(at), pa.array(least).take(at), pa.array(best.ravel(), pa.int32())], ["id", "v", "least", "cell"])
-
-    asked = rows.where(F.col("id") % query_every == 0).mapInArrow(probe, T.StructType([*rows.schema.fields, *T._parse_datatype_string("least double, cell int").fields]))
-    asked = staged(asked, "asked")
-    # A row for each cell: MAX_CELLS at most.
-    parts = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("blocks"))
-    parts = F.broadcast(parts.join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("turns")), "cell"))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stored = coded.join(parts, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("turn", numbers("turns")).drop("blocks", "turns")
-    asked = asked.join(parts, "cell").withColumn("turn", F.pmod(F.xxhash64("id"), "turns").cast("int")).withColumn("block", numbers("blocks")).drop("blocks", "turns")
+    # Cells and their rows: MAX_CELLS at most.
+    sizes = np.zeros(len(codec.centers), np.int64)
+    for r in coded.groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
+
+    def probe(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x = _stack(b.column("v"))
+                    least = np.full(len(x), -np.inf) if whole else shared.value.least_score(b.column("id").to_numpy(), x, k)
+                    best = np.argsort(-(x @ shared.value.centers.T), axis=1, kind="stable")
+                    # As many cells as are needed, but enough to hold k rows besides the query.
+                    held = np.cumsum(sizes[best], axis=1)
+                    many = np.full(len(x), len(sizes)) if whole else np.maximum(visits, (held < k + 1).sum(axis=1) + 1).clip(max=len(sizes))
+                    at = pa.array(np.repeat(np.arange(len(x)), many))
+                    cells = best[np.arange(len(sizes))[None, :] < many[:, None]]
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("v").take(at), pa.array(least).take(at), pa.array(cells, pa.int32())], ["id", "v", "least", "cell"])
+
+        return run
 
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["cell", "block", "turn"]
-    found = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(_search(shared, k), "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+    def compared(queries: DataFrame, whole: bool) -> DataFrame:
+        asked = queries.mapInArrow(probe(whole), T.StructType([*rows.schema.fields, *T._parse_datatype_string("least double, cell int").fields]))
+        asked = staged(asked, "asked")
+        parts = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("blocks"))
+        parts = F.broadcast(parts.join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("turns")), "cell"))
+        stored = coded.join(parts, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("turn", numbers("turns")).drop("blocks", "turns")
+        asked = asked.join(parts, "cell").withColumn("turn", F.pmod(F.xxhash64("id"), "turns").cast("int")).withColumn("block", numbers("blocks")).drop("blocks", "turns")
+        found = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(_search(shared, k), "query_id long, id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+    queries = rows.where(F.col("id") % query_every == 0)
+    found = staged(compared(queries, False), "found")
+    # Queries whose cells gave too few are compared with all rows; there are few of them, if any.
+    enough = found.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= min(k, n - 1)).select("id")
+    short = staged(queries.join(enough, "id", "left_anti"), "short")
+    if n == 1 or short.isEmpty():
+        return found
+    return found.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(compared(short, True))
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,20 @@ def test_edges(spark):
     assert [(r.query_id, r.rank, r.id) for r in few] == [(0, 1, 1), (0, 2, 2)]
     assert nearest(table.limit(0)).count() == 0
     assert op8_nearest(spark, "/root/testdata/sf0.001").columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_cells_of_few_rows_give_k_all_the_same(spark):
+    """Groups smaller than k, in cells as small: every query has k neighbours, and the right ones."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(150, 16)) * rng.uniform(0.2, 4, size=(150, 1))
+    x = (np.repeat(centers, 15, axis=0) + rng.normal(size=(2250, 16)) * 0.01).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = nearest(df, cell_rows=15).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert set(got) == set(range(0, 2250, 20)) and {len(v) for v in got.values()} == {20}
+    score = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(score, -np.inf)
+    best = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    assert np.mean([len(set(got[q]) & set(best[q].tolist())) / 20 for q in got]) > 0.9
