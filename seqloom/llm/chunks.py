@@ -184,7 +184,7 @@ def chunk_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     schema = "kind byte, digest long, h long, id long, place long"
     rows = spread(numbered).mapInArrow(_chunk, schema).withColumn("more", F.col("place").bitwiseAND(F.lit((1 << 22) - 1))).withColumn("start", F.shiftrightunsigned("place", 32))
     rows = rows.repartition("digest").sortWithinPartitions("digest", "more", "id", "start").drop("more", "start")
-    found = staged(rows.mapInArrow(_match, schema), "chunks").groupBy("h").agg(F.collect_list(F.struct("kind", "place")).alias("found"))
+    found = staged(rows.mapInArrow(_match, schema), "chunks").groupBy("h").agg(F.collect_set(F.struct("kind", "place")).alias("found"))
     out = f"doc_id {keyed.schema['id'].dataType.simpleString()}, n_bytes long, n_repeated long, n_removed long, n_passages long, longest_words long, kept_sha256 string, passages array<array<long>>" + ", kept binary" * with_kept
     return keyed.join(found, "h", "left").select("id", "text", "found").mapInArrow(_judge(min_words, with_kept), out)
 

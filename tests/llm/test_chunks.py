@@ -74,3 +74,11 @@ def test_edges(spark):
     n = len(long)
     assert got == [("1", 0, 0, 0), ("1", 0, 0, 0), ("2", 0, 0, 0), ("3", n, n, 1), ("3", n, n, 1), ("4", 10, 0, 0), ("None", n, 0, 1)]
     assert chunk_dedup(docs.limit(0)).count() == 0
+
+
+def test_rows_repeated_without_an_id(spark):
+    """Their chunks are one set, however many rows there are; each row has its own result."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen " * 3
+    docs = spark.createDataFrame([(None, text)] * 500 + [(1, "short text")], "doc_id long, text string")
+    got = chunk_dedup(docs).collect()
+    assert len(got) == 501 and len({tuple(r) for r in got if r.doc_id is None}) == 1
