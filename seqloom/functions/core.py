@@ -74,6 +74,71 @@ def gathered(df: DataFrame, by: Names, order: Names, values: Names, name: str =
     return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias(name))
 
 
+def sum_before(df: DataFrame, by: Names, order: Names, value: Column, name: str, pieces: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of its key before it in order, 0 for the first.
+
+    By default one window, in which a key is one task. With ``pieces`` a scan in two levels, for keys
+    larger than a task: rows are dealt out by ranges of key and order, sums within a range come from
+    a window over it, and those of earlier ranges of the key from the ranges' totals. Rows that tie in
+    ``order`` should not differ."""
+    running = lambda w, v: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if pieces is None:
+        return df.withColumn(name, running(over(by, order), value))
+    from ..sources.scratch import staged
+
+    dealt = df.withColumn("_scanned", value).repartitionByRange(pieces, *by, *order).withColumn("_piece", F.spark_partition_id())
+    dealt = staged(dealt, "pieces")
+    totals = dealt.groupBy(*by, "_piece").agg(F.sum("_scanned").alias("_total"))
+    earlier = totals.withColumn("_earlier", running(over(by, ["_piece"]), F.col("_total")))
+    earlier = earlier.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_piece").alias("_p"), "_earlier")
+    same = F.col("_piece") == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    within = dealt.withColumn("_within", running(over([*by, "_piece"], order), F.col("_scanned")))
+    return within.join(earlier, same).withColumn(name, F.col("_earlier") + F.col("_within")).select(*df.columns, name)
+
+
+def at_rank(df: DataFrame, by: Names, value: str, rank: Callable[[Column], Column], name: str = "at", most: int = 100_000, cells: int = 1024) -> DataFrame:
+    """For each key its number of values, ``n``, and the one at a place (from 0) in their order, which
+    ``rank`` makes of the number, as ``name``; values that are null or not finite do not count.
+
+    Selection by counts: values of keys of more than ``most`` are counted in cells of equal width
+    between the least and the largest of the key (of their logarithms, while these lie far apart), and
+    only those of the cell that holds the place go on, till they are few or all the same: a handful
+    of passes for any doubles. Counts are summed before they travel, so no key's values
+    meet in a task; only up to ``most`` of them are sorted."""
+    from ..sources.scratch import staged
+
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(finite(F.col("_v")))
+    null_safe = lambda keys: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    renamed = lambda t: t.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in t.columns if c not in by])
+    plain = lambda t: t.drop(*[f"_{c}" for c in by])
+    if not by:
+        raise ValueError("a key is needed")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    open_keys = sizes.withColumn("_rank", F.least(F.greatest(rank(F.col("n")), F.lit(0)), F.col("n") - 1).cast("long")).withColumn("_left", F.col("n"))
+    crowded = (F.col("_left") > most) & (F.col("_low") < F.col("_high"))
+    while True:
+        open_keys = staged(open_keys, "ranks")
+        if open_keys.where(crowded).isEmpty():
+            break
+        some = plain(rows.join(renamed(open_keys.where(crowded)), null_safe(by))).where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+        far = (F.signum("_low") != F.signum("_high")) | (F.greatest(F.abs("_low"), F.abs("_high")) > 4 * F.least(F.abs("_low"), F.abs("_high")))
+        scale = lambda v: F.when(far, F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log2(F.abs(v)) + 1100))).otherwise(v)
+        low, high = scale(F.col("_low")), scale(F.col("_high"))
+        width = high / cells - low / cells
+        cell = F.least(F.greatest(F.floor((scale(F.col("_v")) - low) / F.when(width > 0, width)), F.lit(0)), F.lit(cells - 1))
+        counts = some.groupBy(*by, F.coalesce(cell, F.lit(0)).alias("_cell")).agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        counts = counts.withColumn("_until", F.sum("_m").over(over(by, ["_cell"])))
+        held = plain(counts.join(renamed(open_keys.where(crowded).select(*by, "n", "_rank")), null_safe(by)))
+        held = held.where((F.col("_rank") < F.col("_until")) & (F.col("_rank") >= F.col("_until") - F.col("_m")))
+        held = held.select(*by, "n", F.col("_a").alias("_low"), F.col("_b").alias("_high"), (F.col("_rank") - F.col("_until") + F.col("_m")).alias("_rank"), F.col("_m").alias("_left"))
+        open_keys = open_keys.where(~crowded).select(*held.columns).unionByName(held)
+    last = plain(rows.join(renamed(open_keys.where(F.col("_low") < F.col("_high"))), null_safe(by))).where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+    last = last.withColumn("_k", F.row_number().over(over(by, ["_v"])) - 1).where(F.col("_k") == F.col("_rank")).select(*by, "n", F.col("_v").alias(name))
+    return last.unionByName(open_keys.where(F.col("_low") >= F.col("_high")).select(*by, "n", F.col("_low").alias(name)))
+
+
 def ordered_fold(df: DataFrame, by: Names, order: Names, values: Names, step: Callable[[object, tuple], tuple[object, tuple | None]], out: str, start: object = None, finish: Callable[[object], tuple | None] | None = None) -> DataFrame:
     """Folds the rows of each key in order. ``step(state, values) -> state, row`` gets the row's
     ``order`` and ``values`` and gives a row of the schema ``out``, or None; ``finish(state)`` gives one

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import Names
+from .core import Names, sum_before
 
 DEFAULT_HAN = r"\x{4E00}-\x{9FFF}"
 
@@ -29,6 +30,66 @@ def classify_by_table(df: DataFrame, text: str, rules: DataFrame, id_cols: Names
     return df.select(*id_cols).join(hits, list(id_cols), "left")
 
 
+#: Rules that one automaton holds.
+RULES = 100_000
+
+
+def classify_by_substrings(df: DataFrame, text: str, rules: DataFrame, id_cols: Names, block: int = RULES) -> DataFrame:
+    """``id_cols`` and ``label`` of every row: that of the rule (``priority``, ``label``, ``text``) with the least
+    priority whose text occurs anywhere in ``text``, whatever the case; null if none does. Of rules that
+    share a priority the smaller text counts; empty and null texts match nothing.
+
+    All texts are read once past an automaton of the rules, whose cost does not grow with their number.
+    One automaton holds ``block`` rules; longer tables are dealt out over as many, one pass each."""
+    clean = rules.select(F.col("priority").cast("long").alias("priority"), F.col("label").cast("string").alias("label"), F.lower("text").alias("text")).where("text <> '' AND priority IS NOT NULL")
+    clean = clean.groupBy("text").agg(F.min(F.struct("priority", "label")).alias("r")).select("r.priority", "r.label", "text")
+    blocks = max(1, -(-clean.count() // block))
+    rows = df.select(*id_cols, F.lower(text).alias("_text"), F.lit(None).cast("struct<priority:long,text:string,label:string>").alias("_rule"))
+    for k in range(blocks):
+        some = [(r["text"], r["priority"], r["label"]) for r in clean.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()]
+        rows = _first_rules(rows, df.sparkSession.sparkContext.broadcast(some))
+    return rows.select(*id_cols, F.col("_rule.label").alias("label"))
+
+
+_BUILT: dict[object, object] = {}
+
+
+def _automaton(shared) -> object:
+    """The rules of a broadcast as an automaton, made once in each worker."""
+    import ahocorasick
+
+    if shared.value and id(shared) not in _BUILT:
+        made = ahocorasick.Automaton()
+        for text, priority, label in shared.value:
+            made.add_word(text, (priority, text, label))
+        made.make_automaton()
+        _BUILT.clear()
+        _BUILT[id(shared)] = (shared, made)
+    return _BUILT[id(shared)][1] if shared.value else None
+
+
+def _first_rules(rows: DataFrame, shared) -> DataFrame:
+    """``rows`` with ``_rule`` replaced by a rule of ``shared`` where that comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _automaton(shared)
+        least = min((p, t) for t, p, _ in shared.value) if made else None
+        for b in batches:
+            best = []
+            for text, old in zip(b.column("_text").to_pylist(), b.column("_rule").to_pylist(), strict=True):
+                now = None if old is None else (old["priority"], old["text"], old["label"])
+                for _, rule in made.iter(text) if made and text else ():
+                    if now is None or rule[:2] < now[:2]:
+                        now = rule
+                        if now[:2] == least:
+                            break
+                best.append(None if now is None else dict(zip(("priority", "text", "label"), now, strict=True)))
+            at = b.schema.get_field_index("_rule")
+            yield pa.RecordBatch.from_arrays([pa.array(best, c.type) if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def url_host(url: Column) -> Column:
     """What lies between the first ``://`` and the next slash, in lower case; a name without a scheme
     as it is, trimmed. Null and blank ones are empty."""
@@ -53,12 +114,18 @@ def url_tail(url: Column, skip: int = 3) -> Column:
     return F.array_join(F.slice(path, skip + 1, F.greatest(F.size(path) - skip, F.lit(0))), "/")
 
 
-def content_fingerprint(df: DataFrame, by: Names, line: str, order: Names) -> DataFrame:
-    """A digest of each key's lines in order, each with its break, to see changes by: one line more,
-    or two that change places, give another. Null lines are empty."""
-    lines = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(line), F.lit("")).alias("_line"))))
-    text = F.array_join(F.transform(lines, lambda x: F.concat(x["_line"], F.lit("\n"))), "")
-    return df.groupBy(*by).agg(F.md5(text).alias("fingerprint"))
+def content_fingerprint(df: DataFrame, by: Names, line: str, order: Names, pieces: int | None = None) -> DataFrame:
+    """A digest of each key's lines in order, to see changes by: one line more, or two that change
+    places, give another. Null lines are empty. Rows that tie in ``order`` should not differ.
+
+    Each line with its place gives two numbers of 60 bits; their sums and the number of lines are what
+    is digested. Sums can be made of parts in any order, so a key's lines never are one value;
+    ``pieces`` as in ``core.sum_before`` finds places of keys larger than a task."""
+    rows = sum_before(df.select(*by, *order, F.coalesce(F.col(line), F.lit("")).alias("_line")), by, order, F.lit(1).cast("long"), "_at", pieces)
+    rows = rows.withColumn("_h", F.md5(F.concat(F.col("_at").cast("string"), F.lit(":"), F.col("_line"))))
+    part = lambda k: F.sum(F.conv(F.substring("_h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)"))
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), part(0).alias("_a"), part(1).alias("_b"))
+    return sums.select(*by, F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ("_n", "_a", "_b")])).alias("fingerprint"))
 
 
 def char_count(text: Column, kind: str = DEFAULT_HAN) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.core import Names, item, ordered_fold, over, total, variance
+from ..functions.core import Names, item, ordered_fold, over, sum_before, total, variance
 
 
 def mean_abs_diff(a: Column, b: Column) -> Column:
@@ -84,11 +84,12 @@ def detect_cuts(df: DataFrame, by: Names, order: str, gray: str, w: int, h: int,
     return min_spacing(flags, by, order, "cut", spacing)
 
 
-def scene_segments(frames: DataFrame, cuts: DataFrame, by: Names, order: str) -> DataFrame:
-    """The runs of frames between cuts, numbered from 0: ``start``, ``n`` and ``last``."""
+def scene_segments(frames: DataFrame, cuts: DataFrame, by: Names, order: str, pieces: int | None = None) -> DataFrame:
+    """The runs of frames between cuts, numbered from 0: ``start``, ``n`` and ``last``. ``pieces`` as in
+    ``core.sum_before``."""
     begin = cuts.select(*by, (F.col(order) + 1).alias(order), F.lit(1).alias("_cut"))
-    w = over(by, [order])
-    runs = frames.select(*by, order).join(begin, [*by, order], "left").withColumn("segment", F.coalesce(F.sum("_cut").over(w), F.lit(0)).cast("int"))
+    runs = frames.select(*by, order).join(begin, [*by, order], "left").withColumn("_cut", F.coalesce("_cut", F.lit(0)))
+    runs = sum_before(runs, by, [order], F.col("_cut"), "segment", pieces).withColumn("segment", (F.col("segment") + F.col("_cut")).cast("int"))
     out = runs.groupBy(*by, "segment").agg(F.min(order).alias("start"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("last", F.lead("segment").over(over(by, ["segment"])).isNull())
 
@@ -244,6 +245,13 @@ def dedup_adjacent(df: DataFrame, by: Names, order: Names, gray: str, sad: float
     return rows.withColumn("keep", F.col("_tail") | F.col("_before").isNull() | ~F.coalesce(same, F.lit(False))).drop("_before", "_tail")
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """Mean absolute difference and similarity over the whole frame."""
+    cov = ((a - a.mean()) * (b - b.mean())).mean()
+    like = (2 * a.mean() * b.mean() + 6.5025) * (2 * cov + 58.5225) / ((a.mean() ** 2 + b.mean() ** 2 + 6.5025) * (a.var() + b.var() + 58.5225))
+    return float(np.abs(a - b).mean()), float(like)
+
+
 def dedup_frames(df: DataFrame, by: Sequence[str], order: str, gray: str, sad: float, ssim: float) -> DataFrame:
     """Like :func:`dedup_adjacent`, but each frame is compared with the last one kept. An ordered
     fold over sorted partitions: one frame of a key is held, however long the key is."""
@@ -253,12 +261,63 @@ def dedup_frames(df: DataFrame, by: Sequence[str], order: str, gray: str, sad: f
         f, same = np.asarray(values, float), False
         if last is not None and not tail:
             n = min(len(f), len(last))
-            a, b = f[:n], last[:n]
-            cov = ((a - a.mean()) * (b - b.mean())).mean()
-            like = (2 * a.mean() * b.mean() + 6.5025) * (2 * cov + 58.5225) / ((a.mean() ** 2 + b.mean() ** 2 + 6.5025) * (a.var() + b.var() + 58.5225))
-            same = bool(np.abs(a - b).mean() < sad and like >= ssim)
+            diff, like = _alike(f[:n], last[:n])
+            same = bool(diff < sad and like >= ssim)
         return (last if same else f), (at, not same)
 
     kind = dict(df.dtypes)[order]
     rows = df.select(*by, order, gray, F.lead(F.lit(1)).over(over(by, [order])).isNull().alias("_tail"))
     return ordered_fold(rows, by, [order], ["_tail", gray], step, f"`{order}` {kind}, keep boolean")
+
+
+def block_means(values: np.ndarray, w: int, block: int) -> np.ndarray:
+    """Means over the blocks of a frame of width ``w``; those at the right and the bottom may be
+    smaller."""
+    frame = values.reshape(-1, w)
+    h = len(frame)
+    sums = np.add.reduceat(np.add.reduceat(frame, np.arange(0, h, block), axis=0), np.arange(0, w, block), axis=1)
+    rows, columns = np.diff(np.r_[np.arange(0, h, block), h]), np.diff(np.r_[np.arange(0, w, block), w])
+    return (sums / np.outer(rows, columns)).ravel()
+
+
+def dedup_segments(df: DataFrame, by: Sequence[str], order: str, gray: str, w: int, sad: float, ssim: float, protect: float, segment: float, block: int = 8) -> DataFrame:
+    """Near-duplicates with local motion and still segments, a rule of our own with the thresholds of
+    :func:`dedup_thresholds`. For each frame ``moving``, ``keep`` and ``segment``.
+
+    ``moving`` is the share of blocks whose mean absolute difference to the last kept frame reaches
+    ``sad``; 1 for the first frame, and where sizes differ. A frame is dropped if it is like the last
+    kept one as in :func:`dedup_frames`, unless at least ``protect`` of it moves; the last of a key stays.
+    Kept frames begin segments, numbered from 0; one whose difference to the segment's first frame is
+    below ``segment``, with less than ``protect`` of it moving, goes on in it, so that a still scene that
+    drifts or flickers is one segment. One fold: two frames of a key are held."""
+
+    def shares(f: np.ndarray, other: np.ndarray) -> tuple[float, float, float]:
+        if len(f) != len(other) or len(f) % w:
+            return np.inf, -1.0, 1.0
+        diff, like = _alike(f, other)
+        return diff, like, float((block_means(np.abs(f - other), w, block) >= sad).mean())
+
+    # State: the last kept frame, the segment's first one, its number.
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        at, tail, values = row
+        f = np.asarray(values, float)
+        if state is None:
+            return (f, f, 0), (at, 1.0, True, 0)
+        last, head, number = state
+        diff, like, moving = shares(f, last)
+        if not tail and diff < sad and like >= ssim and moving < protect:
+            return state, (at, moving, False, number)
+        away, _, drift = shares(f, head)
+        if away >= segment or drift >= protect:
+            head, number = f, number + 1
+        return (f, head, number), (at, moving, True, number)
+
+    kind = dict(df.dtypes)[order]
+    rows = df.select(*by, order, gray, F.lead(F.lit(1)).over(over(by, [order])).isNull().alias("_tail"))
+    return ordered_fold(rows, by, [order], ["_tail", gray], step, f"`{order}` {kind}, moving double, keep boolean, segment long")
+
+
+def still_segments(marked: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """The segments of :func:`dedup_segments`: ``start``, ``stop`` (the last frame), ``n`` and how many of
+    them are kept."""
+    return marked.groupBy(*by, "segment").agg(F.min(order).alias("start"), F.max(order).alias("stop"), F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("kept"))

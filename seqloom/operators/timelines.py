@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.core import Names, clamp, finite, gathered, half_away, half_even, mean, ordered_fold, over, total, upper_median
+from ..functions.core import Names, at_rank, clamp, finite, gathered, half_away, half_even, mean, ordered_fold, over, sum_before, total, upper_median
 
 
-def merge_durations(df: DataFrame, by: Names, order: str, dur: str, kept: str) -> DataFrame:
+def merge_durations(df: DataFrame, by: Names, order: str, dur: str, kept: str, pieces: int | None = None) -> DataFrame:
     """A row for each kept frame with its time and that of the dropped ones after it. Dropped frames
-    before the first kept one vanish with their time."""
-    runs = df.withColumn("kept_id", F.sum(F.col(kept).cast("int")).over(over(by, [order])))
+    before the first kept one vanish with their time. ``pieces`` as in ``core.sum_before``."""
+    runs = sum_before(df, by, [order], F.col(kept).cast("int"), "kept_id", pieces).withColumn("kept_id", F.col("kept_id") + F.coalesce(F.col(kept), F.lit(False)).cast("int"))
     return runs.where("kept_id > 0").groupBy(*by, "kept_id").agg(F.min(order).alias(order), F.sum(dur).alias(dur))
 
 
@@ -39,7 +39,12 @@ def cadence(gaps: DataFrame, by: Names, gap: str, in_fps: float) -> DataFrame:
 
 
 def upper_medians(df: DataFrame, by: Names, value: str) -> DataFrame:
-    return df.groupBy(*by).agg(upper_median(F.collect_list(value)).alias("median"))
+    """The middle value of each key, the upper one of an even number, by counts; 0 if there is none."""
+    found = at_rank(df, by, value, lambda n: F.floor(n / 2), "median")
+    if not df.schema[value].nullable:
+        return found.select(*by, "median")
+    none = df.groupBy(*by).agg(F.count(F.when(finite(F.col(value).cast("double")), 1)).alias("_n")).where("_n = 0")
+    return found.select(*by, "median").unionByName(none.select(*by, F.lit(0.0).alias("median")))
 
 
 def gap_stats(df: DataFrame, by: Names, order: Names, ts: str) -> DataFrame:
@@ -70,16 +75,16 @@ def flatten_plan(df: DataFrame, by: Names, order: str, dur: str, fps: float, k:
     return out.select(*by, "gaps", "reason", F.when(F.col("reason").isNull(), F.lit(float(fps * k))).alias("target_fps"), F.when(F.col("reason").isNull(), F.greatest(F.lit(2).cast("long"), half_even(total(F.col("_d")) * (fps * k)))).alias("frames"))
 
 
-def start_times(df: DataFrame, by: Names, order: str, dur: str) -> DataFrame:
-    """``pts``, the start of each frame; negative durations count as 0."""
-    before = over(by, [order]).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("pts", F.coalesce(F.sum(F.greatest(F.col(dur), F.lit(0.0))).over(before), F.lit(0.0)))
+def start_times(df: DataFrame, by: Names, order: str, dur: str, pieces: int | None = None) -> DataFrame:
+    """``pts``, the start of each frame; negative durations count as 0. ``pieces`` as in
+    ``core.sum_before``."""
+    return sum_before(df, by, [order], F.greatest(F.col(dur).cast("double"), F.lit(0.0)), "pts", pieces)
 
 
-def cumulative_times(df: DataFrame, by: Names, order: str, dur: str) -> DataFrame:
+def cumulative_times(df: DataFrame, by: Names, order: str, dur: str, pieces: int | None = None) -> DataFrame:
     """``order`` and ``pts``, the start of each frame, and one row more for each key: the end, at the
-    place after the last frame. Negative durations count as 0."""
-    rows = start_times(df, by, order, dur).select(*by, F.col(order).cast("long").alias(order), "pts", F.greatest(F.col(dur), F.lit(0.0)).alias("_d"))
+    place after the last frame. Negative durations count as 0. ``pieces`` as in ``core.sum_before``."""
+    rows = start_times(df, by, order, dur, pieces).select(*by, F.col(order).cast("long").alias(order), "pts", F.greatest(F.col(dur), F.lit(0.0)).alias("_d"))
     end = rows.groupBy(*by).agg((F.max(order) + 1).alias(order), F.max_by(F.col("pts") + F.coalesce("_d", F.lit(0.0)), order).alias("pts"))
     return rows.drop("_d").unionByName(end)
 
@@ -263,11 +268,12 @@ def run_length_within(df: DataFrame, by: Names, order: str, value: str, toleranc
     return runs.withColumn("offset", F.coalesce(F.sum(F.col("value") * (F.col("stop") - F.col("start"))).over(before), F.lit(0.0)))
 
 
-def interp_layout(df: DataFrame, by: Names, order: str, target: Column, pairs: Column) -> DataFrame:
-    """Slots of each pair of frames, numbered from 0 by ``order``, and the first slot's index."""
+def interp_layout(df: DataFrame, by: Names, order: str, target: Column, pairs: Column, pieces: int | None = None) -> DataFrame:
+    """Slots of each pair of frames, numbered from 0 by ``order``, and the first slot's index. ``pieces``
+    as in ``core.sum_before``."""
     extra = F.greatest(F.lit(0), F.floor((target - 1) / pairs) - 1)
     rows = df.withColumn("slots", (1 + extra + F.when(F.col(order) < (target - 1) % pairs, 1).otherwise(0)).cast("long"))
-    return rows.withColumn("first", 1 + F.coalesce(F.sum("slots").over(over(by, [order]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return sum_before(rows, by, [order], F.col("slots"), "first", pieces).withColumn("first", 1 + F.col("first"))
 
 
 def fixed_segments(df: DataFrame, by: Names, order: str, n: int) -> DataFrame:

@@ -197,3 +197,34 @@ f AS (SELECT clip_id, frame_no, gray AS held, true AS keep FROM n WHERE frame_no
 SELECT clip_id, frame_no, keep FROM f""")
 def s17b(spark, sf):
     return op.dedup_frames(fx.frames(spark, sf), KEY, NO, "gray", 36, 0.1)
+
+
+def _diff(a, b):
+    return f"(list_sum(list_transform(range(1, 65), lambda i: abs({a}[i] - {b}[i])))::DOUBLE / 64)"
+
+
+def _moving(a, b):
+    """Share of the four blocks of 4 x 4 whose mean absolute difference reaches 36."""
+    blocks = [f"(list_sum(list_transform([{', '.join(str(1 + y * 8 + x) for y in range(by, by + 4) for x in range(bx, bx + 4))}], lambda i: abs({a}[i] - {b}[i])))::DOUBLE / 16 >= 36)::INT" for by in (0, 4) for bx in (0, 4)]
+    return f"(({' + '.join(blocks)}) / 4.0::DOUBLE)"
+
+
+_SEGMENTS = f"""n AS MATERIALIZED (SELECT clip_id, frame_no, gray, frame_no = max(frame_no) OVER (PARTITION BY clip_id) AS tail FROM v_frames),
+f AS (SELECT clip_id, frame_no, gray AS held, gray AS head, 0 AS segment, 1.0::DOUBLE AS moving, true AS keep FROM n WHERE frame_no = 0
+ UNION ALL SELECT clip_id, frame_no, CASE WHEN keep THEN gray ELSE held END, CASE WHEN keep AND fresh THEN gray ELSE head END, segment + (keep AND fresh)::INT, moving, keep FROM (
+ SELECT *, tail OR NOT (alike AND moving < 0.75) AS keep, away >= 38 OR drift >= 0.75 AS fresh FROM (
+ SELECT n.clip_id, n.frame_no, n.gray, n.tail, f.held, f.head, f.segment, {_like('n.gray', 'f.held')} AS alike, {_moving('n.gray', 'f.held')} AS moving, {_diff('n.gray', 'f.head')} AS away, {_moving('n.gray', 'f.head')} AS drift FROM f JOIN n ON n.clip_id = f.clip_id AND n.frame_no = f.frame_no + 1)))"""
+
+
+def segmented(spark, sf):
+    return op.dedup_segments(fx.frames(spark, sf), KEY, NO, "gray", 8, 36, 0.1, 0.75, 38, block=4)
+
+
+@query("s17_dedup_segments", f"{_SEGMENTS} SELECT clip_id, frame_no, moving, keep, segment::BIGINT AS segment FROM f")
+def s17c(spark, sf):
+    return segmented(spark, sf)
+
+
+@query("s17_still_segments", f"{_SEGMENTS} SELECT clip_id, segment::BIGINT AS segment, min(frame_no) AS start, max(frame_no) AS stop, count(*) AS n, count(*) FILTER (keep) AS kept FROM f GROUP BY ALL")
+def s17d(spark, sf):
+    return op.still_segments(segmented(spark, sf), KEY, NO)

@@ -23,7 +23,7 @@ def passes(src, cols, rule, keep=AT, times=1):
     return src
 
 
-BYTES = "(CASE WHEN lag({v}) OVER {w} IS NULL THEN floor(({v} + lead({v}) OVER {w} + 1) / 2) WHEN lead({v}) OVER {w} IS NULL THEN floor((lag({v}) OVER {w} + {v} + 1) / 2) ELSE floor((lag({v}) OVER {w} + {v} + lead({v}) OVER {w} + 1) / 3) END)"
+BYTES = "floor((sum({v}) OVER ({p} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) + 1) / count(*) OVER ({p} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"
 BYTE = "greatest(0, least(255, round_even({}, 0)))"
 LUMA = "(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)"
 NEAR = "(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)"

@@ -156,6 +156,16 @@ def f01b(spark, sf):
     return tx.classify_by_table(part, "p_name", rules, ["p_partkey"])
 
 
+@query("f01_classify_substrings", """r AS (SELECT lower(substr(text, 1, 7)) AS t, min(doc_id) AS priority FROM documents WHERE text <> '' GROUP BY ALL)
+SELECT d.doc_id, arg_min('rule ' || r.priority, r.priority) AS label FROM documents d LEFT JOIN r ON contains(lower(d.text), r.t) GROUP BY d.doc_id""")
+def f01c(spark, sf):
+    """How each text begins is a rule; texts are looked through for all of them."""
+    docs = fx.table(spark, sf, "documents")
+    rules = docs.where("text <> ''").groupBy(F.lower(F.substring("text", 1, 7)).alias("text")).agg(F.min("doc_id").alias("priority"))
+    rules = rules.withColumn("label", F.concat(F.lit("rule "), F.col("priority").cast("string")))
+    return tx.classify_by_substrings(docs, "text", rules, ["doc_id"])
+
+
 @query("f02_url_parts", """u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN ' ' || split_part(url, '://', 2) || ' ' WHEN 1 THEN replace(url, '.com/', '.com//a/') ELSE url END AS url FROM pages),
 c AS (SELECT *, strpos(url, '://') AS at FROM u), r AS (SELECT *, CASE WHEN at > 0 THEN substr(url, at + 3) END AS rest FROM c), s AS (SELECT *, strpos(rest, '/') AS slash FROM r),
 p AS (SELECT *, CASE WHEN slash > 0 THEN split_part(split_part(substr(rest, slash), '?', 1), '#', 1) ELSE '' END AS path FROM s), l AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p)
@@ -169,7 +179,8 @@ def f02(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", tx.url_host(url).alias("host"), tx.url_file(url, "index").alias("file"), tx.url_tail(url, 1).alias("tail"))
 
 
-@query("f03_content_fingerprint", "SELECT conv_id, md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn)) AS fingerprint FROM conversations GROUP BY conv_id")
+@query("f03_content_fingerprint", """h AS (SELECT conv_id, md5((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || ':' || coalesce(text, '')) AS h FROM conversations)
+SELECT conv_id, md5(count(*) || ':' || sum(('0x' || substr(h, 1, 15))::BIGINT) || ':' || sum(('0x' || substr(h, 16, 15))::BIGINT)) AS fingerprint FROM h GROUP BY conv_id""")
 def f03(spark, sf):
     return tx.content_fingerprint(fx.table(spark, sf, "conversations"), ["conv_id"], "text", ["turn"])
 
