@@ -87,8 +87,9 @@ def url_filter(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", lis
     its canonical URL is listed, and else allowed. The list goes into a blocked Bloom filter of
     ``bits_per_key`` bits a URL. Pages that it passes are joined to the list itself, so its false
     positives don't show. Filter and list are broadcast up to ``broadcast_mb`` each, by their measured
-    sizes. Beyond that both are joined, pages under salts, so that neither one URL that many pages
-    share nor pages without one meet in a task. Rules beyond ``max_rules`` are joined by domain.
+    sizes. Beyond that the distinct URLs alone meet the filter, those that it passes the list, and
+    what is found comes back to the pages: by broadcast if it is small, else by a join in which URLs
+    of many pages, and pages without one, are dealt out under salts. Rules beyond ``max_rules`` are joined by domain.
 
     Null URLs and URLs without ``://`` have an empty host and path, meet no rule and are never
     listed. Nulls and repeated rows in the list count once or not at all; repeated pages each get a
@@ -106,28 +107,36 @@ def url_filter(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", lis
 
     url = F.col(f"`{url_col}`")
     plain = [c for c, kind in pages.dtypes if not kind.startswith("map")]
-    once = lambda **cols: F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))  # noqa: E731  keeps the optimizer from writing them out again wherever they are used
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int")
-    row = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), once(host=host_of(url), path=path_of(url), salt=salt))
+    row = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), _once(host=host_of(url), path=path_of(url), salt=salt))
     if len(rules) > max_rules:
         table_of_rules = pages.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rules)], "rank int, what string, host string, path string")
         ruled = salted(rules_by_table(row.where("host <> ''").select("host", "path").distinct(), table_of_rules))
         row = row.join(ruled, ["host", "path", "salt"], "left")
     else:
         rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-        row = row.select("*", once(rule=rule, ruled=verdict))
-    row = row.select("*", once(key=canonical(F.col("host"), F.col("path"))))
-    at, bits, h = _bits(F.col("key"))
-    # Pages without a URL look up blocks that do not exist, each by its salt.
-    row = row.select("*", once(_block=F.when(F.col("key") == "", -1 - F.col("salt")).otherwise(F.pmod(at, F.lit(blocks))), _h=h))
-    row = row.join(F.broadcast(bloom), "_block", "left") if small_filter else row.join(salted(bloom), ["_block", "salt"], "left")
-    passes = F.col("key") != ""
-    for i, b in enumerate(bits):
-        passes = passes & ((F.coalesce(F.col(f"_w{i}"), F.lit(0).cast("long")).bitwiseAND(b)) != 0)
-    # What the filter stops looks up keys that no URL has.
-    row = row.select("row", "host", "path", "rule", "ruled", "salt", once(key=F.when(passes, F.col("key")).otherwise(F.concat(F.lit(" "), F.xxhash64("key").cast("string")))))
-    true = names.withColumn("listed", F.lit(True))
-    row = row.join(F.broadcast(true), "key", "left") if small_list else row.join(salted(true), ["key", "salt"], "left")
+        row = row.select("*", _once(rule=rule, ruled=verdict))
+    row = row.select("*", _once(key=canonical(F.col("host"), F.col("path"))))
+    if small_filter and small_list:
+        row = _passed(row, bloom, blocks, True)
+        # What the filter stops looks up keys that no URL has.
+        row = row.select("row", "host", "path", "rule", "ruled", _once(key=F.when(F.col("_passes"), F.col("key")).otherwise(F.concat(F.lit(" "), F.xxhash64("key").cast("string")))))
+        row = row.join(F.broadcast(names.withColumn("listed", F.lit(True))), "key", "left")
+    else:
+        found = listed_keys(pages.select(url.alias("url")), names, bloom, blocks, small_filter)
+        hits, size, pages_hit, most = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key") + 32), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        found = found.withColumn("listed", F.lit(True))
+        if size <= broadcast_mb * 1e6:
+            row = row.join(F.broadcast(found.drop("n")), "key", "left")
+        else:
+            # Keys of many pages are dealt out under salts: HOT_KEYS of them at most.
+            many = max(1000, pages_hit // HOT_KEYS)
+            hot = found.where(F.col("n") > many).select("key", F.lit(True).alias("_hot"))
+            found = found.withColumn("salt", F.explode(F.when(F.col("n") > many, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1))))).drop("n")
+            # Pages without a URL meet nothing; their keys are dealt out too.
+            key = F.when(F.col("key") == "", F.concat(F.lit(" "), F.col("salt").cast("string"))).otherwise(F.col("key"))
+            row = row.withColumn("key", key).join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("_hot"), F.col("salt")).otherwise(-1))
+            row = row.join(found, ["key", "salt"], "left")
     return row.select(
         *[F.col(f"row.`{c}`").alias(c) for c in keep],
         "host",
@@ -138,6 +147,36 @@ def url_filter(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", lis
     )
 
 
+#: Keys that have more than such a share of the pages whose URL is listed are dealt out under salts.
+HOT_KEYS = 10_000
+
+
+def _once(**cols: Column) -> Column:
+    """Columns that the optimizer does not write out again wherever they are used."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+
+
+def _passed(rows: DataFrame, bloom: DataFrame, blocks: int, small: bool) -> DataFrame:
+    """``rows`` with ``_passes``: whether the filter knows their ``key``."""
+    at, bits, h = _bits(F.col("key"))
+    rows = rows.select("*", _once(_block=F.when(F.col("key") != "", F.pmod(at, F.lit(blocks))), _h=h))
+    rows = rows.join(F.broadcast(bloom) if small else bloom, "_block", "left")
+    passes = F.col("key") != ""
+    for i, b in enumerate(bits):
+        passes = passes & ((F.coalesce(F.col(f"_w{i}"), F.lit(0).cast("long")).bitwiseAND(b)) != 0)
+    return rows.withColumn("_passes", passes)
+
+
+def listed_keys(urls: DataFrame, names: DataFrame, bloom: DataFrame, blocks: int, small: bool) -> DataFrame:
+    """``key`` and ``n``, the number of pages, of the canonical URLs of pages (``url`` alone) that are listed.
+    Keys are counted before they travel, meet the filter as keys alone, and only those that it
+    passes are joined to the list."""
+    keys = urls.select(_once(host=host_of(F.col("url")), path=path_of(F.col("url")))).select(canonical(F.col("host"), F.col("path")).alias("key"))
+    keys = keys.where("key <> ''").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hits = staged(_passed(keys, bloom, blocks, small).where("_passes").select("key", "n"), "hits")
+    return staged(hits.join(names, "key", "left_semi"), "listed-pages")
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
     """The list for ``op10``: canonical URLs of pages that show numbers of cards or addresses of mail.
     All mirrors and spellings of such a page are blocked with it."""

@@ -1,5 +1,7 @@
 import duckdb
+from pyspark.sql import functions as F
 
+from seqloom.llm import urls
 from seqloom.llm.urls import OP10_SQL, RULES, listed_urls, op10_url_filter, url_filter
 
 
@@ -57,3 +59,28 @@ def test_mirrors_of_a_listed_page(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in url_filter(pages, listed_urls(pages)).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+
+
+def test_beyond_the_broadcast(spark, tmp_path, monkeypatch):
+    """A hot URL, pages without one, and a list that is not small: only keys meet the filter, and only
+    those that it passes the list."""
+    url = F.when(F.col("id") % 3 == 0, "http://hot.net/p").when(F.col("id") % 3 == 1, F.concat(F.lit("http://h"), "id", F.lit(".net/"))).when(F.col("id") % 2 == 0, None)
+    pages = spark.range(9000).select(F.col("id").alias("page_id"), url.alias("url"), F.repeat(F.lit("html"), 50).alias("html"))
+    pages.write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    listed = spark.range(0, 9000, 5).select(F.concat(F.lit("h"), "id", F.lit(".net")).alias("url")).unionAll(spark.createDataFrame([("hot.net/p",)], "url string"))
+    want = sorted(map(repr, url_filter(pages, listed).collect()))
+    seen = {}
+    plain = urls.listed_keys
+
+    def spied(given, names, bloom, blocks, small):
+        found = plain(given, names, bloom, blocks, small)
+        seen.update(plan=given._jdf.queryExecution().executedPlan().toString(), found=found.count(), keys=given.distinct().count())
+        return found
+
+    monkeypatch.setattr(urls, "listed_keys", spied)
+    monkeypatch.setattr(urls, "HOT_KEYS", 1)
+    for mb in (0, 0.02):
+        assert sorted(map(repr, url_filter(pages, listed, broadcast_mb=mb).collect())) == want
+    assert "html" not in seen["plan"] and seen["found"] == 601 and seen["keys"] > 3000
+    assert sum("block" in r for r in want) == 3600
