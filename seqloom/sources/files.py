@@ -193,8 +193,12 @@ def unique_names(df: DataFrame, folder: str, name: str, order: str, taken: DataF
     blocked = used.where(F.col(name).rlike(made)).select(folder, F.concat(F.regexp_extract(name, made, 1), F.regexp_extract(name, made, 3)).alias(name), F.regexp_extract(name, made, 2).alias("_text"))
     blocked = blocked.withColumn("_n", F.col("_text").cast("long")).where((F.col("_n") >= 2) & (F.col("_n").cast("string") == F.col("_text"))).select(folder, name, "_n")
     whole = taken.select(F.col(folder), F.col(name), F.lit(1).cast("long").alias("_n")).distinct()
-    gaps = blocked.unionAll(whole).groupBy(folder, name).agg(F.array_sort(F.collect_set("_n")).alias("_blocked"))
-    rows = df.withColumn("_k", k).join(gaps, [folder, name], "left")
-    # The k-th number that is not blocked: each blocked one up to it moves it on by one.
-    free = F.aggregate(F.coalesce("_blocked", F.array().cast("array<long>")), F.col("_k").cast("long"), lambda n, b: F.when(b <= n, n + 1).otherwise(n))
-    return rows.withColumn("_k", free).withColumn("unique_name", numbered(F.col("_k"))).select(*df.columns, "unique_name")
+    # The k-th number that is free is k and one for each blocked one with fewer than k free ones below
+    # it: blocked ones and rows in one order by how many free ones are below, blocked ones counted.
+    blocked = blocked.unionAll(whole).distinct().withColumn("_j", F.row_number().over(over([folder, name], ["_n"])))
+    kinds = dict(df.dtypes)
+    marks = blocked.select(folder, name, (F.col("_n") - F.col("_j")).alias("_below"), F.lit(0).alias("_row"), *[F.lit(None).cast(kinds[c]).alias(c) for c in df.columns if c not in (folder, name)])
+    rows = df.withColumn("_below", (k - 1).cast("long")).withColumn("_row", F.lit(1)).select(*marks.columns)
+    passed = F.count_if(F.col("_row") == 0).over(over([folder, name], ["_below", "_row"]).rowsBetween(Window.unboundedPreceding, 0))
+    found = marks.unionByName(rows).withColumn("_k", F.col("_below") + 1 + passed).where(F.col("_row") == 1)
+    return found.withColumn("unique_name", numbered(F.col("_k"))).select(*df.columns, "unique_name")

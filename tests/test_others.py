@@ -69,6 +69,18 @@ def test_unique_names_with_taken(spark):
     assert len(set(got.values())) == 4 and got[0] == "a.txt" and got[2] == "b (3)" and not set(got.values()) & {"b", "b (2)"}
 
 
+def test_many_names_meet_many_numbers(spark):
+    """The free numbers in order, by a loop."""
+    rng = np.random.default_rng(7)
+    blocked = sorted({int(x) for x in rng.integers(1, 90, 40)})
+    df = spark.createDataFrame([("d", i, "x.png") for i in range(60)] + [("e", 99, "x.png"), (None, 1, "x.png")], "dir string, i int, name string").repartition(4)
+    taken = spark.createDataFrame([("d", "x.png" if n == 1 else f"x ({n}).png") for n in blocked] * 2, "dir string, name string")
+    free = [n for n in range(1, 200) if n not in blocked][:60]
+    got = {(r.dir, r.i): r.unique_name for r in files.unique_names(df, "dir", "name", "i", taken).collect()}
+    assert [got["d", i] for i in range(60)] == ["x.png" if n == 1 else f"x ({n}).png" for n in free]
+    assert got["e", 99] == "x.png" and got[None, 1] == "x.png"
+
+
 def test_missing_outputs(spark):
     inputs = spark.createDataFrame([("x/A.png",), ("b.jpg",), ("c.png",), (".png",), ("g.png",)], "path string")
     outputs = spark.createDataFrame([("out/a.webp",), ("OUT/B.JPG",), ("c.txt",), ("g.gif",)], "path string")
