@@ -74,6 +74,22 @@ def gathered(df: DataFrame, by: Names, order: Names, values: Names, name: str =
     return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias(name))
 
 
+def _in_pieces(df: DataFrame, by: Names, order: Names, pieces: int) -> DataFrame:
+    """``df`` dealt out by ranges of key and order and written, with the number of its range as ``_piece``."""
+    from ..sources.scratch import staged
+
+    return staged(df.repartitionByRange(pieces, *by, *order).withColumn("_piece", F.spark_partition_id()), "pieces")
+
+
+def _with_earlier(rows: DataFrame, earlier: DataFrame, by: Names) -> DataFrame:
+    """``rows`` with ``_earlier`` of their key and range; null keys are keys."""
+    earlier = earlier.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_piece").alias("_p"), "_earlier")
+    same = F.col("_piece") == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(earlier, same)
+
+
 def sum_before(df: DataFrame, by: Names, order: Names, value: Column, name: str, pieces: int | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the rows of its key before it in order, 0 for the first.
 
@@ -84,18 +100,27 @@ def sum_before(df: DataFrame, by: Names, order: Names, value: Column, name: str,
     running = lambda w, v: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if pieces is None:
         return df.withColumn(name, running(over(by, order), value))
-    from ..sources.scratch import staged
-
-    dealt = df.withColumn("_scanned", value).repartitionByRange(pieces, *by, *order).withColumn("_piece", F.spark_partition_id())
-    dealt = staged(dealt, "pieces")
+    dealt = _in_pieces(df.withColumn("_scanned", value), by, order, pieces)
     totals = dealt.groupBy(*by, "_piece").agg(F.sum("_scanned").alias("_total"))
     earlier = totals.withColumn("_earlier", running(over(by, ["_piece"]), F.col("_total")))
-    earlier = earlier.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_piece").alias("_p"), "_earlier")
-    same = F.col("_piece") == F.col("_p")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     within = dealt.withColumn("_within", running(over([*by, "_piece"], order), F.col("_scanned")))
-    return within.join(earlier, same).withColumn(name, F.col("_earlier") + F.col("_within")).select(*df.columns, name)
+    return _with_earlier(within, earlier, by).withColumn(name, F.col("_earlier") + F.col("_within")).select(*df.columns, name)
+
+
+def beside(df: DataFrame, by: Names, order: Names, value: Column, name: str, pieces: int | None = None, after: bool = False) -> DataFrame:
+    """``df`` with ``name``: the nearest ``value`` that is not null of the rows of its key before it in order
+    (or ``after`` it), null if there is none. ``pieces`` as in :func:`sum_before`: what a range's rows do
+    not have among them is the last that earlier ranges have."""
+    sort = lambda names: [F.desc(c) if after else F.asc(c) for c in names]
+    last = lambda keys, names, v: F.last(v, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*sort(names)).rowsBetween(Window.unboundedPreceding, -1))
+    if pieces is None:
+        return df.withColumn(name, last(by, order, value))
+    dealt = _in_pieces(df.withColumn("_seen", value), by, order, pieces)
+    place = F.when(F.col("_seen").isNotNull(), F.struct(*order))
+    ends = dealt.groupBy(*by, "_piece").agg((F.min_by if after else F.max_by)("_seen", place).alias("_end"))
+    earlier = ends.withColumn("_earlier", last(by, ["_piece"], F.col("_end")))
+    within = dealt.withColumn("_within", last([*by, "_piece"], order, F.col("_seen")))
+    return _with_earlier(within, earlier, by).withColumn(name, F.coalesce("_within", "_earlier")).select(*df.columns, name)
 
 
 def at_rank(df: DataFrame, by: Names, value: str, rank: Callable[[Column], Column], name: str = "at", most: int = 100_000, cells: int = 1024) -> DataFrame:

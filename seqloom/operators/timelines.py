@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.core import Names, at_rank, clamp, finite, gathered, half_away, half_even, mean, ordered_fold, over, sum_before, total, upper_median
+from ..functions.core import Names, at_rank, beside, clamp, finite, gathered, half_away, half_even, mean, ordered_fold, over, sum_before, total, upper_median
 
 
 def merge_durations(df: DataFrame, by: Names, order: str, dur: str, kept: str, pieces: int | None = None) -> DataFrame:
@@ -89,17 +89,18 @@ def cumulative_times(df: DataFrame, by: Names, order: str, dur: str, pieces: int
     return rows.drop("_d").unionByName(end)
 
 
-def map_target_frames(df: DataFrame, by: Names, order: str, dur: str, fps: float, frames: int | None = None) -> DataFrame:
+def map_target_frames(df: DataFrame, by: Names, order: str, dur: str, fps: float, frames: int | None = None, pieces: int | None = None) -> DataFrame:
     """For target times ``k / fps`` the source frames around them and how far between they lie:
     ``i0``, ``i1``, ``phi`` and ``exact``. There are ``frames`` targets for each key, by default as
     many as fit its time, two at least.
 
     An as-of join: targets and frames in one order, the last frame carried on. A target within a
     millionth of a frame, or of the share of the way to the next, is that frame; without a next
-    frame the last is copied. Times past the end have no row, nor have keys of a single frame."""
-    starts = start_times(df, by, order, dur)
-    w = over(by, [order])
-    rows = starts.select(*by, F.col("pts").alias("t"), F.lit(0).alias("kind"), F.col(order).cast("long").alias("i0"), F.col("pts").alias("p0"), F.lead("pts").over(w).alias("p1"), F.lead(order).over(w).cast("long").alias("next"), F.lit(None).cast("long").alias("k"))
+    frame the last is copied. Times past the end have no row, nor have keys of a single frame. With
+    ``pieces`` as in ``core.sum_before`` a key's frames and targets lie in many tasks."""
+    starts = start_times(df, by, order, dur, pieces)
+    starts = beside(starts, by, [order], F.struct(F.col("pts").alias("p1"), F.col(order).cast("long").alias("next")), "_next", pieces, after=True)
+    rows = starts.select(*by, F.col("pts").alias("t"), F.lit(0).alias("kind"), F.col(order).cast("long").alias("i0"), F.col("pts").alias("p0"), "_next.p1", "_next.next", F.lit(None).cast("long").alias("k"))
     ends = starts.groupBy(*by).agg(F.sum(F.greatest(F.col(dur), F.lit(0.0))).alias("stop"), F.count(F.lit(1)).alias("n")).where("n > 1")
     many = F.lit(frames).cast("long") if frames is not None else F.greatest(F.lit(2).cast("long"), half_even(F.col("stop") * fps))
     none = lambda kind: F.lit(None).cast(kind)
@@ -107,10 +108,9 @@ def map_target_frames(df: DataFrame, by: Names, order: str, dur: str, fps: float
     targets = targets.where(F.col("k") / fps <= F.col("stop") + 1e-6).select(*by, (F.col("k") / fps).alias("t"), F.lit(1).alias("kind"), none("long").alias("i0"), none("double").alias("p0"), none("double").alias("p1"), none("long").alias("next"), F.col("k").cast("long").alias("k"))
     both = rows.unionByName(targets)
     # A frame that starts up to a millionth after the target counts as reached.
-    at = F.when(F.col("kind") == 0, F.col("t") - 1e-6).otherwise(F.col("t"))
-    asof = Window.partitionBy(*by).orderBy(at, "kind", "i0")
-    carried = [F.last(F.when(F.col("kind") == 0, F.struct("i0", "p0", "p1", "next")), ignorenulls=True).over(asof).alias("s")]
-    out = both.select(*by, "k", "t", "kind", *carried).where("kind = 1").select(*by, "k", "t", "s.*")
+    both = both.withColumns({"_at": F.when(F.col("kind") == 0, F.col("t") - 1e-6).otherwise(F.col("t")), "_place": F.coalesce("i0", "k")})
+    both = beside(both, by, ["_at", "kind", "_place"], F.when(F.col("kind") == 0, F.struct("i0", "p0", "p1", "next")), "s", pieces)
+    out = both.where("kind = 1").select(*by, "k", "t", "s.*")
     span = F.col("p1") - F.col("p0")
     here = (F.abs(F.col("t") - F.col("p0")) <= 1e-6) | F.col("next").isNull() | (span <= 1e-6)
     phi = F.when(here, 0.0).otherwise(clamp((F.col("t") - F.col("p0")) / F.when(span > 0, span), 0.0, 1.0))

@@ -47,6 +47,18 @@ def test_operators_in_pieces(one_key):
         assert same(frames.scene_segments(one_key, cuts, ["k"], "i"), frames.scene_segments(one_key, cuts, ["k"], "i", pieces))
 
 
+def test_targets_in_pieces(spark, one_key):
+    """An as-of join whose one clip lies in many tasks."""
+    df = one_key.select(F.col("k").alias("clip"), F.col("i") * 3, "d").toDF("clip", "i", "d")  # frames need not be numbered without gaps
+    whole = timelines.map_target_frames(df, ["clip"], "i", "d", 2.0)
+    parts = timelines.map_target_frames(df, ["clip"], "i", "d", 2.0, pieces=9)
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect())) and whole.count() > 2000
+    for after in (False, True):
+        args = (["k"], ["i"], F.when(F.col("kept"), F.col("i")), "near")
+        got = core.beside(one_key, *args, pieces=7, after=after)
+        assert sorted(map(str, got.collect())) == sorted(map(str, core.beside(one_key, *args, after=after).collect()))
+
+
 @pytest.mark.parametrize("values", ["uniform", "ties", "far apart", "same", "two"])
 def test_selection_by_counts(spark, values):
     rng = np.random.default_rng(5)
