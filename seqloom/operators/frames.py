@@ -179,9 +179,31 @@ def blocking(cells: DataFrame, grid: Names, block: int = 8, value: str = "v") ->
     return sides.select(*grid, F.when(F.col("_off") > 1e-9, F.col("_at") / F.col("_off")).alias("blocking"))
 
 
-def flicker(cells: DataFrame, by: Names, value: str = "v") -> DataFrame:
-    """Mean temporal deviation over each group's steadiest quarter of pixels."""
-    spread = cells.groupBy(*by, "y", "x").agg(F.stddev_pop(value).alias("_sd"))
+def _running_deviation(values: Column) -> Column:
+    """Population deviation of an array around a running mean, null without values. Its last bits
+    depend on the order of the values alone."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + (x - mean) * (x - acc["mean"])).alias("m2"))
+
+    return F.aggregate(values, start, step, lambda a: F.sqrt(a["m2"] / F.when(a["n"] > 0, a["n"])))
+
+
+def flicker(cells: DataFrame, by: Names, value: str = "v", order: str | None = None) -> DataFrame:
+    """Mean temporal deviation over each group's steadiest quarter of pixels.
+
+    Pixels whose deviations are equal but for their last bits may lie on either side of the quarter.
+    With ``order`` a pixel's values are taken in order of the frames, so that runs agree to the
+    last bit; they are one array then, for groups of few frames."""
+    if order is None:
+        spread = cells.groupBy(*by, "y", "x").agg(F.stddev_pop(value).alias("_sd"))
+    else:
+        seen = F.when(F.col(value).isNotNull(), F.struct(order, F.col(value).cast("double").alias("_v")))
+        values = F.transform(F.array_sort(F.collect_list(seen)), lambda s: s["_v"])
+        spread = cells.groupBy(*by, "y", "x").agg(_running_deviation(values).alias("_sd"))
     return low_mean(spread, by, "_sd", 0.25).withColumnRenamed("low", "flicker")
 
 
@@ -198,7 +220,7 @@ def noise_probe(cells: DataFrame, by: Names, order: str, w: int, h: int, burst:
     still = still.groupBy(*by).agg(F.avg("grain").alias("grain"), F.avg("blocking").alias("blocking"), F.count(F.lit(1)).alias("n_frames")).where("n_frames >= 3")
     bursts = cells.withColumn("burst", F.floor(F.col("_i") / burst) if burst > 1 else F.lit(0).cast("long"))
     size = whole.withColumn("burst", F.floor(F.col("_i") / burst) if burst > 1 else F.lit(0).cast("long")).groupBy(*by, "burst").agg(F.count(F.lit(1)).alias("n"))
-    moving = flicker(bursts, [*by, "burst"]).join(size.where("n >= 3"), [*by, "burst"])
+    moving = flicker(bursts, [*by, "burst"], order=order if burst > 1 else None).join(size.where("n >= 3"), [*by, "burst"])
     moving = moving.groupBy(*by).agg(F.avg("flicker").alias("flicker"))
     level = F.when(F.col("grain").isNull() | F.isnan("grain"), 0).when(F.col("grain") < 2.2, 0).when(F.col("grain") < 5, 1).otherwise(2)
     return still.join(moving, list(by), "left").withColumns({"flicker": F.coalesce("flicker", F.lit(0.0)), "level": level})

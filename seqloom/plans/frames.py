@@ -159,7 +159,7 @@ def frame_cells(spark, sf):
 def s16(spark, sf):
     cells = frame_cells(spark, sf).withColumn("burst", F.expr("frame_no div 5"))
     size = cells.groupBy("clip_id", "burst").agg(F.count_distinct(NO).alias("n")).where("n >= 3")
-    return op.flicker(cells, ["clip_id", "burst"]).join(size, ["clip_id", "burst"], "left_semi").select("clip_id", "burst", r6("flicker").alias("flicker"))
+    return op.flicker(cells, ["clip_id", "burst"], order=NO).join(size, ["clip_id", "burst"], "left_semi").select("clip_id", "burst", r6("flicker").alias("flicker"))
 
 
 @query("s16_noise_probe", f"""{GRAIN}, {BLOCK}, ok AS (SELECT clip_id, grid_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame_no) - 1 AS i FROM v_frames WHERE list_max(gray) < 240),

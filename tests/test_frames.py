@@ -1,3 +1,6 @@
+import math
+from random import Random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +75,32 @@ def test_variance_is_of_all_channels_together(spark):
     red = spark.createDataFrame([(1, 255, 0, 0)] * 9, "g int, r int, b int, x int").select("g", "r", F.lit(0).alias("b"), F.col("x").alias("g2")).select(F.col("g").alias("id"), "r", F.col("g2").alias("g"), "b")
     row = op.frame_stats(red, ["id"]).first()
     assert (row.mean_r, row.mean_g, row["var"]) == (255.0, 0.0, 14450.0)
+
+
+def test_flicker_takes_frames_in_order(spark):
+    """Held against a fold in plain Python: deviations that tie but for their last bits choose the quarter."""
+    random = Random(5)
+    shuffled = lambda b: random.sample([b, 3 * b + 11, 97, 2 * b + 130, 201], 5)
+    pixels = {(b, y, x): [50] * 5 if y == 0 and x < 3 else shuffled(b) for b in range(20) for y in range(4) for x in range(4)}
+    rows = [(b, f, y, x, float(v)) for (b, y, x), values in pixels.items() for f, v in enumerate(values)]
+    of = {}
+    for b, f, y, x, v in rows:
+        of.setdefault(b, {}).setdefault((y, x), []).append(v)
+
+    def deviation(values):
+        mean = m2 = 0.0
+        for n, v in enumerate(values, 1):
+            last, mean = mean, mean + (v - mean) / n
+            m2 += (v - mean) * (v - last)
+        return math.sqrt(m2 / len(values))
+
+    want = {}
+    for b, pixels in of.items():
+        spread = sorted(map(deviation, pixels.values()))
+        low = [s for s in spread if s <= spread[len(spread) // 4]]
+        want[b] = sum(low) / len(low)
+    cells = spark.createDataFrame(rows, "b int, f int, y int, x int, v double").repartition(3, "f")
+    got = {r.b: r.flicker for r in op.flicker(cells, ["b"], order="f").collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    plain = {r.b: r.flicker for r in op.flicker(cells, ["b"]).collect()}
+    assert any(abs(plain[b] - want[b]) > 1e-6 for b in want)  # such ties are in the rows
