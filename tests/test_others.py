@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import texts as tx
@@ -283,3 +286,29 @@ def test_measures_are_rejected_by_the_first_rule(spark):
     rows += [("time", *good[:3], 0.0, *good[4:]), ("sample_time", *good[:4], -1.0, *good[5:]), ("order", *good[:3], 4.0, 4.0, *good[5:]), ("order", *good[:3], 4.0, 3.7, *good[5:]), ("noise", *good[:3], 4.0, 4.5, *good[5:]), ("slope", *good[:3], 0.9, 900.0, *good[5:])]
     df = spark.createDataFrame(rows, "want string, model string, scale int, n int, t1 double, tn double, pixels long, machine string, backend string")
     assert [(r.want, r.reject or "") for r in ledgers.validate_measures(df).collect() if r.want != (r.reject or "")] == []
+
+
+def test_resample_by_join_shuffles_samples_not_products(spark):
+    """As the plain sum over taps in Python, with missing samples and a track of one."""
+    tracks = {"a": range(1000), "b": [i for i in range(400) if i % 97 and not 150 <= i < 330], "c": [0]}
+    values = {(t, i): math.sin(i * 0.7) * 0.9 for t, own in tracks.items() for i in own}
+    df = spark.createDataFrame([(t, i, v) for (t, i), v in values.items()], "track string, i long, v double").repartition(3)
+    for up, down, half in ((3, 2, 8), (2, 3, 4), (6, 4, 3)):
+        taps, g = signals.resample_taps(up, down, half), math.gcd(up, down)
+        want = {}
+        for t, own in tracks.items():
+            n = max(own) + 1
+            for o in range(round(n * up / down)):
+                used = [(values[t, i], taps[o * down % up // g, k + half]) for k in range(-half, half + 1) for i in [min(max(o * down // up + k, 0), n - 1)] if (t, i) in values]
+                if used:
+                    weight = sum(c for _, c in used)
+                    want[t, o] = max(-1.0, min(1.0, sum(v * c for v, c in used) / (weight if abs(weight) > 1e-6 else 1.0)))
+        got = {(r.track, r.i): r.v for r in signals.resample_by_join(df, ["track"], up, down, half).collect()}
+        assert got == pytest.approx(want, abs=1e-9)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = signals.resample_by_join(df, ["track"], 3, 2, 8)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # What joins the taps is not shuffled after it: no exchange lies above their join.
+    assert "hashpartitioning" in plan and "hashpartitioning" not in plan.split("BroadcastHashJoin")[0]
