@@ -89,52 +89,71 @@ def cumulative_times(df: DataFrame, by: Names, order: str, dur: str, pieces: int
     return rows.drop("_d").unionByName(end)
 
 
-def map_target_frames(df: DataFrame, by: Names, order: str, dur: str, fps: float, frames: int | None = None, pieces: int | None = None) -> DataFrame:
+def map_target_frames(df: DataFrame, by: Names, order: str, dur: str, fps: float, frames: int | None = None, pieces: int | None = None, values: Names = ()) -> DataFrame:
     """For target times ``k / fps`` the source frames around them and how far between they lie:
     ``i0``, ``i1``, ``phi`` and ``exact``. There are ``frames`` targets for each key, by default as
-    many as fit its time, two at least.
+    many as fit its time, two at least. ``values`` of frames come along as ``<name>_0`` and ``<name>_1``.
 
-    An as-of join: targets and frames in one order, the last frame carried on. A target within a
+    An as-of join by intervals: a frame gives the targets from its start to the next one's, so that
+    targets, which may be far more than frames, are never shuffled. A target within a
     millionth of a frame, or of the share of the way to the next, is that frame; without a next
     frame the last is copied. Times past the end have no row, nor have keys of a single frame. With
-    ``pieces`` as in ``core.sum_before`` a key's frames and targets lie in many tasks."""
+    ``pieces`` as in ``core.sum_before`` a key's frames lie in many tasks."""
     starts = start_times(df, by, order, dur, pieces)
-    starts = beside(starts, by, [order], F.struct(F.col("pts").alias("p1"), F.col(order).cast("long").alias("next")), "_next", pieces, after=True)
-    rows = starts.select(*by, F.col("pts").alias("t"), F.lit(0).alias("kind"), F.col(order).cast("long").alias("i0"), F.col("pts").alias("p0"), "_next.p1", "_next.next", F.lit(None).cast("long").alias("k"))
-    ends = starts.groupBy(*by).agg(F.sum(F.greatest(F.col(dur), F.lit(0.0))).alias("stop"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    many = F.lit(frames).cast("long") if frames is not None else F.greatest(F.lit(2).cast("long"), half_even(F.col("stop") * fps))
-    none = lambda kind: F.lit(None).cast(kind)
-    targets = ends.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("k"), "stop")
-    targets = targets.where(F.col("k") / fps <= F.col("stop") + 1e-6).select(*by, (F.col("k") / fps).alias("t"), F.lit(1).alias("kind"), none("long").alias("i0"), none("double").alias("p0"), none("double").alias("p1"), none("long").alias("next"), F.col("k").cast("long").alias("k"))
-    both = rows.unionByName(targets)
+    own = F.struct(F.col("pts").alias("p"), F.col(order).cast("long").alias("i"), *values)
+    starts = beside(starts, by, [order], own, "_next", pieces, after=True).withColumn("_own", own)
+    stop, n = F.sum(F.greatest(F.col(dur), F.lit(0.0))), F.count(F.lit(1))
+    if pieces is None:
+        whole = Window.partitionBy(*by)
+        rows = starts.withColumns({"_stop": stop.over(whole), "_n": n.over(whole)})
+    else:
+        ends = starts.groupBy(*by).agg(stop.alias("_stop"), n.alias("_n")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_stop", "_n")
+        same = F.lit(True)
+        for i, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        rows = starts.join(ends, same)
+    many = F.lit(frames).cast("long") if frames is not None else F.greatest(F.lit(2).cast("long"), half_even(F.col("_stop") * fps))
+    rows = rows.where("_n > 1").select(*by, "_own", "_next", "_stop", many.alias("_many")).where("_many > 0")
     # A frame that starts up to a millionth after the target counts as reached.
-    both = both.withColumns({"_at": F.when(F.col("kind") == 0, F.col("t") - 1e-6).otherwise(F.col("t")), "_place": F.coalesce("i0", "k")})
-    both = beside(both, by, ["_at", "kind", "_place"], F.when(F.col("kind") == 0, F.struct("i0", "p0", "p1", "next")), "s", pieces)
-    out = both.where("kind = 1").select(*by, "k", "t", "s.*")
-    span = F.col("p1") - F.col("p0")
-    here = (F.abs(F.col("t") - F.col("p0")) <= 1e-6) | F.col("next").isNull() | (span <= 1e-6)
-    phi = F.when(here, 0.0).otherwise(clamp((F.col("t") - F.col("p0")) / F.when(span > 0, span), 0.0, 1.0))
+    at, until = F.col("_own.p") - 1e-6, F.col("_next.p") - 1e-6
+    place = lambda t: F.floor(F.greatest(F.lit(0.0), F.least(F.col("_many") - 1.0, t)))
+    ks = F.sequence(place(at * fps - 1), place(F.when(F.col("_next").isNull(), F.col("_many") - 1.0).otherwise(until * fps + 1)))
+    out = rows.withColumn("k", F.explode(ks)).withColumn("t", F.col("k") / fps)
+    out = out.where((at <= F.col("t")) & (F.col("_next").isNull() | (F.col("t") < until)) & (F.col("t") <= F.col("_stop") + 1e-6))
+    span = F.col("_next.p") - F.col("_own.p")
+    here = (F.abs(F.col("t") - F.col("_own.p")) <= 1e-6) | F.col("_next").isNull() | (span <= 1e-6)
+    phi = F.when(here, 0.0).otherwise(clamp((F.col("t") - F.col("_own.p")) / F.when(span > 0, span), 0.0, 1.0))
     there = phi >= 1 - 1e-6
-    return out.select(*by, "k", F.when(there, F.col("next")).otherwise(F.col("i0")).alias("i0"), F.coalesce("next", "i0").alias("i1"), F.when(there, 1.0).otherwise(phi).alias("phi"), (here | there).alias("exact"))
+    ends_of = lambda name, i: (F.when(there, F.col("_next")).otherwise(F.col("_own")) if i == 0 else F.coalesce("_next", "_own"))[name]
+    sides = [ends_of(v, i).alias(f"{v}_{i}") for v in values for i in (0, 1)]
+    return out.select(*by, "k", ends_of("i", 0).alias("i0"), ends_of("i", 1).alias("i1"), F.when(there, 1.0).otherwise(phi).alias("phi"), (here | there).alias("exact"), *sides)
 
 
-def cut_aware_plan(slots: DataFrame, cuts: DataFrame, by: Names, frame: str) -> DataFrame:
-    """What to do for each slot: copy a frame or blend two. Nothing is blended across a cut."""
-    marked = slots.join(cuts.select(*by, F.col(frame).cast("long").alias("i0"), F.lit(True).alias("_cut")), [*by, "i0"], "left")
+def cut_aware_plan(slots: DataFrame, cuts: DataFrame | Column, by: Names, frame: str) -> DataFrame:
+    """What to do for each slot: copy a frame or blend two. Nothing is blended across a cut. ``cuts`` are
+    rows, or a condition on the values that slots carry of frame ``i0``."""
+    if isinstance(cuts, Column):
+        marked = slots.withColumn("_cut", cuts)
+    else:
+        marked = slots.join(cuts.select(*by, F.col(frame).cast("long").alias("i0"), F.lit(True).alias("_cut")), [*by, "i0"], "left")
     cut = F.coalesce(F.col("_cut"), F.lit(False)) & (F.col("i1") == F.col("i0") + 1)
     copy = F.when(F.col("exact") | (F.col("phi") <= 0), F.col("i0")).when(F.col("phi") >= 1, F.col("i1")).when(cut & (F.col("phi") < 0.5), F.col("i0")).when(cut, F.col("i1"))
     rows = marked.withColumns({"copy": copy, "at_cut": cut}).withColumn("action", F.when(F.col("copy").isNull(), "blend").otherwise("copy"))
     return rows.withColumn("forced", F.col("at_cut") & F.col("copy").isNotNull() & ~F.col("exact")).drop("_cut")
 
 
-def blend(slots: DataFrame, frames: DataFrame, by: Names, frame: str, value: str) -> DataFrame:
+def blend(slots: DataFrame, frames: DataFrame | None, by: Names, frame: str, value: str) -> DataFrame:
     """The values of planned slots: a copy, or the two frames mixed by ``phi``. ``value`` is a number
-    or an array of numbers."""
-    side = lambda i, n: frames.select(*by, F.col(frame).cast("long").alias(i), F.col(value).alias(n))
-    rows = slots.withColumn("_a", F.coalesce("copy", "i0")).withColumn("_b", F.coalesce("copy", "i1"))
-    rows = rows.join(side("_a", "_v0"), [*by, "_a"]).join(side("_b", "_v1"), [*by, "_b"])
+    or an array of numbers. Without ``frames`` slots carry it, as ``map_target_frames`` gives it."""
+    if frames is None:
+        first = F.col("copy").isNull() | (F.col("copy") == F.col("i0"))
+        rows = slots.withColumns({"_v0": F.when(first, F.col(f"{value}_0")).otherwise(F.col(f"{value}_1")), "_v1": F.col(f"{value}_1")}).drop(f"{value}_0", f"{value}_1")
+    else:
+        side = lambda i, n: frames.select(*by, F.col(frame).cast("long").alias(i), F.col(value).alias(n))
+        rows = slots.withColumn("_a", F.coalesce("copy", "i0")).withColumn("_b", F.coalesce("copy", "i1"))
+        rows = rows.join(side("_a", "_v0"), [*by, "_a"]).join(side("_b", "_v1"), [*by, "_b"])
     mix = lambda a, b: (1 - F.col("phi")) * a + F.col("phi") * b
-    if dict(frames.dtypes)[value].startswith("array"):
+    if dict(rows.dtypes)["_v0"].startswith("array"):
         mixed, copied = F.zip_with("_v0", "_v1", mix), F.transform("_v0", lambda x: x.cast("double"))
     else:
         mixed, copied = mix(F.col("_v0"), F.col("_v1")), F.col("_v0").cast("double")

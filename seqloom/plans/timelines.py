@@ -77,8 +77,8 @@ f AS (SELECT *, CASE WHEN here THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least
 sl AS (SELECT clip_id, k, CASE WHEN f >= 1 - 1e-6::DOUBLE THEN nxt ELSE i0 END AS i0, here OR f >= 1 - 1e-6::DOUBLE AS exact, coalesce(nxt, i0) AS i1, CASE WHEN f >= 1 - 1e-6::DOUBLE THEN 1.0::DOUBLE ELSE f END AS phi FROM f)"""
 
 
-def slots(spark, sf):
-    return op.map_target_frames(fx.timeline(spark, sf), KEY, NO, "dur", RATE)
+def slots(spark, sf, values=()):
+    return op.map_target_frames(fx.timeline(spark, sf), KEY, NO, "dur", RATE, values=values)
 
 
 @query("s24_map_target_frames", f"{SLOTS} SELECT clip_id, k::BIGINT AS k, i0::BIGINT AS i0, i1::BIGINT AS i1, round(phi, 6) AS phi, exact FROM sl")
@@ -92,7 +92,7 @@ pp AS (SELECT *, CASE WHEN exact OR phi <= 0 THEN i0 WHEN phi >= 1 THEN i1 WHEN
 
 
 def planned(spark, sf):
-    return op.cut_aware_plan(slots(spark, sf), fx.timeline(spark, sf).where("metric > 40"), KEY, NO)
+    return op.cut_aware_plan(slots(spark, sf, ["metric"]), F.col("metric_0") > 40, KEY, NO)
 
 
 @query("s25_cut_aware_plan", f"{PLAN} SELECT clip_id, k::BIGINT AS k, cp::BIGINT AS copy, at_cut, CASE WHEN cp IS NULL THEN 'blend' ELSE 'copy' END AS action, at_cut AND cp IS NOT NULL AND NOT exact AS forced FROM pp")
@@ -103,7 +103,7 @@ def s25(spark, sf):
 @query("s26_blend", f"""{PLAN} SELECT pp.clip_id, k::BIGINT AS k, round(CASE WHEN cp IS NOT NULL THEN a.metric ELSE (1 - phi) * a.metric + phi * b.metric END, 6) AS metric
 FROM pp JOIN v_seq a ON a.clip_id = pp.clip_id AND a.frame_no = coalesce(cp, i0) JOIN v_seq b ON b.clip_id = pp.clip_id AND b.frame_no = coalesce(cp, i1)""")
 def s26(spark, sf):
-    return op.blend(planned(spark, sf), fx.timeline(spark, sf), KEY, NO, "metric").select("clip_id", "k", r6("metric").alias("metric"))
+    return op.blend(planned(spark, sf), None, KEY, NO, "metric").select("clip_id", "k", r6("metric").alias("metric"))
 
 
 @query("s27_expand_durations", """e AS (SELECT clip_id, frame_no, dur, CASE WHEN frame_no = max(frame_no) OVER (PARTITION BY clip_id) AND (clip_id % 2 = 0 OR frame_no = 0) THEN 1 ELSE 3 END AS n FROM v_seq)

@@ -128,3 +128,17 @@ def test_spread_sample(spark):
     got = sorted(r.i for r in op.spread_sample(df, ["clip_id"], "i", 5).collect())
     assert got[0] == 10 and got[-1] == 29 and len(set(got)) == 5
     assert op.spread_sample(df, ["clip_id"], "i", 100).count() == 40
+
+
+def test_carried_values_are_those_of_the_join(spark):
+    """Slots that carry their frames' values give what joins give, and targets are never shuffled."""
+    rows = [(c, i, [0.5, 0.0, 0.13, 0.4][(i + c) % 4] * (30 if i == 5 else 1), float(i * i % 17)) for c in range(5) for i in range(c * 4 + 1)]
+    df = spark.createDataFrame(rows, "clip_id int, i int, d double, m double")
+    plain = op.cut_aware_plan(op.map_target_frames(df, ["clip_id"], "i", "d", 10.0), df.where("m > 8"), ["clip_id"], "i")
+    joined = op.blend(plain, df, ["clip_id"], "i", "m")
+    carried = op.cut_aware_plan(op.map_target_frames(df, ["clip_id"], "i", "d", 10.0, values=["m"]), F.col("m_0") > 8, ["clip_id"], "i")
+    mixed = op.blend(carried, None, ["clip_id"], "i", "m").select(joined.columns)
+    got = sorted(map(str, mixed.collect()))
+    assert got == sorted(map(str, joined.collect())) and len(got) > 300
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "Join" not in plan and "Exchange" not in plan.split("Generate explode")[0]
