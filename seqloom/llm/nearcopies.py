@@ -1,7 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash finds candidates, sets decide."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash fingerprints find candidates by
+multi-index hashing, sets decide."""
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +18,17 @@ from pyspark.sql.window import Window
 from .components import components
 from .tables import spread, staged, text_batches
 
-#: Bands, and minima in each: a pair of similarity s shares no band with probability
-#: (1 - s ** ROWS) ** BANDS, 7 in a million at 0.8.
-BANDS, ROWS = 30, 5
-#: Documents of a bucket that a task compares on its own; larger buckets are cut into blocks.
+#: How often a similar pair may share no segment, and how often it may lie beyond the radius.
+MISS = 3.5e-6
+#: Bits of a fingerprint that are compared as a whole, as three longs.
+CHECKED = 192
+#: Documents that share a segment by chance, at most: more documents have longer segments.
+CHANCE = 4096
+#: Rows of a segment's value that a task compares on its own; more are dealt out as pairs of blocks.
+CROWD = 100_000
+#: Documents of a bucket that a task compares by sets on its own; larger buckets are cut into blocks.
 BLOCK = 2000
-_FACTORS = np.random.default_rng(20).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_STEPS = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: bytes | None, size: int) -> tuple[int, np.ndarray]:
@@ -39,14 +47,138 @@ def shingles(text: bytes | None, size: int) -> tuple[int, np.ndarray]:
     return node, np.unique(np.array(codes, np.uint64))
 
 
-def bands(codes: np.ndarray) -> list[int]:
-    """The bucket of each band, as signed longs; none without shingles."""
+@functools.cache
+def plan(n: int, similarity: float) -> tuple[int, int, int, int]:
+    """For ``n`` documents: bits of a segment, segments of a fingerprint and of a small set's, and the
+    radius. Bits of two sets of one size differ as often as the angle between them says; of small sets
+    up to 6.5 % more often, and 24 % where one has only as many shingles as may be similar at all."""
+    width = max(12, (n // CHANCE).bit_length())
+    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    segments, small = (math.ceil(math.log(MISS) / math.log1p(-((1 - p) ** width))) for p in (1.065 * flip, 1.24 * flip))
+    beyond, radius = 1.0, -1
+    while beyond > MISS:
+        radius += 1
+        beyond -= math.comb(CHECKED, radius) * (1.24 * flip) ** radius * (1 - 1.24 * flip) ** (CHECKED - radius)
+    return width, segments, small, radius
+
+
+def simhash(codes: np.ndarray, bits: int) -> bytes:
+    """SimHash of ``bits`` bits, rounded up to whole longs: a bit is 1 if it is set in over half of the
+    hashes. Each code gives one long after the other, mixed with the long's number."""
+    steps = _STEPS[: -(-bits // 64)]
+    count = np.zeros(64 * len(steps), np.int64)
+    for at in range(0, len(codes), 255):  # sums of 255 bits fit a byte
+        x = codes[at : at + 255, None] + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        count += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * count > len(codes), bitorder="little").tobytes()
+
+
+def fingerprint(codes: np.ndarray, n: int, similarity: float) -> bytes | None:
+    """The SimHash of a set of shingles among ``n`` documents; none without shingles."""
     if not len(codes):
-        return []
-    least = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
-    for at in range(0, len(codes), 1024):
-        least = np.minimum(least, (codes[at : at + 1024, None] * _FACTORS).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64).tolist()
+        return None
+    width, segments, small, _ = plan(n, similarity)
+    least = similarity / (1 - similarity) - 1e-9  # a set of fewer is similar to its equals only
+    if len(codes) < least:
+        return simhash(np.array([xxhash.xxh64_intdigest(codes.tobytes(), 5)], np.uint64), segments * width)
+    return simhash(codes, (small if len(codes) < least + 2 else segments) * width)
+
+
+def _segments(n: int, similarity: float):
+    """A row for each segment of a fingerprint: its bucket, the node, and the bits that are compared."""
+    width, segments, small, _ = plan(n, similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column(1).to_pylist()
+            for size in {len(f) for f in fps if f is not None}:
+                at = [i for i, f in enumerate(fps) if f is not None and len(f) == size]
+                whole = np.frombuffer(b"".join(fps[i] for i in at), np.uint8).reshape(len(at), size)
+                count = small if 8 * size >= small * width else segments
+                bits = np.unpackbits(whole, axis=1, count=count * width, bitorder="little").reshape(len(at), count, width)
+                value = bits @ (1 << np.arange(width)) + (np.arange(count) << 32)
+                checked = np.repeat(np.ascontiguousarray(whole[:, : CHECKED // 8]).view("<i8"), count, axis=0)
+                node = np.repeat(b.column(0).to_numpy()[at], count)
+                yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), pa.array(node), *(pa.array(np.ascontiguousarray(c)) for c in checked.T)], ["bucket", "node", "f0", "f1", "f2"])
+
+    return run
+
+
+def _distances(fps: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps ^ to).sum(axis=0, dtype=np.uint8)
+
+
+def _families(fps: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """What links of fingerprints (columns) within the radius connect: places, two or more at a time. A
+    fingerprint looks only at those that none has reached yet."""
+    at = np.arange(fps.shape[1])
+    if len(at) <= 512:  # most have none near, which all pairs at once tell sooner
+        at = np.flatnonzero((_distances(fps[:, :, None], fps[:, None, :]) <= radius).sum(axis=1) > 1)
+    left = fps[:, at]
+    while len(at) > 1:
+        found, todo, left, at = [at[:1]], [left[:, 0]], left[:, 1:], at[1:]
+        while todo and len(at):
+            near = _distances(left, todo.pop()[:, None]) <= radius
+            if near.any():
+                found.append(at[near])
+                todo += list(left[:, near].T)
+                left, at = left[:, ~near], at[~near]
+        if len(found) > 1:
+            yield np.concatenate(found)
+
+
+def _candidates(radius: int, crowd: int):
+    """Edges ``u``, ``v`` that connect documents that share a segment and lie within the radius, from
+    rows sorted by bucket. Rows of buckets of more than ``crowd`` are passed on (without ``v``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passed, out, size = None, None, [], 0
+
+        def emit(bucket: int, u: np.ndarray, v: np.ndarray | None = None) -> None:
+            nonlocal size
+            out.append((np.full(len(u), bucket, np.int64), u, u if v is None else v, np.full(len(u), v is None)))
+            size += len(u)
+
+        def compare(cols: list[np.ndarray]) -> None:
+            for some in _families(np.stack(cols[2:]).view(np.uint64), radius):
+                nodes = np.sort(cols[1][some])
+                emit(0, np.full(len(nodes) - 1, nodes[0]), nodes[1:])
+
+        def written() -> pa.RecordBatch:
+            nonlocal size
+            bucket, u, v, none = (np.concatenate(c) for c in zip(*out, strict=True))
+            out.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(u), pa.array(v, mask=none)], ["bucket", "u", "v"])
+
+        for b in batches:
+            cols = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            cuts = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist()]
+            for a, z in zip(cuts, cuts[1:]):
+                if cols[0][a] == passed:
+                    emit(passed, cols[1][a:z])
+                elif z - a > 1:
+                    compare([c[a:z] for c in cols])
+            held = [c[cuts[-1] :] for c in cols]
+            if len(held[0]) > crowd or held[0][0] == passed:
+                passed = int(held[0][0])
+                emit(passed, held[1])
+                held = None
+            if size > 10_000:
+                yield written()
+        if held is not None and len(held[0]) > 1:
+            compare(held)
+        if size:
+            yield written()
+
+    return run
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -207,25 +339,29 @@ def _crowded(rows: DataFrame, sets, block: int, similarity: float) -> tuple[Data
     return links, left.unionByName(pairs)
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """``id``, ``text_key`` (xxhash64 of the text) and ``component`` for every row with an id.
 
     Documents whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or
-    more are linked, and ``component`` is the same for all that links reach. MinHash bands find the
-    pairs to compare, and may miss one as often as ``BANDS`` says; each link is verified on the sets.
+    more are linked, and ``component`` is the same for all that links reach. Multi-index hashing over
+    SimHash fingerprints finds the pairs to compare: they share one of the segments, whose number
+    follows from ``similarity`` (``plan``), and lie within the radius. It may miss a pair as often as ``MISS``
+    says, for segments and radius each. What such pairs connect is a group, and each link in it is verified
+    on the sets.
     Texts of the same words are one node. Those without words, null ones too, are alike.
 
-    In a bucket of more than ``block`` documents those like a leader are connected by it; only others are
+    In a group of more than ``block`` documents those like a leader are connected by it; only others are
     compared with each other, as pairs of blocks if they are as many, and with some of the leader's.
     """
     text_batches(docs.sparkSession)
     key = F.xxhash64(text_col)
-    kept = spread(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("text_key"), F.col(text_col).cast("binary").alias("text")))
+    kept = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("text_key"), F.col(text_col).cast("binary").alias("text"))
+    total, kept = kept.count(), spread(kept)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t.as_py(), size) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), pa.array([n for n, _ in found], pa.int64()), pa.array([bands(c) for _, c in found], pa.list_(pa.int64()))], ["id", "text_key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), pa.array([n for n, _ in found], pa.int64()), pa.array([fingerprint(c, total, similarity) for _, c in found], pa.binary())], ["id", "text_key", "node", "fp"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,16 +369,30 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([c.tobytes() for _, c in found], pa.binary())], ["node", "shingles"])
 
     kind = kept.schema["id"].dataType
-    marked = staged(kept.mapInArrow(sketch, T.StructType([T.StructField("id", kind), T.StructField("text_key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])), "sketches")
-    nodes = staged(marked.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"), F.first("bands").alias("bands")), "nodes")
-    buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
-    # Buckets of one document are most; counts are summed before they travel.
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = staged(buckets.join(shared, "bucket"), "buckets")
-    small = buckets.where(F.col("n") <= block).select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups(block), "name long, node long")
-    groups = staged(small.distinct(), "groups")
+    marked = staged(kept.mapInArrow(sketch, T.StructType([T.StructField("id", kind), T.StructField("text_key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType())])), "sketches")
+    nodes = staged(marked.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"), F.first("fp").alias("fp")), "nodes")
+    radius = plan(total, similarity)[-1]
+
+    def candidates(nodes: DataFrame, dealt, crowd: int) -> DataFrame:
+        rows = dealt(nodes.select("node", "fp").mapInArrow(_segments(total, similarity), "bucket long, node long, f0 long, f1 long, f2 long"))
+        return staged(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(radius, crowd), "bucket long, u long, v long").distinct(), "candidates")
+
+    met = candidates(nodes, lambda rows: rows, crowd)
+    passed = met.where("v IS NULL").select("bucket", F.col("u").alias("node"))
+    if not passed.isEmpty():
+        blocks = passed.groupBy("bucket").agg(F.ceil(2 * F.count(F.lit(1)) / crowd).cast("int").alias("k"))
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            rows = rows.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+            return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "f0", "f1", "f2")
+
+        met = met.unionByName(candidates(nodes.join(passed.select("node").distinct(), "node"), dealt, 1 << 60))
+    # Every document is in one group, in however many segments it meets others.
+    grouped = staged(components(met.where("v IS NOT NULL").select("u", "v")), "grouped")
+    grouped = grouped.join(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
+    groups = staged(grouped.select(F.col("root").alias("bucket"), "node", "n"), "groups")
     # The text of one row for each document that is to be compared.
-    at = nodes.join(buckets.select("node").distinct(), "node").select("at.id", "at.text_key")
+    at = nodes.join(groups.select("node"), "node").select("at.id", "at.text_key")
     texts = kept.join(at, ["id", "text_key"], "left_semi").select("text")
     found = staged(texts.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     with_sets = lambda rows: rows.join(found, "node")
@@ -251,8 +401,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         rows = with_sets(groups).select("name", "node", "shingles").repartition("name").sortWithinPartitions("name")
         return rows.mapInArrow(_links(similarity), "u long, v long")
 
-    links = linked_in(groups)
-    crowded = buckets.where(F.col("n") > block)
+    links = linked_in(groups.where(F.col("n") <= block).select(F.col("bucket").alias("name"), "node"))
+    crowded = groups.where(F.col("n") > block)
     if not crowded.isEmpty():
         led, left = _crowded(crowded, with_sets, block, similarity)
         links = links.unionByName(led).unionByName(linked_in(staged(left.distinct(), "left")))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -114,3 +115,54 @@ def test_near_copies_of_one_text_grow_in_proportion(spark, monkeypatch):
         assert len({r.component for r in near_copies(docs, block=100).collect()}) == 1
         made[n] = made["around"] + made["left"] + made["groups"]
     assert made[1200] < 6 * made[300]
+
+
+def differ(shared, a, b):
+    """How often a SimHash bit of two sets differs that share some shingles and have ``a`` and ``b`` more."""
+    walk = lambda k: {2 * i - k: math.comb(k, i) / 2**k for i in range(k + 1)}
+    one = lambda s, k: sum(p for x, p in walk(k).items() if s + x > 0)
+    return sum(p * (one(s, a) * (1 - one(s, b)) + one(s, b) * (1 - one(s, a))) for s, p in walk(shared).items())
+
+
+def test_segments_and_radius_find_similar_sets():
+    """Candidates come from SimHash by multi-index hashing; by the exact odds of a bit, sets of any size that
+    are similar share a segment and lie within the radius."""
+    for n in (1000, 10**8):
+        width, segments, small, radius = nearcopies.plan(n, 0.8)
+        assert n / 2**width <= nearcopies.CHANCE
+        for shared in range(4, 50):
+            for a in range(13):
+                for b in range(a + 1):
+                    if a and shared >= 0.8 * (shared + a + b) - 1e-9:
+                        p = differ(shared, a, b)
+                        assert (1 - (1 - p) ** width) ** (small if shared + a <= 5 else segments) <= nearcopies.MISS
+                        assert sum(math.comb(192, d) * p**d * (1 - p) ** (192 - d) for d in range(radius + 1)) >= 1 - nearcopies.MISS
+
+
+def test_fingerprint_bits_are_majorities():
+    codes = np.random.default_rng(1).integers(0, 2**63, 700, dtype=np.uint64)
+    mixed = []
+    for c in codes.tolist():
+        whole = 0
+        for k in range(3):
+            x = (c + (k + 1) * 0x9E3779B97F4A7C15) % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            whole |= (x ^ x >> 31) << 64 * k
+        mixed.append(whole)
+    want = sum(1 << b for b in range(192) if 2 * sum(m >> b & 1 for m in mixed) > len(mixed))
+    assert int.from_bytes(nearcopies.simhash(codes, 192), "little") == want
+    assert nearcopies.fingerprint(codes[:0], 10, 0.8) is None
+    assert len(nearcopies.fingerprint(codes[:4], 10, 0.8)) > len(nearcopies.fingerprint(codes, 10, 0.8)) == len(nearcopies.fingerprint(codes[:3], 10, 0.8))
+
+
+def test_crowded_segments_are_dealt_out(spark):
+    """Values of a segment that more rows hold than ``crowd`` lose no link."""
+    base = [f"w{i}" for i in range(120)]
+    texts = {i: " ".join([*base[i:], *(f"o{i}x{k}" for k in range(i))]) for i in range(40)}
+    want = roots(texts, pairs(texts))
+    found = near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), crowd=6).collect()
+    least = {}
+    for r in found:
+        least[r.component] = min(r.id, least.get(r.component, r.id))
+    assert {r.id: least[r.component] for r in found} == want
