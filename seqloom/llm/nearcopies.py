@@ -181,6 +181,33 @@ def _candidates(radius: int, crowd: int):
     return run
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fewer edges that connect the same, from edges ``u`` < ``v`` sorted by both: each ``v`` and what else it
+    meets are linked to the smallest that it meets."""
+    last, least, held, size = None, 0, [], 0
+
+    def written() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(held), axis=0)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], ["u", "v"])
+
+    for b in batches:
+        u, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(v):
+            continue
+        first = np.r_[v[0] != last, v[1:] != v[:-1]]
+        at = np.maximum.accumulate(np.where(first, np.arange(len(v)), -1))
+        hub = np.where(at < 0, least, u[at])
+        pairs = np.stack([hub, np.where(first, v, u)], axis=1)
+        held.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
+        last, least, size = v[-1], hub[-1], size + len(held[-1])
+        if size > 100_000:
+            yield written()
+            size = 0
+    if size:
+        yield written()
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """Rows sorted by their first column, a value at a time."""
     held: list[pa.RecordBatch] = []
@@ -387,9 +414,13 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "f0", "f1", "f2")
 
         met = met.unionByName(candidates(nodes.join(passed.select("node").distinct(), "node"), dealt, 1 << 60))
+    # A document has an edge in each segment that it shares, near copies some dozens; one to the smallest is enough.
+    edges = met.where("v IS NOT NULL").select("u", "v").repartition("v").sortWithinPartitions("v", "u").mapInArrow(_stars, "u long, v long")
     # Every document is in one group, in however many segments it meets others.
-    grouped = staged(components(met.where("v IS NOT NULL").select("u", "v")), "grouped")
-    grouped = grouped.join(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
+    grouped = staged(components(edges), "grouped")
+    # At most one crowded group in ``block`` documents; without its size a group is not crowded.
+    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    grouped = grouped.join(F.broadcast(sizes), "root", "left")
     groups = staged(grouped.select(F.col("root").alias("bucket"), "node", "n"), "groups")
     # The text of one row for each document that is to be compared.
     at = nodes.join(groups.select("node"), "node").select("at.id", "at.text_key")
@@ -401,8 +432,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         rows = with_sets(groups).select("name", "node", "shingles").repartition("name").sortWithinPartitions("name")
         return rows.mapInArrow(_links(similarity), "u long, v long")
 
-    links = linked_in(groups.where(F.col("n") <= block).select(F.col("bucket").alias("name"), "node"))
-    crowded = groups.where(F.col("n") > block)
+    links = linked_in(groups.where("n IS NULL").select(F.col("bucket").alias("name"), "node"))
+    crowded = groups.where("n IS NOT NULL")
     if not crowded.isEmpty():
         led, left = _crowded(crowded, with_sets, block, similarity)
         links = links.unionByName(led).unionByName(linked_in(staged(left.distinct(), "left")))

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_neardup import roots
 
@@ -166,3 +167,36 @@ def test_crowded_segments_are_dealt_out(spark):
     for r in found:
         least[r.component] = min(r.id, least.get(r.component, r.id))
     assert {r.id: least[r.component] for r in found} == want
+
+
+def test_stars_connect_what_their_edges_do():
+    rng = np.random.default_rng(3)
+    for n, m in ((40, 25), (60, 60), (9, 200)):
+        edges = sorted({(int(max(p)), int(min(p))) for p in rng.integers(0, n, (m, 2)) if p[0] != p[1]})
+        edges += edges[: m // 4]  # of two stagings, so some are repeated
+        v, u = np.array(sorted(edges)).T
+        batches = [pa.RecordBatch.from_arrays([pa.array(u[a : a + 7]), pa.array(v[a : a + 7])], ["u", "v"]) for a in range(0, len(v), 7)]
+        got = [(r["u"], r["v"]) for b in nearcopies._stars(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+        assert roots(range(n), got) == roots(range(n), edges)
+        assert all(a < b for a, b in got)
+    hubs = pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(30), 500)), pa.array(np.repeat(np.arange(30, 530), 30))], ["u", "v"])
+    assert sum(b.num_rows for b in nearcopies._stars(iter([hubs]))) == 529  # of 15,000
+    assert not list(nearcopies._stars(iter([hubs.slice(0, 0)])))
+
+
+def test_candidates_of_near_copies_come_to_few_edges(spark, monkeypatch):
+    """Near copies share dozens of segments, each of which gives an edge; components get a few a document."""
+    rng, made = random.Random(4), {}
+    plain = nearcopies.components
+
+    def spied(edges):
+        made.setdefault(n, edges.count())  # of the candidates, then of the links
+        return plain(edges)
+
+    monkeypatch.setattr(nearcopies, "components", spied)
+    for n in (500, 2000):
+        base = [f"w{i}" for i in range(100)]
+        texts = [" ".join(base[:i] + [f"x{k}"] + base[i + 1 :]) for k in range(n) for i in [rng.randrange(100)]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert len({r.component for r in near_copies(docs).collect()}) == 1
+    assert made[500] < 8 * 500 and made[2000] < 8 * 2000
