@@ -12,8 +12,9 @@ from seqloom.llm.decontaminate import decontaminated
 from seqloom.llm.nearcopies import near_copies
 from seqloom.llm.quality import good_documents
 from seqloom.llm.secrets import mask_secrets
-from seqloom.llm.tables import shared_dir, table
+from seqloom.llm.tables import shared_dir, shuffles_dropped, staged, table
 from seqloom.llm.tokenise import default_model, digests
+from seqloom.llm.urls import sifted
 
 #: Words in a shingle, and the least similarity of the shingle sets of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -28,10 +29,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, which share
     ``SIMILARITY`` of their shingles at least. Of repeated rows one stays; rows of different texts
     are not repeated, even if they share an id. Rows without id belong to no group and all stay."""
-    found = near_copies(docs, size=SHINGLE, similarity=SIMILARITY)
-    first = found.groupBy("component").agg(F.min(F.struct("id", "text_key")).alias("at")).select("at.*")
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(first, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"])
+    key = ["id", "text_key"]
+    with shuffles_dropped(spark):
+        found = staged(near_copies(docs, size=SHINGLE, similarity=SIMILARITY), "near-copies")
+        first = found.groupBy("component").agg(F.min(F.struct(*key)).alias("at")).select("at.*", F.lit(True).alias("stays"))
+        known = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(first, key, "left")
+        doubt = staged(known.where("stays IS NULL OR n > 1").select(*key, F.coalesce("stays", F.lit(False)).alias("stays")), "doubt")
+        # Most rows are alone in their group; only others are shuffled with their texts.
+        rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        rows = sifted(rows, doubt, key)
+    kept = rows.where("_passes").join(doubt, key, "left").where("stays IS NULL OR stays").dropDuplicates(key).select("row").unionAll(rows.where("NOT _passes").select("row"))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionAll(docs.where("doc_id IS NULL"))
 
 

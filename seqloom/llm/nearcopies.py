@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .tables import spread, staged, text_batches
+from .urls import sifted
 
 #: How often a similar pair may share no segment, and how often it may lie beyond the radius.
 MISS = 3.5e-6
@@ -28,6 +29,8 @@ CHANCE = 4096
 CROWD = 100_000
 #: Documents of a bucket that a task compares by sets on its own; larger buckets are cut into blocks.
 BLOCK = 2000
+#: Passes in which segments are compared, one after the other: disk holds the rows of one.
+PASSES = 14
 _STEPS = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,8 +90,8 @@ def fingerprint(codes: np.ndarray, n: int, similarity: float) -> bytes | None:
     return simhash(codes, (small if len(codes) < least + 2 else segments) * width)
 
 
-def _segments(n: int, similarity: float):
-    """A row for each segment of a fingerprint: its bucket, the node, and the bits that are compared."""
+def _segments(n: int, similarity: float, turn: int):
+    """A row for each segment of a fingerprint in this pass: its bucket, the node, and the bits that are compared."""
     width, segments, small, _ = plan(n, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +101,11 @@ def _segments(n: int, similarity: float):
                 at = [i for i, f in enumerate(fps) if f is not None and len(f) == size]
                 whole = np.frombuffer(b"".join(fps[i] for i in at), np.uint8).reshape(len(at), size)
                 count = small if 8 * size >= small * width else segments
-                bits = np.unpackbits(whole, axis=1, count=count * width, bitorder="little").reshape(len(at), count, width)
-                value = bits @ (1 << np.arange(width)) + (np.arange(count) << 32)
-                checked = np.repeat(np.ascontiguousarray(whole[:, : CHECKED // 8]).view("<i8"), count, axis=0)
-                node = np.repeat(b.column(0).to_numpy()[at], count)
+                own = np.arange(turn, count, PASSES)
+                bits = np.unpackbits(whole, axis=1, count=count * width, bitorder="little").reshape(len(at), count, width)[:, own]
+                value = bits @ (1 << np.arange(width)) + (own << 32)
+                checked = np.repeat(np.ascontiguousarray(whole[:, : CHECKED // 8]).view("<i8"), len(own), axis=0)
+                node = np.repeat(b.column(0).to_numpy()[at], len(own))
                 yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), pa.array(node), *(pa.array(np.ascontiguousarray(c)) for c in checked.T)], ["bucket", "node", "f0", "f1", "f2"])
 
     return run
@@ -334,24 +338,27 @@ def _around(similarity: float):
 SAMPLE = 32
 
 
-def _crowded(rows: DataFrame, sets, block: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links of crowded buckets (``bucket``, ``node``, ``n``) with their leaders, and the groups (``name``,
+def _crowded(rows: DataFrame, block: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links of crowded buckets (``bucket``, ``node``, ``n``, ``shingles``) with their leaders, and the groups (``name``,
     ``node``) that are left to compare.
 
     Documents like the leader are connected by it, so no two of them are compared. Those that are not
     are compared with each other, and of them only those within twice the distance with the ones
-    that the leader has: others can't be like any. ``sets`` adds the sets to rows with a ``node``."""
+    that the leader has: others can't be like any. Samples and leaders are a few rows for each ``block`` documents,
+    so they are broadcast and the sets are shuffled once, to their chunks."""
+    keys = rows.select("bucket", "node", "n")
     w = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("node", "bucket"), "node")
     # The sample's smallest hashes, by parts first, so that no bucket is sorted as a whole.
-    parts = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block))).withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE)
+    parts = keys.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block))).withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE)
     sample = parts.withColumn("part", F.lit(0)).withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE).select("bucket", "node")
-    leaders = sets(sample).select("bucket", "node", "shingles").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_leader(similarity), "bucket long, leader long")
-    leaders = staged(leaders.join(rows.groupBy("bucket").agg(F.first("n").alias("n")), "bucket"), "leaders")
+    leaders = rows.join(F.broadcast(sample), ["bucket", "node"]).select("bucket", "node", "shingles").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_leader(similarity), "bucket long, leader long")
+    leaders = staged(leaders.join(keys.groupBy("bucket").agg(F.first("n").alias("n")), "bucket"), "leaders")
     chunks = F.ceil(2 * F.col("n") / block).cast("long")
     name = lambda *c: F.xxhash64("bucket", *c)
-    own = rows.join(leaders.select("bucket", "leader"), "bucket").where("node <> leader").select(name(F.pmod(F.xxhash64("node"), chunks)).alias("name"), "node", "bucket", F.lit(False).alias("lead"))
-    first = leaders.select("bucket", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk")).select(name("chunk").alias("name"), "node", "bucket", F.lit(True).alias("lead"))
-    joined = sets(own.unionByName(first)).select("name", "node", "shingles", "bucket", "lead")
+    led = rows.join(F.broadcast(leaders.select("bucket", "leader")), "bucket")
+    own = led.where("node <> leader").select(name(F.pmod(F.xxhash64("node"), chunks)).alias("name"), "node", "shingles", "bucket", F.lit(False).alias("lead"))
+    first = led.where("node = leader").select("bucket", "node", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk")).select(name("chunk").alias("name"), "node", "shingles", "bucket", F.lit(True).alias("lead"))
+    joined = own.unionByName(first)
     found = staged(joined.repartition("name").sortWithinPartitions("name").mapInArrow(_around(similarity), "kind byte, u long, v long"), "around")
     links, rest = found.where(F.col("kind") == _LINK).select("u", "v"), found.where(F.col("kind") != _LINK).select("kind", F.col("u").alias("bucket"), F.col("v").alias("node")).distinct()
     left = rest.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups(block), "name long, node long")
@@ -359,7 +366,7 @@ def _crowded(rows: DataFrame, sets, block: int, similarity: float) -> tuple[Data
     sizes = mids.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).join(leaders.select("bucket", "n"), "bucket")
     blocks = F.ceil(2 * F.col("m") / block).cast("long")
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
-    near = rows.select("bucket", "node").join(rest.select("bucket", "node"), ["bucket", "node"], "left_anti").join(sizes, "bucket")
+    near = keys.select("bucket", "node").join(rest.select("bucket", "node"), ["bucket", "node"], "left_anti").join(sizes, "bucket")
     near = near.select("bucket", "node", F.pmod(F.xxhash64("node"), chunks).alias("chunk"), every(blocks).alias("mid"))
     mids = mids.join(sizes, "bucket").select("bucket", "node", F.pmod(F.xxhash64("node"), blocks).alias("mid"), every(chunks).alias("chunk"))
     pairs = near.unionByName(mids).select(name(F.lit("mid"), "chunk", "mid").alias("name"), "node")
@@ -392,8 +399,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t.as_py(), size) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([c.tobytes() for _, c in found], pa.binary())], ["node", "shingles"])
+            found = [shingles(t.as_py(), size)[1].tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("bucket", "node", "n")), pa.array(found, pa.binary())], ["bucket", "node", "n", "shingles"])
 
     kind = kept.schema["id"].dataType
     marked = staged(kept.mapInArrow(sketch, T.StructType([T.StructField("id", kind), T.StructField("text_key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType())])), "sketches")
@@ -401,8 +408,11 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     radius = plan(total, similarity)[-1]
 
     def candidates(nodes: DataFrame, dealt, crowd: int) -> DataFrame:
-        rows = dealt(nodes.select("node", "fp").mapInArrow(_segments(total, similarity), "bucket long, node long, f0 long, f1 long, f2 long"))
-        return staged(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(radius, crowd), "bucket long, u long, v long").distinct(), "candidates")
+        def met_in(turn: int) -> DataFrame:
+            rows = dealt(nodes.select("node", "fp").mapInArrow(_segments(total, similarity, turn), "bucket long, node long, f0 long, f1 long, f2 long"))
+            return staged(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(radius, crowd), "bucket long, u long, v long"), "candidates")
+
+        return functools.reduce(DataFrame.unionAll, map(met_in, range(PASSES)))
 
     met = candidates(nodes, lambda rows: rows, crowd)
     passed = met.where("v IS NULL").select("bucket", F.col("u").alias("node"))
@@ -421,21 +431,21 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # At most one crowded group in ``block`` documents; without its size a group is not crowded.
     sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     grouped = grouped.join(F.broadcast(sizes), "root", "left")
-    groups = staged(grouped.select(F.col("root").alias("bucket"), "node", "n"), "groups")
-    # The text of one row for each document that is to be compared.
-    at = nodes.join(groups.select("node"), "node").select("at.id", "at.text_key")
-    texts = kept.join(at, ["id", "text_key"], "left_semi").select("text")
-    found = staged(texts.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    with_sets = lambda rows: rows.join(found, "node")
-
-    def linked_in(groups: DataFrame) -> DataFrame:
-        rows = with_sets(groups).select("name", "node", "shingles").repartition("name").sortWithinPartitions("name")
-        return rows.mapInArrow(_links(similarity), "u long, v long")
-
-    links = linked_in(groups.where("n IS NULL").select(F.col("bucket").alias("name"), "node"))
-    crowded = groups.where("n IS NOT NULL")
-    if not crowded.isEmpty():
-        led, left = _crowded(crowded, with_sets, block, similarity)
-        links = links.unionByName(led).unionByName(linked_in(staged(left.distinct(), "left")))
+    # The row whose text is read for each document that is to be compared; texts of others are not shuffled.
+    members = staged(nodes.join(grouped.withColumnRenamed("root", "bucket"), "node").select("at.id", "at.text_key", "bucket", "node", "n"), "groups")
+    at = ["id", "text_key"]
+    texts = sifted(kept, members, at).where("_passes").drop("_passes").join(members, at).dropDuplicates(at)
+    found = staged(texts.select("bucket", "node", "n", "text").mapInArrow(sets, "bucket long, node long, n long, shingles binary"), "sets")
+
+    def linked_in(rows: DataFrame) -> DataFrame:
+        return rows.select("name", "node", "shingles").repartition("name").sortWithinPartitions("name").mapInArrow(_links(similarity), "u long, v long")
+
+    links = linked_in(found.where("n IS NULL").withColumnRenamed("bucket", "name"))
+    crowded = found.where("n IS NOT NULL")
+    if not members.where("n IS NOT NULL").isEmpty():
+        led, left = _crowded(crowded, block, similarity)
+        left = staged(left.distinct(), "left")
+        few = sifted(crowded.select("node", "shingles"), left, ["node"]).where("_passes").drop("_passes")
+        links = links.unionByName(led).unionByName(linked_in(left.join(few, "node")))
     linked = staged(components(staged(links, "links")), "components")
     return marked.join(linked, "node", "left").select("id", "text_key", F.coalesce("root", "node").alias("component"))

@@ -167,6 +167,20 @@ def _passed(rows: DataFrame, bloom: DataFrame, blocks: int, small: bool) -> Data
     return rows.withColumn("_passes", passes)
 
 
+#: Bytes of a filter of ``sifted`` at most.
+SIFT_BYTES = 8_000_000
+
+
+def sifted(rows: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_passes``, false only where no row of ``listed`` has their ``keys`` (never null): only the others
+    need be joined to it, so wide rows without a match are not shuffled. ``listed`` is read twice. If ``SIFT_BYTES`` are
+    too few for its keys, more rows pass. Names of ``rows`` are the caller's own: none is ``key`` or begins with ``_``."""
+    key = F.concat_ws(":", *keys)
+    blocks = max(1, min(math.ceil(16 * listed.count() / (64 * WORDS)), SIFT_BYTES // (8 * WORDS)))
+    bloom = bloom_filter(listed.select(key.alias("key")), "key", blocks)
+    return _passed(rows.withColumn("key", key), bloom, blocks, True).select(*rows.columns, "_passes")
+
+
 def listed_keys(urls: DataFrame, names: DataFrame, bloom: DataFrame, blocks: int, small: bool) -> DataFrame:
     """``key`` and ``n``, the number of pages, of the canonical URLs of pages (``url`` alone) that are listed.
     Keys are counted before they travel, meet the filter as keys alone, and only those that it

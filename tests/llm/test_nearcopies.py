@@ -1,6 +1,8 @@
 import math
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,7 @@ import pytest
 from test_neardup import roots
 
 import corpus_pipeline
-from seqloom.llm import nearcopies
+from seqloom.llm import nearcopies, urls
 from seqloom.llm.nearcopies import _connect, near_copies
 
 SF = "/root/testdata/sf0.01"
@@ -200,3 +202,50 @@ def test_candidates_of_near_copies_come_to_few_edges(spark, monkeypatch):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         assert len({r.component for r in near_copies(docs).collect()}) == 1
     assert made[500] < 8 * 500 and made[2000] < 8 * 2000
+
+
+def test_passes_give_each_segment_once():
+    rng, n = np.random.default_rng(6), 1000
+    fps = [nearcopies.fingerprint(rng.integers(0, 2**63, k, dtype=np.uint64), n, 0.8) for k in (4, 40, 0, 5, 90)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(fps, pa.binary())], ["node", "fp"])
+    width, segments, small, _ = nearcopies.plan(n, 0.8)
+    parts = [[r for b in nearcopies._segments(n, 0.8, turn)(iter([rows])) for r in b.to_pylist()] for turn in range(nearcopies.PASSES)]
+    assert max(map(len, parts)) < 1.2 * min(map(len, parts))
+    got = sorted((r["node"], r["bucket"] >> 32, r["bucket"] % 2**32) for p in parts for r in p)
+    bits = [f and int.from_bytes(f, "little") for f in fps]
+    assert got == [(i, k, bits[i] >> k * width & 2**width - 1) for i, f in enumerate(fps) if f for k in range((segments, small)[i in (0, 3)])]
+
+
+@pytest.mark.parametrize("room", [8_000_000, 64])
+def test_sifted_loses_no_match(spark, monkeypatch, room):
+    """A filter that is too small for its keys lets more rows pass and stops none that is listed."""
+    monkeypatch.setattr(urls, "SIFT_BYTES", room)
+    rows = spark.range(20_000).selectExpr("id", "id % 7 AS k", "'y' AS other")
+    out = urls.sifted(rows, rows.where("id % 40 = 3").select("id", "k"), ["id", "k"])
+    assert out.columns == [*rows.columns, "_passes"] and out.count() == 20_000
+    passed = {r.id for r in out.where("_passes").collect()}
+    assert passed >= set(range(3, 20_000, 40)) and len(passed) < 600 or room == 64
+    assert not urls.sifted(rows, rows.limit(0), ["id", "k"]).where("_passes").count()
+
+
+def test_disk_at_once(spark, tmp_path):
+    """Shuffle files go with the step that wrote them, and texts without near copies are in none."""
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    used = lambda: sum(p.stat().st_size for p in local.rglob("shuffle_*.data") if p.exists())
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.randrange(10**9):x}" for _ in range(300)) for _ in range(1500)]
+    texts += [t + " end" for t in texts[:30]] + texts[30:60]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rows.write.parquet(str(tmp_path / "docs"))
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+    before = used()
+    out = corpus_pipeline.near_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), SF)
+    for _ in range(20):
+        if used() - before < 100_000:
+            break
+        time.sleep(0.5)
+    assert used() - before < 100_000
+    assert {r.doc_id for r in out.select("doc_id", "text").collect()} == set(range(1500))
+    assert used() - before < 1_000_000  # of 3.7 MB of texts
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
