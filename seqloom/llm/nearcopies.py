@@ -23,6 +23,8 @@ from .urls import sifted
 MISS = 3.5e-6
 #: Bits of a fingerprint that are compared as a whole, as three longs.
 CHECKED = 192
+#: The same in groups of more than ``BLOCK`` documents, at most.
+WHOLE = 1152
 #: Documents that share a segment by chance, at most: more documents have longer segments.
 CHANCE = 4096
 #: Rows of a segment's value that a task compares on its own; more are dealt out as pairs of blocks.
@@ -31,6 +33,10 @@ CROWD = 100_000
 BLOCK = 2000
 #: Passes in which segments are compared, one after the other: disk holds the rows of one.
 PASSES = 14
+#: Documents of large groups whose segments are compared in a pass, if that needs fewer passes.
+TURN = 5000
+#: How often what leaders leave of large groups is grouped anew.
+ROUNDS = 3
 _STEPS = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,19 +56,37 @@ def shingles(text: bytes | None, size: int) -> tuple[int, np.ndarray]:
     return node, np.unique(np.array(codes, np.uint64))
 
 
+def _flip(similarity: float) -> float:
+    """How often a bit of two similar sets of one size differs, as the angle between them says."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _radius(bits: int, flip: float) -> int:
+    """How many of ``bits`` bits differ, but for ``MISS``, where each does as often as ``flip`` says."""
+    beyond, radius, logs = 1.0, -1, [math.lgamma(k + 1) for k in range(bits + 1)]
+    while beyond > MISS:
+        radius += 1
+        beyond -= math.exp(logs[bits] - logs[radius] - logs[bits - radius] + radius * math.log(flip) + (bits - radius) * math.log1p(-flip))
+    return radius
+
+
 @functools.cache
 def plan(n: int, similarity: float) -> tuple[int, int, int, int]:
     """For ``n`` documents: bits of a segment, segments of a fingerprint and of a small set's, and the
     radius. Bits of two sets of one size differ as often as the angle between them says; of small sets
     up to 6.5 % more often, and 24 % where one has only as many shingles as may be similar at all."""
     width = max(12, (n // CHANCE).bit_length())
-    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    flip = _flip(similarity)
     segments, small = (math.ceil(math.log(MISS) / math.log1p(-((1 - p) ** width))) for p in (1.065 * flip, 1.24 * flip))
-    beyond, radius = 1.0, -1
-    while beyond > MISS:
-        radius += 1
-        beyond -= math.comb(CHECKED, radius) * (1.24 * flip) ** radius * (1 - 1.24 * flip) ** (CHECKED - radius)
-    return width, segments, small, radius
+    return width, segments, small, _radius(CHECKED, 1.24 * flip)
+
+
+@functools.cache
+def whole(n: int, similarity: float) -> tuple[int, int]:
+    """For ``n`` documents: longs that all fingerprints have, ``WHOLE`` bits at most, and the radius in them."""
+    width, segments, _, _ = plan(n, similarity)
+    longs = min(WHOLE, segments * width) // 64
+    return longs, _radius(64 * longs, 1.24 * _flip(similarity))
 
 
 def simhash(codes: np.ndarray, bits: int) -> bytes:
@@ -90,8 +114,8 @@ def fingerprint(codes: np.ndarray, n: int, similarity: float) -> bytes | None:
     return simhash(codes, (small if len(codes) < least + 2 else segments) * width)
 
 
-def _segments(n: int, similarity: float, turn: int):
-    """A row for each segment of a fingerprint in this pass: its bucket, the node, and the bits that are compared."""
+def _segments(n: int, similarity: float, turn: int, longs: int = CHECKED // 64, passes: int = PASSES):
+    """A row for each segment of a fingerprint in this pass: its bucket, the node, and the ``longs`` that are compared."""
     width, segments, small, _ = plan(n, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,18 +125,18 @@ def _segments(n: int, similarity: float, turn: int):
                 at = [i for i, f in enumerate(fps) if f is not None and len(f) == size]
                 whole = np.frombuffer(b"".join(fps[i] for i in at), np.uint8).reshape(len(at), size)
                 count = small if 8 * size >= small * width else segments
-                own = np.arange(turn, count, PASSES)
+                own = np.arange(turn, count, passes)
                 bits = np.unpackbits(whole, axis=1, count=count * width, bitorder="little").reshape(len(at), count, width)[:, own]
                 value = bits @ (1 << np.arange(width)) + (own << 32)
-                checked = np.repeat(np.ascontiguousarray(whole[:, : CHECKED // 8]).view("<i8"), len(own), axis=0)
+                checked = np.repeat(np.ascontiguousarray(whole[:, : 8 * longs]).view("<i8"), len(own), axis=0)
                 node = np.repeat(b.column(0).to_numpy()[at], len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), pa.array(node), *(pa.array(np.ascontiguousarray(c)) for c in checked.T)], ["bucket", "node", "f0", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), pa.array(node), *(pa.array(np.ascontiguousarray(c)) for c in checked.T)], ["bucket", "node", *(f"f{i}" for i in range(longs))])
 
     return run
 
 
 def _distances(fps: np.ndarray, to: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps ^ to).sum(axis=0, dtype=np.uint8)
+    return np.bitwise_count(fps ^ to).sum(axis=0, dtype=np.uint8 if len(fps) < 4 else np.uint16)
 
 
 def _families(fps: np.ndarray, radius: int) -> Iterator[np.ndarray]:
@@ -136,7 +160,8 @@ def _families(fps: np.ndarray, radius: int) -> Iterator[np.ndarray]:
 
 def _candidates(radius: int, crowd: int):
     """Edges ``u``, ``v`` that connect documents that share a segment and lie within the radius, from
-    rows sorted by bucket. Rows of buckets of more than ``crowd`` are passed on (without ``v``)."""
+    rows sorted by bucket: ``u`` is the smallest of those that are connected in this bucket. Rows of
+    buckets of more than ``crowd`` are passed on (without ``v``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, passed, out, size = None, None, [], 0
@@ -149,7 +174,7 @@ def _candidates(radius: int, crowd: int):
         def compare(cols: list[np.ndarray]) -> None:
             for some in _families(np.stack(cols[2:]).view(np.uint64), radius):
                 nodes = np.sort(cols[1][some])
-                emit(0, np.full(len(nodes) - 1, nodes[0]), nodes[1:])
+                emit(int(cols[0][0]), np.full(len(nodes) - 1, nodes[0]), nodes[1:])
 
         def written() -> pa.RecordBatch:
             nonlocal size
@@ -338,13 +363,13 @@ def _around(similarity: float):
 SAMPLE = 32
 
 
-def _crowded(rows: DataFrame, block: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links of crowded buckets (``bucket``, ``node``, ``n``, ``shingles``) with their leaders, and the groups (``name``,
-    ``node``) that are left to compare.
+def _crowded(rows: DataFrame, block: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of crowded buckets (``bucket``, ``node``, ``n``, ``shingles``) with their leaders, the ``node`` of those that
+    are not like them and are left to compare with each other, and the groups (``name``, ``node``) in which
+    these meet those that are.
 
-    Documents like the leader are connected by it, so no two of them are compared. Those that are not
-    are compared with each other, and of them only those within twice the distance with the ones
-    that the leader has: others can't be like any. Samples and leaders are a few rows for each ``block`` documents,
+    Documents like the leader are connected by it, so no two of them are compared. Of the others only those
+    within twice the distance are compared with the ones that the leader has: others can't be like any. Samples and leaders are a few rows for each ``block`` documents,
     so they are broadcast and the sets are shuffled once, to their chunks."""
     keys = rows.select("bucket", "node", "n")
     w = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("node", "bucket"), "node")
@@ -361,7 +386,6 @@ def _crowded(rows: DataFrame, block: int, similarity: float) -> tuple[DataFrame,
     joined = own.unionByName(first)
     found = staged(joined.repartition("name").sortWithinPartitions("name").mapInArrow(_around(similarity), "kind byte, u long, v long"), "around")
     links, rest = found.where(F.col("kind") == _LINK).select("u", "v"), found.where(F.col("kind") != _LINK).select("kind", F.col("u").alias("bucket"), F.col("v").alias("node")).distinct()
-    left = rest.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups(block), "name long, node long")
     mids = rest.where(F.col("kind") == _MID).select("bucket", "node")
     sizes = mids.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).join(leaders.select("bucket", "n"), "bucket")
     blocks = F.ceil(2 * F.col("m") / block).cast("long")
@@ -370,7 +394,7 @@ def _crowded(rows: DataFrame, block: int, similarity: float) -> tuple[DataFrame,
     near = near.select("bucket", "node", F.pmod(F.xxhash64("node"), chunks).alias("chunk"), every(blocks).alias("mid"))
     mids = mids.join(sizes, "bucket").select("bucket", "node", F.pmod(F.xxhash64("node"), blocks).alias("mid"), every(chunks).alias("chunk"))
     pairs = near.unionByName(mids).select(name(F.lit("mid"), "chunk", "mid").alias("name"), "node")
-    return links, left.unionByName(pairs)
+    return links, rest.select("node"), pairs
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
@@ -384,8 +408,10 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     on the sets.
     Texts of the same words are one node. Those without words, null ones too, are alike.
 
-    In a group of more than ``block`` documents those like a leader are connected by it; only others are
-    compared with each other, as pairs of blocks if they are as many, and with some of the leader's.
+    A group of more than ``block`` documents is grouped anew by its segments, within a radius of all bits
+    (``whole``), which may miss as many pairs once more. If a group is as large then, those like a leader are
+    connected by it; others are compared with some of the leader's, and grouped anew. What is still as large
+    after ``ROUNDS`` is compared in each bucket of a segment on its own.
     """
     text_batches(docs.sparkSession)
     key = F.xxhash64(text_col)
@@ -405,32 +431,51 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kind = kept.schema["id"].dataType
     marked = staged(kept.mapInArrow(sketch, T.StructType([T.StructField("id", kind), T.StructField("text_key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType())])), "sketches")
     nodes = staged(marked.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"), F.first("fp").alias("fp")), "nodes")
-    radius = plan(total, similarity)[-1]
-
-    def candidates(nodes: DataFrame, dealt, crowd: int) -> DataFrame:
-        def met_in(turn: int) -> DataFrame:
-            rows = dealt(nodes.select("node", "fp").mapInArrow(_segments(total, similarity, turn), "bucket long, node long, f0 long, f1 long, f2 long"))
-            return staged(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(radius, crowd), "bucket long, u long, v long"), "candidates")
-
-        return functools.reduce(DataFrame.unionAll, map(met_in, range(PASSES)))
-
-    met = candidates(nodes, lambda rows: rows, crowd)
-    passed = met.where("v IS NULL").select("bucket", F.col("u").alias("node"))
-    if not passed.isEmpty():
-        blocks = passed.groupBy("bucket").agg(F.ceil(2 * F.count(F.lit(1)) / crowd).cast("int").alias("k"))
-
-        def dealt(rows: DataFrame) -> DataFrame:
-            rows = rows.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-            return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "f0", "f1", "f2")
-
-        met = met.unionByName(candidates(nodes.join(passed.select("node").distinct(), "node"), dealt, 1 << 60))
-    # A document has an edge in each segment that it shares, near copies some dozens; one to the smallest is enough.
-    edges = met.where("v IS NOT NULL").select("u", "v").repartition("v").sortWithinPartitions("v", "u").mapInArrow(_stars, "u long, v long")
-    # Every document is in one group, in however many segments it meets others.
-    grouped = staged(components(edges), "grouped")
-    # At most one crowded group in ``block`` documents; without its size a group is not crowded.
-    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    grouped = grouped.join(F.broadcast(sizes), "root", "left")
+
+    def met_in(nodes: DataFrame, longs: int, radius: int, passes: int) -> DataFrame:
+        """Edges (``bucket``, ``u``, ``v``) that connect what shares a segment and lies within the radius."""
+        bits = [f"f{i}" for i in range(longs)]
+
+        def candidates(nodes: DataFrame, dealt, crowd: int) -> DataFrame:
+            def met_at(turn: int) -> DataFrame:
+                rows = dealt(nodes.select("node", "fp").mapInArrow(_segments(total, similarity, turn, longs, passes), ", ".join(f"{c} long" for c in ["bucket", "node", *bits])))
+                return staged(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(radius, crowd), "bucket long, u long, v long"), "candidates")
+
+            return functools.reduce(DataFrame.unionAll, map(met_at, range(passes)))
+
+        met = candidates(nodes, lambda rows: rows, crowd)
+        passed = met.where("v IS NULL").select("bucket", F.col("u").alias("node"))
+        if not passed.isEmpty():
+            blocks = passed.groupBy("bucket").agg(F.ceil(2 * F.count(F.lit(1)) / crowd).cast("int").alias("k"))
+
+            def dealt(rows: DataFrame) -> DataFrame:
+                rows = rows.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+                return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", *bits)
+
+            met = met.unionByName(candidates(nodes.join(passed.select("node").distinct(), "node"), dealt, 1 << 60))
+        return met.where("v IS NOT NULL")
+
+    def in_groups(met: DataFrame) -> DataFrame:
+        """``node`` and the ``root`` of its group, and the group's size ``n`` if that is over ``block``."""
+        # A document has an edge in each segment that it shares, near copies some dozens; one to the smallest is enough.
+        edges = met.select("u", "v").repartition("v").sortWithinPartitions("v", "u").mapInArrow(_stars, "u long, v long")
+        # Every document is in one group, in however many segments it meets others.
+        grouped = staged(components(edges), "grouped")
+        # At most one crowded group in ``block`` documents; without its size a group is not crowded.
+        sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+        return grouped.join(F.broadcast(sizes), "root", "left")
+
+    def met_closer(some: DataFrame) -> DataFrame:
+        """The same edges among these nodes alone, by as many bits as fingerprints have."""
+        few = staged(nodes.join(some.select("node").distinct(), "node").select("node", "fp"), "crowded")
+        return met_in(few, *whole(total, similarity), max(1, min(PASSES, few.count() // TURN)))
+
+    grouped = in_groups(met_in(nodes, CHECKED // 64, plan(total, similarity)[-1], PASSES))
+    crowded = grouped.where("n IS NOT NULL")
+    if not crowded.isEmpty():
+        # By few bits, chains of texts that share a common line connect most of a large table.
+        met = met_closer(crowded)
+        grouped = grouped.where("n IS NULL").unionByName(in_groups(met))
     # The row whose text is read for each document that is to be compared; texts of others are not shuffled.
     members = staged(nodes.join(grouped.withColumnRenamed("root", "bucket"), "node").select("at.id", "at.text_key", "bucket", "node", "n"), "groups")
     at = ["id", "text_key"]
@@ -440,12 +485,22 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def linked_in(rows: DataFrame) -> DataFrame:
         return rows.select("name", "node", "shingles").repartition("name").sortWithinPartitions("name").mapInArrow(_links(similarity), "u long, v long")
 
-    links = linked_in(found.where("n IS NULL").withColumnRenamed("bucket", "name"))
+    links = [staged(linked_in(found.where("n IS NULL").withColumnRenamed("bucket", "name")), "links")]
     crowded = found.where("n IS NOT NULL")
-    if not members.where("n IS NOT NULL").isEmpty():
-        led, left = _crowded(crowded, block, similarity)
-        left = staged(left.distinct(), "left")
-        few = sifted(crowded.select("node", "shingles"), left, ["node"]).where("_passes").drop("_passes")
-        links = links.unionByName(led).unionByName(linked_in(left.join(few, "node")))
-    linked = staged(components(staged(links, "links")), "components")
+    for turn in range(ROUNDS + 1):
+        if crowded.isEmpty():
+            break
+        led, rest, pairs = _crowded(crowded, block, similarity)
+        if turn < ROUNDS:
+            met = met_closer(rest)
+            again = in_groups(met)
+            pairs = pairs.unionByName(again.where("n IS NULL").select(F.col("root").alias("name"), "node"))
+            crowded = staged(again.where("n IS NOT NULL").withColumnRenamed("root", "bucket").join(found.select("node", "shingles"), "node").select("bucket", "node", "n", "shingles"), "crowded-sets")
+        else:  # by buckets, each on its own
+            meet = met.select(F.xxhash64("bucket", "u").alias("bucket"), F.explode(F.array("u", "v")).alias("node")).join(rest.distinct(), "node").select("bucket", "node")
+            pairs = pairs.unionByName(meet.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups(block), "name long, node long"))
+        left = staged(pairs.distinct(), "left")
+        few = sifted(found.where("n IS NOT NULL").select("node", "shingles"), left, ["node"]).where("_passes").drop("_passes")
+        links += [led, staged(linked_in(left.join(few, "node")), "links")]
+    linked = staged(components(functools.reduce(DataFrame.unionByName, links)), "components")
     return marked.join(linked, "node", "left").select("id", "text_key", F.coalesce("root", "node").alias("component"))

@@ -249,3 +249,55 @@ def test_disk_at_once(spark, tmp_path):
     assert {r.doc_id for r in out.select("doc_id", "text").collect()} == set(range(1500))
     assert used() - before < 1_000_000  # of 3.7 MB of texts
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_radius_of_whole_fingerprints_keeps_similar_sets():
+    for n in (1000, 10**8):
+        longs, radius = nearcopies.whole(n, 0.8)
+        bits = 64 * longs
+        assert 1000 < bits <= min(len(nearcopies.fingerprint(np.arange(k, dtype=np.uint64), n, 0.8)) for k in (2, 4, 50)) * 8
+        ways = [math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) for d in range(radius + 1)]
+        for shared in range(4, 50):
+            for a in range(13):
+                for b in range(a + 1):
+                    if a and shared >= 0.8 * (shared + a + b) - 1e-9:
+                        p = differ(shared, a, b)
+                        assert sum(math.exp(w + d * math.log(p) + (bits - d) * math.log1p(-p)) for d, w in enumerate(ways)) >= 1 - nearcopies.MISS
+
+
+def test_common_lines_do_not_make_pairs_of_blocks(spark, monkeypatch):
+    """Short texts that share a line are candidates by few bits, so that they make one large group; hardly any
+    are similar, and what is compared follows their number, not their pairs."""
+    rng, made, plain = random.Random(7), {}, nearcopies.staged
+
+    def spied(df, name):
+        out = plain(df, name)
+        made[name] = max(out.count(), made.get(name, 0))
+        return out
+
+    monkeypatch.setattr(nearcopies, "staged", spied)
+    line = " ".join(f"line{i}" for i in range(24))
+    texts = {i: f"{line}\n" + " ".join(f"{rng.randrange(10**9):x}" for _ in range(14)) for i in range(900)}
+    texts |= {1000 + i: texts[i].rsplit(" ", 1)[0] for i in range(0, 900, 9)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    least, found = {}, near_copies(docs, block=60).collect()
+    for r in found:
+        least[r.component] = min(r.id, least.get(r.component, r.id))
+    assert {r.id: least[r.component] for r in found} == {i: i - 1000 if i >= 1000 else i for i in texts}
+    assert made["groups"] + made.get("left", 0) < 1000  # over 20,000 as pairs of blocks
+    assert made["crowded"] > 900  # one group, by few bits
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_groups_that_stay_large_lose_no_link(spark, monkeypatch, rounds):
+    """A chain that no leader settles is compared by buckets after the last round."""
+    monkeypatch.setattr(nearcopies, "ROUNDS", rounds)
+    base = [f"w{i}" for i in range(300)]
+    texts = {i: " ".join(base[i : 80 + i]) for i in range(120)}  # each is like its neighbours
+    texts |= {200 + i: " ".join([*base[:70], *(f"o{i}x{k}" for k in range(20))]) for i in range(60)}  # near, and not similar
+    want = roots(texts, pairs(texts))
+    found = near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block=12).collect()
+    least = {}
+    for r in found:
+        least[r.component] = min(r.id, least.get(r.component, r.id))
+    assert {r.id: least[r.component] for r in found} == want
